@@ -1,0 +1 @@
+"""Operators of the feed and measurement engine."""

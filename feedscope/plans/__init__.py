@@ -1,0 +1 @@
+"""Plans of the feed and measurement engine."""

@@ -1,0 +1 @@
+"""Sources of the feed and measurement engine."""

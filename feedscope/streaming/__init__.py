@@ -1,0 +1 @@
+"""Streaming of the feed and measurement engine."""
