@@ -174,12 +174,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 5000], strict=True), _OUT, strict=True)], schema=_OUT)
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def repair(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     """A row for each turn: conv_id, chunk, pos (its order), turn, role, action, inserted, cost, piece."""
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").withColumn("tie", F.monotonically_increasing_id())
+    ranges = ranges or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a chunk is what one conversation has in one range, so that its size is bounded by the range's
     order = ["conv_id", "turn", "role", "text", "tie"]
-    chunks = materialise(rows.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()), "turns")
+    chunks = materialise(rows.repartitionByRange(ranges, *order).withColumn("chunk", F.spark_partition_id()), "turns")
     key, inner = ["conv_id", "chunk"], ["conv_id", "chunk", "turn", "role", "text", "tie"]
     maps = chunks.repartition(*key).sortWithinPartitions(*inner).select("conv_id", "chunk", "role").mapInArrow(_maps, "conv_id long, chunk int, map array<long>")
     bounds = maps.repartition("conv_id").sortWithinPartitions(*key).mapInArrow(_bounds, "conv_id long, chunk int, first int, last int, ends boolean, cost long")

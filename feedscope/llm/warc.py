@@ -138,7 +138,7 @@ class Payload:
                 at, self.left = at + len(part), self.left - len(part)
                 if not self.left:
                     self.state = "gap"
-            elif self.state == "over":
+            elif self.state in ("over", "broken"):
                 return
             else:  # a line: the break after a chunk, a chunk's size, or a trailer
                 end = data.find(b"\n", at)
@@ -150,9 +150,11 @@ class Payload:
                     self.state = "size"
                 elif self.state == "trailer":
                     self.state = "trailer" if line else "over"
-                else:
-                    self.left = int(line.split(b";")[0], 16)
+                elif re.fullmatch(rb"[0-9A-Fa-f]+", size := line.split(b";")[0].strip()):
+                    self.left = int(size, 16)
                     self.state = "data" if self.left else "trailer"
+                else:
+                    self.state = "broken"
 
     @property
     def whole(self) -> bool:
@@ -257,7 +259,8 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if number > state["next"]:
                 state["bad"] = "segment missing"
             state["next"], state["total"] = number + 1, total or state["total"]
-            state["p"].feed(data)
+            if not state["bad"]:
+                state["p"].feed(data)
         yield _rows(out)
     if state:
         yield _rows([close()])
