@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -30,15 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import scratch_path
+from feedscope.llm.common import materialise, scratch_path
 
 END_ID = 1
 #: Fixed values of the zstandard seekable format: skippable frames of the table and of our index, its end.
 SEEK_FRAME, INDEX_FRAME, MAGIC = 0x184D2A5E, 0x184D2A5D, b"\xb1\xea\x92\x8f"
 #: Compressed bytes and documents of a shard, and the distinct words that a worker remembers.
-SHARD_BYTES, SHARD_DOCS, REMEMBERED = 4_000_000, 20_000, 250_000
+SHARD_BYTES, SHARD_DOCS, REMEMBERED = 4_000_000, 20_000, 500_000
 _SKIP = struct.Struct("<II")
 _NULL = -(1 << 63)
+#: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the other
+#: bytes in order for the characters from U+0100 on.
+BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 
 
 @lru_cache(maxsize=2)
@@ -48,62 +52,79 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Memory:
+    """Two generations of remembered values: when the young one is full, it becomes the old one."""
+
+    def __init__(self) -> None:
+        self.now, self.old = {}, {}  # plain dicts: sets compare with them by key
+
+    def lacks(self, keys: set[str]) -> list[str]:
+        """The keys that must be made; the others are in ``now`` afterwards."""
+        if len(self.now) + len(keys) > REMEMBERED:
+            self.now, self.old = {}, self.now
+        new = keys.difference(self.now)
+        back = [k for k in new if k in self.old]
+        self.now.update((k, self.old[k]) for k in back)
+        return list(new.difference(back))
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, where it allows word by word with a memory of words.
 
     A tokenizer that lower-cases, splits by one pattern, drops what lies between and marks the end of words gives
-    each match of the pattern ids of its own. Distinct matches are then encoded once, many in one call. Texts with
-    characters beyond U+024F, where normalisation or letter tables could matter, or with "<|" (added tokens) are
-    encoded as they are.
+    each match of the pattern ids of its own, and no match crosses white space. What stands between white space is
+    remembered with its ids; new stretches are cut by the pattern, and distinct new matches are encoded by
+    the tokenizer's model. Texts with characters beyond U+024F, where normalisation or letter tables could matter, with separators
+    that are white space to Python only, or with "<|" (added tokens) are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
         import json
 
-        self.tok, self.known = _tokenizer(path), {}
+        self.tok, self.memory = _tokenizer(path), _Memory()
         spec = json.loads(self.tok.to_str())
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         suffix = spec["model"].get("end_of_word_suffix")
         words = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and [p.get("type") for p in pre[1:]] == ["ByteLevel"]
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"]) if words and norm == ["NFC", "Replace", "Lowercase"] and suffix else None
-        if self.pattern:
-            self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
-            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
-        self.plain = re.compile("[\x00-ɏ]*")
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                raw, at = ids.astype("<u4").tobytes(), 0
-                for w, stop in zip(part, (stops * 4).tolist(), strict=True):
-                    self.known[w] = raw[at:stop]
-                    at = stop
+        self.plain = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ]*")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, match: str) -> bytes:
+        plain = match.isascii() and match.isprintable()
+        return array("I", [t.id for t in self.tok.model.tokenize(match if plain else match.encode().decode("latin-1").translate(BYTES))]).tobytes()
+
+    def _learn(self, found: set[str]) -> None:
+        """Ids of new stretches; one of letters alone is a match itself, and others share matches."""
+        new, known, ids = self.memory.lacks(found), self.memory.now, self._ids
+        for w in new:
+            if w.isalpha():
+                known[w] = ids(w)
             else:
-                for w in part:
-                    self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                parts = []
+                for m in self.pattern.findall(w):
+                    if m not in known:
+                        known[m] = ids(m)
+                    parts.append(known[m])
+                known[w] = b"".join(parts)
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        for text in texts:
-            if self.pattern is None or "<|" in text or not self.plain.fullmatch(text):
-                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            found = self.pattern.findall(text.lower())
-            new = set(found).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = set(found)
-                self._learn(list(new))
-            if len(new) > REMEMBERED:  # more distinct words than are remembered
-                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield b"".join(map(self.known.__getitem__, found))
+        at = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size > 2_000_000 or k + 1 == len(texts):
+                yield from self._encode(texts[at : k + 1])
+                at, size = k + 1, 0
+
+    def _encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+        cut = [None if self.pattern is None or "<|" in t or not self.plain.fullmatch(t) else t.lower().split() for t in texts]
+        self._learn(set().union(*(c for c in cut if c)))
+        get = self.memory.now.__getitem__
+        for text, c in zip(texts, cut, strict=True):
+            yield self._whole(text) if c is None else b"".join(map(get, c))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -199,6 +220,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every stored document, every frame's checksum verified."""
     rows = _files(spark, path).mapInArrow(_digests, "task long, number long, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = materialise(rows, "digests")  # the shards are read once
     # a row for each shard; their running sum is the only thing that goes in order
     totals = rows.groupBy("task", "number").agg(F.sum("n_tokens").alias("n"))
     run = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
