@@ -14,6 +14,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+class Memory:
+    """Two generations of remembered values: when the young one is full, it becomes the old one."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.old = most, {}, {}  # plain dicts: sets compare with them by key
+
+    def lacks(self, keys: set[str]) -> list[str]:
+        """The keys that must be made; the others are in ``now`` afterwards."""
+        if len(self.now) + len(keys) > self.most:
+            self.now, self.old = {}, self.now
+        new = keys.difference(self.now)
+        back = [k for k in new if k in self.old]
+        self.now.update((k, self.old[k]) for k in back)
+        return list(new.difference(back))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

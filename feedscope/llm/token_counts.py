@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedscope.llm.common import Memory
+
 #: What a byte costs that no piece covers, and the distinct pre-tokens that a worker remembers.
-BYTE_SCORE, REMEMBERED = -12.0, 200_000
+BYTE_SCORE, REMEMBERED = -12.0, 400_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MARK = "▁"
 
@@ -38,7 +40,13 @@ def unigram(path: str) -> dict[str, float]:
     return {sp.id_to_piece(i): -math.log(rank) for rank, i in enumerate(plain, 2)}
 
 
-def score_trie(tokens: list[str], pieces: dict[str, float], longest: int) -> dict[str, tuple[int, float]]:
+@lru_cache(maxsize=2)
+def endings(path: str) -> set[str]:
+    """Every string that a piece ends with: no piece goes on to the left of what isn't among them."""
+    return {p[k:] for p in unigram(path) for k in range(len(p))}
+
+
+def score_trie(tokens: list[str], pieces: dict[str, float], ends: set[str]) -> dict[str, tuple[int, float]]:
     """(pieces, score) of the best segmentation of each pre-token.
 
     ``tokens`` is sorted, so that going from one to the next walks the trie: the scores of the shared prefix stay.
@@ -54,8 +62,11 @@ def score_trie(tokens: list[str], pieces: dict[str, float], longest: int) -> dic
         for end in range(shared + 1, len(token) + 1):
             width = len(token[end - 1].encode("utf-8", "surrogatepass"))
             best, pieces_in = score[end - 1] + BYTE_SCORE * width, count[end - 1] + width
-            for start in range(max(0, end - longest), end):
-                s = get(token[start:end])
+            for start in range(end - 1, -1, -1):
+                part = token[start:end]
+                if part not in ends:
+                    break
+                s = get(part)
                 if s is not None:
                     s += score[start]
                     if s > best or s == best and count[start] + 1 < pieces_in:
@@ -67,28 +78,26 @@ def score_trie(tokens: list[str], pieces: dict[str, float], longest: int) -> dic
     return done
 
 
-_known: dict[str, dict[str, tuple[int, float]]] = {}
+_known: dict[str, Memory] = {}
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pieces = unigram(path)
-    longest = max(map(len, pieces), default=1)
-    known = _known.setdefault(path, {})
+    pieces, ends = unigram(path), endings(path)
+    memory = _known.setdefault(path, Memory(REMEMBERED))
     for b in batches:
         out: tuple[list, list, list] = ([], [], [])
-        for text in b.column("text").to_pylist():
-            words = _WORD.findall(text or "")
-            new = set(words).difference(known)
+        texts = b.column("text")
+        for at in range(0, len(texts), 128):
+            cut = [_WORD.findall(t.as_py() or "") for t in texts[at : at + 128]]
+            new = memory.lacks(set().union(*cut))
+            known = memory.now
             if new:
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set(words)
-                found = score_trie(sorted(MARK + w for w in new), pieces, longest)
-                known.update((k[1:], v) for k, v in found.items())
-            both = [known[w] for w in words]
-            out[0].append(len(words))
-            out[1].append(sum(c for c, _ in both))
-            out[2].append(math.fsum(s for _, s in both))
+                known.update((k[1:], v) for k, v in score_trie(sorted(MARK + w for w in new), pieces, ends).items())
+            for words in cut:
+                both = [known[w] for w in words]
+                out[0].append(len(words))
+                out[1].append(sum(c for c, _ in both))
+                out[2].append(math.fsum(s for _, s in both))
         yield pa.record_batch([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "n_words", "n_tokens", "score"])
 
 

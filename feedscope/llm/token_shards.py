@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import materialise, scratch_path
+from feedscope.llm.common import Memory, materialise, scratch_path
 
 END_ID = 1
 #: Fixed values of the zstandard seekable format: skippable frames of the table and of our index, its end.
@@ -52,22 +52,6 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Memory:
-    """Two generations of remembered values: when the young one is full, it becomes the old one."""
-
-    def __init__(self) -> None:
-        self.now, self.old = {}, {}  # plain dicts: sets compare with them by key
-
-    def lacks(self, keys: set[str]) -> list[str]:
-        """The keys that must be made; the others are in ``now`` afterwards."""
-        if len(self.now) + len(keys) > REMEMBERED:
-            self.now, self.old = {}, self.now
-        new = keys.difference(self.now)
-        back = [k for k in new if k in self.old]
-        self.now.update((k, self.old[k]) for k in back)
-        return list(new.difference(back))
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, where it allows word by word with a memory of words.
 
@@ -81,7 +65,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
-        self.tok, self.memory = _tokenizer(path), _Memory()
+        self.tok, self.memory = _tokenizer(path), Memory(REMEMBERED)
         spec = json.loads(self.tok.to_str())
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
