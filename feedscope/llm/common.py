@@ -30,6 +30,13 @@ class Memory:
         return list(new.difference(back))
 
 
+def slices(batches, rows: int = 512):
+    """Record batches cut into smaller ones, so that few rows are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import materialise, may_hold
+from feedscope.llm.common import materialise, may_hold, slices
 
 SHINGLE, SIMILARITY, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words, computed once; emptied when it has grown large."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -108,7 +108,7 @@ def least_matches(t: float, tolerance: float) -> dict[int, int]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         out: tuple[list, list, list] = ([], [], [])
         for text in b.column("text").to_pylist():
             sh = shingles(text)
@@ -141,7 +141,7 @@ def _shared_buckets(reps: DataFrame, block: int) -> DataFrame:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace texts by their sets, and give each member to every pair of blocks that its block is in."""
-    for b in batches:
+    for b in slices(batches):
         rows: list[list] = [[] for _ in _GROUP]
         grown = 0
         for rep, text, want, copies, places in zip(*(b.column(c).to_pylist() for c in ("rep", "text", "set_hash", "copies", "places")), strict=True):
@@ -175,7 +175,7 @@ def _linked(batches: Iterator[pa.RecordBatch], t: float, tolerance: float) -> It
     def rows() -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["rep", "n_linked", "low"])
 
-    for b in batches:
+    for b in slices(batches):
         cols = [b.column(f.name).to_pylist() for f in _GROUP]
         for row in zip(*cols, strict=True):
             if row[:3] != key:

@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import Memory, materialise, scratch_path
+from feedscope.llm.common import Memory, materialise, scratch_path, slices
 
 END_ID = 1
 #: Fixed values of the zstandard seekable format: skippable frames of the table and of our index, its end.
 SEEK_FRAME, INDEX_FRAME, MAGIC = 0x184D2A5E, 0x184D2A5D, b"\xb1\xea\x92\x8f"
 #: Compressed bytes and documents of a shard, and the distinct words that a worker remembers.
-SHARD_BYTES, SHARD_DOCS, REMEMBERED = 4_000_000, 20_000, 500_000
+SHARD_BYTES, SHARD_DOCS, REMEMBERED = 4_000_000, 20_000, 250_000
 _SKIP = struct.Struct("<II")
 _NULL = -(1 << 63)
 #: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the other
@@ -128,7 +128,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     task, number, held = TaskContext.get().partitionId(), 0, 0
     part: tuple[list, list, list, list] = ([], [], [], [])
     stop = struct.pack("<I", END_ID)
-    for b in batches:
+    for b in slices(batches):
         docs = b.column("doc_id").to_pylist()
         for doc, data in zip(docs, enc.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
             data += stop
