@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import Memory, materialise, scratch_path, slices
+from feedscope.llm.common import materialise, scratch_path, slices
 
 END_ID = 1
 #: Fixed values of the zstandard seekable format: skippable frames of the table and of our index, its end.
@@ -52,6 +52,26 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Remembered(dict):
+    """Ids by string, made when first asked for; in two generations, so that frequent strings stay."""
+
+    def __init__(self, make) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, w: str) -> bytes:
+        v = self.old.get(w)
+        if v is None:
+            v = self.make(w)
+        self[w] = v
+        return v
+
+    def turn(self) -> None:
+        """When the young generation is full, it becomes the old one."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, where it allows word by word with a memory of words.
 
@@ -65,7 +85,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
-        self.tok, self.memory = _tokenizer(path), Memory(REMEMBERED)
+        self.tok, self.memory = _tokenizer(path), _Remembered(self._stretch)
         spec = json.loads(self.tok.to_str())
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
@@ -81,34 +101,23 @@ class Encoder:
         plain = match.isascii() and match.isprintable()
         return array("I", [t.id for t in self.tok.model.tokenize(match if plain else match.encode().decode("latin-1").translate(BYTES))]).tobytes()
 
-    def _learn(self, found: set[str]) -> None:
-        """Ids of new stretches; one of letters alone is a match itself, and others share matches."""
-        new, known, ids = self.memory.lacks(found), self.memory.now, self._ids
-        for w in new:
-            if w.isalpha():
-                known[w] = ids(w)
-            else:
-                parts = []
-                for m in self.pattern.findall(w):
-                    if m not in known:
-                        known[m] = ids(m)
-                    parts.append(known[m])
-                known[w] = b"".join(parts)
+    def _stretch(self, w: str) -> bytes:
+        """Ids of what stands between white space; of letters alone it is a match itself, and others share matches."""
+        if w.isalpha():
+            return self._ids(w)
+        parts, known = [], self.memory
+        for m in self.pattern.findall(w):
+            parts.append(known[m] if m != w else self._ids(m))
+        return b"".join(parts)
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        at = size = 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size > 2_000_000 or k + 1 == len(texts):
-                yield from self._encode(texts[at : k + 1])
-                at, size = k + 1, 0
-
-    def _encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        cut = [None if self.pattern is None or "<|" in t or not self.plain.fullmatch(t) else t.lower().split() for t in texts]
-        self._learn(set().union(*(c for c in cut if c)))
-        get = self.memory.now.__getitem__
-        for text, c in zip(texts, cut, strict=True):
-            yield self._whole(text) if c is None else b"".join(map(get, c))
+        get = self.memory.__getitem__
+        for text in texts:
+            if self.pattern is None or "<|" in text or not self.plain.fullmatch(text):
+                yield self._whole(text)
+            else:
+                yield b"".join(map(get, text.lower().split()))
+                self.memory.turn()
 
 
 _encoders: dict[str, Encoder] = {}
