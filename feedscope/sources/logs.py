@@ -13,7 +13,7 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
 
     Defaults: rss, primary, vendor "-", in scope; both spellings of in_scope count.
     """
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     listed = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<struct<{_struct()}>>"))
     under = F.from_json("value", f"struct<feeds:array<struct<{_struct()}>>,sources:array<struct<{_struct()}>>>")
     one = rows.select(F.explode(F.coalesce(listed, under["feeds"], under["sources"])).alias("s")).select("s.*")
@@ -57,7 +57,7 @@ def read_items_xml(spark: SparkSession, path: str, limit: int = 30) -> DataFrame
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with flat front matter: title, kind, format, topics, body; files without a title are dropped."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     head, body = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1), F.regexp_replace("value", r"(?s)^---\n.*?\n---\n?", "")
     field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}:[ \t]*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
     topics = F.filter(F.transform(F.split(F.regexp_replace(field("topics"), r"[\[\]\"']", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
