@@ -49,7 +49,7 @@ def rolling(log: DataFrame, as_of: Column, caps: dict[str, int], total: int, a_d
     for name, n in caps.items():
         cap = F.when(F.col("section") == name, n).otherwise(cap)
     left = F.greatest(F.lit(0), F.least(cap - F.col("used"), F.lit(total) - F.col("used_all"), F.lit(a_day) - F.col("used_day")))
-    return by.crossJoin(F.broadcast(every)).select("section", "used", "used_all", "used_day", left.cast("long").alias("remaining"))
+    return by.withColumn("one", F.lit(1)).join(F.broadcast(every.withColumn("one", F.lit(1))), "one").select("section", "used", "used_all", "used_day", left.cast("long").alias("remaining"))
 
 
 def rating_report(ratings: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def costs(calls: DataFrame, prices: DataFrame, default_in: int = 4000, default_o
 
     Missing usage counts as the defaults; an unknown model costs what the dearest by output price does.
     """
-    dearest = prices.agg(F.max_by(F.struct("usd_in", "usd_out"), F.struct("usd_out", "usd_in")).alias("d"))
-    known = calls.join(F.broadcast(prices), "model", "left").crossJoin(F.broadcast(dearest))
+    dearest = prices.agg(F.max_by(F.struct("usd_in", "usd_out"), F.struct("usd_out", "usd_in")).alias("d")).withColumn("one", F.lit(1))
+    known = calls.join(F.broadcast(prices), "model", "left").withColumn("one", F.lit(1)).join(F.broadcast(dearest), "one")
     each = F.coalesce("tokens_in", F.lit(default_in)) * F.coalesce("usd_in", "d.usd_in") + F.coalesce("tokens_out", F.lit(default_out)) * F.coalesce("usd_out", "d.usd_out")
     return known.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), (F.sum(each) / 1e6).alias("usd"), F.count_if(F.col("tokens_in").isNull()).alias("estimated"))

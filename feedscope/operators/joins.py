@@ -21,8 +21,11 @@ def near_titles(items: DataFrame, posts: DataFrame, days: int = 7) -> DataFrame:
     """
     a = items.select("id", "published", title_tokens(F.col("title")).alias("ta")).withColumn("na", F.size("ta"))
     b = posts.select(F.col("id").alias("post_id"), F.col("published").alias("posted"), title_tokens(F.col("title")).alias("tb")).withColumn("nb", F.size("tb"))
-    met = a.select("id", "published", "na", F.explode("ta").alias("t")).join(b.select("post_id", "posted", "nb", F.explode("tb").alias("t")), "t")
-    # equality on the day's number keeps a token's pairs to a window of days
+    # posts of the days before an item lie in its own stretch of days + 1 days or the one before
+    stretch = lambda c: F.floor(F.unix_date(c) / (days + 1))
+    a = a.select("id", "published", "na", "ta", F.explode(F.array(stretch("published"), stretch("published") - 1)).alias("d"))
+    b = b.select("post_id", "posted", "nb", stretch("posted").alias("d"), F.explode("tb").alias("t"))
+    met = a.select("id", "published", "na", "d", F.explode("ta").alias("t")).join(b, ["t", "d"])
     met = met.where((F.col("id") != F.col("post_id")) & (F.col("posted") <= F.col("published")) & (F.datediff("published", "posted") <= days))
     pairs = met.groupBy("id", "post_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
     pairs = pairs.withColumn("containment", F.col("shared") / F.least("na", "nb"))
@@ -64,10 +67,13 @@ def coverage_decision(candidates: DataFrame, covered: DataFrame, material: list[
 def related(posts: DataFrame, most: int = 3) -> DataFrame:
     """Posts that share a topic: those of another kind first, then the same kind, then recency; ``most`` each.
 
-    posts has id, kind, topics, published.
+    posts has id, kind, topics, published. Whoever is among a post's best is among the best of its topic and kind,
+    so posts meet only the newest ``most`` + 1 of each topic and kind, not all that share a topic.
     """
     one = posts.select("id", "kind", F.explode("topics").alias("t"))
     two = posts.select(F.col("id").alias("other"), F.col("kind").alias("k2"), F.col("published").alias("p2"), F.explode("topics").alias("t"))
+    newest = F.row_number().over(Window.partitionBy("t", "k2").orderBy(F.desc("p2"), "other"))
+    two = two.withColumn("k", newest).where(F.col("k") <= most + 1).drop("k")
     met = one.join(two, "t").where("id <> other").groupBy("id", "other", "p2").agg(F.min(F.when(F.col("kind") != F.col("k2"), 1).otherwise(2)).alias("priority"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("priority", F.desc("p2"), "other"))
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "other", "priority", F.col("rank").cast("long").alias("rank"))

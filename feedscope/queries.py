@@ -135,7 +135,7 @@ def gate_statistics(spark, d):
 @query(f"WITH {_SCORED} SELECT bucket, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM scored WHERE reason IS NULL) AS share FROM scored WHERE reason IS NULL GROUP BY bucket")
 def discovery_mix(spark, d):
     by = scored(spark, d).where("reason IS NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("all")))).select("bucket", "n", (F.col("n") / F.col("all")).alias("share"))
+    return by.select("bucket", "n", (F.col("n") / F.sum("n").over(windows.Window.partitionBy())).alias("share"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
