@@ -47,3 +47,33 @@ def costs(calls: DataFrame, prices: DataFrame, default_in: int = 4000, default_o
     known = calls.join(F.broadcast(prices), "model", "left").withColumn("one", F.lit(1)).join(F.broadcast(dearest), "one")
     each = F.coalesce("tokens_in", F.lit(default_in)) * F.coalesce("usd_in", "d.usd_in") + F.coalesce("tokens_out", F.lit(default_out)) * F.coalesce("usd_out", "d.usd_out")
     return known.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), (F.sum(each) / 1e6).alias("usd"), F.count_if(F.col("tokens_in").isNull()).alias("estimated"))
+
+
+def replay(log: DataFrame, cursor: DataFrame, reasons: Sequence[str], since: Column) -> DataFrame:
+    """(item, reason, at, state): the last logged row of each item that was dropped for one of the reasons since then.
+
+    state is in_cursor or absent; log has item, reason, at, seq, cursor item. Rows without an item come apart, as no_id.
+    """
+    kept = log.where(F.col("reason").isin(*reasons) & (F.col("at") >= since))
+    last = kept.where("item IS NOT NULL").groupBy("item").agg(F.max_by(F.struct("reason", "at"), F.struct("at", "seq")).alias("l")).select("item", "l.*")
+    known = cursor.select("item", F.lit("in_cursor").alias("state")).distinct()
+    found = last.join(known, "item", "left").withColumn("state", F.coalesce("state", F.lit("absent")))
+    return found.unionByName(kept.where("item IS NULL").select("item", "reason", "at", F.lit("no_id").alias("state")))
+
+
+def requests(replies: DataFrame, cached: DataFrame, placeholders: Sequence[str] = ("none", "-", "")) -> DataFrame:
+    """(message, item, kind, instruction): a reply to a cached message asks for its item, any other one stands alone.
+
+    replies has message, reply_to, text, cached message, item; placeholder texts are no instruction.
+    """
+    known = cached.select(F.col("message").alias("reply_to"), "item")
+    text = F.trim("text")
+    said = F.when(~F.lower(F.coalesce(text, F.lit(""))).isin(*placeholders), text)
+    return replies.join(known, "reply_to", "left").select("message", "item", F.when(F.col("item").isNull(), "standalone").otherwise("item").alias("kind"), said.alias("instruction"))
+
+
+def post_facts(ledger: DataFrame, posts: DataFrame, fields: Sequence[str], hot: float = 85.0) -> DataFrame:
+    """Ledger rows with the post's fields before the ledger's; both have slug and the fields, relevance among them."""
+    p = posts.select("slug", *[F.col(c).alias(f"post_{c}") for c in fields])
+    both = ledger.join(p, "slug", "left").select("slug", *[F.coalesce(f"post_{c}", c).alias(c) for c in fields])
+    return both.withColumn("hot", F.coalesce(F.col("relevance") >= hot, F.lit(False)))

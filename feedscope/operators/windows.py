@@ -90,3 +90,26 @@ def unique_slugs(df: DataFrame, base: str, order: str) -> DataFrame:
     """base, base-2, base-3 ... in order."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(order))
     return df.withColumn("slug", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+
+
+def budgeted(ranked: DataFrame, usage: DataFrame, limits: Sequence[str], attempts: int = 8) -> DataFrame:
+    """(section, id, outcome, reason): a section's rows are tried by score until a limit refuses one or the attempts end.
+
+    ranked has section, id, score, ok, usage section and what is left by each limit, in the order they are asked (null:
+    no limit). A row that isn't ok fails and uses up an attempt, not the budget. The rest is queued with the reason
+    of the stop. Only the rows that can be tried are walked.
+    """
+    before = F.coalesce(F.sum(F.col("ok").cast("int")).over(Window.partitionBy("section").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = top(ranked, ["section"], [F.desc("score"), "id"], attempts).withColumn("before", before).join(usage, "section", "left")
+    head = head.withColumn("refusal", F.coalesce(*[F.when(F.col("before") >= F.col(c), F.lit(c)) for c in limits]))
+    stop = head.where("refusal IS NOT NULL").groupBy("section").agg(F.min_by("refusal", "rank").alias("stop"))
+    tried = head.where("refusal IS NULL").select("section", "id", F.when(F.col("ok"), "published").otherwise("failed").alias("outcome"))
+    out = ranked.select("section", "id").join(tried, ["section", "id"], "left").join(stop, "section", "left")
+    return out.select("section", "id", F.coalesce("outcome", F.lit("queued")).alias("outcome"), F.when(F.col("outcome").isNull(), F.coalesce("stop", F.lit("attempts"))).alias("reason"))
+
+
+def matched_and_sampled(df: DataFrame, matched: Column, score: str, key: str, k: int, n: int, seed: str) -> DataFrame:
+    """The best k matched rows, and n others by the hash of key and seed."""
+    best = df.where(matched).orderBy(F.desc(score), key).limit(k).withColumn("part", F.lit("matched"))
+    drawn = df.where(~F.coalesce(matched, F.lit(False))).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+    return best.unionByName(drawn.withColumn("part", F.lit("sampled")))

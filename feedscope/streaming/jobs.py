@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from feedscope.operators.aggs import topic_signal
 
@@ -21,6 +25,43 @@ def windowed_counts(stream: DataFrame, every: str = "1 day", length: str = "7 da
 feedback_signal = topic_signal
 
 
+def queue_expiry(stream: DataFrame, days: int = 7, late: str = "1 day") -> DataFrame:
+    """(key, queued_at, score, puts) of each queue entry when it has waited ``days``; key, at, score come in.
+
+    A put of a waiting key refreshes its score and keeps its place; one after the expiry starts a new entry. State is a
+    row for each waiting key, dropped by the watermark's timer.
+    """
+    ttl = days * 86_400_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, entry = [], state.getOption
+
+        def gone(e: tuple) -> tuple:
+            return (key[0], pd.Timestamp(e[0], unit="ms"), e[1], e[2])
+
+        if state.hasTimedOut:
+            out.append(gone(entry))
+            state.remove()
+        else:
+            rows = pd.concat(batches).sort_values(["at", "score"], kind="stable")
+            for at, score in zip(rows["at"].astype("datetime64[ns]").astype("int64") // 1_000_000, rows["score"], strict=True):
+                if entry is not None and at > entry[0] + ttl:
+                    out.append(gone(entry))
+                    entry = None
+                entry = (int(at), float(score), 1) if entry is None else (min(entry[0], int(at)), float(score), entry[2] + 1)
+            if entry[0] + ttl <= state.getCurrentWatermarkMs():
+                out.append(gone(entry))
+                state.remove()
+            else:
+                state.update(entry)
+                state.setTimeoutTimestamp(entry[0] + ttl)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "queued_at", "score", "puts"])
+
+    shape = "key long, queued_at timestamp, score double, puts long"
+    return stream.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, shape, "queued long, score double, puts long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Work off what is there and give the result as a table (written as Parquet; complete results in memory)."""
     spark = df.sparkSession
