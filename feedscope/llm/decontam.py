@@ -4,7 +4,8 @@
    document's shingle meets one of the benchmark: at the place where the item would begin, as long as the item.
 2. Each window gets a 64-bit SimHash of its words. Fingerprints and items meet by blocks: with radius r the
    bits fall into r + 1 blocks, and two fingerprints within r must agree in one of them, so every pair within the
-   radius is found. Pairs farther than the radius are dropped.
+   radius is found. Pairs farther than the radius are dropped. The radius follows the item's length (RADII): one
+   changed word moves more bits of a short item.
 3. What is left is verified exactly: the share of the item's shingle weight (letters in the shingle) that the
    window holds must reach the threshold.
 
@@ -16,12 +17,17 @@ either side gives an empty result; columns other than doc_id, text, item_id are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedscope.llm.common import let, materialise, may_hold, terms
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
+SHINGLE, SIMILARITY = 5, 0.8
+#: (least words of an item, radius), ascending; measured on random edits that keep the similarity.
+RADII = ((1, 17), (25, 13))
 #: The benchmark's shingles are broadcast up to so many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,8 +45,6 @@ def _weighted(ws: Column) -> Column:
     return F.array_distinct(one)
 
 
-
-
 def simhash(ws: Column) -> Column:
     """64-bit SimHash of a bag of words (an array column)."""
     hashed = F.transform(ws, lambda w: F.xxhash64(w))
@@ -66,7 +70,7 @@ def _block_keys(fp: Column, size: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), p, size) for k, p in enumerate(parts)])
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius: int = RADIUS, small: bool = True) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, radius: int, small: bool = True) -> DataFrame:
     """All (fp, n, item_id, hamming) of equal length with a Hamming distance of ``radius`` at most.
 
     left has fp, n; right has item_id, item_fp, n. Distinct fingerprints are searched once.
@@ -77,7 +81,7 @@ def within_radius(left: DataFrame, right: DataFrame, radius: int = RADIUS, small
     return met.where(F.col("hamming") <= radius).select("fp", "n", "item_id", "hamming").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radii: Sequence[tuple[int, int]] = RADII) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): items that stand in documents, at their best place."""
     items = benchmark.select("item_id", terms(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = items.select("item_id", F.size("ws").alias("n"), _shingles(F.col("ws")).alias("sh"), _weighted(F.col("ws")).alias("wsh"), simhash(F.col("ws")).alias("item_fp"))
@@ -97,7 +101,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = laid.select("doc_id", F.inline("at")).where(F.size("ws") > 0).select("doc_id", "start", "n", simhash(F.col("ws")).alias("fp"), _weighted(F.col("ws")).alias("have"))
     windows = materialise(windows, "windows")
 
-    near = within_radius(windows, items, radius, small)
+    ends = [least for least, _ in radii[1:]] + [1 << 31]
+    of = lambda df, least, end: df.where((F.col("n") >= least) & (F.col("n") < end))
+    near = reduce(DataFrame.union, [within_radius(of(windows, least, end), of(items, least, end), r, small) for (least, r), end in zip(radii, ends, strict=True)])
     pairs = windows.join(near, ["fp", "n"]).join(hint(items.select("item_id", "wsh")), "item_id")
     weight = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["w"])
     pairs = pairs.withColumn("similarity", weight(F.array_intersect("wsh", "have")) / weight(F.col("wsh")))
