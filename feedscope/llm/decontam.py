@@ -1,12 +1,12 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
+"""Benchmark decontamination: item-sized windows where shingles meet, SimHash distances, exact check.
 
 1. A window can be similar to an item only if they share a shingle of five words, so windows are laid where a
    document's shingle meets one of the benchmark: at the place where the item would begin, as long as the item.
-2. Each window gets a 64-bit SimHash of its words. Fingerprints and items meet by blocks: with radius r the
-   bits fall into r + 1 blocks, and two fingerprints within r must agree in one of them, so every pair within the
-   radius is found. Pairs farther than the radius are dropped. The radius follows the item's length (RADII): one
-   changed word moves more bits of a short item.
-3. What is left is verified exactly: the share of the item's shingle weight (letters in the shingle) that the
+2. Each window gets a 64-bit SimHash of its words, and is compared with the items whose shingles it met: all of
+   them, since a near copy whose last fifth is other text may differ in half of the bits. Where ``radii`` are given,
+   only pairs within them are compared, by a multi-index search: with radius r the bits fall into r + 1 blocks, and
+   two fingerprints within r must agree in one of them. That loses near copies and is not the default.
+3. The pairs are verified exactly: the share of the item's shingle weight (letters in the shingle) that the
    window holds must reach the threshold.
 
 Words are lower-case runs of letters and digits. Defined cases: null or wordless texts and items match nothing;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from feedscope.llm.common import let, materialise, may_hold, terms
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: (least words of an item, radius), ascending; measured on random edits that keep the similarity.
+#: (least words of an item, radius), ascending, for a search within radii; it loses near copies with a longer change.
 RADII = ((1, 17), (25, 13))
 #: The benchmark's shingles are broadcast up to so many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -81,18 +81,18 @@ def within_radius(left: DataFrame, right: DataFrame, radius: int, small: bool =
     return met.where(F.col("hamming") <= radius).select("fp", "n", "item_id", "hamming").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radii: Sequence[tuple[int, int]] = RADII) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radii: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): items that stand in documents, at their best place."""
     items = benchmark.select("item_id", terms(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = items.select("item_id", F.size("ws").alias("n"), _shingles(F.col("ws")).alias("sh"), _weighted(F.col("ws")).alias("wsh"), simhash(F.col("ws")).alias("item_fp"))
     items = materialise(items, "items")
-    seeds = items.select("n", F.posexplode("sh").alias("off", "shingle")).distinct()
+    seeds = items.select("item_id", "n", F.posexplode("sh").alias("off", "shingle")).distinct()
     small = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda x: x
 
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     met = texts.select("doc_id", F.posexplode(_shingles_of(F.col("text"))).alias("pos", "shingle")).join(hint(seeds), "shingle")
-    starts = materialise(met.select("doc_id", F.greatest(F.col("pos") - F.col("off"), F.lit(0)).alias("start"), "n").distinct(), "starts")
+    starts = materialise(met.select("doc_id", F.greatest(F.col("pos") - F.col("off"), F.lit(0)).alias("start"), "n", "item_id").distinct(), "starts")
 
     # texts of the few documents with a seed: a bounded bitmap first, so that the exact join shuffles few texts
     seeded = may_hold(texts, starts, "doc_id")
@@ -101,10 +101,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = laid.select("doc_id", F.inline("at")).where(F.size("ws") > 0).select("doc_id", "start", "n", simhash(F.col("ws")).alias("fp"), _weighted(F.col("ws")).alias("have"))
     windows = materialise(windows, "windows")
 
-    ends = [least for least, _ in radii[1:]] + [1 << 31]
-    of = lambda df, least, end: df.where((F.col("n") >= least) & (F.col("n") < end))
-    near = reduce(DataFrame.union, [within_radius(of(windows, least, end), of(items, least, end), r, small) for (least, r), end in zip(radii, ends, strict=True)])
-    pairs = windows.join(near, ["fp", "n"]).join(hint(items.select("item_id", "wsh")), "item_id")
+    if radii is None:
+        pairs = windows.join(starts, ["doc_id", "start", "n"]).join(hint(items.select("item_id", "item_fp", "wsh")), "item_id")
+        pairs = pairs.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    else:
+        ends = [least for least, _ in radii[1:]] + [1 << 31]
+        of = lambda df, least, end: df.where((F.col("n") >= least) & (F.col("n") < end))
+        near = reduce(DataFrame.union, [within_radius(of(windows, least, end), of(items, least, end), r, small) for (least, r), end in zip(radii, ends, strict=True)])
+        pairs = windows.join(near, ["fp", "n"]).join(hint(items.select("item_id", "wsh")), "item_id")
     weight = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["w"])
     pairs = pairs.withColumn("similarity", weight(F.array_intersect("wsh", "have")) / weight(F.col("wsh")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h"), "n")).alias("b")

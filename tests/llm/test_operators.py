@@ -191,6 +191,26 @@ def test_decontamination_of_short_items(spark, sf):
     assert got <= set(want) and len(want) > 100 and len(got) >= 0.99 * len(want)
 
 
+def test_decontamination_of_replaced_stretches(spark, sf):
+    """Items of 15 to 120 words whose tail, head or an inner stretch is other text, up to the threshold."""
+    random.seed(12)
+    vocab = sorted({w for r in read(sf, "benchmark") for w in norm(r["text"])})
+    items, docs = [], []
+    for k in range(240):
+        n = (15, 28, 40, 57, 80, 120)[k % 6]
+        w = random.choices(vocab, k=n)
+        items.append((k, " ".join(w)))
+        m = (n - 4) // 5
+        at = (n - m, 0, random.randrange(n - m), n - m)[k // 6 % 4]
+        w[at : at + m] = random.choices(vocab, k=m)
+        docs.append((k, " ".join([*random.choices(vocab, k=9), *w, *random.choices(vocab, k=9)])))
+    want = brute_contaminated(docs, items)
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    assert len(want) > 100 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (4, "one two three four")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()} == {(4, 1), (5, 1), (4, 4), (5, 4)}
