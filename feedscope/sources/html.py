@@ -64,8 +64,8 @@ def heading_date(text: str) -> str:
         return ""
 
 
-def items_of(url: str, html: str, limit: int = 30) -> list[tuple[str, str, str, str]]:
-    """(id, text, published, link): a page with a dated heading is a changelog, of any other the headings are items."""
+def items_of(url: str, html: str, limit: int | None = None) -> list[tuple[str, str, str, str]]:
+    """(id, text, published, link): a page with a dated heading is a changelog, of any other the headings are items; the first ``limit``, or all."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
@@ -82,7 +82,7 @@ def items_of(url: str, html: str, limit: int = 30) -> list[tuple[str, str, str,
     return found[:limit]
 
 
-def page_items(pages: DataFrame, limit: int = 30) -> DataFrame:
+def page_items(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """page_id, url, id, text, published ("" if undated), link, pos."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +95,13 @@ def page_items(pages: DataFrame, limit: int = 30) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(rows, _ITEM)
 
 
-def page_text(pages: DataFrame, most: int = 20_000) -> DataFrame:
-    """page_id and the article text: skipped parts and tags removed, common entities resolved, single spaces."""
+def page_text(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id and the article text: skipped parts and tags removed, common entities resolved, single spaces; its first ``most`` characters, or all."""
     x = F.coalesce(F.col("html"), F.lit(""))
     x = F.regexp_replace(x, r"(?is)<(script|style|nav|header|footer|aside|form)\b.*?</\1\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
-    text = F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, most)
+    text = F.trim(F.regexp_replace(x, r"\s+", " "))
+    text = text if most is None else F.substring(text, 1, most)
     return pages.select("page_id", text.alias("text"), (F.length(text) >= 200).alias("usable"))

@@ -91,6 +91,14 @@ def test_page_text(spark):
     assert {r.page_id: r.text for r in html.page_text(df).collect()} == {1: "a & b c", 2: ""}
 
 
+def test_long_pages_are_read_whole(spark):
+    index = "".join(f"<h2>Headline number {k}</h2>" for k in range(75))
+    df = spark.createDataFrame([(1, "u", index), (2, "u", "<p>" + "word " * 9000 + "</p>")], "page_id long, url string, html string")
+    assert [r.pos for r in html.page_items(df).orderBy("pos").collect()] == list(range(75)) and html.page_items(df, 30).count() == 30
+    assert {r.page_id: len(r.text) for r in html.page_text(df).collect()}[2] == 9000 * 5 - 1
+    assert max(len(r.text) for r in html.page_text(df, 500).collect()) == 500
+
+
 def fold(batch, store):
     """The upsert as a loop."""
     held, ids, out = {}, {i for _, i, _, _, _ in store}, []
