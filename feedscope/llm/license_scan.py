@@ -2,7 +2,8 @@
 
 A notice found with at most k edits holds one of k + 1 pieces of it unchanged (pigeonhole), so an automaton
 over all pieces finds the seeds; around each seed, where the whole notice would lie, the regex library searches
-the notice with bounded errors, and what it finds gives edits and span. Every seed is looked at.
+the notice with bounded errors, and what it finds gives edits and span. Every seed is looked at in a window of its
+own, so that a copy with more edits isn't passed over for a better one beside it.
 
 Beside the fuzzy notices, base phrases count where their words stand one after another.
 
@@ -13,8 +14,10 @@ scanned one by one; an empty table gives an empty result; columns other than doc
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -81,27 +84,43 @@ def _patterns() -> list:
 
 def fuzzy(bare: str) -> list[tuple[int, int, int, int]]:
     """(notice, edits, start, stop) of notices in a text of words with single blanks."""
-    spans: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for end, (n, where) in _automaton().iter(bare):
         for i, off in where:
             k = allowed(NOTICES[i][0])
             start = end + 1 - n - off
-            lo, hi = max(0, start - k), min(len(bare), start + len(NOTICES[i][0]) + k)
-            runs = spans.setdefault(i, [])
-            runs.append([lo, hi])
+            windows.setdefault(i, set()).add((max(0, start - k), min(len(bare), start + len(NOTICES[i][0]) + k)))
     found = []
-    for i, runs in spans.items():
-        joined: list[list[int]] = []
-        for lo, hi in sorted(runs):  # overlapping windows are searched as one
-            if joined and lo <= joined[-1][1]:
-                joined[-1][1] = max(hi, joined[-1][1])
-            else:
-                joined.append([lo, hi])
-        for lo, hi in joined:
-            found += [(i, sum(m.fuzzy_counts), m.start(), m.end()) for m in _patterns()[i].finditer(bare, lo, hi)]
+    for i, own in windows.items():
+        found += [(i, *m) for m in _apart(i, bare, own)]
     return found
 
 
+def _apart(i: int, bare: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(edits, start, stop) of a notice's finds in the windows, in order: of overlapping finds the one with the fewest
+    edits, and what is left of the other's window is searched again."""
+    least = len(NOTICES[i][0]) - allowed(NOTICES[i][0])
+    queue: list[tuple[int, int, int, int, int]] = []
+
+    def search(lo: int, hi: int) -> None:
+        if hi - lo >= least and (m := _patterns()[i].search(bare, lo, hi)):
+            heappush(queue, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+    for lo, hi in sorted(windows):
+        search(lo, hi)
+    kept: list[tuple[int, int, int]] = []  # (start, stop, edits), apart and in order
+    while queue:
+        edits, start, stop, lo, hi = heappop(queue)
+        at = bisect_right(kept, (start,))
+        near = [k for k in kept[max(0, at - 1) : at + 2] if k[0] < stop and k[1] > start]
+        if not near:
+            insort(kept, (start, stop, edits))
+            continue
+        for a, b in zip([lo, *(k[1] for k in near)], [*(k[0] for k in near), hi], strict=True):
+            search(a, b)
+    return [(edits, start, stop) for start, stop, edits in kept]
+
+
 #: The phrases' words: a text with none of the last words has no phrase.
 _PHRASES = [(regex.compile(rb"(?<![0-9a-z\x80-\xff])" + rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+".join(regex.escape(w).encode() for w in phrase.split()) + rb"(?![0-9a-z\x80-\xff])"), label) for phrase, label in BASE]
 

@@ -455,6 +455,25 @@ def test_license_scan(spark, sf, odd, none):
     assert license_scan.license_digest(odd).count() == len(ODD) and license_scan.license_digest(none).count() == 0
 
 
+def test_license_scan_of_adjacent_copies():
+    """Copies side by side, with different edits: each is found, and with its own edits."""
+    assert [n["edits"] for n in license_scan.scan("All rights reservd. All rights reserved.")[5]] == [1, 0]
+    random.seed(10)
+    for i, (notice, label) in enumerate(license_scan.NOTICES):
+        for _ in range(6):
+            ks = random.choices(range(license_scan.allowed(notice) + 1), k=random.randint(2, 5))
+            copies = []
+            for k in ks:
+                c = list(notice)
+                for at in random.sample([x for x in range(3, len(c) - 3) if c[x] != " "], k):
+                    c[at] = "q"
+                copies.append("".join(c))
+            got = [n for n in license_scan.scan(" ".join(copies))[5] if n["notice"] == i]
+            assert [n["edits"] for n in got] == ks, copies
+            assert [n["first_word"] for n in got] == [len(notice.split()) * k for k in range(len(ks))]
+    assert len(license_scan.scan("all rights reserved " * 5000)[5]) == 5000
+
+
 # 10
 
 
