@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: Labelled rows and landmarks of a language; n-grams kept of a sample row; bins of the n-gram hash.
 SAMPLE, LANDMARKS, MOST_GRAMS, BINS = 400, 40, 20_000, 1 << 18
 RIDGE = 1e-2
+#: A text in a known language has this part of the share of known n-grams that all but a few sample rows have.
+KNOWN_SLACK, KNOWN_QUANTILE = 0.9, 0.05
 NGRAMS = (1, 2, 3)
 
 
@@ -70,6 +72,11 @@ class Model:
         self.marks = np.zeros((len(landmarks), len(bins)), np.float32)
         for row, g in zip(self.marks, landmarks, strict=True):
             row[self.column[g]] = 1 / np.sqrt(len(g))
+        self.least_known = 0.0
+
+    def known(self, g: np.ndarray) -> float:
+        """The share of a set's n-grams that a landmark holds."""
+        return float((self.column[g] >= 0).mean()) if len(g) else 0.0
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
         """Normalised kernel values of n-gram sets with the landmarks."""
@@ -100,6 +107,10 @@ def train(langs: list[str], sets: list[np.ndarray]) -> Model:
     share = np.array([1 / langs.count(x) for x in langs])[:, None]  # languages count alike
     a = phi.T @ (phi * share) + RIDGE / len(phi) * np.eye(phi.shape[1])
     model.coef = (root @ np.linalg.solve(a, phi.T @ (y * share))).astype(np.float32)
+    held = (model.marks > 0).sum(axis=0)  # a landmark's own n-grams count where another one holds them too
+    own = {id(g) for f in firsts for g in f}
+    shares = [float((held[model.column[g]] > 1).mean()) if id(g) in own else model.known(g) for g in sets]
+    model.least_known = KNOWN_SLACK * float(np.quantile(shares, KNOWN_QUANTILE))
     return model
 
 
@@ -125,19 +136,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return train([x for x, _ in pairs], [g for _, g in pairs])
 
 
+def _judged(texts: pa.Array, model: Model) -> Iterator[tuple[str, float, float]]:
+    """Language, score and share of known n-grams of each text."""
+    for at in range(0, len(texts), 256):
+        sets = [grams(t.as_py()) for t in texts[at : at + 256]]
+        if not model.langs:
+            sets = [s[:0] for s in sets]
+        values = model.scores(sets) if model.langs else np.zeros((len(sets), 1), np.float32)
+        for s, v in zip(sets, values, strict=True):
+            k = int(v.argmax())
+            yield (model.langs[k], float(min(1.0, max(0.0, (v[k] + 1) / 2))), model.known(s)) if len(s) else ("und", 0.0, 0.0)
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, pred, score = b.column("text"), [], []
-        for at in range(0, len(texts), 256):
-            sets = [grams(t.as_py()) for t in texts[at : at + 256]]
-            if not model.langs:
-                sets = [s[:0] for s in sets]
-            values = model.scores(sets) if model.langs else np.zeros((len(sets), 1), np.float32)
-            for s, v in zip(sets, values, strict=True):
-                k = int(v.argmax())
-                pred.append(model.langs[k] if len(s) else "und")
-                score.append(float(min(1.0, max(0.0, (v[k] + 1) / 2))) if len(s) else 0.0)
-        yield pa.record_batch([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        rows = list(_judged(b.column("text"), model))
+        yield pa.record_batch([b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [lang != "und" and score >= least and known >= model.least_known for lang, score, known in _judged(b.column("text"), model)]
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -157,6 +177,10 @@ LEAST_SCORE = 0.3
 
 
 def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents with a language: not ``und``, with a score of ``least`` or more; all their columns."""
-    bad = predict_languages(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__doc"), "left_anti")
+    """The documents with a language, row by row: not ``und``, with a score of ``least`` or more; all their columns.
+
+    A text that shares nothing with the landmarks scores near 0.5, so the score alone rejects few: the share of
+    its n-grams that landmarks hold must also come near that of the sample's rows (KNOWN_SLACK).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    return docs.mapInArrow(lambda it: _kept(it, shared.value, least), docs.schema)

@@ -418,6 +418,21 @@ def test_kernel_by_brute_force():
     assert model.kernel([language_id.grams(a)])[0, 0] == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5, abs=0.02)
 
 
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(14)
+    scripts = {"han": range(0x4E00, 0x9000), "cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "consonants": map(ord, "bcdfghjklmnpqrstvwxz"), "letters": range(97, 123)}
+    strange = []
+    for name, codes in scripts.items():
+        abc = [chr(c) for c in codes]
+        strange += [(-1 - len(strange) - k, " ".join("".join(rng.choices(abc, k=rng.randint(2, 9))) for _ in range(n)), None) for k, n in enumerate((5, 20, 200, 3000) * 5)]
+    strange = [(-1 - k, t, None) for k, (_, t, _) in enumerate(strange)]
+    kept = {r.doc_id for r in language_id.in_known_language(docs.union(spark.createDataFrame(strange, docs.schema))).select("doc_id").collect()}
+    assert not [d for d in kept if d < 0]
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(kept) >= 0.99 * len(lettered)
+
+
 # 9
 
 
