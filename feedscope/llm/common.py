@@ -64,6 +64,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``__row``: written once, so that it is the same whenever they are read."""
+    return materialise(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]

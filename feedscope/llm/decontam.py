@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import let, materialise, may_hold, terms
+from feedscope.llm.common import keyed, let, materialise, may_hold, terms
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: (least words of an item, radius), ascending, for a search within radii; it loses near copies with a longer change.
@@ -121,6 +121,7 @@ def _shingles_of(text: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    hit = contaminated(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """The rows that hold no benchmark item, each judged by its own text, whatever its doc_id."""
+    rows = keyed(docs)
+    hit = contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(hit, "__row", "left_anti").select(*docs.columns)

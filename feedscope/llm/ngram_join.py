@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import materialise, may_hold, slices
+from feedscope.llm.common import keyed, materialise, may_hold, slices
 
 SHINGLE, SIMILARITY, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
@@ -300,6 +300,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, tolerance
 
 
 def distinct_documents(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group of similar ones: the one with the smallest doc_id; all its own columns."""
-    later = similar_documents(docs, **how).where("class_id <> doc_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("__doc"), "left_anti")
+    """One row of each group of similar ones: one with the smallest doc_id, null being the largest; all its own columns.
+
+    Rows are compared, not ids: copies under one doc_id or without one are copies like others.
+    """
+    rows = keyed(docs)
+    found = similar_documents(rows.select(F.col("__row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).getField("__row")
+    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("class_id").agg(first.alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import WORD, materialise
+from feedscope.llm.common import WORD, keyed, materialise
 
 #: Sources by code point weigh so, repeating; the mix takes so much of all sizes; a source at most so often.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -58,10 +58,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return found.select("skey", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * line).alias("target"))
 
 
-def allot(docs: DataFrame, buckets: int = BUCKETS, **weighing) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target and ``copies``."""
+def allot(docs: DataFrame, buckets: int = BUCKETS, carry: Sequence[str] = (), **weighing) -> DataFrame:
+    """One row for each row: doc_id, size, source_size, target and ``copies``, and the columns to carry."""
     n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = materialise(docs.select("doc_id", source_key(F.col("source")).alias("skey"), n.alias("size")), "sizes")
+    sizes = materialise(docs.select(*carry, "doc_id", source_key(F.col("source")).alias("skey"), n.alias("size")), "sizes")
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = (
         sizes.withColumn("e", F.length(F.bin("size")))
@@ -78,7 +78,7 @@ def allot(docs: DataFrame, buckets: int = BUCKETS, **weighing) -> DataFrame:
     out = ranked.join(strata.join(goal, "skey"), stratum)
     out = out.withColumn("x", expected).withColumn("at", F.col("before") + F.col("rank")).withColumn("u", fraction(F.col("skey")))
     copies = F.floor(F.col("at") * F.col("x") + F.col("u")) - F.floor((F.col("at") - 1) * F.col("x") + F.col("u"))
-    return out.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return out.select(*carry, "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -86,9 +86,10 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents as the mix takes them: each as often as it is copied, with its own columns."""
-    copies = allot(docs, **how).groupBy("doc_id").agg(F.min("copies").alias("__copies"))
-    taken = docs.join(copies.where("__copies > 0"), "doc_id")
+    """The rows as the mix takes them: each as often as it is copied itself, with its own columns."""
+    rows = keyed(docs)
+    copies = allot(rows, carry=["__row"], **how).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    taken = rows.join(copies, "__row")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 

@@ -580,6 +580,31 @@ def test_components(spark):
 # the pipeline
 
 
+def test_stages_go_by_rows(spark):
+    """Null and repeated ids: each row is taken, kept or dropped by its own text."""
+    random.seed(15)
+    text = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    rows = [(i, text(30 + k % 7), "en", "ab"[k % 2]) for k, i in enumerate([None] * 40 + [7] * 40 + list(range(100, 140)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = Counter(source_mix.allot(df).select("doc_id", "size", "copies").collect())
+    want = Counter()
+    for (d, n, c), k in sizes.items():
+        want[d, n] += c * k
+    assert Counter((r.doc_id, len(r.text.split())) for r in source_mix.mix(df).collect()) == +want
+    assert sum(v for (d, _), v in want.items() if d is None) > 0
+
+    item, other = text(20), [text(25) for _ in range(4)]
+    dirty = [(None, other[0]), (None, f"{other[1]} {item}"), (3, other[2]), (3, f"{other[3]} {item}"), (4, item)]
+    got = decontam.clean(spark.createDataFrame(dirty, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.text) for r in got.collect()} == {dirty[0], dirty[2]}
+
+    copies = [(5, other[0])] * 3 + [(5, other[1]), (None, other[1]), (None, other[2]), (None, other[2]), (2, other[3]), (1, other[3] + "!"), (6, None), (6, None)]
+    got = ngram_join.distinct_documents(spark.createDataFrame(copies, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, other[0]), (5, other[1]), (None, other[2]), (1, other[3] + "!"), (6, None), (6, None)], key=str)
+    strange = spark.createDataFrame(rows + [(None, "汉字 漢語", None, "a"), (100, "...", None, "a")], SCHEMA)
+    assert {tuple(r) for r in language_id.in_known_language(strange).collect()} <= set(rows)
+
+
 def test_pipeline_by_stages(spark, sf):
     import corpus_pipeline
 
