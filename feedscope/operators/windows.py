@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -49,22 +51,42 @@ def upsert(batch: DataFrame, store: DataFrame, identity: Sequence[str], toleranc
     """What a batch does to the store: id, action (new, superseding, unchanged) and what it supersedes.
 
     The readings of an identity are folded in batch order, carrying the reading that holds: a value within the
-    tolerance of it changes nothing, another one is accepted and supersedes it.
+    tolerance of it changes nothing, another one is accepted and supersedes it; an id that was accepted before
+    changes nothing either. The fold runs over sorted rows: only the reading that holds is kept, and the accepted ids
+    of those that an identity's readings repeat.
     """
-    held = current(store, identity).select(*identity, F.col("id").alias("held"), F.col("value").alias("held_value"))
+    held = current(store, identity).select(*identity, F.col("id").cast("string").alias("__held"), F.col("value").cast("double").alias("__held_value"))
     known = store.select(F.col("id").alias("known")).distinct()
-    batch = batch.join(known, F.col("id") == F.col("known"), "left").withColumn("again", F.col("known").isNotNull()).drop("known")
-    runs = batch.groupBy(*identity).agg(F.array_sort(F.collect_list(F.struct("seq", "id", "value", "again"))).alias("run")).join(held, list(identity), "left")
-    none = F.array().cast("array<struct<id:string,action:string,supersedes:string>>")
-    start = F.struct(F.col("held").cast("string").alias("cur"), F.col("held_value").cast("double").alias("val"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = x["again"] | (acc["cur"].isNotNull() & (F.abs(x["value"] - acc["val"]) < tolerance)) | F.exists(acc["out"], lambda o: (o["id"] == x["id"].cast("string")) & (o["action"] != "unchanged"))
-        action = F.when(same, "unchanged").when(acc["cur"].isNull(), "new").otherwise("superseding")
-        row = F.struct(x["id"].cast("string").alias("id"), action.alias("action"), F.when(same, F.lit(None).cast("string")).otherwise(acc["cur"]).alias("supersedes"))
-        return F.struct(F.when(same, acc["cur"]).otherwise(x["id"].cast("string")).alias("cur"), F.when(same, acc["val"]).otherwise(x["value"].cast("double")).alias("val"), F.array_append(acc["out"], row).alias("out"))
-
-    return runs.select(*identity, F.inline(F.aggregate("run", start, step, lambda acc: acc["out"])))
+    batch = batch.join(known, F.col("id") == F.col("known"), "left").withColumn("__again", F.col("known").isNotNull())
+    repeated = batch.groupBy(*identity, "id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(identity)], F.col("id").alias("__id"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(identity)]
+    rows = batch.join(repeated, [*same, F.col("id") == F.col("__id")], "left").select(*identity, "seq", F.col("id").cast("string").alias("id"), F.col("value").cast("double").alias("value"), "__again", F.col("__id").isNotNull().alias("__repeated"))
+    rows = rows.join(held, list(identity), "left").repartition(*identity).sortWithinPartitions(*identity, "seq", "id", "value")
+    keys = list(identity)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cur, val, accepted = None, None, None, set()
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in (*keys, "id", "value", "__again", "__repeated", "__held", "__held_value")]
+            actions, before = [], []
+            for *key, i, v, again, more, held, held_value in zip(*columns, strict=True):
+                key = ["nan" if x != x else x for x in key]
+                if key != at:
+                    at, cur, val, accepted = key, held, held_value, set()
+                near = cur is not None and v is not None and val is not None and abs(v - val) < tolerance
+                if again or near or i in accepted:
+                    actions.append("unchanged")
+                    before.append(None)
+                    continue
+                actions.append("new" if cur is None else "superseding")
+                before.append(cur)
+                cur, val = i, v
+                if more:
+                    accepted.add(i)
+            yield pa.record_batch([*(b.column(c) for c in keys), b.column("id"), pa.array(actions, pa.string()), pa.array(before, pa.string())], names=[*keys, "id", "action", "supersedes"])
+
+    schema = StructType([*(rows.schema[c] for c in keys), *(StructField(c, StringType()) for c in ("id", "action", "supersedes"))])
+    return rows.mapInArrow(fold, schema)
 
 
 def leaderboard(readings: DataFrame, k: int) -> DataFrame:

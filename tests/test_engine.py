@@ -125,6 +125,22 @@ def test_upsert_is_the_fold(spark):
     assert sorted(((r.id, r.action, r.supersedes) for r in got.collect()), key=str) == sorted(fold(batch, store), key=str)
 
 
+def test_upsert_of_one_large_identity(spark):
+    """A third of the rows in one identity, with repeated ids and null keys."""
+    rng = random.Random(16)
+    row = lambda n: (n, f"r{n if n % 3 else rng.randrange(3, n + 4)}", "big" if n % 3 else rng.choice("xyz"), rng.choice((1.0, 1.0004, 1.0008, 2.0, 3.0)), "2024-01-01")
+    store = [(n, f"s{n}", k, 1.0, "2024-01-01") for n, k in enumerate(("big", "x"))]
+    seen, batch = {}, []
+    for n in range(3, 60_000):  # an id belongs to one identity, as in the fold
+        r = row(n)
+        batch.append((*r[:2], seen.setdefault(r[1], r[2]), *r[3:]))
+    s = "seq long, id string, k string, value double, measured_at string"
+    got = windows.upsert(spark.createDataFrame(batch, s), spark.createDataFrame(store, s), ["k"])
+    assert sorted(((r.id, r.action, r.supersedes) for r in got.collect()), key=str) == sorted(fold(batch, store), key=str)
+    none = spark.createDataFrame([(5, "a", None, 1.0, ""), (6, "b", None, 1.0, ""), (7, "c", None, 2.0, "")], s)
+    assert [(r.k, r.id, r.action, r.supersedes) for r in windows.upsert(none, none.limit(0), ["k"]).orderBy("id").collect()] == [(None, "a", "new", None), (None, "b", "unchanged", None), (None, "c", "superseding", "a")]
+
+
 def test_quota_top_is_the_loop(spark):
     random.seed(8)
     quotas = {"x": 2, "y": 1, "z": 3}
