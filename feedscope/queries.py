@@ -33,12 +33,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
+def items(spark: SparkSession, d: str, summary=None) -> DataFrame:
+    """Documents as feed items; the summary is the text's first 2,000 characters, as in the SQL, unless another is given."""
     n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     page = F.col("doc_id") - F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)  # one in eleven shares its neighbour's page
     url = F.concat(F.when(page % 2 == 0, "https://x/").otherwise("http://x/"), page.cast("string"))
     return _t(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 2000).alias("summary"), url.alias("url"), "source", "lang",
+        F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), (F.substring("text", 1, 2000) if summary is None else summary).alias("summary"), url.alias("url"), "source", "lang",
         F.element_at(F.array(F.lit("primary"), F.lit("corroborating"), F.lit("community")), n % 3 + 1).alias("tier"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("published"),
     )

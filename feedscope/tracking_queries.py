@@ -132,7 +132,7 @@ CLAIMED = (("tion", "tion the"), ("heit", "heit"), ("ment", "ment"))
 def claims_in_prose(spark, d):
     n = F.col("id")
     told = F.concat(F.lit(". The desk reports tion the "), (n % 90).cast("string"), F.lit(".5% and heit at 71.2%. It says ment and Zork at "), (n % 50).cast("string"), F.lit("% and 9.1! Some ment at 4.4."))
-    posts = Q.items(spark, d).select("id", F.concat("summary", told).alias("body"), F.when(n % 6 > 0, F.col("url")).alias("url"), F.when(n % 5 > 0, F.concat(F.lit("m"), (n % 5).cast("string"))).alias("model"))
+    posts = Q.items(spark, d, F.col("text")).select("id", F.concat("summary", told).alias("body"), F.when(n % 6 > 0, F.col("url")).alias("url"), F.when(n % 5 > 0, F.concat(F.lit("m"), (n % 5).cast("string"))).alias("model"))
     return grounding.claims(posts, CLAIMED, "Zork", "(?i)reports|says")
 
 

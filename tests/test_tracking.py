@@ -208,3 +208,11 @@ def test_queue_expiry_in_batches(spark, tmp_path):
             if k == key and score is not None:
                 entry = (entry[0], score, entry[2] + 1) if entry else (at, score, 1)
     assert results[0] == results[1] == sorted(want)
+
+
+def test_claims_behind_two_thousand_characters(spark, tmp_path):
+    from feedscope import tracking_queries
+
+    text = "word " * 800 + ". It reports heit at 55.5%"
+    spark.createDataFrame([(1, text, "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert 55.5 in {r.value for r in tracking_queries.claims_in_prose(spark, str(tmp_path)).collect()}
