@@ -42,19 +42,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return sc.getCheckpointDir()
 
 
+#: Folders of tables that this process wrote and hasn't dropped.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for one run of one operator."""
-    return f"{shared_dir(spark).rstrip('/')}/feedscope-{uuid.uuid4().hex}/{name}"
+    root = f"{shared_dir(spark).rstrip('/')}/feedscope-{uuid.uuid4().hex}"
+    _written.append(root)
+    return f"{root}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -64,9 +72,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """The rows with a key of their own, ``__row``: written once, so that it is the same whenever they are read."""
-    return materialise(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def written() -> int:
+    """How many folders there are; a place for ``drop_written`` to go back to."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders written since then, but for the last ``keep``: for a caller whose tables nobody reads any more."""
+    gone = _written[since : len(_written) - keep]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for root in gone:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+        _written.remove(root)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table doesn't have, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own and the key's name: written once, so that it is the same whenever they are read."""
+    key = free_name(df, "__row")
+    return materialise(df.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def let(value: Column, body) -> Column:
@@ -93,6 +125,7 @@ def may_hold(df: DataFrame, ids: DataFrame, key: str, slots: int = 1 << 16) -> D
     """
     h = F.xxhash64(F.col(key))
     slot, bit = F.pmod(h, F.lit(slots)), f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 32), 64) as int))"
-    bits = ids.select(slot.alias("__slot"), F.expr(bit).alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__bits"))
-    joined = df.withColumn("__slot", slot).join(F.broadcast(bits), "__slot")
-    return joined.where(F.col("__bits").bitwiseAND(F.expr(bit)) != 0).drop("__slot", "__bits")
+    at, bits = free_name(df, "__slot"), free_name(df, "__bits")
+    table = ids.select(slot.alias(at), F.expr(bit).alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
+    joined = df.withColumn(at, slot).join(F.broadcast(table), at)
+    return joined.where(F.col(bits).bitwiseAND(F.expr(bit)) != 0).drop(at, bits)

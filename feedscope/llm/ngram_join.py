@@ -1,18 +1,22 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts are sets of five-word shingles; two documents are linked if the Jaccard similarity of their sets is 0.8 or
-more. Documents with the same set form a text class, which one representative stands for. Representatives meet
+more. Rows with the same set form a text class, which one row stands for, whatever their doc_ids. Representatives meet
 in MinHash bands (32 of four values: a pair at the threshold is missed with a chance of 5e-8). Inside a band's
 bucket, pairs compare their MinHash values in steps; a pair is dropped once the posterior probability of
 reaching the threshold, under a uniform prior, is below the tolerance; the others are verified exactly.
 
-A bucket is never gathered whole: it is cut into blocks, and a task sees two blocks at most. Pairs stay inside
-the task, which returns one row for each member it saw: its number of linked documents and the smallest member
-it is connected with. Buckets with the same members are worked once, and a pair only in the first band it shares.
+A bucket is never gathered whole: it is cut into blocks, bounded in members and in bytes, and a task sees two blocks at
+most. First only the MinHash values travel there; the sets follow for those members of which a pair survived the
+pruning. Pairs stay inside the task, which returns one row for each member it saw: its number of linked documents and
+the smallest member it is connected with. Buckets with the same members are worked once, and a pair only in the first
+band it shares.
 
 Defined cases: a text without words (or null) links with nothing and is its own class; a text of one to four
-words is one shingle; repeated rows count as copies; ties take the smallest doc_id; rows with a null doc_id are
-left out; an empty table gives an empty result; columns other than doc_id and text are not read.
+words is one shingle; very long texts are sets like others; repeated rows count as copies, and a doc_id with several
+texts has a row for each of its rows, each with the links of its own text; ties take the smallest doc_id; rows with a
+null doc_id count as copies and links of others, but can't stand for a class in the result and have no row of their
+own; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,10 +37,13 @@ SHINGLE, SIMILARITY, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, 128)
-#: Members in a block: a task holds two blocks of shingle sets.
-BLOCK = 1024
+#: Members in a block and bytes of their sets, on average: a task holds two blocks.
+BLOCK, BLOCK_BYTES = 1024, 32_000_000
 _WORD = re.compile(r"\w+")
-_GROUP = pa.schema([("bkey", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("band", pa.int32()), ("own", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("sh", pa.binary())])
+_SIGNED = "row long, doc_id long, set_hash binary, n int, keys array<long>, sig binary, sh binary"
+_PLACE = [("bkey", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("band", pa.int32()), ("own", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())]
+_MEMBER, _GROUP = pa.schema(_PLACE), pa.schema([*_PLACE, ("sh", pa.binary())])
+_MEMBER_SQL = "bkey long, bi int, bj int, band int, own int, rep long, copies long, n int, sig binary"
 
 
 class _Words(dict):
@@ -108,23 +115,27 @@ def least_matches(t: float, tolerance: float) -> dict[int, int]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        out: tuple[list, list, list] = ([], [], [])
+    types = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    names = ["row", "doc_id", "set_hash", "n", "keys", "sig", "sh"]
+    for b in slices(batches, 256):
+        out: list[list] = [[] for _ in types]
         for text in b.column("text").to_pylist():
             sh = shingles(text)
-            out[0].append(xxhash.xxh128_digest(sh.tobytes()) if len(sh) else None)
-            keys = None
+            row = (None, 0, None, None, None)
             if len(sh):
-                sig = signature(sh).reshape(BANDS, ROWS)
-                keys = [xxhash.xxh64_intdigest(sig[k].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
-            out[1].append(keys)
-        yield pa.record_batch([b.column("doc_id"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64()))], names=["doc_id", "set_hash", "keys"])
+                data, sig = sh.tobytes(), signature(sh)
+                bands = sig.reshape(BANDS, ROWS)
+                keys = [xxhash.xxh64_intdigest(bands[k].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+                row = (xxhash.xxh128_digest(data), len(sh), keys, sig.tobytes(), data)
+            for c, v in zip(out, row, strict=True):
+                c.append(v)
+        yield pa.record_batch([b.column("row"), b.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=names)
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, set_hash (null without words) and its band keys."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(_signed, "doc_id long, set_hash binary, keys array<long>"), "signed")
+    """A row for each row: a key of its own, doc_id, and its set (null without words) with hash, size, band keys, MinHash values."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialise(rows.mapInArrow(_signed, _SIGNED), "signed")
 
 
 def _shared_buckets(reps: DataFrame, block: int) -> DataFrame:
@@ -133,75 +144,87 @@ def _shared_buckets(reps: DataFrame, block: int) -> DataFrame:
     Two buckets with the same count, the same xor of hashed members and the same smallest and largest member are
     the same set; the lowest band stands for all.
     """
-    rows = reps.select("rep", F.posexplode("keys").alias("band", "bkey"))
-    by = rows.groupBy("bkey", "band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    kept = by.where("n > 1").groupBy("n", "x", "lo", "hi").agg(F.min(F.struct("band", "bkey")).alias("b"))
-    return kept.select("b.bkey", "b.band", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
+    rows = reps.select("rep", "n", F.posexplode("keys").alias("band", "bkey"))
+    held = F.sum(F.col("n").cast("long") * 8).alias("held")
+    by = rows.groupBy("bkey", "band").agg(F.count(F.lit(1)).alias("n"), held, F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    kept = by.where("n > 1").groupBy("n", "held", "x", "lo", "hi").agg(F.min(F.struct("band", "bkey")).alias("b"))
+    return kept.select("b.bkey", "b.band", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace texts by their sets, and give each member to every pair of blocks that its block is in."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The members of each pair of blocks, from sorted rows."""
+    group: list[tuple] = []
     for b in slices(batches):
-        rows: list[list] = [[] for _ in _GROUP]
-        grown = 0
-        for rep, text, want, copies, places in zip(*(b.column(c).to_pylist() for c in ("rep", "text", "set_hash", "copies", "places")), strict=True):
-            sh = shingles(text)
-            if not len(sh) or xxhash.xxh128_digest(sh.tobytes()) != want:  # another row with this doc_id
-                continue
-            data, sig = sh.tobytes(), signature(sh).tobytes()
-            for p in places:
-                n, own = p["n_blocks"], xxhash.xxh32_intdigest(rep.to_bytes(8, "little", signed=True)) % p["n_blocks"]
-                for other in range(n):
-                    for c, v in zip(rows, (p["bkey"], min(own, other), max(own, other), p["band"], own, rep, copies, sig, data), strict=True):
-                        c.append(v)
-                    grown += len(data) + 600
-                if grown > 8_000_000:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _GROUP, strict=True)], schema=_GROUP)
-                    rows, grown = [[] for _ in _GROUP], 0
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _GROUP, strict=True)], schema=_GROUP)
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if group and row[:3] != group[0][:3]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def candidates(group: list[tuple], t: float, tolerance: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): the pairs of a pair of blocks that the pruning leaves and that share no earlier band."""
+    _, bi, bj, band = group[0][:4]
+    n = len(group)
+    sig = np.frombuffer(b"".join(r[8] for r in group), np.uint32).reshape(n, HASHES)
+    sizes, own = np.array([r[7] for r in group]), np.array([r[4] for r in group])
+    least = least_matches(t, tolerance)
+    for i in range(n - 1):
+        if bi == bj:
+            js = np.arange(i + 1, n)
+        else:  # across two blocks only
+            js = np.nonzero(own[i + 1 :] != own[i])[0] + i + 1
+        # sets whose sizes alone rule the threshold out
+        js = js[np.minimum(sizes[js], sizes[i]) >= t * np.maximum(sizes[js], sizes[i]) - 1e-9]
+        at, m = 0, np.zeros(len(js), np.int64)
+        for step in STEPS:
+            if not len(js):
+                break
+            m = m + (sig[js, at:step] == sig[i, at:step]).sum(axis=1)
+            stay = m >= least[step]
+            js, m, at = js[stay], m[stay], step
+        if band and len(js):  # pairs that share an earlier band are worked there
+            earlier = (sig[js, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
+            js = js[~earlier]
+        if len(js):
+            yield i, js
+
+
+def _surviving(batches: Iterator[pa.RecordBatch], t: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """The members that are in any pair left: a row each, not one for each pair."""
+    for group in _groups(batches):
+        stay = np.zeros(len(group), bool)
+        for i, js in candidates(group, t, tolerance):
+            stay[i] = True
+            stay[js] = True
+        rows = [r for r, s in zip(group, stay, strict=True) if s]
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MEMBER, strict=True)], schema=_MEMBER)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], t: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """Sorted members, group by group; a group is two blocks at most."""
-    group: list[tuple] = []
-    key = None
     out: list[list] = [[], [], []]
 
-    def close() -> None:
-        for rep, n, low in verify(group, t, tolerance):
-            for c, v in zip(out, (rep, n, low), strict=True):
-                c.append(v)
-
     def rows() -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["rep", "n_linked", "low"])
 
-    for b in slices(batches):
-        cols = [b.column(f.name).to_pylist() for f in _GROUP]
-        for row in zip(*cols, strict=True):
-            if row[:3] != key:
-                if group:
-                    close()
-                group, key = [], row[:3]
-            group.append(row)
+    for group in _groups(batches):
+        for row in verify(group, t, tolerance):
+            for c, v in zip(out, row, strict=True):
+                c.append(v)
         if len(out[0]) > 5000:
             yield rows()
             out = [[], [], []]
-    if group:
-        close()
     yield rows()
 
 
 def verify(group: list[tuple], t: float = SIMILARITY, tolerance: float = TOLERANCE) -> Iterator[tuple[int, int, int]]:
     """(rep, documents linked, smallest rep connected) of the members of a pair of blocks that have links."""
-    _, bi, bj, band = group[0][:4]
-    members = list({row[5]: row for row in group}.values())
-    n = len(members)
-    sig = np.frombuffer(b"".join(r[7] for r in members), np.uint32).reshape(n, HASHES)
-    sets = [np.frombuffer(r[8], np.uint64) for r in members]
-    sizes = np.array([len(s) for s in sets])
-    own, copies = np.array([r[4] for r in members]), np.array([r[6] for r in members])
-    reps = [r[5] for r in members]
-    least = least_matches(t, tolerance)
+    n = len(group)
+    reps, copies = [r[5] for r in group], np.array([r[6] for r in group])
+    sets = [np.frombuffer(r[9], np.uint64) for r in group]
     root = list(range(n))
     n_linked = np.zeros(n, np.int64)
 
@@ -211,23 +234,7 @@ def verify(group: list[tuple], t: float = SIMILARITY, tolerance: float = TOLERAN
             x = root[x]
         return x
 
-    for i in range(n - 1):
-        if bi == bj:
-            js = np.arange(i + 1, n)
-        else:  # across two blocks only
-            js = np.nonzero(own[i + 1 :] != own[i])[0] + i + 1
-        # sets whose sizes alone rule the threshold out
-        js = js[np.minimum(sizes[js], sizes[i]) >= t * np.maximum(sizes[js], sizes[i]) - 1e-9]
-        at, m = 0, np.zeros(len(js), np.int64)
-        for step in STEPS:
-            if not len(js):
-                break
-            m = m + (sig[js, at:step] == sig[i, at:step]).sum(axis=1)
-            stay = m >= least[step]
-            js, m, at = js[stay], m[stay], step
-        if band and len(js):  # pairs that share an earlier band are worked there
-            earlier = (sig[js, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
-            js = js[~earlier]
+    for i, js in candidates(group, t, tolerance):
         for j in js:
             a, b = sets[i], sets[j]
             if len(a) > len(b):
@@ -270,42 +277,57 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """A row for each document: doc_id, text_id (the representative of its exact set), class_id (the smallest
-    doc_id that it is connected with by links) and n_links (documents that it is linked with)."""
-    signed = text_classes(docs)
-    classes = signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+def _classes(signed: DataFrame, similarity: float, tolerance: float, block: int) -> DataFrame:
+    """set_hash, text_id, class_id (smallest doc_ids of the set and of its component; null where none has one), n_links."""
+    least = F.min("doc_id").alias("text_id")
+    classes = signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), least)
     classes = materialise(classes, "classes")
-    firsts = signed.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).groupBy("doc_id").agg(F.first("keys").alias("keys"))
-    reps = materialise(firsts.select(F.col("doc_id").alias("rep"), "keys"), "reps")
+    chosen = classes.select(F.col("rep").alias("row"), "copies")
+    reps = signed.select("row", "n", "keys").join(chosen, "row").withColumnRenamed("row", "rep")
     shared = _shared_buckets(reps, block)
-    places = reps.select("rep", F.posexplode("keys").alias("band", "bkey")).join(shared, ["bkey", "band"])
-    places = places.groupBy("rep").agg(F.collect_list(F.struct("bkey", "band", "n_blocks")).alias("places"))
-    wanted = materialise(places.join(classes, "rep"), "wanted")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where(F.col("rep").isNotNull())
-    texts = may_hold(texts, wanted, "rep").join(wanted, "rep")
-    schema = "bkey long, bi int, bj int, band int, own int, rep long, copies long, sig binary, sh binary"
-    members = texts.select("rep", "text", "set_hash", "copies", "places").mapInArrow(_with_sets, schema)
-    grouped = members.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
-    links = grouped.mapInArrow(lambda it: _linked(it, similarity, tolerance), "rep long, n_linked long, low long")
-    links = materialise(links, "links")
+    places = reps.select("rep", "copies", F.posexplode("keys").alias("band", "bkey")).join(shared, ["bkey", "band"])
+    places = materialise(places.select("rep", "copies", "band", "bkey", "n_blocks"), "places")
+
+    # MinHash values go to every pair of blocks that their block is in
+    own = F.pmod(F.xxhash64("rep"), F.col("n_blocks").cast("long")).cast("int")
+    values = may_hold(signed.select(F.col("row").alias("rep"), "n", "sig"), places, "rep")
+    placed = values.join(places, "rep").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    members = placed.select("bkey", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "band", "own", "rep", "copies", "n", "sig")
+    key = ["bkey", "bi", "bj"]
+    pruned = members.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it: _surviving(it, similarity, tolerance), _MEMBER_SQL)
+    pruned = materialise(pruned, "pruned")
+
+    # the sets follow for those that are left
+    sets = may_hold(signed.select(F.col("row").alias("rep"), "sh"), pruned, "rep")
+    whole = pruned.join(sets, "rep").select(*_MEMBER.names, "sh").repartition(*key).sortWithinPartitions(*key)
+    links = materialise(whole.mapInArrow(lambda it: _linked(it, similarity, tolerance), "rep long, n_linked long, low long"), "links")
 
     counts = links.groupBy("rep").agg(F.sum("n_linked").alias("n_linked"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    known = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("set_hash", F.col("rep").alias("text_id"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "set_hash").join(known, "set_hash", "left")
+    known = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = materialise(known.select("set_hash", "text_id", "root", (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")), "known")
+    lowest = known.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    return known.join(lowest, "root")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """A row for each row with a doc_id: doc_id, text_id (the smallest doc_id with its exact set), class_id (the smallest
+    doc_id that it is connected with by links) and n_links (rows that it is linked with)."""
+    signed = text_classes(docs)
+    known = _classes(signed, similarity, tolerance, block).select("set_hash", "text_id", "class_id", "n_links")
+    out = signed.where(F.col("doc_id").isNotNull()).select("doc_id", "set_hash").join(known, "set_hash", "left")
     return out.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def distinct_documents(docs: DataFrame, **how) -> DataFrame:
+def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row of each group of similar ones: one with the smallest doc_id, null being the largest; all its own columns.
 
     Rows are compared, not ids: copies under one doc_id or without one are copies like others.
     """
-    rows = keyed(docs)
-    found = similar_documents(rows.select(F.col("__row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__row"), "class_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).getField("__row")
-    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("class_id").agg(first.alias("__row")).select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    rows, key = keyed(docs)
+    found = similar_documents(rows.select(F.col(f"`{key}`").alias("doc_id"), "text"), similarity, tolerance, block).select(F.col("doc_id").alias(key), F.col("class_id").alias("class"))
+    pairs = rows.select(F.col(key), F.col("doc_id").alias("doc")).join(found, key)
+    first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col(key))).getField(key)
+    kept = pairs.groupBy("class").agg(first.alias(key)).select(key)
+    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,8 @@
 
 Each source gets a target number of words; a document's expected copies are its source's target over its
 source's size. Within a source, expected copies are summed along the rows, one offset is added, and a copy is
-emitted for every integer boundary crossed. Rows run by size, so that the words taken stay near the target.
+emitted for every integer boundary crossed. Rows run by size, so that the words taken stay near the target. The
+offset is drawn from a source's name and a seed, so that reruns agree and other seeds draw other mixes.
 
 The running sum needs no task that holds a whole source: rows fall in strata (size class, then a bucket of a
 hash of doc_id), the strata of a source are a bounded table that is summed first, and ranks are taken inside
@@ -10,8 +11,9 @@ a stratum only.
 
 Defined cases: a null text counts 0 words; null sources form one source, the last; a source without words has
 target 0 and is not taken; repeated rows are rows of their own (ties by doc_id take any order, which changes
-no source's total); an empty table gives an empty result; columns other than doc_id, text and source are
-carried by ``mix`` and never read.
+no source's total); rows without a doc_id count and are taken like others; an empty or a very long text is one of
+its size; an empty table gives an empty result; columns other than doc_id, text and source are carried by ``mix``
+and never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import WORD, keyed, materialise
+from feedscope.llm.common import WORD, free_name, keyed, materialise
 
 #: Sources by code point weigh so, repeating; the mix takes so much of all sizes; a source at most so often.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Buckets of a size class: a source's rows of one size are spread over so many windows.
-BUCKETS = 32
+#: Buckets of a size class: a source's rows of one size are spread over so many windows, and over one more for each
+#: so many rows of the table, so that a window stays as large at any scale.
+BUCKETS, ROWS_A_BUCKET = 32, 10_000_000
 
 
 def source_key(source: Column) -> Column:
@@ -58,25 +61,31 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return found.select("skey", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * line).alias("target"))
 
 
-def allot(docs: DataFrame, buckets: int = BUCKETS, carry: Sequence[str] = (), **weighing) -> DataFrame:
-    """One row for each row: doc_id, size, source_size, target and ``copies``, and the columns to carry."""
+def allot(docs: DataFrame, buckets: int | None = None, seed: str = "", key: str | None = None, **weighing) -> DataFrame:
+    """One row for each row: doc_id, size, source_size, target and ``copies``; with ``key``, that column as ``row``.
+
+    Without ``buckets`` their number follows the table's rows, from BUCKETS on.
+    """
     n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = materialise(docs.select(*carry, "doc_id", source_key(F.col("source")).alias("skey"), n.alias("size")), "sizes")
+    carry = ["row"] if key else []
+    named = [F.col(key).alias("row")] if key else []
+    sizes = materialise(docs.select(*named, "doc_id", source_key(F.col("source")).alias("skey"), n.alias("size")), "sizes")
+    buckets = buckets or BUCKETS + sizes.count() // ROWS_A_BUCKET
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = (
         sizes.withColumn("e", F.length(F.bin("size")))
         .withColumn("class", F.col("e") * 8 + F.expr("cast(shiftright(size * 8, e - 1) & 7 as int)"))
-        .withColumn("bucket", F.conv(F.substring(F.md5(doc), 1, 4), 16, 10).cast("int") % buckets)
+        .withColumn("bucket", F.conv(F.substring(F.md5(doc), 1, 8), 16, 10).cast("long") % buckets)
     )
     stratum = ["skey", "class", "bucket"]
     strata = rows.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("skey").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     strata = strata.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
     goal = targets(sizes, **weighing)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy("size", "doc_id")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy("size", "doc_id", *carry)))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     out = ranked.join(strata.join(goal, "skey"), stratum)
-    out = out.withColumn("x", expected).withColumn("at", F.col("before") + F.col("rank")).withColumn("u", fraction(F.col("skey")))
+    out = out.withColumn("x", expected).withColumn("at", F.col("before") + F.col("rank")).withColumn("u", fraction(F.concat("skey", F.lit(seed))))
     copies = F.floor(F.col("at") * F.col("x") + F.col("u")) - F.floor((F.col("at") - 1) * F.col("x") + F.col("u"))
     return out.select(*carry, "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
@@ -87,10 +96,11 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows as the mix takes them: each as often as it is copied itself, with its own columns."""
-    rows = keyed(docs)
-    copies = allot(rows, carry=["__row"], **how).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    taken = rows.join(copies, "__row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    rows, key = keyed(docs)
+    n, copy = free_name(rows, "__n"), free_name(rows, "__copy")
+    copies = allot(rows, key=key, **how).where("copies > 0").select(F.col("row").alias(key), F.col("copies").alias(n))
+    taken = rows.join(copies, key)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
@@ -104,7 +114,7 @@ v AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(cap) OVER
 line AS (SELECT arg_min(level, (ratio, skey)) AS line FROM v WHERE ratio > level),
 t AS (SELECT skey, source_size, CASE WHEN ratio <= level THEN cap ELSE weight * line END AS target FROM v, line),
 c AS (SELECT s.*, length(bin(size)) * 8 + (((size * 8) >> (length(bin(size)) - 1)) & 7) AS class,
-    ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INT % 32 AS bucket FROM s),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (32 + (SELECT count(*) FROM documents) // 10000000) AS bucket FROM s),
 p AS (SELECT c.*, row_number() OVER (PARTITION BY skey ORDER BY class, bucket, size, doc_id) AS pos FROM c),
 x AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS x,
     ('0x' || substr(md5(p.skey), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM p JOIN t USING (skey))

@@ -28,7 +28,7 @@ def docs(spark, sf):
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = spark.createDataFrame(ODD, SCHEMA)
-    for name in ("size", "rep", "key", "n", "words", "skey", "copies", "__slot"):
+    for name in ("size", "rep", "row", "key", "n", "words", "skey", "copies", "__slot", "__bits", "__row", "__doc", "__copy", "__copies", "__n", "class"):
         rows = rows.withColumn(name, F.lit("clash"))
     return rows
 
@@ -142,17 +142,19 @@ def norm(text):
 
 
 def brute_contaminated(docs, items):
-    def sh(w):
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    """Windows slid word by word; an item of fewer than five words is compared by runs of its own length."""
+
+    def sh(w, k=5):
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
     found = {}
     for d, t in docs:
         w = norm(t)
-        have = sh(w)
         for i, it in items:
             x = norm(it)
-            s = sh(x)
-            if not s & have:
+            k = min(5, len(x))
+            s = sh(x, k)
+            if not s & sh(w, k):
                 continue
             total = sum(len("".join(g)) for g in s)
             best = max(sum(len("".join(g)) for g in s & sh(w[k : k + len(x)])) / total for k in range(len(w)))
@@ -177,10 +179,10 @@ def test_decontamination(spark, sf):
 
 
 def test_decontamination_of_short_items(spark, sf):
-    """Items of 6 to 30 words, with a word changed, added or left out."""
+    """Items of 1 to 25 words, with a word changed, added or left out."""
     random.seed(8)
     vocab = sorted({w for r in read(sf, "benchmark") for w in norm(r["text"])})
-    items = [(k, " ".join(random.choices(vocab, k=6 + k % 25))) for k in range(150)]
+    items = [(k, " ".join(random.choices(vocab, k=1 + k % 25))) for k in range(150)]
     docs = []
     for k, it in items * 2:
         w, at = it.split(), random.choice((0, 1, -1))
@@ -212,25 +214,58 @@ def test_decontamination_of_replaced_stretches(spark, sf):
 
 
 def test_decontamination_odd(spark, odd, none):
-    items = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (4, "one two three four")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()} == {(4, 1), (5, 1), (4, 4), (5, 4)}
+    items = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (4, "one two three four"), (5, "four"), (6, "null id")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()} == {(4, 1), (5, 1), (4, 4), (5, 4), (4, 5), (5, 5)}
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0
-    assert decontam.clean(odd, items).columns == odd.columns
+    kept = decontam.clean(odd, items)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 4, "a row without doc_id is judged, too"
+
+
+def test_large_benchmarks_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(18)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=2 + k % 9))) for k in range(60)]
+    docs = [(k, " ".join(rng.choices("abcdefgh", k=30))) for k in range(60)]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.contaminated(*args).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontam.contaminated(*args).collect())) == want and {r[:2] for r in want} == set(brute_contaminated(docs, items))
 
 
 def test_blocks_find_all_within_radius(spark):
-    random.seed(1)
-    right = [(i, random.getrandbits(64) - (1 << 63), 20) for i in range(40)]
+    """Fingerprints with so many blocks changed: exactly those within the radius are found."""
+    rng = random.Random(1)
+    right = [(i, [rng.getrandbits(16) for _ in range(decontam.BLOCKS)]) for i in range(20)]
     left = []
-    for _, fp, n in right:
-        for bits in range(0, 25, 2):
-            x = fp
-            for b in random.sample(range(64), bits):
-                x ^= 1 << b
-            left.append(((x + (1 << 63)) % (1 << 64) - (1 << 63), n))
-    got = decontam.within_radius(spark.createDataFrame(left, "fp long, n int"), spark.createDataFrame(right, "item_id long, item_fp long, n int"), 11)
-    want = {(x, i) for x, _ in left for i, fp, _ in right if bin((x ^ fp) % (1 << 64)).count("1") <= 11}
-    assert {(r.fp, r.item_id) for r in got.collect()} == want
+    for i, fp in right:
+        for n in range(decontam.BLOCKS + 1):
+            x = list(fp)
+            for b in rng.sample(range(decontam.BLOCKS), n):
+                x[b] ^= rng.randrange(1, 1 << 16)
+            left.append((f"{i}-{n}", x))
+    rows = lambda table, name, t: spark.createDataFrame([(k, 20, b, v) for k, fp in table for b, v in enumerate(fp)], f"{name} {t}, n int, block int, bits int")
+    for radius in (0, 7, 15):
+        got = {(r.window, r.item_id, r.hamming) for r in decontam.within_radius(rows(left, "window", "string"), rows(right, "item_id", "long"), radius).collect()}
+        far = lambda a, b: sum(p != q for p, q in zip(a, b, strict=True))
+        assert got == {(w, i, far(x, fp)) for w, x in left for i, fp in right if far(x, fp) <= radius}
+
+
+def test_blocks_select(spark):
+    """Of pairs that have nothing in common, few meet; of pairs at the threshold, nearly all agree in several blocks."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    texts, near = [], []
+    for k in range(300):
+        w = [word() for _ in range((28, 57, 120)[k % 3])]
+        m = (len(w) - 4) // 5
+        texts.append((str(k), 1, w))
+        near.append((k, 1, w[: len(w) - m] + [word() for _ in range(m)]))
+    sets = lambda rows, t: spark.createDataFrame(rows, f"key {t}, n int, ws array<string>").select("key", "n", decontam._weighted(F.col("ws")).alias("s"))
+    a = decontam.fingerprints(sets(texts, "string"), ["key", "n"], "s").withColumnRenamed("key", "window")
+    b = decontam.fingerprints(sets(near, "long"), ["key", "n"], "s").withColumnRenamed("key", "item_id")
+    got = {(int(r.window), r.item_id): r.hamming for r in decontam.within_radius(a, b).collect()}
+    own = [got.get((k, k), 16) for k in range(300)]
+    assert sum(h <= 15 for h in own) == 300 and sum(h <= 13 for h in own) >= 298
+    assert sum(i != j for i, j in got) < 0.001 * 300 * 299
 
 
 # 4
@@ -543,6 +578,21 @@ def test_ngram_join_on_documents(spark, sf, odd, none):
     assert sorted(ngram_join.distinct_documents(odd).columns) == sorted(odd.columns)
 
 
+def test_ngram_join_by_rows(spark):
+    """One doc_id with two texts, repeated rows and null ids: links are those of the texts."""
+    rng = random.Random(17)
+    text = [rng.choices([f"w{k}" for k in range(500)], k=60) for _ in range(3)]
+    near = lambda k: " ".join([*text[k][:-2], "other", "end"])
+    a, b, c = (" ".join(t) for t in text)
+    rows = [(1, a), (1, b), (1, b), (2, near(0)), (3, near(1)), (9, c), (9, c), (None, near(2)), (None, c), (None, None)]
+    want = sorted([(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 1), (3, 1, 2), (9, 9, 3), (9, 9, 3)])
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(df).collect()) == want
+    kept = ngram_join.distinct_documents(spark.createDataFrame([(1, a), (1, a), (1, near(0)), (1, b), (4, None), (4, None)], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept if r.text == b)) == [(1, b)] and sum(r.text in (a, near(0)) for r in kept) == 1 and len(kept) == 4
+
+
 def test_pruning_is_the_posterior():
     rng = np.random.default_rng(0)
     for n, m in ngram_join.least_matches(0.8, 1e-3).items():
