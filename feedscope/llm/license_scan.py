@@ -8,8 +8,10 @@ own, so that a copy with more edits isn't passed over for a better one beside it
 Beside the fuzzy notices, base phrases count where their words stand one after another.
 
 A word is a run of characters that are not ASCII, or are ASCII letters or digits; A-Z count as a-z. Defined
-cases: a null text is empty; overlapping finds of one label and place keep the fewest edits; repeated rows are
-scanned one by one; an empty table gives an empty result; columns other than doc_id and text are not read.
+cases: a null or empty text has no words and no labels; a very long text is scanned whole, in time that grows with its
+length and its seeds; overlapping finds of one label and place keep the fewest edits, ties the first notice; repeated
+rows, and rows without a doc_id, are scanned one by one; an empty table gives an empty result; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -140,12 +142,13 @@ def scan(text: str | None) -> tuple:
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     bare = bare_bytes[keep].astype(np.uint8).tobytes().decode("utf-8", "surrogatepass")
-    notices = []
+    blanks = np.nonzero(np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), "<u4") == 32)[0]
+    lead = int(bare[:1] == " ")
     best: dict[tuple[str, int], tuple] = {}
     for i, edits, start, stop in fuzzy(bare):
-        first, last = bare.count(" ", 0, start + (bare[start : start + 1] == " ")), bare.count(" ", 0, max(start, stop - 1))
-        lead = int(len(bare) > 0 and bare[0] == " ")
-        row = (NOTICES[i][1], i, edits, first - lead, max(first, last) - lead, bare[start:stop])
+        first = int(np.searchsorted(blanks, start + (bare[start : start + 1] == " ")))
+        last = max(first, int(np.searchsorted(blanks, max(start, stop - 1))))
+        row = (NOTICES[i][1], i, edits, first - lead, last - lead, bare[start:stop])
         at = (row[0], row[3])
         if at not in best or edits < best[at][2]:
             best[at] = row
