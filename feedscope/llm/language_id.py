@@ -2,16 +2,21 @@
 
 The blended-spectrum presence kernel of two texts counts the character n-grams (one to three) that both hold,
 divided by the root of the product of their numbers of n-grams. Nystroem landmarks give the kernel a finite
-form, one-versus-rest kernel ridge regression a score for each language, and texts are scored in batches by two
-matrix products: presence by landmarks, then kernel values by coefficients.
+form, one-versus-rest kernel ridge regression a score for each language. Texts are scored in batches by matrix
+products: the landmarks' presence times the coefficients is taken once, so that presence times that product is the same
+as presence by landmarks, then kernel values by coefficients.
 
 The classifier is fitted on a bounded sample of labelled documents: SAMPLE for each language at most (by the
-hash of doc_id), of those whose crc32(doc_id) mod 4 is not 2. Executors turn the sample into n-gram sets, each
-of at most MOST_GRAMS; these are all that is gathered. Prediction reads texts alone, whole.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0; a table without labelled rows gives
-``und`` for all; ties take the language first in code point order; repeated rows are predicted one by one; an
-empty table gives an empty result; columns other than doc_id, text and lang are not read.
+hash of doc_id), of those whose crc32(doc_id) mod 4 is not 2, and TOTAL of all languages, of which the TOTAL_LANDMARKS
+with most rows are learnt. Executors find the sample by
+a histogram of hashes and turn it into n-gram sets, each of BINS bits at most; these are all that is gathered. The
+model that is sent to the executors has a number for each bin and language. Prediction reads texts alone, whole.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0; very long texts are sets of n-grams like
+others; a table without labelled rows gives ``und`` for all; ties take the language first in code point order; rows that
+share a doc_id are sampled and predicted one by one, each by its own text and label, and rows without one are predicted
+but not learnt from; an empty table gives
+an empty result; columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows and landmarks of a language; n-grams kept of a sample row; bins of the n-gram hash.
-SAMPLE, LANDMARKS, MOST_GRAMS, BINS = 400, 40, 20_000, 1 << 18
+from feedscope.llm.common import materialise, slices
+
+#: Labelled rows and landmarks of a language, and of all languages together; bins of the n-gram hash.
+SAMPLE, LANDMARKS, BINS = 400, 40, 1 << 18
+TOTAL, TOTAL_LANDMARKS = 8000, 800
+#: Buckets of the histogram of hashes: of each language, the sample is looked for among rows of the first buckets.
+HISTOGRAM = 1 << 16
 RIDGE = 1e-2
 #: A text in a known language has this part of the share of known n-grams that all but a few sample rows have.
 KNOWN_SLACK, KNOWN_QUANTILE = 0.9, 0.05
@@ -64,37 +74,52 @@ def grams(text: str | None) -> np.ndarray:
 class Model:
     """Landmark sets over their joint n-grams, and the coefficients of the languages."""
 
-    def __init__(self, langs: list[str], landmarks: list[np.ndarray], coef: np.ndarray | None = None) -> None:
-        self.langs, self.coef = langs, coef
+    def __init__(self, langs: list[str], landmarks: list[np.ndarray]) -> None:
+        self.langs = langs
         bins = np.unique(np.concatenate(landmarks)) if landmarks else np.empty(0, np.int64)
         self.column = np.full(BINS, -1, np.int32)
         self.column[bins] = np.arange(len(bins))
         self.marks = np.zeros((len(landmarks), len(bins)), np.float32)
         for row, g in zip(self.marks, landmarks, strict=True):
             row[self.column[g]] = 1 / np.sqrt(len(g))
+        self.weights: np.ndarray | None = None
         self.least_known = 0.0
 
     def known(self, g: np.ndarray) -> float:
         """The share of a set's n-grams that a landmark holds."""
         return float((self.column[g] >= 0).mean()) if len(g) else 0.0
 
+    def times(self, sets: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+        """The sets' normalised presence over the joint n-grams times a matrix, some sets at a time."""
+        out = np.zeros((len(sets), right.shape[1]), np.float32)
+        for at in range(0, len(sets), 128):
+            some = sets[at : at + 128]
+            x = np.zeros((len(some), len(right)), np.float32)
+            for row, g in zip(x, some, strict=True):
+                c = self.column[g]
+                row[c[c >= 0]] = 1
+            norm = np.sqrt([max(1, len(g)) for g in some]).astype(np.float32)
+            out[at : at + 128] = (x @ right) / norm[:, None]
+        return out
+
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
         """Normalised kernel values of n-gram sets with the landmarks."""
-        x = np.zeros((len(sets), self.marks.shape[1]), np.float32)
-        for row, g in zip(x, sets, strict=True):
-            at = self.column[g]
-            row[at[at >= 0]] = 1
-        norm = np.sqrt([max(1, len(g)) for g in sets]).astype(np.float32)
-        return (x @ self.marks.T) / norm[:, None]
+        return self.times(sets, self.marks.T)
+
+    def settle(self, coef: np.ndarray) -> None:
+        """Take the coefficients; only their product with the landmarks is kept."""
+        self.weights = self.marks.T @ coef.astype(np.float32)
+        self.marks = self.marks[:0]
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        return self.kernel(sets) @ self.coef
+        return self.times(sets, self.weights)
 
 
 def train(langs: list[str], sets: list[np.ndarray]) -> Model:
     """Fit on (language, n-gram set) rows; the first LANDMARKS of each language are the landmarks."""
     names = sorted(set(langs))
-    firsts = [[g for x, g in zip(langs, sets, strict=True) if x == name][:LANDMARKS] for name in names]
+    each = max(1, min(LANDMARKS, TOTAL_LANDMARKS // max(1, len(names))))
+    firsts = [[g for x, g in zip(langs, sets, strict=True) if x == name][:each] for name in names]
     model = Model(names, [g for f in firsts for g in f])
     if not names:
         return model
@@ -106,18 +131,33 @@ def train(langs: list[str], sets: list[np.ndarray]) -> Model:
     y = np.array([[1.0 if x == name else -1.0 for name in names] for x in langs])
     share = np.array([1 / langs.count(x) for x in langs])[:, None]  # languages count alike
     a = phi.T @ (phi * share) + RIDGE / len(phi) * np.eye(phi.shape[1])
-    model.coef = (root @ np.linalg.solve(a, phi.T @ (y * share))).astype(np.float32)
     held = (model.marks > 0).sum(axis=0)  # a landmark's own n-grams count where another one holds them too
     own = {id(g) for f in firsts for g in f}
     shares = [float((held[model.column[g]] > 1).mean()) if id(g) in own else model.known(g) for g in sets]
     model.least_known = KNOWN_SLACK * float(np.quantile(shares, KNOWN_QUANTILE))
+    model.settle(root @ np.linalg.solve(a, phi.T @ (y * share)))
     return model
 
 
+def packed(g: np.ndarray) -> bytes:
+    """A set as its bins, or as a bit for each bin where that is shorter: BINS / 8 bytes at most."""
+    if 4 * len(g) < BINS // 8:
+        return g.astype("<i4").tobytes()
+    here = np.zeros(BINS, bool)
+    here[g] = True
+    return np.packbits(here).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < BINS // 8:
+        return np.frombuffer(data, "<i4").astype(np.int64)
+    return np.nonzero(np.unpackbits(np.frombuffer(data, np.uint8)))[0]
+
+
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [grams(t)[:MOST_GRAMS] for t in b.column("text").to_pylist()]
-        yield pa.record_batch([b.column("lang"), b.column("k"), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "k", "grams"])
+    for b in slices(batches, 64):
+        sets = [packed(grams(t)) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("lang"), b.column("h"), b.column("doc_id"), pa.array(sets, pa.binary())], names=["lang", "h", "doc_id", "grams"])
 
 
 def held_out(doc_id):
@@ -125,14 +165,27 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled documents that aren't held out: ``sample`` of each language at most."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(picked), F.col("d") == F.col("doc_id"))  # sample x languages rows at most
-    got = texts.select("lang", "k", "text").mapInArrow(_gram_rows, "lang string, k int, grams array<int>").toArrow()
+    """Learn from labelled documents that aren't held out: ``sample`` of each language at most.
+
+    The rows of a language are counted in buckets of their hash, before any is moved; only those up to the bucket in
+    which the sample is full, a few more than the sample, are turned into sets and ranked.
+    """
+    h = F.xxhash64("doc_id")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", h.alias("h"))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 24), F.lit(HISTOGRAM)))
+    counts = rows.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = F.max(F.when(F.col("before") < sample, F.col("bucket"))).alias("last")
+    cuts = counts.withColumn("before", before).groupBy("lang").agg(full, F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(TOTAL_LANDMARKS)
+    cuts = materialise(cuts.select("lang", "last"), "cuts")
+    n_langs = cuts.count()
+    most = max(1, min(sample, TOTAL // max(1, n_langs)))
+    near = rows.join(F.broadcast(cuts), "lang").where(F.col("bucket") <= F.col("last"))  # TOTAL_LANDMARKS rows at most
+    sets = near.select("lang", (F.col("bucket") * (1 << 40) + F.pmod("h", F.lit(1 << 40))).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_gram_rows, "lang string, h long, doc_id long, grams binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "grams"))
+    got = sets.withColumn("k", first).where(F.col("k") <= most).select("lang", "k", "grams").toArrow()
     got = got.sort_by([("lang", "ascending"), ("k", "ascending")])
-    pairs = [(x, np.array(g, np.int64)) for x, g in zip(got["lang"].to_pylist(), got["grams"].to_pylist(), strict=True) if g]
+    pairs = [(x, unpacked(g)) for x, g in zip(got["lang"].to_pylist(), got["grams"].to_pylist(), strict=True) if g]
     return train([x for x, _ in pairs], [g for _, g in pairs])
 
 

@@ -450,9 +450,49 @@ def test_kernel_by_brute_force():
 
     x, y = sets(a), sets(b)
     model = language_id.Model(["q"], [language_id.grams(b)])
+    for g in (language_id.grams(a), np.arange(0, language_id.BINS, 3), np.empty(0, np.int64)):
+        assert (language_id.unpacked(language_id.packed(g)) == g).all()
     assert model.kernel([language_id.grams(a)])[0, 0] == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5, abs=0.02)
 
 
+def test_classifier_by_a_direct_solve(spark, monkeypatch):
+    """On few rows all of them are landmarks, and the scores are those of kernel ridge regression solved directly."""
+    rng = random.Random(20)
+    abc = {"x": "abcde ", "y": "defgh ", "z": "ghijk "}
+    rows = [(k, "".join(rng.choices(abc["xyz"[k % 3]], k=rng.randint(20, 90))), "xyz"[k % 3]) for k in range(48)]
+    rows += [(k, "".join(rng.choices(abc["xyz"[k % 3]], k=60)), None) for k in range(48, 60)] + [(3, "gh ij jk ghi", "z"), (3, "abc abd", None), (None, "abc abc", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.predict_languages(docs).join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id").eqNullSafe(F.col("d"))).collect() if r.doc_id != 3}
+
+    def sets(t):
+        t = " " + re.sub(r"[^a-z]+", " ", t.lower()).strip() + " "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    seen = [(sets(t), lang) for d, t, lang in rows if lang and d is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    k = np.array([[kernel(a, b) for b, _ in seen] for a, _ in seen])
+    share = np.array([1 / sum(y == lang for _, y in seen) for _, lang in seen])
+    y = np.array([[1.0 if lang == name else -1.0 for name in "xyz"] for _, lang in seen])
+    # least squares weighted by share with the ridge: (K + ridge / rows / share) alpha = y
+    alpha = np.linalg.solve(k + np.diag(language_id.RIDGE / len(seen) / share), y)
+    for d, t, _ in rows:
+        if d == 3:
+            continue
+        v = np.array([kernel(sets(t), a) for a, _ in seen]) @ alpha
+        lang, score = got[d, t]
+        assert lang == "xyz"[int(v.argmax())] or np.sort(v)[-1] - np.sort(v)[-2] < 0.05, t
+        assert score == pytest.approx(min(1, max(0, (v.max() + 1) / 2)), abs=0.05)
+
+
+def test_language_sample_is_bounded(spark):
+    """The sample is the rows of least hash, whatever the partitioning; each with its own label."""
+    rows = [(k, f"{'ab' if k % 5 else 'cd'} text {k}", "one" if k % 5 else "two") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (language_id.fit(df.repartition(n), 30) for n in (3, 11))
+    assert a.langs == b.langs == ["one", "two"] and np.allclose(a.weights, b.weights)
+    assert a.marks.size == 0 and a.weights.shape[1] == 2
+
+
 def test_unknown_languages_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     rng = random.Random(14)
@@ -524,6 +564,18 @@ def test_license_scan_of_adjacent_copies():
     assert len(license_scan.scan("all rights reserved " * 5000)[5]) == 5000
 
 
+def test_license_scan_of_long_texts_is_linear():
+    import time
+
+    took = []
+    for n in (1, 4):
+        text = "words that say nothing at all, here. all rights reserved " * (n * 4500)
+        start = time.process_time()
+        assert len(license_scan.scan(text)[5]) == n * 4500
+        took.append(time.process_time() - start)
+    assert took[1] < 9 * took[0]
+
+
 # 10
 
 
