@@ -310,51 +310,75 @@ def test_chunked_by_any_split():
 # 5
 
 
-def brute_cost(roles):
-    """The cheapest legal sequence by trying everything."""
-    options = [None]
-    best = None
-    for plan in itertools.product(chat_repair.ROLES, repeat=len(roles)):
-        options = {0: 0}
-        for want, role in zip(plan, roles, strict=True):
-            new = {}
-            for before, c in options.items():
-                for b, after, cost, _, _ in chat_repair.steps(chat_repair.state_of(role)):
-                    if b == before and after == chat_repair.ROLES.index(want) + 1:
-                        new[after] = min(new.get(after, 1 << 40), c + cost)
-            options = new
-        for s, c in options.items():
-            c += chat_repair._END[s][0]
-            best = c if best is None else min(best, c)
-    return best
+def all_repairs(roles):
+    """Every legal way through the automaton, written out: (cost, [(role, action, inserted)], empty turns at the end)."""
+    known = {"system": "system", "user": "user", "assistant": "assistant", "human": "user"}
+    after = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    ways = [(0, None, [])]
+    for role in roles:
+        new = []
+        for cost, last, done in ways:
+            for to in chat_repair.ROLES:
+                own = known.get(role)
+                label = 0 if own == to else 2 if own is None else 4
+                word = "keep" if own == to else "relabel"
+                if to in after[last]:
+                    new.append((cost + label, to, [*done, (to, word, None)]))
+                if to == last:
+                    new.append((cost + label + 1, to, [*done, (to, "merge" if word == "keep" else "relabel_merge", None)]))
+                elif to not in after[last]:
+                    new += [(cost + label + 3, to, [*done, (to, word, x)]) for x in after[last] if to in after[x]]
+        ways = new
+    ends = {"assistant": (0, []), "user": (3, ["assistant"]), "system": (6, ["user", "assistant"])}
+    return [(cost + ends[last][0], done, ends[last][1]) for cost, last, done in ways]
+
+
+def rendered(texts, way):
+    """The text of one repaired conversation."""
+    turns = []
+    for text, (role, action, inserted) in zip(texts, way[1], strict=True):
+        if action.endswith("merge"):
+            turns[-1][1] += f"\n{text}"
+            continue
+        if inserted:
+            turns.append([inserted, ""])
+        turns.append([role, text])
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in [*turns, *((r, "") for r in way[2])])
 
 
 def test_chat_repair(spark):
     random.seed(2)
     convs = [[random.choice(("system", "user", "assistant", "human", "tool", None)) for _ in range(random.randint(1, 5))] for _ in range(40)]
-    rows = [(c, k, r, f"t{k}") for c, roles in enumerate(convs) for k, r in enumerate(roles)] + [(99, k, random.choice(("user", "assistant")), "x") for k in range(3000)]
-    got = chat_repair.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)).collect()
+    rows = [(c, k, r, f"t{k}") for c, roles in enumerate(convs) for k, r in enumerate(roles)] + [(99, k, random.choice(("user", "assistant")), "x") for k in range(9000)]
+    got = chat_repair.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8), ranges=2).collect()
     assert len(got) == len(rows)
     by = {}
     for r in sorted(got, key=lambda r: (r.conv_id, r.chunk, r.pos)):
         by.setdefault(r.conv_id, []).append(r)
-    assert len({r.chunk for r in by[99]}) > 1, "a long conversation is spread over tasks"
-    for c, turns in by.items():
-        roles = re.findall(r"<\|im_start\|>(\w+)\n", "".join(r.piece for r in turns))
-        body = roles[1:] if roles[0] == "system" else roles
-        assert body == ["user", "assistant"] * (len(body) // 2)
-        assert "".join(r.piece for r in turns).count("<|im_end|>") == len(roles)
-        if c != 99:
-            assert sum(r.cost for r in turns) == brute_cost(convs[c]), convs[c]
-    last = chat_repair.forward([chat_repair.state_of(r.role) for r in sorted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("conv_id = 99").collect(), key=lambda r: r.turn)], chat_repair.entry(0))[0]
+    assert len({r.chunk for r in by[99]}) > 2, "a long conversation is cut into bounded chunks"
+    assert [r.turn for r in by[99]] == list(range(9000))
+    for c, roles in enumerate(convs):
+        turns = by[c]
+        ways = all_repairs(roles)
+        cost = sum(r.cost for r in turns)
+        assert cost == min(w[0] for w in ways), roles
+        # what it did is one of the cheapest ways, and the pieces are that way's text
+        mine = [w for w in ways if w[0] == cost and w[1] == [(r.role, r.action, r.inserted) for r in turns]]
+        assert "".join(r.piece for r in turns) in [rendered([f"t{k}" for k in range(len(roles))], w) for w in mine], roles
+    roles = re.findall(r"<\|im_start\|>(\w+)\n", "".join(r.piece for r in by[99]))
+    assert roles == ["user", "assistant"] * (len(roles) // 2)
+    last = chat_repair.forward([chat_repair.state_of(r[2]) for r in rows if r[0] == 99], chat_repair.entry(0))[0]
     assert sum(r.cost for r in by[99]) == min(c + chat_repair._END[s][0] for s, c in enumerate(last))
 
 
 def test_chat_odd(spark):
     s = "conv_id long, turn long, role string, text string"
     assert chat_repair.repair(spark.createDataFrame([], s)).count() == 0
-    got = chat_repair.repair(spark.createDataFrame([(None, 1, "User ", None), (1, None, None, "a"), (1, None, None, "a"), (2, 1, "system", "s")], s).withColumn("chunk", F.lit("x"))).collect()
+    got = chat_repair.repair(spark.createDataFrame([(None, 1, "User ", None), (1, None, None, "a"), (1, None, None, "a"), (2, 1, "system", "s")], s).withColumn("chunk", F.lit("x")).withColumn("tie", F.lit("x")).withColumn("k", F.lit("x"))).collect()
     assert len(got) == 4
+    long = "long " * 2_000_000
+    got = chat_repair.repair(spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", long) for k in range(4)], s)).collect()
+    assert [r.action for r in sorted(got, key=lambda r: (r.chunk, r.pos))] == ["keep"] * 4 and all(long in r.piece for r in got)
 
 
 # 6
