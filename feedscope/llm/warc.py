@@ -1,17 +1,22 @@
 """WARC archives written and read as Spark jobs, with segment reassembly.
 
 Writing: one record for each page, its payload in an HTTP response with chunked transfer framing. Of equal
-payloads the page with the smallest id is a response, the others revisit it. A block longer than a segment goes
-on in continuation records. Files are written by Spark's text writer: a WARC record ends with two line breaks,
-which is the line separator here.
+payloads the page with the smallest id is a response, the others revisit it; that is decided on digests and ids alone.
+A block longer than a segment goes on in continuation records. Every record is a gzip member of its own, so that a reader
+can start at any of them. A file's bytes are one row of Spark's text writer; the line separator that ends it is an
+empty gzip member.
 
 Reading: continuation records are grouped by the id of their origin record and stand in order of their segment
 number; the total length is verified and chunked framing decoded. A payload is never held whole: its parts run
 through a decoder and a digest one after another. A record that is cut or doesn't add up gives a row with
 ``error`` and no digest.
 
-Defined cases: a null payload is empty; a null url is written as ``urn:none``; pages with the same id and payload
-are responses both; an empty table writes no record and reads back as no rows; columns other than page_id, url
+A record's id is its page's, with the payload's digest where a page_id has several payloads, and a number where rows have
+the same id and payload. It depends on the pages alone, and ``WARC-Refers-To`` names such an id.
+
+Defined cases: a null or empty payload is empty, a very long one is cut into segments; a null url is written as
+``urn:none``; rows with the same id and payload are responses all, if their id is the smallest with it; rows without a
+page_id are responses; an empty table writes no record and reads back as no rows; columns other than page_id, url
 and html are not read. Revisits keep the length of the payload in their HTTP header.
 """
 
@@ -24,14 +29,15 @@ from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import scratch_path
+from feedscope.llm.common import scratch_path, slices
 
-#: Bytes of a chunk and of a segment's block; records of a file.
-CHUNK, SEGMENT, RECORDS = 4096, 16384, 4000
+#: Bytes of a chunk, of a segment's block and of a file.
+CHUNK, SEGMENT, FILE_BYTES = 4096, 16384, 16_000_000
+#: Fixed value: an empty gzip member, which ends a file.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 _DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, error string, origin string, segment int, total long, data binary"
@@ -46,12 +52,22 @@ def sha1_base32(data: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for responses)."""
+    """page_id, url, payload, payload_bytes, payload_digest, record_id, refers_to and refers_id (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), sha1_base32(payload.cast("binary")).alias("payload_digest"))
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    own = F.col("first").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("first"))
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~own & (F.col("payload_bytes") >= least_bytes), F.col("first")).alias("refers_to"))
+    # a narrow row for each page_id and payload; what is decided comes back by both, so that no payload is a hot key
+    each = rows.groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n"))
+    several = each.groupBy("page_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    same_id = F.col("e.page_id").eqNullSafe(F.col("s.page_id"))
+    each = each.alias("e").join(several.alias("s"), same_id).select("e.*", "several")
+    plain = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    record_id = F.when(F.col("several") | F.col("page_id").isNull(), F.concat_ws(":", plain, "payload_digest")).otherwise(plain)
+    each = each.select("page_id", "payload_digest", "n", record_id.alias("record_id"))
+    first = each.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"))
+    own = F.col("first").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("first.page_id")) | (F.col("n") < least_bytes)
+    other = lambda c: F.when(~own, F.col(f"first.{c}"))
+    planned = each.join(first, "payload_digest", "left").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "record_id", other("page_id").alias("refers_to"), other("record_id").alias("refers_id"))
+    return rows.join(planned, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))).drop("p", "d")
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -65,12 +81,12 @@ def _record(kind: str, rid: str, url: str, block: bytes, **more: object) -> byte
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, mark: str, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of a page. ``mark`` tells apart rows that repeat a page_id."""
-    rid, url = f"urn:page:{'' if page_id is None else page_id}:{mark}", re.sub(r"\s", "%20", url or "urn:none")
+def records(rid: str, url: str | None, payload: bytes, digest: str, refers: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of a page; ``refers`` is the id of the record that it revisits."""
+    url = re.sub(r"\s", "%20", url or "urn:none")
     if refers is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield _record("revisit", rid, url, block, WARC_Refers_To=f"<urn:page:{refers}>", WARC_Payload_Digest=f"sha1:{digest}", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        yield _record("revisit", rid, url, block, WARC_Refers_To=f"<{refers}>", WARC_Payload_Digest=f"sha1:{digest}", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
@@ -80,28 +96,36 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     yield _record("response", rid, url, parts[0], WARC_Payload_Digest=f"sha1:{digest}", WARC_Segment_Number=1)
     for k, part in enumerate(parts[1:], 2):
         last = len(block) if k == len(parts) else None
-        yield _record("continuation", f"{rid}:{k}", url, part, WARC_Segment_Origin_ID=f"<{rid}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=last)
+        yield _record("continuation", f"{rid}:segment:{k}", url, part, WARC_Segment_Origin_ID=f"<{rid}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=last)
 
 
-def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, n = TaskContext.get().partitionId(), 0
-    for b in batches:
-        out, grown = [], 0
-        for page_id, url, payload, digest, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True):
-            n += 1
-            for r in records(page_id, url, payload.encode(), digest, refers, f"{task}.{n}"):
-                out.append(r)
-                grown += len(r)
-            if grown > 8_000_000:
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
-                out, grown = [], 0
-        yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+def _member(record: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record + _END) + z.flush()
+
+
+def _to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file, from rows sorted by id and payload."""
+    out, held, last, number = [], 0, None, 0
+    for b in slices(batches, 256):
+        for rid, url, payload, digest, refers in zip(*(b.column(c).to_pylist() for c in ("record_id", "url", "payload", "payload_digest", "refers_id")), strict=True):
+            number = number + 1 if (rid, digest) == last else 1
+            last = (rid, digest)
+            for r in records(rid if number == 1 else f"{rid}:row:{number}", url, payload.encode(), digest, refers):
+                out.append(_member(r))
+                held += len(out[-1])
+            if held >= FILE_BYTES:
+                yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], names=["value"])
+                out, held = [], 0
+    if out:
+        yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], names=["value"])
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write the pages as gzipped WARC files of a bounded number of records below ``path``."""
-    rows = plan_records(pages, least_bytes).mapInArrow(_to_records, "value binary").select(F.col("value").cast("string").alias("value"))
-    rows.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """Write the pages as gzipped WARC files of a bounded number of bytes below ``path``."""
+    rows = plan_records(pages, least_bytes).repartition("record_id", "payload_digest").sortWithinPartitions("record_id", "payload_digest", "url")
+    files = rows.mapInArrow(_to_files, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 class Payload:
