@@ -8,9 +8,12 @@ ended by the table's magic number. Readers decompress the frames of requested do
 Shards are made in parallel over ranges of doc_id and written by Spark's text writer: one row is one file, and
 the line separator that ends it is the seek table's magic number.
 
-Defined cases: a null text is empty and has the end id alone; a null doc_id comes first; repeated rows are stored
-each, in any order among themselves; an empty table writes no shard and reads back as no rows; columns other
-than doc_id and text are not read.
+``write_index`` lists each shard's documents from first to last, so that a reader opens those shards only that may hold
+the requested ones.
+
+Defined cases: a null or empty text is empty and has the end id alone; a very long text is one frame; a null doc_id comes
+first; rows that share a doc_id are stored each, in any order among themselves; an empty table writes no shard and reads
+back as no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +42,6 @@ SEEK_FRAME, INDEX_FRAME, MAGIC = 0x184D2A5E, 0x184D2A5D, b"\xb1\xea\x92\x8f"
 #: Compressed bytes and documents of a shard, and the distinct words that a worker remembers.
 SHARD_BYTES, SHARD_DOCS, REMEMBERED = 4_000_000, 20_000, 250_000
 _SKIP = struct.Struct("<II")
-_NULL = -(1 << 63)
 #: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the other
 #: bytes in order for the characters from U+0100 on.
 BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
@@ -124,8 +126,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def seal(frames: list[bytes], sizes: list[int], sums: list[int], docs: list[int | None], order: tuple[int, int]) -> bytes:
-    """A shard's bytes without the magic number at its end."""
-    index = struct.pack("<II", *order) + np.array([_NULL if d is None else d for d in docs], "<i8").tobytes() + np.array(sizes, "<u8").tobytes()
+    """A shard's bytes without the magic number at its end; documents without an id are its first."""
+    index = struct.pack("<III", *order, docs.count(None)) + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(sizes, "<u8").tobytes()
     table = b"".join(struct.pack("<III", len(f), n, s) for f, n, s in zip(frames, sizes, sums, strict=True))
     foot = struct.pack("<IB", len(frames), 0x80)
     return b"".join((*frames, _SKIP.pack(INDEX_FRAME, len(index)), index, _SKIP.pack(SEEK_FRAME, len(table) + len(foot) + 4), table, foot))
@@ -174,10 +176,10 @@ class Shard:
         self.stops = np.cumsum(table[:, 0].astype(np.int64))
         at = int(self.stops[-1]) if n else 0
         kind, length = _SKIP.unpack_from(data, at)
-        if kind != INDEX_FRAME or length != 8 + 16 * n:
+        if kind != INDEX_FRAME or length != 12 + 16 * n:
             raise ValueError("no index")
-        self.order = struct.unpack_from("<II", data, at + 8)
-        self.docs = np.frombuffer(data, "<i8", n, at + 16)
+        *self.order, self.n_null = struct.unpack_from("<III", data, at + 8)
+        self.docs = np.frombuffer(data, "<i8", n, at + 20)
         self._z = zstandard.ZstdDecompressor()
 
     def __len__(self) -> int:
@@ -201,7 +203,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = Shard(content.as_py())
             n = (s.sizes // 4).astype(np.int64)
             crc = [zlib.crc32(s.raw(k)) for k in range(len(s))]
-            docs = [None if d == _NULL else d for d in s.docs.tolist()]
+            docs = [None] * s.n_null + s.docs[s.n_null :].tolist()
             size = len(s)
             yield pa.record_batch([pa.array([s.order[0]] * size, pa.int64()), pa.array([s.order[1]] * size, pa.int64()), pa.array(docs, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["task", "number", "doc_id", "within", "n_tokens", "ids_crc32"])
 
@@ -214,25 +216,54 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every stored document, every frame's checksum verified."""
     rows = _files(spark, path).mapInArrow(_digests, "task long, number long, doc_id long, within long, n_tokens long, ids_crc32 long")
     rows = materialise(rows, "digests")  # the shards are read once
-    # a row for each shard; their running sum is the only thing that goes in order
+    # running sums over the shards of a task and over the tasks: a task's shards and the tasks are few
     totals = rows.groupBy("task", "number").agg(F.sum("n_tokens").alias("n"))
-    run = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("offset", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = totals.withColumn("inner", F.coalesce(F.sum("n").over(up_to(Window.partitionBy("task").orderBy("number"))), F.lit(0))).drop("n")
+    outer = totals.groupBy("task").agg(F.sum("n").alias("n")).withColumn("outer", F.coalesce(F.sum("n").over(up_to(Window.orderBy("task"))), F.lit(0))).drop("n")
+    offsets = inner.join(outer, "task").select("task", "number", (F.col("inner") + F.col("outer")).alias("offset"))
     return rows.join(offsets, ["task", "number"]).select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_documents(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
-    """doc_id and ids of requested documents; other frames stay compressed."""
-    wanted = np.array(sorted(doc_ids), np.int64)
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            s = Shard(content.as_py())
+            some = len(s) > s.n_null
+            yield pa.record_batch([pa.array([path]), pa.array([len(s)], pa.int64()), pa.array([int(s.docs[s.n_null]) if some else None], pa.int64()), pa.array([int(s.docs[-1]) if some else None], pa.int64())], names=["path", "n_docs", "first", "last"])
+
+
+def write_index(spark: SparkSession, path: str, index: str) -> None:
+    """A table of the shards: path, n_docs, first and last doc_id."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files.mapInArrow(_ranges, "path string, n_docs long, first long, last long").write.parquet(index)
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Sequence[int], index: str | None = None) -> DataFrame:
+    """doc_id and ids of requested documents; other frames stay compressed, and with an index other shards unread.
+
+    The list of ids is the caller's; the shards that are opened are at most as many as they reach into.
+    """
+    wanted = np.array(sorted(set(doc_ids)), np.int64)
+    schema = "doc_id long, ids array<long>"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
                 s = Shard(content.as_py())
-                for k in np.nonzero(np.isin(s.docs, wanted))[0]:
+                held = np.isin(s.docs, wanted)
+                held[: s.n_null] = False
+                for k in np.nonzero(held)[0]:
                     yield pa.record_batch([pa.array([int(s.docs[k])], pa.int64()), pa.array([s.ids(int(k)).tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(pick, "doc_id long, ids array<long>")
+    if index is None:
+        return _files(spark, path).mapInArrow(pick, schema)
+    asked = F.array(*[F.lit(int(d)) for d in wanted]) if len(wanted) else F.array().cast("array<bigint>")
+    hit = spark.read.parquet(index).where(F.exists(asked, lambda d: d.between(F.col("first"), F.col("last"))))
+    paths = [r["path"] for r in hit.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(pick, schema)
 
 
 def shard_digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -290,7 +290,7 @@ def test_warc_pages(spark, sf):
 
 def test_warc_segments_out_of_order_and_lost(spark, tmp_path):
     payload = bytes(range(256)) * 300
-    parts = list(warc.records(9, "http://x", payload, "", None, "0.1", segment=1000))
+    parts = list(warc.records("urn:page:9", "http://x", payload, "", None, segment=1000))
     for name, kept, error in (("mixed", parts[::-1] + [parts[3]], None), ("lost", parts[:4] + parts[5:], "segment missing"), ("short", parts[:-1], "total length differs")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "a.warc").write_bytes(b"".join(p + b"\r\n\r\n" for p in kept))
@@ -298,6 +298,32 @@ def test_warc_segments_out_of_order_and_lost(spark, tmp_path):
         assert len(r) == 1 and r[0].error == error and (r[0].payload_bytes == len(payload) if error is None else r[0].payload_digest is None)
 
 
+def test_archives_for_other_readers(spark, tmp_path):
+    """Ids are unique, whatever the partitioning; revisits name one of them; each record can be read from its own place."""
+    import gzip
+
+    rows = [(k, "http://u", "same" if k % 3 == 0 else "", ) for k in range(12)] + [(3, "http://v", "same"), (3, "http://v", "same"), (4, "w", "own"), (None, "n", "same"), (5, "big", "text " * 20_000)]
+    ids = []
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        warc.write_archives(df, str(tmp_path / str(n)))
+        found = []
+        for f in sorted((tmp_path / str(n)).glob("part-*")):
+            data = f.read_bytes()
+            assert data.endswith(warc.EMPTY_MEMBER)
+            assert [x for x, _ in warc.parse(gzip.decompress(data))] == [x for x, _ in warc.parse(warc.unpack(data))]
+            at = 0
+            while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+                z = __import__("zlib").decompressobj(31)
+                record = z.decompress(data[at:])
+                at = len(data) - len(z.unused_data)
+                found += [fields for fields, _ in warc.parse(record)]
+        names = [x["warc-record-id"] for x in found]
+        assert len(set(names)) == len(names) and {x["warc-refers-to"] for x in found if x["warc-type"] == "revisit"} <= set(names)
+        ids.append(sorted(names))
+    assert ids[0] == ids[1] and sum(x["warc-type"] == "continuation" for x in found) > 1
+
+
 def test_chunked_by_any_split():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"hello world" * 50, 7)
     for size in (1, 2, 3, 50, 10_000):
@@ -426,6 +452,9 @@ def test_token_shards(spark, sf, docs, odd, none):
     got = token_shards.shard_digest(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
     assert sorted(map(tuple, got)) == sorted(want(rows))
     strange = [(a, b) for a, b, _, _ in ODD]
+    least = [(-(1 << 63), "least id"), (None, "a"), (None, "b"), (0, "zero")]
+    back = token_shards.shard_digest(spark.createDataFrame(least, "doc_id long, text string"), path).collect()
+    assert sorted((r.start, r.doc_id) for r in back)[2:] == sorted((r.start, r.doc_id) for r in back if r.doc_id is not None) and {r.doc_id for r in back} == {None, 0, -(1 << 63)}
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, token_shards.shard_digest(odd, path).collect()), key=key) == sorted(want(strange), key=key)
     assert token_shards.shard_digest(none, path).count() == 0
@@ -443,6 +472,10 @@ def test_shard_file(spark, tmp_path, docs):
     assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == plain, "any zstandard reader can read the file"
     some = token_shards.read_documents(spark, str(tmp_path / "s"), [3, 77]).collect()
     assert {r.doc_id for r in some} == {3, 77}
+    token_shards.write_index(spark, str(tmp_path / "s"), str(tmp_path / "i"))
+    assert sorted(map(repr, token_shards.read_documents(spark, str(tmp_path / "s"), [77, 3, 3], str(tmp_path / "i")).collect())) == sorted(map(repr, some))
+    assert token_shards.read_documents(spark, str(tmp_path / "s"), [-5], str(tmp_path / "i")).count() == 0
+    assert sum(r.n_docs for r in spark.read.parquet(str(tmp_path / "i")).collect()) == docs.count()
     broken = bytearray(data)
     broken[12] ^= 255
     with pytest.raises(Exception):  # noqa: B017
