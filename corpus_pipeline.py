@@ -1,11 +1,17 @@
-"""A training corpus from documents, stage by stage; each stage is read back from Parquet by the next."""
+"""A training corpus from documents, stage by stage; each stage is read back from Parquet by the next.
+
+Defined cases: rows without a doc_id and rows that share one are judged, kept and taken row by row; a text that is null or
+has no letter has no language and goes; very long texts are handled whole; of equal texts the row with the smallest doc_id
+stays; columns beside those of documents are carried, whatever their names, up to the last stage; an empty table gives
+an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from feedscope.llm import decontam, language_id, ngram_join, source_mix, token_shards
-from feedscope.llm.common import load, materialise
+from feedscope.llm.common import drop_written, load, materialise, written
 from feedscope.llm.queries import tokenizer_path
 
 
@@ -49,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        drop_written(spark, before, keep=1)  # what the stage wrote for itself
     return STAGES[-1][1](spark, docs, sf_dir)
