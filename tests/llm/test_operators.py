@@ -764,6 +764,19 @@ def test_stages_go_by_rows(spark):
     assert {tuple(r) for r in language_id.in_known_language(strange).collect()} <= set(rows)
 
 
+def test_pipeline_on_odd_tables(spark, sf, odd, none):
+    """Null and repeated ids, clashing columns, empty tables: every stage carries the columns, and rows go or stay whole."""
+    import corpus_pipeline
+
+    for table in (odd, none):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = spark.createDataFrame(stage(spark, kept, sf).toArrow(), table.schema)
+            assert kept.columns == table.columns, name
+            assert set(map(tuple, kept.collect())) <= set(map(tuple, table.collect())), name
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == kept.count()
+
+
 def test_pipeline_by_stages(spark, sf):
     import corpus_pipeline
 
