@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedscope.llm.common import keyed, materialise, may_hold, slices
@@ -40,7 +40,7 @@ STEPS = (16, 32, 64, 128)
 #: Members in a block and bytes of their sets, on average: a task holds two blocks.
 BLOCK, BLOCK_BYTES = 1024, 32_000_000
 _WORD = re.compile(r"\w+")
-_SIGNED = "row long, doc_id long, set_hash binary, n int, keys array<long>, sig binary, sh binary"
+_SIGNED = "row long, doc_id long, text_hash long, set_hash binary, n int, sig binary"
 _PLACE = [("bkey", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("band", pa.int32()), ("own", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())]
 _MEMBER, _GROUP = pa.schema(_PLACE), pa.schema([*_PLACE, ("sh", pa.binary())])
 _MEMBER_SQL = "bkey long, bi int, bj int, band int, own int, rep long, copies long, n int, sig binary"
@@ -115,36 +115,41 @@ def least_matches(t: float, tolerance: float) -> dict[int, int]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    names = ["row", "doc_id", "set_hash", "n", "keys", "sig", "sh"]
+    types = (pa.binary(), pa.int32(), pa.binary())
     for b in slices(batches, 256):
         out: list[list] = [[] for _ in types]
         for text in b.column("text").to_pylist():
             sh = shingles(text)
-            row = (None, 0, None, None, None)
-            if len(sh):
-                data, sig = sh.tobytes(), signature(sh)
-                bands = sig.reshape(BANDS, ROWS)
-                keys = [xxhash.xxh64_intdigest(bands[k].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
-                row = (xxhash.xxh128_digest(data), len(sh), keys, sig.tobytes(), data)
+            row = (xxhash.xxh128_digest(sh.tobytes()), len(sh), signature(sh).tobytes()) if len(sh) else (None, 0, None)
             for c, v in zip(out, row, strict=True):
                 c.append(v)
-        yield pa.record_batch([b.column("row"), b.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=names)
+        kept = [b.column(c) for c in ("row", "doc_id", "text_hash")]
+        yield pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["row", "doc_id", "text_hash", "set_hash", "n", "sig"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """A row for each row: a key of its own, doc_id, and its set (null without words) with hash, size, band keys, MinHash values."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """A row for each row: a key of its own, doc_id, the hash of its text, and its set's hash, size and MinHash values (null without words)."""
+    rows = _texts(docs).withColumn("row", F.monotonically_increasing_id())
     return materialise(rows.mapInArrow(_signed, _SIGNED), "signed")
 
 
+def band_keys(sig: Column) -> Column:
+    """A hash of each band's MinHash values, read off the packed ones."""
+    width = 4 * ROWS
+    return F.array(*[F.xxhash64(F.substring(sig, 1 + width * k, width), F.lit(k)) for k in range(BANDS)])
+
+
 def _shared_buckets(reps: DataFrame, block: int) -> DataFrame:
     """(bkey, band, n_blocks) of the buckets that two or more representatives share; equal ones once.
 
     Two buckets with the same count, the same xor of hashed members and the same smallest and largest member are
     the same set; the lowest band stands for all.
     """
-    rows = reps.select("rep", "n", F.posexplode("keys").alias("band", "bkey"))
+    rows = reps.select("rep", "n", F.posexplode(band_keys(F.col("sig"))).alias("band", "bkey"))
     held = F.sum(F.col("n").cast("long") * 8).alias("held")
     by = rows.groupBy("bkey", "band").agg(F.count(F.lit(1)).alias("n"), held, F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     kept = by.where("n > 1").groupBy("n", "held", "x", "lo", "hi").agg(F.min(F.struct("band", "bkey")).alias("b"))
@@ -192,6 +197,18 @@ def candidates(group: list[tuple], t: float, tolerance: float) -> Iterator[tuple
             yield i, js
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of representatives, from texts; a text whose hash is another one's by chance is passed over."""
+    for b in slices(batches, 256):
+        reps, out = [], []
+        for rep, text, want in zip(*(b.column(c).to_pylist() for c in ("rep", "text", "set_hash")), strict=True):
+            data = shingles(text).tobytes()
+            if xxhash.xxh128_digest(data) == want:
+                reps.append(rep)
+                out.append(data)
+        yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(out, pa.binary())], names=["rep", "sh"])
+
+
 def _surviving(batches: Iterator[pa.RecordBatch], t: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     """The members that are in any pair left: a row each, not one for each pair."""
     for group in _groups(batches):
@@ -277,15 +294,15 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def _classes(signed: DataFrame, similarity: float, tolerance: float, block: int) -> DataFrame:
+def _classes(docs: DataFrame, signed: DataFrame, similarity: float, tolerance: float, block: int) -> DataFrame:
     """set_hash, text_id, class_id (smallest doc_ids of the set and of its component; null where none has one), n_links."""
-    least = F.min("doc_id").alias("text_id")
-    classes = signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), least)
-    classes = materialise(classes, "classes")
-    chosen = classes.select(F.col("rep").alias("row"), "copies")
-    reps = signed.select("row", "n", "keys").join(chosen, "row").withColumnRenamed("row", "rep")
-    shared = _shared_buckets(reps, block)
-    places = reps.select("rep", "copies", F.posexplode("keys").alias("band", "bkey")).join(shared, ["bkey", "band"])
+    first = F.min(F.struct(F.col("row").alias("rep"), F.col("doc_id").alias("rep_doc"), "text_hash")).alias("r")
+    classes = signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(first, F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("text_id"))
+    classes = materialise(classes.select("set_hash", "r.*", "copies", "text_id"), "classes")
+    reps = signed.select(F.col("row").alias("rep"), "n", "sig").join(classes.select("rep", "copies"), "rep")
+    shared = materialise(_shared_buckets(reps, block), "shared")
+    places = reps.select("rep", "copies", F.posexplode(band_keys(F.col("sig"))).alias("band", "bkey"))
+    places = may_hold(places, shared, "bkey", 1 << 18).join(shared, ["bkey", "band"])
     places = materialise(places.select("rep", "copies", "band", "bkey", "n_blocks"), "places")
 
     # MinHash values go to every pair of blocks that their block is in
@@ -298,8 +315,11 @@ def _classes(signed: DataFrame, similarity: float, tolerance: float, block: int)
     pruned = members.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it: _surviving(it, similarity, tolerance), _MEMBER_SQL)
     pruned = materialise(pruned, "pruned")
 
-    # the sets follow for those that are left
-    sets = may_hold(signed.select(F.col("row").alias("rep"), "sh"), pruned, "rep")
+    # the sets of those that are left are made from one text each, and follow
+    wanted = pruned.select("rep").distinct().join(classes.select("rep", "rep_doc", "text_hash", "set_hash"), "rep").withColumnRenamed("text_hash", "wanted_hash")
+    texts = may_hold(_texts(docs), wanted.select(F.col("wanted_hash").alias("text_hash")), "text_hash")
+    texts = texts.join(wanted, (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("rep", "set_hash", "text").dropDuplicates(["rep"])
+    sets = texts.mapInArrow(_sets, "rep long, sh binary")
     whole = pruned.join(sets, "rep").select(*_MEMBER.names, "sh").repartition(*key).sortWithinPartitions(*key)
     links = materialise(whole.mapInArrow(lambda it: _linked(it, similarity, tolerance), "rep long, n_linked long, low long"), "links")
 
@@ -315,7 +335,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, tolerance
     """A row for each row with a doc_id: doc_id, text_id (the smallest doc_id with its exact set), class_id (the smallest
     doc_id that it is connected with by links) and n_links (rows that it is linked with)."""
     signed = text_classes(docs)
-    known = _classes(signed, similarity, tolerance, block).select("set_hash", "text_id", "class_id", "n_links")
+    known = _classes(docs, signed, similarity, tolerance, block).select("set_hash", "text_id", "class_id", "n_links")
     out = signed.where(F.col("doc_id").isNotNull()).select("doc_id", "set_hash").join(known, "set_hash", "left")
     return out.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
