@@ -1,18 +1,12 @@
-"""Texts shown to readers: values, conditions, credit lines."""
+"""Texts shown to readers; the wording is the caller's."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The wording of credit lines; a user gives their own.
-WORDING = {
-    "automatic": "Drafted automatically", "unread": "Published without being read first", "alone": "wrote this without a model", "built": "built and ran this", "chose": "picked the subject and the angle",
-    "asked": "commissioned this", "notes": "wrote it up from notes", "drafted": "drafted it", "checked": "checked the claims against the source", "rewrote": "rewrote what was wrong", "model": "a language model",
-}
-
 
 def value_text(value: Column, unit: Column) -> Column:
     one = F.format_string("%.1f", value)
@@ -22,32 +16,21 @@ def value_text(value: Column, unit: Column) -> Column:
     )
 
 
-def conditions_line(effort: Column, shots: Column, tools: Column, temperature: Column, harness: Column, notes: Column, limit: int | None = 90) -> Column:
-    """What moved a score, in one line; missing parts are left out. With a limit, notes are cut and the short forms used."""
-    has = lambda c: c.isNotNull() & (c != "")
-    short = limit is not None
-    note = notes if not short else F.when(F.length(notes) > limit, F.concat(F.rtrim(F.substring(notes, 1, limit)), F.lit("…"))).otherwise(notes)
-    return F.concat_ws(
-        " · ",
-        F.when(has(effort), F.concat(F.lit("effort " if short else "reasoning effort: "), effort)),
-        F.when((shots == 0) & F.lit(short), "zero-shot").when(shots.isNotNull(), F.concat(shots.cast("string"), F.lit("-shot"))),
-        F.when(tools, "tools" if short else "tools available").when(~tools, "no tools"),
-        F.when(temperature.isNotNull(), F.concat(F.lit("temp " if short else "temperature "), temperature.cast("string"))),
-        F.when(has(harness), harness if short else F.concat(F.lit("harness: "), harness)),
-        F.when(has(notes), note),
-    )
-
-
-def credit_line(credit: Column, author: Column, model: Column, publisher: Column, day: Column, done: Mapping[str, Column], wording: Mapping[str, str] = WORDING) -> Column:
-    """Who did what, by the flags built, chose, checked, rewrote; a step whose flag is false or null isn't mentioned."""
-    w, blank = {k: F.lit(v) for k, v in wording.items()}, F.lit(" ")
-    flag = {k: F.coalesce(done[k], F.lit(False)) for k in ("built", "chose", "checked", "rewrote")}
-    name = F.when(F.coalesce(F.trim(model), F.lit("")) == "", w["model"]).otherwise(F.trim(model))
-    origin = F.when(publisher.isNotNull(), F.concat(F.lit(" from "), publisher, F.concat(F.lit(", "), day, F.lit(","))))
-    automatic = F.concat(w["automatic"], F.coalesce(origin, F.lit("")), F.lit(" using "), name, F.lit(". "), w["unread"], F.lit("."))
-    alone = F.concat(author, blank, w["alone"], F.lit("."), F.when(flag["built"], F.concat(blank, author, blank, w["built"], F.lit("."))).otherwise(""))
-    opening = F.concat(author, blank, F.when(flag["built"], w["built"]).when(flag["chose"], w["chose"]).otherwise(w["asked"]))
-    drafting = F.concat(name, blank, F.when(flag["built"], w["notes"]).otherwise(w["drafted"]))
-    after = F.concat_ws(" and ", F.when(flag["checked"], w["checked"]), F.when(flag["rewrote"], w["rewrote"]))
-    directed = F.concat(F.concat_ws("; ", opening, drafting, F.when(after != "", F.concat(author, blank, after))), F.lit("."))
-    return F.when(credit == "automatic", automatic).when(credit == "written", alone).otherwise(directed)
+def cut(text: Column, limit: int) -> Column:
+    """At most ``limit`` characters, with an ellipsis where it was cut."""
+    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("…"))).otherwise(text)
+
+
+def summary(parts: Sequence[tuple[str, Column]], between: str = " · ") -> Column:
+    """Labelled values in one line, in order; blank values, and their labels, are left out."""
+    shown = [F.when(F.trim(v.cast("string")) != "", F.concat(F.lit(label), v.cast("string"))) for label, v in parts]
+    return F.concat_ws(between, *shown)
+
+
+def disclosure(kind: Column, clauses: Mapping[str, Sequence[tuple[Column, Column]]], between: str = "; ") -> Column:
+    """One sentence a kind: the clauses whose condition holds, in order, and a full stop; null for an unknown kind."""
+    line = F.lit(None).cast("string")
+    for name, listed in clauses.items():
+        said = F.concat(F.concat_ws(between, *[F.when(F.coalesce(c, F.lit(False)), text) for c, text in listed]), F.lit("."))
+        line = F.when(kind == name, said).otherwise(line)
+    return line

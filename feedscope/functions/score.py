@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -50,15 +50,22 @@ class Interests:
     low: Sequence[str]
 
 
+def with_vocabulary(topics: Column, words: Mapping[str, str]) -> Column:
+    """What a vocabulary says about an item's topics; topics that it lacks say nothing."""
+    known = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    return F.array_join(F.transform(topics, lambda t: F.coalesce(F.try_element_at(known, t), F.lit(""))), " ")
+
+
 def matched(text: Column, tier: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """Interests of which any signal is in the text."""
     return F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, signals)), lambda s: F.contains(text, s)), F.lit(name)) for name, signals in tier]))
 
 
 def relevance(text: Column, topics: Column, in_section: Column, deep: Column, starvation: Column, interests: Interests) -> Column:
-    """struct(total, bucket): matches, fit, depth, starvation bonus and low-interest penalty."""
+    """struct(total, bucket, strong, medium): matches, fit, depth, starvation bonus and low-interest penalty, and what matched."""
     low = F.lower(text)
-    n_strong, n_medium = F.size(matched(low, interests.strong)), F.size(matched(low, interests.medium))
+    strong_ones, medium_ones = matched(low, interests.strong), matched(low, interests.medium)
+    n_strong, n_medium = F.size(strong_ones), F.size(medium_ones)
     share = lambda n: F.least(F.lit(1000), 700 + 150 * (n - 1))
     strong = F.when(n_strong > 0, 45 * share(n_strong)).otherwise(0)
     medium = F.when((n_strong == 0) & (n_medium > 0), 20 * share(n_medium)).otherwise(0)
@@ -66,4 +73,4 @@ def relevance(text: Column, topics: Column, in_section: Column, deep: Column, st
     penalty = F.when(F.exists(F.array(*map(F.lit, interests.low)), lambda s: F.contains(low, s)), -25000).otherwise(0)
     total = strong + medium + fit + F.when(deep, 10000).otherwise(0) + 1000 * starvation + penalty
     bucket = F.when(n_strong > 0, "strong").when(n_medium > 0, "adjacent").otherwise("serendipity")
-    return F.struct(tenths(F.greatest(total, F.lit(0))).alias("total"), bucket.alias("bucket"))
+    return F.struct(tenths(F.greatest(total, F.lit(0))).alias("total"), bucket.alias("bucket"), strong_ones.alias("strong"), medium_ones.alias("medium"))

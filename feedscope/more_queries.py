@@ -46,18 +46,18 @@ def archive_upsert(spark, d):
     return archive.upsert_archive(old, new, ["relevance"])
 
 
-@Q.query(f"""WITH {Q._SCORED}, v AS (SELECT unnest([{", ".join(f"'{t}'" for t, _ in Q.TOPICS)}, 'none']) AS topic), t AS (SELECT unnest(topics) AS topic, published FROM scored WHERE id % 7 = 1 AND published <= DATE '2024-01-28'),
+@Q.query(f"""WITH {Q._SCORED}, v AS (SELECT unnest([{", ".join(f"'{t}'" for t, _ in Q.TOPICS)}, 'none']) AS topic), t AS (SELECT unnest(topics) AS topic, published FROM scored WHERE published <= DATE '2024-01-28'),
 l AS (SELECT topic, max(published) AS last FROM t GROUP BY topic) SELECT topic, last, CASE WHEN last IS NULL THEN 10.0 ELSE least(10.0, greatest(0.0, (DATE '{_DAY}' - last - 10) * 1.0)) END::DOUBLE AS bonus FROM v LEFT JOIN l USING (topic)""")
 def starved_topics(spark, d):
     vocab = spark.createDataFrame([(t,) for t, _ in Q.TOPICS] + [("none",)], "topic string")
-    x = Q.scored(spark, d).where("id % 7 = 1 AND published <= date'2024-01-28'").select(F.explode("topics").alias("topic"), "published")
+    x = Q.scored(spark, d).where("published <= date'2024-01-28'").select(F.explode("topics").alias("topic"), "published")
     return archive.starved(x, vocab, F.lit(_DAY).cast("date"), rules.starvation)
 
 
 @Q.query(f"""WITH {Q._MEAS} SELECT id, lower(regexp_replace(benchmark, '[^A-Za-z0-9]+', '-', 'g')) || '--' || model::VARCHAR || '--' || measured_at::VARCHAR || '--' ||
-  substr(sha256('{{"notes": "' || conditions || '", "shots": "' || (seq % 5)::VARCHAR || '"}}'), 1, 4) AS stem FROM m""")
+  substr(sha256('{{"notes": "' || conditions || '", "shots": ' || (seq % 5)::VARCHAR || ', "tools": ' || (seq % 2 = 0)::VARCHAR || '}}'), 1, 4) AS stem FROM m""")
 def measurement_ids(spark, d):
-    digest = rules.conditions_digest([("shots", F.col("seq") % 5), ("notes", F.col("conditions")), ("harness", F.lit(None).cast("string"))])
+    digest = rules.conditions_digest([("shots", F.col("seq") % 5), ("notes", F.col("conditions")), ("harness", F.lit(None).cast("string")), ("tools", F.col("seq") % 2 == 0)])
     name = F.lower(F.regexp_replace("benchmark", "[^A-Za-z0-9]+", "-"))
     return Q.measurements(spark, d).select("id", F.concat_ws("--", name, F.col("model").cast("string"), F.col("measured_at").cast("string"), digest).alias("stem"))
 

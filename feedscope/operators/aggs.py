@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ def gate_statistics(scores: DataFrame, gate: float) -> DataFrame:
     return s.select("n", "passed", "least", *[F.col("p")[k].alias(a) for k, a in enumerate(("p25", "median", "p75", "p90"))], "most")
 
 
-def topic_signal(feedback: DataFrame) -> DataFrame:
+def topic_signal(feedback: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
     """Per topic: observations count every reaction, net sums the weights of those about the topic."""
-    return feedback.groupBy("topic").agg(F.count(F.lit(1)).alias("observations"), F.sum(_weights(F.col("kind"), "topic")).alias("net"))
+    return feedback.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.sum(_weights(F.col("kind"), "topic")).alias("net"))
 
 
 def item_signal(feedback: DataFrame) -> DataFrame:
@@ -66,3 +68,47 @@ def topic_counts(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Posts of each topic of the vocabulary, and the newest."""
     by = posts.select("id", "published", F.explode("topics").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("published", "id")).alias("newest"))
     return vocabulary.join(by, "topic", "left").select("topic", F.coalesce("n", F.lit(0)).alias("n"), "newest")
+
+
+def source_health(registry: DataFrame, entries: DataFrame) -> DataFrame:
+    """source, status, n, newest, dated, regression: every source of the registry with what it landed.
+
+    registry has source, kind (feed, page, probe or another), verified, entries source, published. OK: entries came; FAIL:
+    none did; PROBE: nothing reads such a source yet; SKIP: its kind is unknown. A regression was verified and fails now.
+    """
+    by = entries.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("published").alias("newest"), F.count("published").alias("dated"))
+    x = registry.join(by, "source", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("dated", F.coalesce("dated", F.lit(0)))
+    status = F.when(F.col("kind") == "probe", "PROBE").when(~F.col("kind").isin("feed", "page"), "SKIP").when(F.col("n") > 0, "OK").otherwise("FAIL")
+    x = x.withColumn("status", status)
+    return x.select("source", "status", "n", "newest", "dated", (F.col("verified") & (F.col("status") == "FAIL")).alias("regression"))
+
+
+def trigger_score(fired: DataFrame, threshold: int) -> DataFrame:
+    """One row: the sum of the fired events' weights, their number, and whether they are worth a roundup."""
+    total = F.coalesce(F.sum("weight"), F.lit(0)).cast("long")
+    return fired.agg(F.count(F.lit(1)).alias("n"), total.alias("total"), (total >= threshold).alias("enough"))
+
+
+def attributions(readings: DataFrame) -> DataFrame:
+    """The distinct credits of readings: their attribution, or their publisher."""
+    return readings.select(F.coalesce(F.nullif("attribution", F.lit("")), "publisher").alias("credit")).where("credit IS NOT NULL").distinct()
+
+
+def digest_header(picks: DataFrame, buckets: Sequence[str]) -> DataFrame:
+    """bucket, n: the picks of each bucket, 0 where there are none, and of all as "total"; picks has bucket."""
+    by = picks.groupBy(F.coalesce("bucket", F.lit("unmatched")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    names = picks.sparkSession.createDataFrame([(b,) for b in (*buckets, "unmatched")], "bucket string")
+    listed = names.join(by, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    return listed.union(listed.agg(F.lit("total"), F.sum("n")))
+
+
+def recent(log: DataFrame, as_of: Column, days: int, at: str = "at") -> DataFrame:
+    """The log's rows of the last days; rows without a readable time are dropped."""
+    return log.where(F.col(at).cast("timestamp") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def rating_extremes(ratings: DataFrame, k: int = 10) -> DataFrame:
+    """part, id, rating, bucket: the k best unmatched ones rated 4 or more, and the k worst matched ones rated 2 or less."""
+    best = ratings.where("bucket IS NULL AND rating >= 4").orderBy(F.desc("rating"), "id").limit(k).select(F.lit("unmatched_best").alias("part"), "id", "rating", "bucket")
+    worst = ratings.where("bucket IS NOT NULL AND rating <= 2").orderBy("rating", "id").limit(k).select(F.lit("matched_worst").alias("part"), "id", "rating", "bucket")
+    return best.union(worst)

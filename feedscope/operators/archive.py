@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,12 @@ def starved(topics: DataFrame, vocabulary: DataFrame, as_of: Column, bonus) -> D
     return vocabulary.join(last, "topic", "left").withColumn("bonus", bonus(F.col("last"), as_of))
 
 
+def starved_first(topics: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Topics without a post for ``days``, those never published first, then the longest starved: with ``pos`` in that order."""
+    late = topics.where(F.col("last").isNull() | (F.datediff(as_of, "last") >= days))
+    return late.withColumn("pos", F.row_number().over(Window.orderBy(F.asc_nulls_first("last"), "topic")).cast("long"))  # a closed vocabulary
+
+
 def build_registry(catalogue: DataFrame) -> DataFrame:
     """Group catalogue rows (group, vendor, alias, released, open, seq) into registry entries."""
     return catalogue.groupBy("group").agg(F.min_by("vendor", "seq").alias("vendor"), F.min("released").alias("released"), F.bool_or("open").alias("open"), F.count_distinct("alias").alias("n_aliases"))
@@ -44,7 +50,7 @@ def costs(calls: DataFrame, prices: DataFrame, default_in: int = 4000, default_o
     Missing usage counts as the defaults; an unknown model costs what the dearest by output price does.
     """
     dearest = prices.agg(F.max_by(F.struct("usd_in", "usd_out"), F.struct("usd_out", "usd_in")).alias("d")).withColumn("one", F.lit(1))
-    known = calls.join(F.broadcast(prices), "model", "left").withColumn("one", F.lit(1)).join(F.broadcast(dearest), "one")
+    known = calls.join(prices, "model", "left").withColumn("one", F.lit(1)).join(F.broadcast(dearest), "one")
     each = F.coalesce("tokens_in", F.lit(default_in)) * F.coalesce("usd_in", "d.usd_in") + F.coalesce("tokens_out", F.lit(default_out)) * F.coalesce("usd_out", "d.usd_out")
     return known.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), (F.sum(each) / 1e6).alias("usd"), F.count_if(F.col("tokens_in").isNull()).alias("estimated"))
 

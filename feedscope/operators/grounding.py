@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.functions.text import NUMBER, number_value, squash
+from feedscope.functions.text import number_value, numbers, squash, stated, ungrounded
 
 
-def mentions(name: Column, text: Column) -> Column:
+def spelled_in(name: Column, text: Column) -> Column:
     """The name's letters and digits stand in the text's; an empty name doesn't count."""
     return (squash(name) != "") & F.contains(squash(text), squash(name))
 
 
-def mentions_version(version: Column, text: Column) -> Column:
-    """The version stands alone: no digit or dot before it, no digit, dot or percent sign after it."""
-    plain = F.array_contains(F.regexp_extract_all(text, F.lit("[0-9.]+%?"), F.lit(0)), version)
-    other = F.rlike(text, F.concat(F.lit(r"(?i)(?<![\d.])\Q"), version, F.lit(r"\E(?![\d.%])")))
-    return F.when(version.rlike("^[0-9.]+$"), plain).otherwise(other)
+def version_in(version: Column, text: Column) -> Column:
+    """The version stands alone: what is left and right of some place where it occurs doesn't carry the number on."""
+    around = F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(version), F.lit(r"\E")))
+    alone = F.zip_with(F.slice(around, 1, F.size(around) - 1), F.slice(around, 2, F.size(around)), lambda left, right: ~left.rlike("[0-9.]$") & ~right.rlike("^[0-9.%]"))
+    return F.exists(alone, lambda x: x)
 
 
 def entity_grounding(releases: DataFrame, sources: DataFrame, registry: DataFrame) -> DataFrame:
@@ -30,16 +30,15 @@ def entity_grounding(releases: DataFrame, sources: DataFrame, registry: DataFram
     names = registry.select("family", "names")
     x = releases.join(names, "family", "left").join(sources.select("id", "text"), "id", "left")
     text = F.coalesce("text", F.lit(""))
-    spelled = F.exists(F.concat(F.array("family"), F.coalesce("names", F.array().cast("array<string>"))), lambda n: mentions(n, text))
+    spelled = F.exists(F.concat(F.array("family"), F.coalesce("names", F.array().cast("array<string>"))), lambda n: spelled_in(n, text))
     version = F.coalesce("version", F.lit(""))
-    gone = F.array_compact(F.array(F.when(~F.coalesce(spelled, F.lit(False)), "family"), F.when((version != "") & ~mentions_version(version, text), "version")))
+    gone = F.array_compact(F.array(F.when(~F.coalesce(spelled, F.lit(False)), "family"), F.when((version != "") & ~version_in(version, text), "version")))
     return x.select("id", gone.alias("missing"))
 
 
 def figures(text: Column) -> Column:
-    """Numbers that read as scores: with a percent sign, decimals, a magnitude, or four digits and more."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x.rlike(r"[%A-Za-z]|\d\.\d") | (F.length(F.regexp_replace(x, ",", "")) >= 4)))
+    """Numbers outside names that read as scores: with a percent sign, decimals, a unit, or four digits and more."""
+    return F.array_distinct(F.filter(stated(text, names=False), lambda x: x.rlike(r"[%A-Za-z]|\d\.\d") | (F.length(F.regexp_replace(x, ",", "")) >= 4)))
 
 
 def reference_integrity(drafts: DataFrame, measurements: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def reference_integrity(drafts: DataFrame, measurements: DataFrame) -> DataFrame
     return out.select("id", F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.coalesce("dangling", F.array().cast("array<string>")).alias("dangling"), untraced.alias("untraced"))
 
 
-#: A percentage, or a bare decimal used as a score.
+#: Fixed value: how prose writes a score.
 SCORE = r"\d{1,3}(?:\.\d+)?\s?%|\b\d{1,3}\.\d\b"
 
 
@@ -87,3 +86,27 @@ def claims(posts: DataFrame, benchmarks: Sequence[tuple[str, str]], untracked: s
     value = F.regexp_extract(F.try_element_at("scores", F.col("k") + 1), r"[\d.]+", 0).try_cast("double")
     x = x.where(b.isNotNull() | some).withColumn("skip", skip)  # an untracked name without a figure claims nothing
     return x.select("id", "model", F.col("sentence").cast("long").alias("sentence"), b.alias("benchmark"), F.when(F.col("skip").isNull(), value).alias("value"), "skip")
+
+
+def numeric_grounding(drafts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, n, offending): the numbers of a draft that its source doesn't hold; names' digits are no numbers of a draft.
+
+    drafts has id, body, sources id, text. A draft without a source has no number in it.
+    """
+    x = drafts.select("id", "body").join(sources.select("id", "text"), "id", "left")
+    x = x.select("id", stated(F.col("body"), names=False).alias("draft"), numbers(F.col("text")).alias("source"))
+    return x.select("id", F.size("draft").cast("long").alias("n"), ungrounded(F.col("draft"), F.col("source")).alias("offending"))
+
+
+def checked(drafts: DataFrame, numeric: DataFrame, entity: DataFrame, references: DataFrame, reasons: Sequence[tuple[str, str]]) -> DataFrame:
+    """(id, gate, reason, offending): the first check that a draft fails, in the order G1, G2, G5; nulls where it passes all.
+
+    drafts has id, is_release, has_refs: only releases are asked for their entity, only drafts with references for those.
+    The others are what the three checks give; a draft that a check has no row for passes it. ``reasons`` names each gate's.
+    """
+    x = drafts.join(numeric.select("id", F.col("offending").alias("g1")), "id", "left").join(entity.select("id", F.col("missing").alias("g2")), "id", "left")
+    both = references.select("id", F.concat("dangling", "untraced").alias("g5"))
+    x = x.join(both, "id", "left")
+    asked = {"G1": F.lit(True), "G2": F.col("is_release"), "G5": F.col("has_refs")}
+    fails = [F.when(asked[g] & (F.size(F.col(g.lower())) > 0), F.struct(F.lit(g).alias("gate"), F.lit(r).alias("reason"), F.col(g.lower()).alias("offending"))) for g, r in reasons]
+    return x.select("id", F.coalesce(*fails).alias("f")).select("id", "f.gate", "f.reason", F.coalesce("f.offending", F.array().cast("array<string>")).alias("offending"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +18,30 @@ def unseen(items: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
 def near_titles(items: DataFrame, posts: DataFrame, days: int = 7) -> DataFrame:
     """(id, post_id, shared, containment): posts of the ``days`` before an item whose title shares enough tokens.
 
-    Three shared tokens and 0.40 of the smaller set, or two and 0.50. Both rules need two shared tokens, so pairs
-    meet on tokens, and no pair is lost.
+    Three shared tokens and 0.40 of the smaller set, or two and 0.50. Pairs meet on the smaller set's rarest tokens only:
+    who shares ``need`` of its n tokens shares one of its n - need + 1 rarest, so no pair is lost and common words bring
+    nobody together but where a title has little else.
     """
-    a = items.select("id", "published", title_tokens(F.col("title")).alias("ta")).withColumn("na", F.size("ta"))
-    b = posts.select(F.col("id").alias("post_id"), F.col("published").alias("posted"), title_tokens(F.col("title")).alias("tb")).withColumn("nb", F.size("tb"))
+    a = items.select("id", "published", title_tokens(F.col("title")).alias("ta"))
+    b = posts.select(F.col("id").alias("post_id"), F.col("published").alias("posted"), title_tokens(F.col("title")).alias("tb"))
+    common = b.select(F.explode("tb").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare(df: DataFrame, key: str, day: str, tokens: str, n: str) -> DataFrame:
+        """The tokens with ``rare``: whether it is among those that a smaller set must be met by."""
+        need = F.greatest(F.lit(2), F.ceil(F.size(tokens) * 0.4 - 1e-9))
+        each = df.select(key, day, F.size(tokens).alias(n), need.alias("need"), F.explode(tokens).alias("t")).join(common, "t", "left")
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "t"))
+        return each.withColumn("place", place).select(key, day, n, "t", (F.col("place") <= F.col(n) - F.col("need") + 1).alias(f"rare_{n}"))
+
     # posts of the days before an item lie in its own stretch of days + 1 days or the one before
     stretch = lambda c: F.floor(F.unix_date(c) / (days + 1))
-    a = a.select("id", "published", "na", "ta", F.explode(F.array(stretch("published"), stretch("published") - 1)).alias("d"))
-    b = b.select("post_id", "posted", "nb", stretch("posted").alias("d"), F.explode("tb").alias("t"))
-    met = a.select("id", "published", "na", "d", F.explode("ta").alias("t")).join(b, ["t", "d"])
-    met = met.where((F.col("id") != F.col("post_id")) & (F.col("posted") <= F.col("published")) & (F.datediff("published", "posted") <= days))
-    pairs = met.groupBy("id", "post_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
-    pairs = pairs.withColumn("containment", F.col("shared") / F.least("na", "nb"))
+    ra = rare(a, "id", "published", "ta", "na").withColumn("d", F.explode(F.array(stretch("published"), stretch("published") - 1)))
+    rb = rare(b, "post_id", "posted", "tb", "nb").withColumn("d", stretch("posted"))
+    small = ((F.col("na") <= F.col("nb")) & F.col("rare_na")) | ((F.col("nb") <= F.col("na")) & F.col("rare_nb"))
+    met = ra.join(rb, ["t", "d"]).where(small & (F.col("id") != F.col("post_id")) & (F.col("posted") <= F.col("published")) & (F.datediff("published", "posted") <= days))
+    pairs = met.select("id", "post_id").distinct().join(a.select("id", "ta"), "id").join(b.select("post_id", "tb"), "post_id")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long")).where("shared >= 2")
+    pairs = pairs.withColumn("containment", F.col("shared") / F.least(F.size("ta"), F.size("tb")))
     return pairs.where("(shared >= 3 and containment >= 0.4) or containment >= 0.5").select("id", "post_id", "shared", "containment")
 
 
@@ -47,12 +60,27 @@ def resolve_names(names: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def claims_outside(measurements: DataFrame, gap: float = 5.0) -> DataFrame:
-    """Vendor claims that lie outside the range of independent readings by ``gap`` or more; the newest claim counts."""
-    key = ["benchmark", "model"]
-    claim = measurements.where("measured_by = 'vendor'").groupBy(*key).agg(F.max_by(F.struct("id", "value"), F.struct("measured_at", "id")).alias("c"))
-    other = measurements.where("measured_by <> 'vendor'").groupBy(*key).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
-    off = F.greatest(F.col("low") - F.col("c.value"), F.col("c.value") - F.col("high"))
-    return claim.join(other, key).withColumn("gap", off).where(F.col("gap") >= gap).select(*key, F.col("c.id").alias("claim_id"), F.col("c.value").alias("claim"), "low", "high", "n", "gap")
+    """Vendor claims that lie outside the range of independent readings by ``gap`` or more, in one pass over the readings.
+
+    The newest claim counts. A claim is held against readings in its own unit where measurements have ``unit``; where they
+    have ``is_new``, only pairs with a new side come out. ``refs`` cites claim, nearest, lowest and highest reading.
+    """
+    key = ["benchmark", "model", *[c for c in ("unit",) if c in measurements.columns]]
+    new = F.col("is_new") if "is_new" in measurements.columns else F.lit(True)
+    vendor = F.col("measured_by") == "vendor"
+    other = F.when(~vendor, F.struct("value", "id"))
+    by = measurements.groupBy(*key).agg(
+        F.max_by(F.struct("id", "value", new.alias("new"), "measured_at"), F.when(vendor, F.struct("measured_at", "id"))).alias("c"), F.min(other).alias("lo"), F.max(other).alias("hi"),
+        F.count_if(~vendor).alias("n"), F.bool_or(~vendor & new).alias("new_reading"), F.max(F.when(vendor, F.lit(1))).alias("claimed"),
+    )
+    # the newest claim of a model, whatever its unit
+    newest = F.row_number().over(Window.partitionBy("benchmark", "model").orderBy(F.desc("c.measured_at"), F.desc("c.id")))
+    by = by.where("claimed = 1").withColumn("k", newest).where("k = 1 and n > 0")
+    claim, low, high = F.col("c.value"), F.col("lo.value"), F.col("hi.value")
+    nearest = F.when(claim > high, F.col("hi.id")).otherwise(F.col("lo.id"))
+    refs = F.array_distinct(F.array(F.col("c.id"), nearest, F.col("lo.id"), F.col("hi.id")))
+    out = by.withColumn("gap", F.greatest(low - claim, claim - high)).where((F.col("gap") >= gap) & (F.col("c.new") | F.col("new_reading")))
+    return out.select(*key, F.col("c.id").alias("claim_id"), claim.alias("claim"), low.alias("low"), high.alias("high"), "n", "gap", refs.alias("refs"))
 
 
 def coverage_decision(candidates: DataFrame, covered: DataFrame, material: list[str], cooldown_days: int = 10) -> DataFrame:
@@ -89,3 +117,34 @@ def merge_registries(existing: DataFrame, seeded: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     united = F.array_sort(F.array_union(F.coalesce("a.aliases", empty), F.coalesce("b.aliases", empty)))
     return a.join(b, F.col("a.id") == F.col("b.id"), "full_outer").select(F.coalesce("a.id", "b.id").alias("id"), F.coalesce("a.vendor", "b.vendor").alias("vendor"), united.alias("aliases"))
+
+
+def superseded_by(posts: DataFrame) -> DataFrame:
+    """Posts with the title and url of the post that covers them better; posts has id, title, url, better (an id or null)."""
+    other = posts.select(F.col("id").alias("better"), F.col("title").alias("better_title"), F.col("url").alias("better_url"))
+    return posts.join(other, "better", "left").select("id", "better", "better_title", "better_url")
+
+
+def grown_cursor(seen: DataFrame, fetched: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
+    """The cursor after a run: what was seen and what was fetched, each once."""
+    return seen.select(*key).union(fetched.select(*key)).distinct()
+
+
+def overlay(existing: DataFrame, pending: DataFrame, key: str = "id") -> DataFrame:
+    """Existing rows that no pending one has the key of, and the pending ones."""
+    return existing.join(pending.select(key), key, "left_anti").select(*existing.columns).unionByName(pending)
+
+
+def not_superseded(rows: DataFrame, key: str = "id", by: str = "supersedes") -> DataFrame:
+    """Rows that no row supersedes."""
+    gone = rows.where(F.col(by).isNotNull()).select(F.col(by).alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(*rows.columns)
+
+
+def novel_with_baseline(items: DataFrame, seen: DataFrame, sources: DataFrame) -> DataFrame:
+    """Unseen items with ``baseline``: those of a source that the cursor doesn't know are only recorded, not ranked.
+
+    seen has id, sources source; with an empty cursor all is baseline.
+    """
+    known = sources.select("source").distinct().withColumn("__known", F.lit(True))
+    return unseen(items, seen).join(known, "source", "left").withColumn("baseline", F.col("__known").isNull()).drop("__known")

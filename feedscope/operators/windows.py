@@ -95,12 +95,34 @@ def leaderboard(readings: DataFrame, k: int) -> DataFrame:
     return top(best, ["benchmark"], [F.desc("value"), "model"], k)
 
 
+def leader_events(readings: DataFrame, benchmarks: DataFrame, weights: tuple[int, int] = (4, 2), k: int = 5) -> DataFrame:
+    """(event, benchmark, model, id, value, rank, weight): new readings that lead their benchmark or stand among its best k.
+
+    readings has benchmark, model, id, value, is_new, benchmarks benchmark, higher_is_better; readings of other benchmarks
+    don't count. Ties go to the smaller id.
+    """
+    x = readings.join(benchmarks, "benchmark").withColumn("__by", F.when(F.col("higher_is_better"), -F.col("value")).otherwise(F.col("value")))
+    best = top(x, ["benchmark"], ["__by", "id"], k).where("is_new")
+    lead = F.col("rank") == 1
+    return best.select(F.when(lead, "new_leader").otherwise("new_top_entrant").alias("event"), "benchmark", "model", "id", "value", "rank", F.when(lead, weights[0]).otherwise(weights[1]).alias("weight"))
+
+
 def positions(members: DataFrame) -> DataFrame:
     """index, total, prev and next of the members of a thread that exist; members has thread, ord, id."""
     w = Window.partitionBy("thread").orderBy("ord", "id")
     return members.select("thread", "id", F.row_number().over(w).cast("long").alias("index"), F.count(F.lit(1)).over(Window.partitionBy("thread")).alias("total"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
 
 
+def listing(posts: DataFrame, sections: DataFrame, k: int) -> DataFrame:
+    """The newest k published posts of each section, in the sections' order of depth, with their place: featured, next two, listed.
+
+    posts has section, id, at, draft, sections section, depth; sections without posts have no row.
+    """
+    newest = top(posts.where(~F.coalesce("draft", F.lit(False))), ["section"], [F.desc("at"), "id"], k).withColumnRenamed("rank", "pos")
+    place = F.when(F.col("pos") == 1, "featured").when(F.col("pos") <= 3, "next").otherwise("listed")
+    return newest.join(sections, "section").select("depth", "section", "id", "pos", place.alias("place"))
+
+
 def queue_state(events: DataFrame, as_of: Column, days: int = 7, k: int = 3) -> DataFrame:
     """The newest score of each key of a channel, expired after ``days``; the best k that are alive."""
     last = events.groupBy("channel", "key").agg(F.max_by("score", F.struct("at", "seq")).alias("score"), F.max("at").alias("at"), F.count(F.lit(1)).alias("puts"))
@@ -109,9 +131,42 @@ def queue_state(events: DataFrame, as_of: Column, days: int = 7, k: int = 3) ->
 
 
 def unique_slugs(df: DataFrame, base: str, order: str) -> DataFrame:
-    """base, base-2, base-3 ... in order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn("slug", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+    """The rows with a slug of their own: the base, or the first of base-2, base-3 ... that no earlier row has.
+
+    Names can only clash among bases that are equal without their numbers at the end, so those are worked in order, as a
+    stream: what is kept is the next free number of each base of such a group, not the names given.
+    """
+    schema = StructType([*df.schema.fields, StructField("slug", StringType())])
+    root, names = F.regexp_replace(F.col(base), "(-[0-9]+)+$", "").alias("__root"), df.columns
+    rows = df.select("*", root).repartition("__root").sortWithinPartitions("__root", order, base)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, after = None, {}  # base -> the number that follows those given from it; 2 where only the base itself is taken
+
+        def taken(name: str) -> bool:
+            head, _, number = name.rpartition("-")
+            return name in after or number.isdecimal() and str(int(number)) == number and 2 <= int(number) < after.get(head, 2)
+
+        for b in batches:
+            out = []
+            for r, name in zip(b.column("__root").to_pylist(), b.column(base).to_pylist(), strict=True):
+                if r != at:
+                    at, after = r, {}
+                if name is None:
+                    out.append(None)
+                    continue
+                slug = name
+                if taken(name):
+                    n = after.get(name, 2)
+                    while taken(f"{name}-{n}"):
+                        n += 1
+                    slug, after[name] = f"{name}-{n}", n + 1
+                else:
+                    after[name] = 2
+                out.append(slug)
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "slug"])
+
+    return rows.mapInArrow(named, schema)
 
 
 def budgeted(ranked: DataFrame, usage: DataFrame, limits: Sequence[str], attempts: int = 8) -> DataFrame:
@@ -119,15 +174,22 @@ def budgeted(ranked: DataFrame, usage: DataFrame, limits: Sequence[str], attempt
 
     ranked has section, id, score, ok, usage section and what is left by each limit, in the order they are asked (null:
     no limit). A row that isn't ok fails and uses up an attempt, not the budget. The rest is queued with the reason
-    of the stop. Only the rows that can be tried are walked.
+    of the stop; limits are asked before attempts are counted, also for the row after the last attempt. Only the rows
+    that can be asked are walked.
     """
     before = F.coalesce(F.sum(F.col("ok").cast("int")).over(Window.partitionBy("section").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    head = top(ranked, ["section"], [F.desc("score"), "id"], attempts).withColumn("before", before).join(usage, "section", "left")
-    head = head.withColumn("refusal", F.coalesce(*[F.when(F.col("before") >= F.col(c), F.lit(c)) for c in limits]))
+    head = top(ranked, ["section"], [F.desc("score"), "id"], attempts + 1).withColumn("before", before).join(usage, "section", "left")
+    head = head.withColumn("refusal", F.coalesce(*[F.when(F.col("before") >= F.col(c), F.lit(c)) for c in limits], F.when(F.col("rank") > attempts, F.lit("attempts"))))
     stop = head.where("refusal IS NOT NULL").groupBy("section").agg(F.min_by("refusal", "rank").alias("stop"))
     tried = head.where("refusal IS NULL").select("section", "id", F.when(F.col("ok"), "published").otherwise("failed").alias("outcome"))
     out = ranked.select("section", "id").join(tried, ["section", "id"], "left").join(stop, "section", "left")
-    return out.select("section", "id", F.coalesce("outcome", F.lit("queued")).alias("outcome"), F.when(F.col("outcome").isNull(), F.coalesce("stop", F.lit("attempts"))).alias("reason"))
+    return out.select("section", "id", F.coalesce("outcome", F.lit("queued")).alias("outcome"), F.when(F.col("outcome").isNull(), F.col("stop")).alias("reason"))
+
+
+def pruned_queue(queue: DataFrame, as_of: Column, days: int = 7, most: int = 3) -> DataFrame:
+    """The queue's rows with ``state``: waiting, expired (older than ``days``, or without a date) or exhausted (``most`` attempts)."""
+    late = F.col("queued_at").isNull() | (F.col("queued_at") < as_of - F.expr(f"INTERVAL {days} DAYS"))
+    return queue.withColumn("state", F.when(late, "expired").when(F.col("attempts") >= most, "exhausted").otherwise("waiting"))
 
 
 def matched_and_sampled(df: DataFrame, matched: Column, score: str, key: str, k: int, n: int, seed: str) -> DataFrame:

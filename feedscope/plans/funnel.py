@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.functions.score import Interests, QualityRules, quality_total, relevance
+from feedscope.functions.rules import starvation
+from feedscope.functions.score import Interests, QualityRules, quality_total, relevance, with_vocabulary
 from feedscope.functions.text import first_match, topic_labels
 from feedscope.operators.windows import quota_top
 
@@ -21,29 +22,57 @@ class Profile:
     quality: QualityRules
     interests: Interests
     section: str
+    #: Each topic's own words, which are matched like the item's; None: not.
+    vocabulary: Mapping[str, str] | None = None
 
 
 #: What class a reason belongs to; unknown reasons count as quality.
 REASON_CLASS = {"duplicate": "quality", "excluded": "exclusion", "no_topic": "quality", "below_gate": "quality", "publish_attempts_exhausted": "budget"}
 
 
-def score_items(items: DataFrame, seen: DataFrame, profile: Profile, as_of: Column, extra_reject: Column | None = None) -> DataFrame:
-    """Items with topics, section, quality, relevance, bucket and reason (null for survivors).
+def once(df: DataFrame, **features: Column) -> DataFrame:
+    """The rows with features that are computed once a row: they come from a generator, which filters above it don't repeat."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in features.items()]))))
 
-    The first failing stage names the reason: duplicate, excluded, ``extra_reject``, no_topic, below_gate.
+
+def reason_sentence(strong: Column, medium: Column, section: Column, topics: Column, most: int = 200) -> Column:
+    """Why an item is relevant: its interests, and where it is filed."""
+    why = F.when(F.size(strong) > 0, F.concat(F.lit("Strong interest: "), F.array_join(strong, ", "))).when(F.size(medium) > 0, F.concat(F.lit("Near an interest: "), F.array_join(medium, ", "))).otherwise("No interest matched")
+    filed = F.concat(F.lit(". Filed under "), section, F.lit(": "), F.coalesce(F.nullif(F.array_join(topics, ", "), F.lit("")), F.lit("no topic")), F.lit("."))
+    return F.substring(F.concat(why, filed), 1, most)
+
+
+def score_items(items: DataFrame, seen: DataFrame, profile: Profile, as_of: Column, extra_reject: Column | None = None, activity: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Items with topics, section, quality, relevance, bucket, why and reason (null for survivors).
+
+    The first failing stage names the reason: duplicate, excluded, ``extra_reject``, no_topic, below_gate. The profile's
+    words on an item's topics are matched with its own text. ``activity`` (topic, last) gives the starvation bonus: that of
+    the most starved topic; without it there is none. ``scorer`` replaces the quality score: it takes the items that no
+    cheaper stage drops and gives (id, quality).
     """
     text = F.concat("title", F.lit("\n"), "summary")
     marked = items.join(seen.select("url").distinct().withColumn("dup", F.lit(True)), "url", "left")
-    c = {k: F.col(k) for k in ("title", "summary", "source", "tier", "published", "url")}
-    out = marked.withColumn("topics", topic_labels(text, profile.topics)).withColumn("section", F.coalesce(first_match(profile.sections, text), F.lit("research")))
-    out = out.withColumn("exclusion", first_match(profile.exclude, text)).withColumn("quality", quality_total(c, profile.quality, as_of))
-    r = relevance(text, F.col("topics"), F.col("section") == profile.section, text.rlike(profile.quality.mechanism), F.lit(0), profile.interests)
-    out = out.withColumn("r", r).withColumn("relevance", F.col("r.total")).withColumn("bucket", F.col("r.bucket")).drop("r")
-    reason = F.coalesce(
-        F.when(F.col("dup"), "duplicate"), F.when(F.col("exclusion").isNotNull(), "excluded"), extra_reject if extra_reject is not None else F.lit(None),
-        F.when(F.size("topics") == 0, "no_topic"), F.when(F.col("quality") < profile.quality.gate, "below_gate"),
+    out = once(
+        marked, topics=topic_labels(text, profile.topics), section=F.coalesce(first_match(profile.sections, text), F.lit("research")), exclusion=first_match(profile.exclude, text),
+        deep=F.coalesce(text.rlike(profile.quality.mechanism), F.lit(False)), extra=extra_reject if extra_reject is not None else F.lit(None).cast("string"),
     )
-    return out.withColumn("reason", reason).drop("dup")
+    bonus = F.lit(0)
+    if activity is not None:  # a closed vocabulary: one row with a map of its topics
+        last = activity.agg(F.map_from_entries(F.collect_list(F.struct("topic", "last"))).alias("last"))
+        out = out.join(F.broadcast(last), F.lit(True))
+        each = F.transform("topics", lambda t: starvation(F.try_element_at("last", t), as_of))
+        bonus = F.coalesce(F.array_max(each), F.lit(0.0))
+    c = {k: F.col(k) for k in ("title", "summary", "source", "tier", "published", "url")}
+    enriched = text if profile.vocabulary is None else F.concat(text, F.lit(" "), with_vocabulary(F.col("topics"), profile.vocabulary))
+    r = relevance(enriched, F.col("topics"), F.col("section") == profile.section, F.col("deep"), bonus, profile.interests)
+    out = once(out, r=r, quality=quality_total(c, profile.quality, as_of))
+    early = F.coalesce(F.when(F.col("dup"), "duplicate"), F.when(F.col("exclusion").isNotNull(), "excluded"), F.col("extra"), F.when(F.size("topics") == 0, "no_topic"))
+    if scorer is not None:
+        given = scorer(out.where(early.isNull())).select("id", F.col("quality").alias("given"))
+        out = out.join(given, "id", "left").withColumn("quality", F.coalesce("given", F.lit(0.0))).drop("given")
+    why = reason_sentence(F.col("r.strong"), F.col("r.medium"), F.col("section"), F.col("topics"))
+    out = out.withColumn("relevance", F.col("r.total")).withColumn("bucket", F.col("r.bucket")).withColumn("why", why)
+    return out.withColumn("reason", F.coalesce(early, F.when(F.col("quality") < profile.quality.gate, "below_gate"))).drop("dup", "r", "extra", "deep", "last")
 
 
 def rejections(scored: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from feedscope.functions import text as T
 from feedscope.functions.score import Interests, QualityRules
-from feedscope.operators import aggs, joins, windows
+from feedscope.operators import aggs, grounding, joins, windows
 from feedscope.plans import funnel
 from feedscope.sources import html
 from feedscope.streaming import jobs
@@ -33,19 +33,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def items(spark: SparkSession, d: str, summary=None) -> DataFrame:
-    """Documents as feed items; the summary is the text's first 2,000 characters, as in the SQL, unless another is given."""
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as feed items: the first sentence is the title, the whole text the summary."""
     n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     page = F.col("doc_id") - F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)  # one in eleven shares its neighbour's page
     url = F.concat(F.when(page % 2 == 0, "https://x/").otherwise("http://x/"), page.cast("string"))
     return _t(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), (F.substring("text", 1, 2000) if summary is None else summary).alias("summary"), url.alias("url"), "source", "lang",
+        F.col("doc_id").alias("id"), F.regexp_extract("text", r"^[^.!?\n]*", 0).alias("title"), F.col("text").alias("summary"), url.alias("url"), "source", "lang",
         F.element_at(F.array(F.lit("primary"), F.lit("corroborating"), F.lit("community")), n % 3 + 1).alias("tier"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("published"),
     )
 
 
-_ITEMS = r"""items AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 2000) AS summary, source, lang,
+_ITEMS = r"""items AS (SELECT doc_id AS id, regexp_extract(text, '^[^.!?\n]*') AS title, text AS summary, source, lang,
   (CASE WHEN (doc_id - CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END) % 2 = 0 THEN 'https://x/' ELSE 'http://x/' END) || (doc_id - CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END)::VARCHAR AS url,
   ['primary', 'corroborating', 'community'][regexp_extract(source, '([0-9]+)', 1)::INT % 3 + 1] AS tier, DATE '2024-01-01' + (doc_id % 40)::INT AS published FROM documents)"""
 
@@ -242,16 +242,19 @@ def tracker_table(spark, d):
     return windows.top(m, ["benchmark"], [F.desc("value"), F.desc("measured_at"), "id"], 25).join(total, "benchmark").select("benchmark", "id", "model", "value", "total", "rank")
 
 
-@query(f"""WITH {_MEAS}, c AS (SELECT benchmark, model, arg_max(id, (measured_at, id)) AS claim_id, arg_max(value, (measured_at, id)) AS claim FROM m WHERE measured_by = 'vendor' GROUP BY ALL),
-o AS (SELECT benchmark, model, min(value) AS low, max(value) AS high, count(*) AS n FROM m WHERE measured_by <> 'vendor' GROUP BY ALL)
-SELECT *, greatest(low - claim, claim - high) AS gap FROM c JOIN o USING (benchmark, model) WHERE greatest(low - claim, claim - high) >= 5""")
+@query(f"""WITH {_MEAS}, u AS (SELECT *, CASE WHEN conditions = 'N' THEN 'percent' ELSE 'elo' END AS unit, seq % 4 <> 0 AS is_new FROM m), c AS (SELECT benchmark, model, arg_max(struct_pack(id := id, value := value, unit := unit, is_new := is_new), (measured_at, id)) AS c FROM u WHERE measured_by = 'vendor' GROUP BY ALL),
+o AS (SELECT benchmark, model, unit, min(value) AS low, max(value) AS high, count(*) AS n, arg_min(id, (value, id)) AS low_id, arg_max(id, (value, id)) AS high_id, bool_or(is_new) AS is_new FROM u WHERE measured_by <> 'vendor' GROUP BY ALL),
+j AS (SELECT benchmark, model, unit, c.id AS claim_id, c.value AS claim, low, high, n, greatest(low - c.value, c.value - high) AS gap, [c.id, CASE WHEN c.value > high THEN high_id ELSE low_id END, low_id, high_id] AS r, c.is_new OR o.is_new AS is_new FROM c JOIN o USING (benchmark, model) WHERE o.unit = c.unit)
+SELECT benchmark, model, unit, claim_id, claim, low, high, n, gap, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS refs FROM j WHERE gap >= 5 AND is_new""")
 def claim_outside_range(spark, d):
-    return joins.claims_outside(measurements(spark, d))
+    m = measurements(spark, d).withColumn("unit", F.when(F.col("conditions") == "N", "percent").otherwise("elo")).withColumn("is_new", F.col("seq") % 4 != 0)
+    return joins.claims_outside(m).withColumn("refs", F.array_join("refs", ","))
 
 
-@query(f"WITH {_MEAS} SELECT model, id, measured_at FROM m WHERE model % 3 = 0 QUALIFY row_number() OVER (PARTITION BY model ORDER BY measured_at, id) = 1")
+@query(f"WITH {_MEAS} SELECT model, id, measured_at FROM m WHERE model IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) QUALIFY row_number() OVER (PARTITION BY model ORDER BY measured_at, id) = 1")
 def first_measurements(spark, d):
-    return windows.first_of(measurements(spark, d).where("model % 3 = 0"), ["model"], ["measured_at", "id"]).select("model", "id", "measured_at")
+    tier_one = _t(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("model"))
+    return windows.first_of(measurements(spark, d).join(tier_one, "model", "left_semi"), ["model"], ["measured_at", "id"]).select("model", "id", "measured_at")
 
 
 @query(f"WITH {_MEAS} SELECT benchmark, measured_by, count(*) AS n FROM m GROUP BY ROLLUP (benchmark, measured_by)")
@@ -325,9 +328,9 @@ def queue_state(spark, d):
 
 
 @query("""SELECT conv_id AS thread, conv_id::VARCHAR || '/' || turn::VARCHAR AS id, row_number() OVER w AS index, count(*) OVER (PARTITION BY conv_id) AS total, lag(conv_id::VARCHAR || '/' || turn::VARCHAR) OVER w AS prev,
-  lead(conv_id::VARCHAR || '/' || turn::VARCHAR) OVER w AS next FROM conversations WHERE turn % 5 <> 3 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, conv_id::VARCHAR || '/' || turn::VARCHAR)""")
+  lead(conv_id::VARCHAR || '/' || turn::VARCHAR) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, conv_id::VARCHAR || '/' || turn::VARCHAR)""")
 def thread_positions(spark, d):
-    c = _t(spark, d, "conversations").where("turn % 5 <> 3")
+    c = _t(spark, d, "conversations")
     return windows.positions(c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("ord"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id")))
 
 
@@ -351,9 +354,8 @@ def dangling_references(spark, d):
 @query()
 def numeric_grounding(spark, d):
     """Numbers of each document's second half that don't stand in its first half."""
-    x = _t(spark, d, "documents").select("doc_id", "text", F.expr("cast(length(text) / 2 as int)").alias("h"))
-    x = x.select("doc_id", T.numbers(F.expr("substring(text, h + 1)")).alias("draft"), T.numbers(F.expr("substring(text, 1, h)")).alias("source"))
-    return x.select("doc_id", F.size("draft").alias("n"), F.array_sort(T.ungrounded(F.col("draft"), F.col("source"))).alias("offending"))
+    x = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.expr("cast(length(text) / 2 as int)").alias("h"))
+    return grounding.numeric_grounding(x.select("id", F.expr("substring(text, h + 1)").alias("body")), x.select("id", F.expr("substring(text, 1, h)").alias("text")))
 
 
 @query("""WITH c AS (SELECT o_orderkey, o_totalprice <= 0 AS r1, c_acctbal < 0 AND o_orderstatus = 'O' AS r2, o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderpriority = '1-URGENT' AS r3, c_custkey IS NULL AS r4 FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
@@ -375,15 +377,22 @@ def page_text(spark, d):
     return html.page_text(_t(spark, d, "pages"))
 
 
-@query(f"""WITH {_SCORED} SELECT source, count(*) AS n, max(published) AS newest, count(*) FILTER (quality >= {GATE}) AS passed, count(*) = 0 AS regression FROM scored GROUP BY source""")
+@query(f"""WITH {_ITEMS}, r AS (SELECT 'src' || s_suppkey::VARCHAR AS source, ['feed', 'page', 'probe', 'other'][s_nationkey % 4 + 1] AS kind, s_acctbal > 0 AS verified FROM supplier),
+e AS (SELECT source, CASE WHEN id % 6 > 0 THEN published END AS published FROM items), n AS (SELECT source, count(*) AS n, max(published) AS newest, count(published) AS dated FROM e GROUP BY source),
+j AS (SELECT r.*, coalesce(n, 0) AS n, newest, coalesce(dated, 0) AS dated FROM r LEFT JOIN n USING (source)), s AS (SELECT *, CASE WHEN kind = 'probe' THEN 'PROBE' WHEN kind NOT IN ('feed', 'page') THEN 'SKIP' WHEN n > 0 THEN 'OK' ELSE 'FAIL' END AS status FROM j)
+SELECT source, status, n, newest, dated, verified AND status = 'FAIL' AS regression FROM s""")
 def source_health(spark, d):
-    return scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("published").alias("newest"), F.count_if(F.col("quality") >= GATE).alias("passed")).withColumn("regression", F.col("n") == 0)
+    kinds = F.array(*map(F.lit, ("feed", "page", "probe", "other")))
+    registry = _t(spark, d, "supplier").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"), F.get(kinds, F.col("s_nationkey") % 4).alias("kind"), (F.col("s_acctbal") > 0).alias("verified"))
+    return aggs.source_health(registry, items(spark, d).select("source", F.when(F.col("id") % 6 > 0, F.col("published")).alias("published")))
 
 
-@query(f"""WITH {_ITEMS}, s AS (SELECT id, CASE WHEN s = '' THEN 'post' ELSE s END AS base FROM (SELECT id, regexp_replace(regexp_replace(substr(lower(title), 1, 6), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM items)),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM s) SELECT id, base, CASE WHEN n = 1 THEN base ELSE base || '-' || n::VARCHAR END AS slug FROM n""")
+@query(f"""WITH RECURSIVE {_ITEMS}, b AS (SELECT id, CASE WHEN s = '' THEN 'post' ELSE s END AS base FROM (SELECT id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM items)),
+o AS (SELECT id, base, row_number() OVER (ORDER BY id) AS k FROM b), r AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS slug, []::VARCHAR[] AS taken
+UNION ALL SELECT k, slug, list_append(taken, slug) FROM (SELECT o.k, r.taken, CASE WHEN NOT list_contains(r.taken, o.base) THEN o.base ELSE o.base || '-' || list_filter(range(2, o.k + 2), lambda n: NOT list_contains(r.taken, o.base || '-' || n::VARCHAR))[1]::VARCHAR END AS slug FROM r JOIN o ON o.k = r.k + 1))
+SELECT id, base, slug FROM o JOIN r USING (k)""")
 def unique_slugs(spark, d):
-    return windows.unique_slugs(items(spark, d).select("id", T.slug(F.substring(F.lower("title"), 1, 6)).alias("base")), "base", "id").select("id", "base", "slug")
+    return windows.unique_slugs(items(spark, d).select("id", T.slug("title").alias("base")), "base", "id").select("id", "base", "slug")
 
 
 @query("""WITH p AS (SELECT s_suppkey, s_nationkey FROM supplier), x AS (SELECT coalesce(n_nationkey, s_nationkey) AS id, coalesce(n_name, 'seeded') AS vendor, n_nationkey IS NULL AS only_seed, s_suppkey FROM (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) FULL JOIN p ON n_nationkey = s_nationkey)
@@ -423,8 +432,11 @@ def related_items(spark, d):
 
 
 def _stream_dir(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedscope.functions.text import timestamp
+
 SOURCE = "naam string, name string, url string, type string, tier string, vendor string, verified boolean, role string, note string, inScope boolean, in_scope boolean"
 
 
@@ -43,18 +45,69 @@ def write_archive(rows: DataFrame, path: str, at: str) -> None:
     rows.withColumn("month", F.date_format(at, "yyyy-MM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def read_items_xml(spark: SparkSession, path: str, limit: int = 30) -> DataFrame:
-    """RSS items: id is guid, link or title; the summary is cut at 2,000 characters; the first ``limit`` of a file."""
-    schema = "guid string, link string, title string, description string, pubDate string"
-    rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
-    rank = F.expr("row_number() over (partition by file order by seq)")
-    bare = F.regexp_replace("pubDate", "^[A-Za-z]{3},\\s*", "")
-    return rows.withColumn("k", rank).where(F.col("k") <= limit).select(
-        F.coalesce("guid", "link", "title").alias("id"), "title", F.col("link").alias("url"), F.substring("description", 1, 2000).alias("summary"),
-        F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss zzz")), F.try_to_timestamp("pubDate")).alias("published"),
+def read_items_xml(spark: SparkSession, path: str, limit: int | None = 30, most: int | None = 2000) -> DataFrame:
+    """The items of RSS and entries of Atom files: (file, id, title, url, summary, published).
+
+    id is the guid or id, else the link or title; published falls back to updated; the summary is cut at ``most``
+    characters, and the first ``limit`` of a file are taken (None: whole, all).
+    """
+    file = F.col("_metadata.file_path").alias("file")
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).select("*", file, F.monotonically_increasing_id().alias("seq"))
+    rss = read("item", "guid string, link string, title string, description string, pubDate string, updated string")
+    link = "array<struct<_href:string,_rel:string>>"
+    atom = read("entry", f"id string, link {link}, title string, summary string, content string, published string, updated string")
+    main = F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))
+    href = F.coalesce(main["_href"], F.get("link", F.lit(0))["_href"])
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    one = rss.select("file", "seq", F.coalesce(blank("guid"), blank("link"), blank("title")).alias("id"), "title", blank("link").alias("url"), F.col("description").alias("summary"), F.coalesce(timestamp(F.col("pubDate")), timestamp(F.col("updated"))).alias("published"))
+    two = atom.select("file", "seq", F.coalesce(blank("id"), href, blank("title")).alias("id"), "title", href.alias("url"), F.coalesce("summary", "content").alias("summary"), F.coalesce(timestamp(F.col("published")), timestamp(F.col("updated"))).alias("published"))
+    rows = one.unionByName(two)
+    if limit is not None:
+        rows = rows.withColumn("k", F.expr("row_number() over (partition by file order by seq)")).where(F.col("k") <= limit)
+    return rows.select("file", "id", "title", "url", F.substring("summary", 1, most).alias("summary") if most is not None else F.col("summary"), "published")
+
+
+def papers(items: DataFrame, revisions: tuple[str, ...] = ("replace", "replace-cross")) -> DataFrame:
+    """(id, title, abstract, link, announce_type) of feed items (title, url, summary): first appearances only.
+
+    The id is the archive's number in the link; the type stands in the text, else a version above one is a revision.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    said = F.lower(F.regexp_extract("summary", r"(?i)announce type:\s*([\w-]+)", 1))
+    version = F.regexp_extract("url", r"/abs/\d{4}\.\d{4,5}v(\d+)", 1).try_cast("int")
+    kind = F.coalesce(F.nullif(said, F.lit("")), F.when(version > 1, "replace"), F.lit("new"))
+    abstract = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?is)^.*?abstract:\s*", "")
+    x = items.select(F.regexp_extract("url", r"arxiv\.org/abs/(\d{4}\.\d{4,5})", 1).alias("id"), flat(F.col("title")).alias("title"), flat(abstract).alias("abstract"), F.col("url").alias("link"), kind.alias("announce_type"))
+    return x.where((F.col("id") != "") & ~F.col("announce_type").isin(*revisions))
+
+
+def read_fixture(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded items, each with a source of its own: (id, title, url, summary, published, source, tier, vendor)."""
+    item = "id string, title string, url string, summary string, published string, source struct<naam:string,name:string,url:string,type:string,tier:string,vendor:string>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"items array<struct<{_fields(item)}>>")["items"]).alias("i")).select("i.*")
+    blank = F.lit("")
+    return rows.select(
+        "id", F.coalesce("title", blank).alias("title"), F.coalesce("url", blank).alias("url"), F.coalesce("summary", blank).alias("summary"), timestamp(F.col("published")).alias("published"),
+        F.coalesce("source.naam", "source.name", blank).alias("source"), F.coalesce("source.tier", F.lit("primary")).alias("tier"), F.coalesce("source.vendor", F.lit("-")).alias("vendor"),
     )
 
 
+def _fields(schema: str) -> str:
+    return ",".join(x.strip().replace(" ", ":", 1) for x in schema.split(", "))
+
+
+def feed_rows(posts: DataFrame) -> DataFrame:
+    """(scope, name, id, title, description, published, link, author, categories): the whole site's feed, one for each section
+    and one for each topic; posts has id, title, description, published, url, author, section, format, topics."""
+    filed = F.concat(F.array(F.concat_ws(" — ", "section", "format")), "topics")
+    row = posts.select("id", "title", "description", "published", F.col("url").alias("link"), "author", filed.alias("categories"), "section", "topics")
+    scopes = F.concat(
+        F.array(F.struct(F.lit("site").alias("scope"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("section").alias("scope"), F.col("section").alias("name"))),
+        F.transform("topics", lambda t: F.struct(F.lit("topic").alias("scope"), t.alias("name"))),
+    )
+    return row.select(F.inline(scopes), "id", "title", "description", "published", "link", "author", "categories")
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with flat front matter: title, kind, format, topics, body; files without a title are dropped."""
     rows = spark.read.text(path, wholetext=True)

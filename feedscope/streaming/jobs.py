@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +23,13 @@ def windowed_counts(stream: DataFrame, every: str = "1 day", length: str = "7 da
     return stream.withWatermark("at", late).groupBy(F.window("at", length, every).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
 
-feedback_signal = topic_signal
+def feedback_windows(stream: DataFrame, items: DataFrame, every: str = "1 day", late: str = "1 day") -> DataFrame:
+    """(start, source, topic, observations, net) of reactions by day: a stream of (item, topic, kind, at) with the items' source.
+
+    Reactions to items that aren't known count under the source "missing".
+    """
+    known = stream.withWatermark("at", late).join(items.select("item", "source"), "item", "left").withColumn("source", F.coalesce("source", F.lit("missing")))
+    return topic_signal(known.withColumn("start", F.window("at", every)["start"]), ["start", "source", "topic"])
 
 
 def queue_expiry(stream: DataFrame, days: int = 7, late: str = "1 day") -> DataFrame:
@@ -63,11 +70,16 @@ def queue_expiry(stream: DataFrame, days: int = 7, late: str = "1 day") -> DataF
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Work off what is there and give the result as a table (written as Parquet; complete results in memory)."""
+    """Work off what is there and give the result as a table, written as Parquet; a complete result replaces the one before."""
     spark = df.sparkSession
     if mode == "append":
         out = f"{checkpoint}/{name}-out"
         df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/{name}-state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(out)
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = f"{checkpoint}/{name}-{uuid.uuid4().hex}"
+
+    def replace(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    df.writeStream.foreachBatch(replace).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)

@@ -61,24 +61,24 @@ def shown_measurements(spark, d):
     v, k = F.col("l_extendedprice") / 100 + 0.00003, F.col("l_linenumber") % 4
     unit = F.when(k == 0, "percent").when(k == 1, "elo").when(k == 2, "usd").otherwise("seconds")
     tools = F.when(F.col("l_partkey") % 3 == 0, True).when(F.col("l_partkey") % 3 == 1, False)
-    line = display.conditions_line(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), F.col("l_suppkey") % 3, tools, F.lit(None).cast("double"), F.concat(F.lit("harness "), "l_linestatus"), F.lit(None).cast("string"))
+    shots = F.when(F.col("l_suppkey") % 3 == 0, "zero-shot").otherwise(F.concat((F.col("l_suppkey") % 3).cast("string"), F.lit("-shot")))
+    line = display.summary((("effort ", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))), ("", shots), ("", F.when(tools, "tools").when(~tools, "no tools")), ("harness ", F.col("l_linestatus")), ("temp ", F.lit(None).cast("double"))))
     return Q._t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), display.value_text(v, unit).alias("shown"), line.alias("conditions"))
 
 
-_W = display.WORDING
-
-
-@Q.query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, 'Clerk ' || (o_custkey % 9)::VARCHAR AS a, CASE WHEN o_orderkey % 5 > 0 THEN 'model ' || (o_orderkey % 5)::VARCHAR ELSE '{_W["model"]}' END AS m, o_orderdate::DATE::VARCHAR AS day, o_orderkey % 2 = 0 AS built, o_orderkey % 3 = 0 AS chose, o_custkey % 2 = 0 AS checked, o_custkey % 3 = 0 AS rewrote FROM orders)
-SELECT id, CASE s WHEN 'F' THEN '{_W["automatic"]} from desk, ' || day || ', using ' || m || '. {_W["unread"]}.' WHEN 'O' THEN a || ' {_W["alone"]}.' || CASE WHEN built THEN ' ' || a || ' {_W["built"]}.' ELSE '' END
-  ELSE a || CASE WHEN built THEN ' {_W["built"]}; ' WHEN chose THEN ' {_W["chose"]}; ' ELSE ' {_W["asked"]}; ' END || m || CASE WHEN built THEN ' {_W["notes"]}' ELSE ' {_W["drafted"]}' END
-    || CASE WHEN checked OR rewrote THEN '; ' || a || ' ' || concat_ws(' and ', CASE WHEN checked THEN '{_W["checked"]}' END, CASE WHEN rewrote THEN '{_W["rewrote"]}' END) ELSE '' END || '.' END AS line FROM o""")
+@Q.query("""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, 'Clerk ' || (o_custkey % 9)::VARCHAR AS a, 'model ' || (o_orderkey % 5)::VARCHAR AS m, o_orderdate::DATE::VARCHAR AS day, o_orderkey % 2 = 0 AS built, o_custkey % 2 = 0 AS checked FROM orders)
+SELECT id, CASE s WHEN 'F' THEN 'No one read this' || CASE WHEN built THEN '; made by ' || m ELSE '' END || '; taken from the desk on ' || day || '.' WHEN 'O' THEN a || ' wrote every word.'
+  WHEN 'P' THEN concat_ws('; ', a || ' asked for it', CASE WHEN built THEN 'tried it out' END, m || ' wrote a draft', CASE WHEN checked THEN a || ' looked up the claims' END) || '.' END AS line FROM o""")
 def credit_lines(spark, d):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    credit = F.when(F.col("o_orderstatus") == "F", "automatic").when(F.col("o_orderstatus") == "O", "written").otherwise("directed")
-    done = {"built": k % 2 == 0, "chose": k % 3 == 0, "checked": c % 2 == 0, "rewrote": c % 3 == 0}
-    author, model = F.concat(F.lit("Clerk "), (c % 9).cast("string")), F.when(k % 5 > 0, F.concat(F.lit("model "), (k % 5).cast("string")))
-    line = display.credit_line(credit, author, model, F.lit("desk"), F.date_format("o_orderdate", "yyyy-MM-dd"), done)
-    return Q._t(spark, d, "orders").select(k.alias("id"), line.alias("line"))
+    k, c, always = F.col("o_orderkey"), F.col("o_custkey"), F.lit(True)
+    author, model = F.concat(F.lit("Clerk "), (c % 9).cast("string")), F.concat(F.lit("model "), (k % 5).cast("string"))
+    built, checked = k % 2 == 0, c % 2 == 0
+    clauses = {
+        "F": ((always, F.lit("No one read this")), (built, F.concat(F.lit("made by "), model)), (always, F.concat(F.lit("taken from the desk on "), F.date_format("o_orderdate", "yyyy-MM-dd")))),
+        "O": ((always, F.concat(author, F.lit(" wrote every word"))),),
+        "P": ((always, F.concat(author, F.lit(" asked for it"))), (built, F.lit("tried it out")), (always, F.concat(model, F.lit(" wrote a draft"))), (checked, F.concat(author, F.lit(" looked up the claims")))),
+    }
+    return Q._t(spark, d, "orders").select(k.alias("id"), display.disclosure(F.col("o_orderstatus"), clauses).alias("line"))
 
 
 _VENDORS = {"supplier one": "s1", "Supplier-2": "s2", "SUPPLIER 3": "s3"}
@@ -132,7 +132,7 @@ CLAIMED = (("tion", "tion the"), ("heit", "heit"), ("ment", "ment"))
 def claims_in_prose(spark, d):
     n = F.col("id")
     told = F.concat(F.lit(". The desk reports tion the "), (n % 90).cast("string"), F.lit(".5% and heit at 71.2%. It says ment and Zork at "), (n % 50).cast("string"), F.lit("% and 9.1! Some ment at 4.4."))
-    posts = Q.items(spark, d, F.col("text")).select("id", F.concat("summary", told).alias("body"), F.when(n % 6 > 0, F.col("url")).alias("url"), F.when(n % 5 > 0, F.concat(F.lit("m"), (n % 5).cast("string"))).alias("model"))
+    posts = Q.items(spark, d).select("id", F.concat("summary", told).alias("body"), F.when(n % 6 > 0, F.col("url")).alias("url"), F.when(n % 5 > 0, F.concat(F.lit("m"), (n % 5).cast("string"))).alias("model"))
     return grounding.claims(posts, CLAIMED, "Zork", "(?i)reports|says")
 
 
@@ -143,8 +143,8 @@ _LIMITS = (("research", 50, 3, 5), ("benchmark", 2, 4, 5), ("security", None, 6,
 r AS (SELECT s.section, s.id, s.relevance, coalesce(l.quality = 1, false) AS ok, row_number() OVER (PARTITION BY section ORDER BY relevance DESC, id) AS rank FROM scored s LEFT JOIN labels l ON l.doc_id = s.id WHERE reason IS NULL),
 bf AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY section ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r LEFT JOIN u USING (section)),
 x AS (SELECT *, CASE WHEN before >= hard_cap THEN 'hard_cap' WHEN before >= per_run THEN 'per_run' WHEN before >= per_day THEN 'per_day' END AS refusal FROM bf),
-s AS (SELECT section, arg_min(refusal, rank) FILTER (refusal IS NOT NULL) AS stop FROM x WHERE rank <= 8 GROUP BY section)
-SELECT section, id, CASE WHEN rank <= 8 AND refusal IS NULL THEN CASE WHEN ok THEN 'published' ELSE 'failed' END ELSE 'queued' END AS outcome, CASE WHEN rank <= 8 AND refusal IS NULL THEN NULL ELSE coalesce(stop, 'attempts') END AS reason FROM x JOIN s USING (section)""")
+y AS (SELECT *, CASE WHEN refusal IS NULL AND rank > 8 THEN 'attempts' ELSE refusal END AS why FROM x), s AS (SELECT section, arg_min(why, rank) FILTER (why IS NOT NULL) AS stop, min(rank) FILTER (why IS NOT NULL) AS first FROM y GROUP BY section)
+SELECT section, id, CASE WHEN first IS NULL OR rank < first THEN CASE WHEN ok THEN 'published' ELSE 'failed' END ELSE 'queued' END AS outcome, CASE WHEN rank >= first THEN stop END AS reason FROM y JOIN s USING (section)""")
 def budgeted_selection(spark, d):
     usage = spark.createDataFrame(list(_LIMITS), "section string, hard_cap int, per_run int, per_day int")
     good = Q._t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("good"))

@@ -50,6 +50,13 @@ def test_archive_replaces_only_its_months(spark, tmp_path):
 def test_digest_matches_its_rule(spark):
     import hashlib
 
+    # names that recorded readings have: the last part is the digest of their conditions
+    recorded = {"f86b": (True, None, "edit format: diff"), "69ec": (True, "unknown", "agent: Droid; stderr 0.0247"), "cfb2": (True, None, "agent: Codex CLI; stderr 0.0266"), "6c27": (True, None, "agent: Terminus 2; stderr 0.028"), "c676": (None, None, "Self-reported in the model card; conditions not stated")}
+    df = spark.createDataFrame([(k, *v) for k, v in recorded.items()], "want string, tools boolean, effort string, notes string")
+    digest = rules.conditions_digest([("tools", F.col("tools")), ("reasoningEffort", F.col("effort")), ("notes", F.col("notes"))])
+    assert all(r.want == r.got for r in df.select("want", digest.alias("got")).collect())
+    typed = rules.conditions_digest([("b", F.lit(0)), ("a", F.lit(0.5)), ("c", F.lit('x "y"\n'))])
+    assert spark.range(1).select(typed).first()[0] == hashlib.sha256(json.dumps({"a": 0.5, "b": 0, "c": 'x "y"\n'}).encode()).hexdigest()[:4]
     got = spark.range(1).select(rules.conditions_digest([("shots", F.lit("5")), ("notes", F.lit("a é")), ("x", F.lit("")), ("y", F.lit(None).cast("string"))])).first()[0]
     assert got == hashlib.sha256('{"notes": "a é", "shots": "5"}'.encode()).hexdigest()[:4]
 
@@ -57,3 +64,50 @@ def test_digest_matches_its_rule(spark):
 def test_publisher_about_itself(spark):
     rows = spark.createDataFrame([("Acme Weekly", "Acme opens a newsroom"), ("Acme Weekly", "Acme ships"), ("AI", "AI newsroom")], "s string, t string")
     assert [r[0] for r in rows.select(rules.about_itself(F.col("s"), F.col("t"), "newsroom|editor")).collect()] == [True, False, False]
+
+
+def test_atom_and_papers(spark, tmp_path):
+    entry = '<entry><id>http://arxiv.org/abs/2401.0000{0}v{1}</id><title>A\n  title {0}</title><link href="http://arxiv.org/abs/2401.0000{0}v{1}" rel="alternate" type="text/html"/><link href="http://pdf/{0}" rel="related"/><summary>Words  of\n{0}</summary><updated>2024-01-0{1}T10:00:00Z</updated></entry>'
+    (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>' + "".join(entry.format(k, v) for k, v in ((1, 1), (2, 3), (3, 1))) + "</feed>")
+    rss = "<item><link>http://arxiv.org/abs/2402.0000{0}v2</link><title>R{0}</title><description>arXiv:2402 Announce Type: {1} \nAbstract: of {0}</description></item>"
+    (tmp_path / "r.xml").write_text("<rss><channel>" + "".join(rss.format(k, t) for k, t in ((1, "new"), (2, "replace-cross"), (3, "cross"))) + "<item><title>no paper</title><link>http://else</link></item></channel></rss>")
+    rows = logs.read_items_xml(spark, str(tmp_path), None, None)
+    got = {r.id: r for r in rows.collect()}
+    assert got["http://arxiv.org/abs/2401.00001v1"].url == "http://arxiv.org/abs/2401.00001v1" and got["http://arxiv.org/abs/2401.00002v3"].published.replace(tzinfo=None) == datetime.datetime(2024, 1, 3, 10)
+    papers = {r.id: (r.title, r.abstract, r.announce_type) for r in logs.papers(rows).collect()}
+    assert papers == {"2401.00001": ("A title 1", "Words of 1", "new"), "2401.00003": ("A title 3", "Words of 3", "new"), "2402.00001": ("R1", "of 1", "new"), "2402.00003": ("R3", "of 3", "cross")}
+
+
+def test_fixture(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps({"items": [{"id": "1", "title": "A", "published": "2024-01-02T00:00:00Z", "source": {"naam": "S", "tier": "community"}}, {"id": "2", "source": {"name": "T"}}]}))
+    assert sorted((r.id, r.title, r.source, r.tier, r.vendor, r.published is None) for r in logs.read_fixture(spark, str(tmp_path)).collect()) == [("1", "A", "S", "community", "-", False), ("2", "", "T", "primary", "-", True)]
+
+
+def test_profile(spark):
+    from feedscope.plans import profile
+
+    rules_ = {
+        "topics": {"t": "x"}, "sections": {"s": "y"}, "exclude": {"a": "1", "b": "2"}, "active": ["b"], "quality": {"mechanism": "m", "result": "r", "number": "[0-9]", "verifiable": "v", "gate": 50.0},
+        "strong": [{"topic": "Deep Nets", "signals": []}], "medium": [{"topic": "k", "signals": ["One", "two"]}], "low": ["Robots"], "section": "s",
+    }
+    p = profile.interest_profile(profile.parse(json.dumps(rules_)))
+    assert p.exclude == (("b", "2"),) and p.quality.gate == 50.0 and p.interests.strong == (("Deep Nets", ("deep nets",)),) and p.interests.medium == (("k", ("one", "two")),) and p.interests.low == ("robots",)
+    assert profile.quotas({"buckets": {"a": {"keywords": [], "min_per_digest": 3}, "b": {"keywords": []}}}) == {"a": 3, "b": 0}
+
+
+def test_own_scorer(spark):
+    """A scorer sees only what no cheaper stage drops, and what it leaves out fails the gate."""
+    from feedscope import queries as Q
+    from feedscope.plans import funnel
+
+    seen = []
+
+    def scorer(df):
+        seen.append({r.id for r in df.select("id").collect()})
+        return df.where("id % 2 = 0").select("id", F.lit(99.0).alias("quality"))
+
+    sf = "/root/testdata/sf0.001"
+    out = funnel.score_items(Q.items(spark, sf), Q.seen_urls(spark, sf), Q.PROFILE, F.lit("2024-02-10").cast("date"), scorer=scorer).select("id", "quality", "reason").collect()
+    early = {r.id for r in out if r.reason in ("duplicate", "excluded", "no_topic")}
+    assert seen[0] == {r.id for r in out} - early
+    assert all((r.reason is None) == (r.id % 2 == 0) for r in out if r.id not in early)

@@ -80,7 +80,7 @@ def test_corroborate(spark):
 
 @pytest.mark.parametrize(("version", "text", "want"), [("6", "47% less in 6 days", True), ("6", "46 and 6% and 1.6", False), ("4.8", "Opus 4.8 is", True), ("4.8", "4.8.1", False), ("2026-09-03", "on 2026-09-03,", True), ("2026-09-03", "on 2026-09-031", False)])
 def test_version_in_text(spark, version, text, want):
-    assert one(spark, grounding.mentions_version(F.lit(version), F.lit(text))) == [want]
+    assert one(spark, grounding.version_in(F.lit(version), F.lit(text))) == [want]
 
 
 def test_entity_grounding(spark):
@@ -128,11 +128,10 @@ def test_claims(spark):
 def test_display(spark):
     v = lambda x, u: display.value_text(F.lit(x), F.lit(u))
     assert one(spark, v(91.24, "percent"), v(1250.5, "elo"), v(3.14159, "usd"), v(2.04, "seconds"), v(1.04, "other")) == ["91.2%", "1251", "$3.14", "2.0s", "1.0"]
-    n = lambda t: F.lit(None).cast(t)
-    args = (F.lit("high"), F.lit(0), F.lit(False), F.lit(0.5), n("string"), F.lit("x" * 95))
-    assert one(spark, display.conditions_line(*args)) == ["effort high · zero-shot · no tools · temp 0.5 · " + "x" * 90 + "…"]
-    assert one(spark, display.conditions_line(*args, limit=None)) == ["reasoning effort: high · 0-shot · no tools · temperature 0.5 · " + "x" * 95]
-    assert one(spark, display.conditions_line(n("string"), n("int"), n("boolean"), n("double"), n("string"), n("string"))) == [""]
+    parts = (("effort ", F.lit("high")), ("", F.lit("zero-shot")), ("temp ", F.lit(0.5)), ("harness ", F.lit(" ")), ("", F.lit(None).cast("string")), ("", display.cut(F.lit("x" * 95), 90)))
+    assert one(spark, display.summary(parts), display.summary(parts[3:5])) == ["effort high · zero-shot · temp 0.5 · " + "x" * 90 + "…", ""]
+    clauses = {"a": ((F.lit(True), F.lit("One did it")), (F.lit(None).cast("boolean"), F.lit("another")), (F.lit(True), F.lit("two read it")))}
+    assert one(spark, display.disclosure(F.lit("a"), clauses), display.disclosure(F.lit("b"), clauses)) == ["One did it; two read it.", None]
 
 
 def test_scans(spark, tmp_path):
