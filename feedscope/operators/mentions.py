@@ -14,7 +14,8 @@ def occurrences(texts: DataFrame, needles: DataFrame, width: int = 4) -> DataFra
     left out, and so are null texts.
     """
     start = needles.where(F.length("needle") >= width).select("needle").distinct().withColumn("gram", F.substring("needle", 1, width))
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - width + 1), lambda k: F.substring(F.col("text"), k, F.lit(width)))
+    # all of them, in one pass over the text for each place they may start at
+    grams = F.concat(*[F.regexp_extract_all(F.substring("text", 1 + k, 1 << 30), F.lit(f"(?s).{{{width}}}"), F.lit(0)) for k in range(width)])
     met = texts.where(F.length("text") >= width).select("id", F.explode(F.array_distinct(grams)).alias("gram")).join(start, "gram").select("id", "needle")
     return met.join(texts.select("id", "text"), "id").withColumn("pos", F.position("needle", "text")).where("pos > 0").select("id", "needle", "pos")
 
