@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import keyed, materialise, may_hold, slices
+from feedscope.llm.common import drop_written, keyed, materialise, may_hold, slices, written
 
 SHINGLE, SIMILARITY, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
@@ -295,11 +295,16 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def _classes(docs: DataFrame, signed: DataFrame, similarity: float, tolerance: float, block: int) -> DataFrame:
-    """set_hash, text_id, class_id (smallest doc_ids of the set and of its component; null where none has one), n_links."""
+    """set_hash, text_id, class_id (smallest doc_ids of the set and of its component; null where none has one), n_links.
+
+    The tables on the way are deleted as soon as nothing reads them.
+    """
+    spark, start = docs.sparkSession, written()
     first = F.min(F.struct(F.col("row").alias("rep"), F.col("doc_id").alias("rep_doc"), "text_hash")).alias("r")
     classes = signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(first, F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("text_id"))
     classes = materialise(classes.select("set_hash", "r.*", "copies", "text_id"), "classes")
     reps = signed.select(F.col("row").alias("rep"), "n", "sig").join(classes.select("rep", "copies"), "rep")
+    after_classes = written()
     shared = materialise(_shared_buckets(reps, block), "shared")
     places = reps.select("rep", "copies", F.posexplode(band_keys(F.col("sig"))).alias("band", "bkey"))
     places = may_hold(places, shared, "bkey", 1 << 18).join(shared, ["bkey", "band"])
@@ -322,11 +327,13 @@ def _classes(docs: DataFrame, signed: DataFrame, similarity: float, tolerance: f
     sets = texts.mapInArrow(_sets, "rep long, sh binary")
     whole = pruned.join(sets, "rep").select(*_MEMBER.names, "sh").repartition(*key).sortWithinPartitions(*key)
     links = materialise(whole.mapInArrow(lambda it: _linked(it, similarity, tolerance), "rep long, n_linked long, low long"), "links")
+    drop_written(spark, after_classes, keep=1)
 
     counts = links.groupBy("rep").agg(F.sum("n_linked").alias("n_linked"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     known = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = materialise(known.select("set_hash", "text_id", "root", (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")), "known")
+    drop_written(spark, start, keep=1)
     lowest = known.groupBy("root").agg(F.min("text_id").alias("class_id"))
     return known.join(lowest, "root")
 

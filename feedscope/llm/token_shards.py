@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import materialise, scratch_path, slices
+from feedscope.llm.common import lean, materialise, scratch_path, slices
 
 END_ID = 1
 #: Fixed values of the zstandard seekable format: skippable frames of the table and of our index, its end.
@@ -159,7 +159,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     shards = rows.mapInArrow(lambda it: _shards(it, tokenizer), "value binary").select(F.col("value").cast("string").alias("value"))
-    shards.write.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+    with lean(docs.sparkSession):
+        shards.write.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 class Shard:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import scratch_path, slices
+from feedscope.llm.common import lean, scratch_path, slices
 
 #: Bytes of a chunk, of a segment's block and of a file.
 CHUNK, SEGMENT, FILE_BYTES = 4096, 16384, 16_000_000
@@ -125,7 +125,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write the pages as gzipped WARC files of a bounded number of bytes below ``path``."""
     rows = plan_records(pages, least_bytes).repartition("record_id", "payload_digest").sortWithinPartitions("record_id", "payload_digest", "url")
     files = rows.mapInArrow(_to_files, "value binary").select(F.col("value").cast("string").alias("value"))
-    files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+    with lean(pages.sparkSession):
+        files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 class Payload:
