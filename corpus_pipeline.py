@@ -4,37 +4,64 @@ Defined cases: rows without a doc_id and rows that share one are judged, kept an
 has no letter has no language and goes; very long texts are handled whole; of equal texts the row with the smallest doc_id
 stays; columns beside those of documents are carried, whatever their names, up to the last stage; an empty table gives
 an empty result.
+
+A stage's result is written before the next stage begins, so each stage first deletes the tables that the one before it
+wrote for itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from feedscope.llm import decontam, language_id, ngram_join, source_mix, token_shards
-from feedscope.llm.common import drop_written, load, materialise, written
+from feedscope.llm.common import drop_written, load, materialise, written, written_since
 from feedscope.llm.queries import tokenizer_path
 
 
+#: The folders that the latest stage wrote for itself.
+_own: list[str] = []
+
+
+def stage(work: Callable) -> Callable:
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_written(spark, _own)
+        start = written()
+        out = work(spark, docs, sf_dir)
+        _own[:] = written_since(start)
+        return out
+
+    return run_stage
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language."""
     return language_id.in_known_language(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of similar ones."""
     return ngram_join.distinct_documents(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     return decontam.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents so that sources meet their target weights; a document may come twice."""
     return source_mix.mix(docs)
 
 
+@stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token shards; a row for each document stored."""
     return token_shards.shard_digest(docs, tokenizer_path("word_bpe_49k.json"))
@@ -54,8 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        before = written()
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        drop_written(spark, before, keep=1)  # what the stage wrote for itself
+    for name, work in STAGES[:-1]:
+        docs = materialise(work(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
