@@ -88,18 +88,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def written() -> int:
-    """How many folders there are; a place for ``drop_written`` to go back to."""
+    """How many folders there are; a place for ``written_since`` to go back to."""
     return len(_written)
 
 
-def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete the folders written since then, but for the last ``keep``: for a caller whose tables nobody reads any more."""
-    gone = _written[since : len(_written) - keep]
+def written_since(start: int) -> list[str]:
+    return _written[start:]
+
+
+def drop_written(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of tables that nobody reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for root in gone:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
-        _written.remove(root)
+    for root in folders:
+        if root in _written:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+            _written.remove(root)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

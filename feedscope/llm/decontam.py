@@ -126,4 +126,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows that hold no benchmark item, each judged by its own text, whatever its doc_id."""
     rows, key = keyed(docs)
     hit = contaminated(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias(key)).distinct()
+    hit = materialise(hit, "hit")  # its size is known: where it is small, no text is shuffled
     return rows.join(hit, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

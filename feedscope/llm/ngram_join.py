@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import drop_written, keyed, materialise, may_hold, slices, written
+from feedscope.llm.common import drop_written, keyed, materialise, may_hold, slices, written, written_since
 
 SHINGLE, SIMILARITY, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
@@ -327,13 +327,13 @@ def _classes(docs: DataFrame, signed: DataFrame, similarity: float, tolerance: f
     sets = texts.mapInArrow(_sets, "rep long, sh binary")
     whole = pruned.join(sets, "rep").select(*_MEMBER.names, "sh").repartition(*key).sortWithinPartitions(*key)
     links = materialise(whole.mapInArrow(lambda it: _linked(it, similarity, tolerance), "rep long, n_linked long, low long"), "links")
-    drop_written(spark, after_classes, keep=1)
+    drop_written(spark, written_since(after_classes)[:-1])
 
     counts = links.groupBy("rep").agg(F.sum("n_linked").alias("n_linked"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     known = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = materialise(known.select("set_hash", "text_id", "root", (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")), "known")
-    drop_written(spark, start, keep=1)
+    drop_written(spark, written_since(start)[:-1])
     lowest = known.groupBy("root").agg(F.min("text_id").alias("class_id"))
     return known.join(lowest, "root")
 
@@ -356,5 +356,5 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, toleranc
     found = similar_documents(rows.select(F.col(f"`{key}`").alias("doc_id"), "text"), similarity, tolerance, block).select(F.col("doc_id").alias(key), F.col("class_id").alias("class"))
     pairs = rows.select(F.col(key), F.col("doc_id").alias("doc")).join(found, key)
     first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col(key))).getField(key)
-    kept = pairs.groupBy("class").agg(first.alias(key)).select(key)
+    kept = materialise(pairs.groupBy("class").agg(first.alias(key)).select(key), "kept")  # its size is known: where it is small, no text is shuffled
     return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
