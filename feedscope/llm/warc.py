@@ -67,7 +67,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = F.col("first").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("first.page_id")) | (F.col("n") < least_bytes)
     other = lambda c: F.when(~own, F.col(f"first.{c}"))
     planned = each.join(first, "payload_digest", "left").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "record_id", other("page_id").alias("refers_to"), other("record_id").alias("refers_id"))
-    return rows.join(planned, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))).drop("p", "d")
+    # merged, so that rows with the same id and payload come to one task, side by side, and payloads are shuffled once
+    return rows.join(planned.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))).drop("p", "d")
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -123,7 +124,7 @@ def _to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write the pages as gzipped WARC files of a bounded number of bytes below ``path``."""
-    rows = plan_records(pages, least_bytes).repartition("record_id", "payload_digest").sortWithinPartitions("record_id", "payload_digest", "url")
+    rows = plan_records(pages, least_bytes).sortWithinPartitions("record_id", "payload_digest", "url")
     files = rows.mapInArrow(_to_files, "value binary").select(F.col("value").cast("string").alias("value"))
     with lean(pages.sparkSession):
         files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
