@@ -356,5 +356,5 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, toleranc
     found = similar_documents(rows.select(F.col(f"`{key}`").alias("doc_id"), "text"), similarity, tolerance, block).select(F.col("doc_id").alias(key), F.col("class_id").alias("class"))
     pairs = rows.select(F.col(key), F.col("doc_id").alias("doc")).join(found, key)
     first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col(key))).getField(key)
-    kept = materialise(pairs.groupBy("class").agg(first.alias(key)).select(key), "kept")  # its size is known: where it is small, no text is shuffled
-    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = materialise(pairs.groupBy("class").agg(first.alias(key)).select(key), "kept")  # so that the shuffles it took are gone before texts are shuffled
+    return rows.join(kept.hint("merge"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

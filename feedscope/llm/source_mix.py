@@ -99,8 +99,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     rows, key = keyed(docs)
     n, copy = free_name(rows, "__n"), free_name(rows, "__copy")
     copies = allot(rows, key=key, **how).where("copies > 0").select(F.col("row").alias(key), F.col("copies").alias(n))
-    copies = materialise(copies, "copies")  # its size is known: where it is small, no text is shuffled
-    taken = rows.join(copies, key)
+    copies = materialise(copies, "copies")  # so that the shuffles it took are gone before texts are shuffled
+    taken = rows.join(copies.hint("merge"), key)  # a row for nearly each one of the table: never broadcast, at any size
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
