@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedscope.llm import chat_repair, decontam, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_shards, warc
+from feedscope.llm import chat_repair, decontam, hard_negatives, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_shards, warc, whitening
 from feedscope.llm.common import load
 
 
@@ -56,8 +56,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(load(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_decontamination, op4_warc, op5_chat_repair, op6_token_counts, op7_token_shards, op8_language_id, op9_license_scan, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_decontamination, op4_warc, op5_chat_repair, op6_token_counts, op7_token_shards, op8_language_id, op9_license_scan, op10_ngram_join, op11_hard_negatives, op12_whitening)}
 
 
 _WARC = r"""
@@ -71,4 +79,4 @@ FROM h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op2_source_mix": source_mix.ORACLE, "op4_warc": _WARC}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op2_source_mix": source_mix.ORACLE, "op4_warc": _WARC, "op11_hard_negatives": hard_negatives.ORACLE}

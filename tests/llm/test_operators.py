@@ -45,7 +45,7 @@ def read(sf, name):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(oracle_sql()[name])
     cols = [c[0] for c in cur.description]
