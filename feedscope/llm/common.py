@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -56,27 +58,46 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Folders of tables that this process wrote and hasn't dropped.
-_written: list[str] = []
+class _Folders(threading.local):
+    """Folders of tables that this thread wrote and hasn't dropped; runs in other threads have lists of their own."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+
+
+_folders = _Folders()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for one run of one operator."""
     root = f"{shared_dir(spark).rstrip('/')}/feedscope-{uuid.uuid4().hex}"
-    _written.append(root)
+    _folders.made.append(root)
     return f"{root}/{name}"
 
 
+_lean_lock, _lean_inside = threading.Lock(), {"n": 0, "before": "false"}
+
+
 @contextmanager
 def lean(spark: SparkSession) -> Iterator[None]:
-    """What is written inside leaves no shuffle files behind: who reads the table needs them no more."""
+    """What is written inside leaves no shuffle files behind: who reads the table needs them no more.
+
+    The setting is the session's; it goes back when the last of several writes at a time ends. A job that runs
+    meanwhile loses its shuffle files when it ends, too, and makes them again should it be run again.
+    """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    with _lean_lock:
+        if not _lean_inside["n"]:
+            _lean_inside["before"] = spark.conf.get(key, "false")
+            spark.conf.set(key, "true")
+        _lean_inside["n"] += 1
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _lean_lock:
+            _lean_inside["n"] -= 1
+            if not _lean_inside["n"]:
+                spark.conf.set(key, _lean_inside["before"])
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -88,22 +109,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def written() -> int:
-    """How many folders there are; a place for ``written_since`` to go back to."""
-    return len(_written)
+    """How many folders this thread has; a place for ``written_since`` to go back to."""
+    return len(_folders.made)
 
 
 def written_since(start: int) -> list[str]:
-    return _written[start:]
+    return _folders.made[start:]
 
 
 def drop_written(spark: SparkSession, folders: list[str]) -> None:
     """Delete folders of tables that nobody reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for root in folders:
-        if root in _written:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
-            _written.remove(root)
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+        if root in _folders.made:
+            _folders.made.remove(root)
+
+
+def drop_with(df: DataFrame, folders: list[str]) -> DataFrame:
+    """The same DataFrame; the folders that it reads are deleted when it is gone, not when the process ends."""
+    weakref.finalize(df, drop_written, df.sparkSession, list(folders)).atexit = False
+    return df
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

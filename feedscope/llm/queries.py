@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedscope.llm import chat_repair, decontam, hard_negatives, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_shards, warc, whitening
+from feedscope.llm import chat_repair, class_lm, decontam, hard_negatives, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_shards, warc, whitening
 from feedscope.llm.common import load
 
 
@@ -64,8 +64,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(load(spark, sf_dir, "embeddings"))
 
 
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_decontamination, op4_warc, op5_chat_repair, op6_token_counts, op7_token_shards, op8_language_id, op9_license_scan, op10_ngram_join, op11_hard_negatives, op12_whitening)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_decontamination, op4_warc, op5_chat_repair, op6_token_counts, op7_token_shards, op8_language_id, op9_license_scan, op10_ngram_join, op11_hard_negatives, op12_whitening, op13_class_lm)}
 
 
 _WARC = r"""
