@@ -7,12 +7,15 @@ can start at any of them. A file's bytes are one row of Spark's text writer; the
 empty gzip member.
 
 Reading: continuation records are grouped by the id of their origin record and stand in order of their segment
-number; the total length is verified and chunked framing decoded. A payload is never held whole: its parts run
-through a decoder and a digest one after another. A record that is cut or doesn't add up gives a row with
+number; the total length is verified and chunked framing decoded: a record's segments run through a decoder and a digest one
+after another, so that of a long payload a segment is held at a time. The writer holds one payload at a time with
+its framed copy, the reader a file and one unpacked record of it. A record that is cut or doesn't add up gives a row with
 ``error`` and no digest.
 
-A record's id is its page's, with the payload's digest where a page_id has several payloads, and a number where rows have
-the same id and payload. It depends on the pages alone, and ``WARC-Refers-To`` names such an id.
+A record's id is its page's, with the payload's digest where a page_id has several payloads. Where rows have the same id and
+payload, each has the number of its input partition and its own number in there as well, so that no task needs to see
+all such rows: an input partition's rows stay together however Spark splits a skewed join, which it does by map task.
+``WARC-Refers-To`` names such an id.
 
 Defined cases: a null or empty payload is empty, a very long one is cut into segments; a null url is written as
 ``urn:none``; rows with the same id and payload are responses all, if their id is the smallest with it; rows without a
@@ -38,6 +41,10 @@ from feedscope.llm.common import lean, scratch_path, slices
 CHUNK, SEGMENT, FILE_BYTES = 4096, 16384, 16_000_000
 #: Fixed value: an empty gzip member, which ends a file.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
+MAGIC = EMPTY_MEMBER[:2]
+#: Bytes of a file that are unpacked at a time.
+READ_BYTES = 16384
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, error string, origin string, segment int, total long, data binary"
@@ -52,22 +59,23 @@ def sha1_base32(data: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_id, refers_to and refers_id (null for responses)."""
+    """page_id, url, part, payload, payload_bytes, payload_digest, record_id, copies, refers_to and refers_id (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), sha1_base32(payload.cast("binary")).alias("payload_digest"))
+    rows = pages.select("page_id", "url", F.spark_partition_id().alias("part"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), sha1_base32(payload.cast("binary")).alias("payload_digest"))
     # a narrow row for each page_id and payload; what is decided comes back by both, so that no payload is a hot key
-    each = rows.groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n"))
+    each = rows.groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("part").alias("part"))
     several = each.groupBy("page_id").agg((F.count(F.lit(1)) > 1).alias("several"))
     same_id = F.col("e.page_id").eqNullSafe(F.col("s.page_id"))
     each = each.alias("e").join(several.alias("s"), same_id).select("e.*", "several")
     plain = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     record_id = F.when(F.col("several") | F.col("page_id").isNull(), F.concat_ws(":", plain, "payload_digest")).otherwise(plain)
-    each = each.select("page_id", "payload_digest", "n", record_id.alias("record_id"))
-    first = each.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"))
+    each = each.select("page_id", "payload_digest", "n", "copies", "part", record_id.alias("record_id"))
+    one = F.when(F.col("copies") == 1, F.col("record_id")).otherwise(F.concat("record_id", F.lit(":row:"), "part", F.lit(".1")))
+    first = each.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", one.alias("record_id"))).alias("first"))
     own = F.col("first").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("first.page_id")) | (F.col("n") < least_bytes)
     other = lambda c: F.when(~own, F.col(f"first.{c}"))
-    planned = each.join(first, "payload_digest", "left").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "record_id", other("page_id").alias("refers_to"), other("record_id").alias("refers_id"))
-    # merged, so that rows with the same id and payload come to one task, side by side, and payloads are shuffled once
+    planned = each.join(first, "payload_digest", "left").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "record_id", "copies", other("page_id").alias("refers_to"), other("record_id").alias("refers_id"))
+    # merged at every size, so that payloads are shuffled once; a hot page may be split by map tasks
     return rows.join(planned.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))).drop("p", "d")
 
 
@@ -106,13 +114,14 @@ def _member(record: bytes) -> bytes:
 
 
 def _to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each file, from rows sorted by id and payload."""
+    """A row for each file, from rows sorted by id, payload and input partition."""
     out, held, last, number = [], 0, None, 0
     for b in slices(batches, 256):
-        for rid, url, payload, digest, refers in zip(*(b.column(c).to_pylist() for c in ("record_id", "url", "payload", "payload_digest", "refers_id")), strict=True):
-            number = number + 1 if (rid, digest) == last else 1
-            last = (rid, digest)
-            for r in records(rid if number == 1 else f"{rid}:row:{number}", url, payload.encode(), digest, refers):
+        for rid, copies, part, url, payload, digest, refers in zip(*(b.column(c) for c in ("record_id", "copies", "part", "url", "payload", "payload_digest", "refers_id")), strict=True):
+            rid, digest, part = rid.as_py(), digest.as_py(), part.as_py()
+            number = number + 1 if (rid, digest, part) == last else 1
+            last = (rid, digest, part)
+            for r in records(rid if copies.as_py() == 1 else f"{rid}:row:{part}.{number}", url.as_py(), payload.as_py().encode(), digest, refers.as_py()):
                 out.append(_member(r))
                 held += len(out[-1])
             if held >= FILE_BYTES:
@@ -124,7 +133,7 @@ def _to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write the pages as gzipped WARC files of a bounded number of bytes below ``path``."""
-    rows = plan_records(pages, least_bytes).sortWithinPartitions("record_id", "payload_digest", "url")
+    rows = plan_records(pages, least_bytes).sortWithinPartitions("record_id", "payload_digest", "part", "url")
     files = rows.mapInArrow(_to_files, "value binary").select(F.col("value").cast("string").alias("value"))
     with lean(pages.sparkSession):
         files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
@@ -191,20 +200,31 @@ class Payload:
         return b32encode(self.sha.digest()).decode()
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """A file's gzip members, unpacked one after another; the file itself if it isn't gzipped."""
+    if data[:2] != MAGIC:
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while view[at : at + 2] == MAGIC:
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            part = view[at : at + READ_BYTES]
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        yield b"".join(out)
+
+
 def unpack(data: bytes) -> bytes:
     """A file's bytes, gunzipped if need be (one member or one for each record)."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out) or data
+    return b"".join(members(data))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(fields in lower case, block) of the records of a file; a block that is cut short is None."""
+    """(fields in lower case, block) of the records of a member or file; a block that is cut short is None."""
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
+    while m := _VERSION.search(data, at):
+        at = m.start()
         end = data.find(_END, at)
         if end < 0:
             return
@@ -225,7 +245,7 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column("content"):
             rows: list[tuple] = []
-            for f, block in parse(unpack(content.as_py())):
+            for f, block in (r for m in members(content.as_py()) for r in parse(m)):
                 kind, rid = f.get("warc-type"), f.get("warc-record-id", "")
                 page, url, digest = _page(rid), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:")
                 number = int(f.get("warc-segment-number", 0))
