@@ -5,8 +5,8 @@ has no letter has no language and goes; very long texts are handled whole; of eq
 stays; columns beside those of documents are carried, whatever their names, up to the last stage; an empty table gives
 an empty result.
 
-A stage's result is written before the next stage begins, so each stage first deletes the tables that the one before it
-wrote for itself.
+What a stage returns is read from tables that it wrote for itself, so write it before the next stage; these tables are deleted
+once the returned DataFrame is gone. ``run`` returns a table of its own, which no later run deletes.
 """
 
 from __future__ import annotations
@@ -17,22 +17,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from feedscope.llm import decontam, language_id, ngram_join, source_mix, token_shards
-from feedscope.llm.common import drop_written, load, materialise, written, written_since
+from feedscope.llm.common import drop_with, drop_written, load, materialise, written, written_since
 from feedscope.llm.queries import tokenizer_path
 
 
-#: The folders that the latest stage wrote for itself.
-_own: list[str] = []
-
-
 def stage(work: Callable) -> Callable:
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_written(spark, _own)
         start = written()
         out = work(spark, docs, sf_dir)
-        _own[:] = written_since(start)
-        return out
+        return drop_with(out, written_since(start))
 
     return run_stage
 
@@ -80,7 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for name, work in STAGES[:-1]:
-        docs = materialise(work(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, own = load(spark, sf_dir, "documents"), []
+    for name, work in STAGES:
+        found = work(spark, docs, sf_dir)
+        start = written()
+        docs = materialise(found, name)
+        drop_written(spark, own)  # the stage's input: what came out of it is written
+        own = written_since(start)
+        del found
+    return docs
