@@ -100,11 +100,11 @@ def lean(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, _lean_inside["before"])
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it, which cuts lineage and outlives executors."""
     path = scratch_path(df.sparkSession, name)
     with lean(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

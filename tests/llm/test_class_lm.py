@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,16 +176,23 @@ def test_clustering_raises_the_likelihood(spark):
     assert sum(len(v) == 1 for v in seen.values()) >= 0.95 * len(seen)
 
 
-def test_place_sums_over_batches():
-    table = np.random.default_rng(5).standard_normal((12, 4)).astype(np.float32)
-    rng = random.Random(6)
-    rows = sorted((rng.randrange(8), [rng.randrange(12) for _ in range(rng.randint(1, 4))]) for _ in range(60))
-    rows = [(w, codes, [rng.randint(1, 9) for _ in codes]) for w, codes in rows]
-    batches = [pa.record_batch([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int16())), pa.array([r[2] for r in part], pa.list_(pa.int32()))], names=["wid", "codes", "ns"]) for part in (rows[:1], rows[1:7], rows[7:50], rows[50:])]
-    got = {w: (c, n) for b in class_lm._place(table)(iter(batches)) for w, c, n in zip(*(b.column(k).to_pylist() for k in ("wid", "class", "n")), strict=True)}
+def test_words_are_placed_by_all_their_neighbours():
+    rng = np.random.default_rng(5)
+    table = rng.standard_normal((12, 4)).astype(np.float32)
+    wid, code, n = rng.integers(0, 40, 300), rng.integers(0, 12, 300).astype(np.uint8), rng.integers(1, 9, 300).astype(np.int32)
     score, count = defaultdict(lambda: np.zeros(4)), Counter()
-    for w, codes, ns in rows:
-        for c, n in zip(codes, ns, strict=True):
-            score[w] += n * table[c]
-            count[w] += n * (c >= 6)
-    assert got == {w: (int(s.argmax()), count[w]) for w, s in score.items()}
+    for w, c, k in zip(wid.tolist(), code, n, strict=True):
+        score[w] += k * table[c]
+        count[w] += k * (c >= 6)
+    words, best, total = class_lm.place(wid, code, n, table)
+    assert dict(zip(words.tolist(), zip(best.tolist(), total.tolist(), strict=True), strict=True)) == {w: (int(s.argmax()), count[w]) for w, s in score.items()}
+
+
+def test_cut_parts_words_at_ascii_white_space_only():
+    texts = ["", "  ", "A b\x0bC\x0cd\r\ne\tf", "x", " \x1cy\xa0z ", "İ É\u2003q", "b B"]
+    ids, distinct, n = class_lm.cut([t.encode() for t in texts])
+    got, at = [], 0
+    for k in n:
+        got.append([distinct[i].decode() for i in ids[at : at + k]])
+        at += k
+    assert got == [words_of(t)[:-1] for t in texts] and at == len(ids)
