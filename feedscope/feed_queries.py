@@ -27,14 +27,15 @@ def source_rejects(spark, d):
 @Q.query(f"""WITH {Q._SCORED}, f AS (SELECT *, CASE WHEN source = 'src2' OR regexp_matches(title || chr(10) || summary, 'eaux') THEN 'paper' WHEN section = 'benchmark' THEN 'benchmark' ELSE 'news' END AS format FROM scored)
 SELECT id, format, CASE WHEN section IN ('research', 'benchmark', 'security') THEN section ELSE 'research' END AS filed, CASE WHEN format IN ('news', 'benchmark') THEN format ELSE 'news' END AS shown, array_to_string(list_filter(topics, lambda t: t IN ('tion', 'ing', 'ment', 'the'))[1:2], ',') AS kept FROM f""")
 def filings(spark, d):
-    x = Q.scored(spark, d)
+    x = Q.scored(spark, d, "topics", "section")
     x = x.withColumn("format", rules.format_of(F.col("source"), F.concat("title", F.lit("\n"), "summary"), F.col("section"), "^src2$", "eaux"))
     section = rules.coerced_section(F.col("section"), ("research", "benchmark", "security", "release"), ("release",))
     shown = rules.coerced_format(F.col("format"), F.col("section"), ("news", "benchmark"))
     return x.select("id", "format", section.alias("filed"), shown.alias("shown"), F.array_join(T.known_only(F.col("topics"), _VOCAB, 2), ",").alias("kept"))
 
 
-_LAST = f"last AS (SELECT t AS topic, max(published) AS last FROM (SELECT published, unnest(topics) AS t FROM scored WHERE tier = 'primary' AND published <= DATE '2024-01-27' AND len(topics) < 3) GROUP BY t)"
+#: An archive that ends a fortnight before the newest items, so that topics have starved meanwhile.
+_LAST = f"last AS (SELECT t AS topic, max(published) - 14 AS last FROM (SELECT published, unnest(topics) AS t FROM scored WHERE tier = 'primary') GROUP BY t)"
 _WORDS = {"tion": "tion the", "keit": "heit der"}
 
 
@@ -48,8 +49,8 @@ SELECT id, floor((greatest(0, CASE WHEN len(s1) > 0 THEN 45 * least(1000, 700 +
   CASE WHEN dup THEN 'duplicate' WHEN excluded THEN 'excluded' WHEN source = 'src9' THEN 'paused_source' WHEN len(topics) = 0 THEN 'no_topic' WHEN quality < {Q.GATE} THEN 'below_gate' END AS reason FROM h""")
 def starved_relevance(spark, d):
     """The funnel with the topics' own words, the starvation bonus and a caller's reject."""
-    x = Q.scored(spark, d).where("tier = 'primary' AND published <= date'2024-01-27' AND size(topics) < 3")
-    activity = x.select(F.explode("topics").alias("topic"), "published").groupBy("topic").agg(F.max("published").alias("last"))
+    x = Q.scored(spark, d, "topics").where("tier = 'primary'")
+    activity = x.select(F.explode("topics").alias("topic"), "published").groupBy("topic").agg(F.date_sub(F.max("published"), 14).alias("last"))
     rich = funnel.Profile(**{**Q.PROFILE.__dict__, "vocabulary": _WORDS})
     out = funnel.score_items(Q.items(spark, d), Q.seen_urls(spark, d), rich, F.lit(_DAY).cast("date"), F.when(F.col("source") == "src9", "paused_source"), activity)
     return out.select("id", "relevance", "why", "reason")
@@ -137,7 +138,7 @@ def novel_by_source(spark, d):
 
 
 @Q.query(f"""WITH {Q._MEAS}, a AS (SELECT id, value, CASE WHEN seq % 3 = 0 THEN (seq + 1)::VARCHAR || '-1' END AS supersedes FROM m), b AS (SELECT id, value + 1 AS value, NULL::VARCHAR AS supersedes FROM m WHERE seq % 5 = 0),
-o AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b) SELECT id, value FROM o WHERE id NOT IN (SELECT supersedes FROM o WHERE supersedes IS NOT NULL)""")
+o AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = a.id) UNION ALL SELECT * FROM b) SELECT id, value FROM o WHERE NOT EXISTS (SELECT 1 FROM o AS n WHERE n.supersedes = o.id)""")
 def pending_overlay(spark, d):
     m, n = Q.measurements(spark, d), F.col("seq")
     stored = m.select("id", "value", F.when(n % 3 == 0, F.concat((n + 1).cast("string"), F.lit("-1"))).alias("supersedes"))
@@ -224,14 +225,14 @@ def section_listing(spark, d):
 SELECT topic, last, row_number() OVER (ORDER BY last NULLS FIRST, topic) AS pos FROM s""")
 def starved_order(spark, d):
     vocab = spark.createDataFrame([(t,) for t, _ in Q.TOPICS] + [("none",), ("other",)], "topic string")
-    x = Q.scored(spark, d).where("tier = 'primary' AND published <= date'2024-01-27' AND size(topics) < 3").select(F.explode("topics").alias("topic"), "published")
+    x = Q.scored(spark, d, "topics").where("tier = 'primary'").select(F.explode("topics").alias("topic"), F.date_sub("published", 14).alias("published"))
     return archive.starved_first(archive.starved(x, vocab, F.lit(_DAY).cast("date"), rules.starvation), F.lit(_DAY).cast("date"), 15).select("topic", "last", "pos")
 
 
 @Q.query(f"""WITH {Q._SCORED}, s AS (SELECT * FROM scored WHERE reason IS NULL) SELECT scope, name, count(*) AS n, max(id) AS last_id, count(DISTINCT categories) AS kinds FROM (
 SELECT 'site' AS scope, NULL AS name, id, section || ' — news' || array_to_string(topics, ',') AS categories FROM s UNION ALL SELECT 'section', section, id, section || ' — news' || array_to_string(topics, ',') FROM s UNION ALL SELECT 'topic', unnest(topics), id, section || ' — news' || array_to_string(topics, ',') FROM s) GROUP BY ALL""")
 def feed_scopes(spark, d):
-    x = Q.scored(spark, d).where("reason IS NULL").select("id", "title", F.col("summary").alias("description"), "published", "url", F.lit("desk").alias("author"), "section", F.lit("news").alias("format"), "topics")
+    x = Q.passed(spark, d, "section", "topics").select("id", "title", F.col("summary").alias("description"), "published", "url", F.lit("desk").alias("author"), "section", F.lit("news").alias("format"), "topics")
     return logs.feed_rows(x).groupBy("scope", "name").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"), F.count_distinct("categories").alias("kinds"))
 
 

@@ -28,8 +28,8 @@ def tenths(milli: Column) -> Column:
 
 
 def quality_total(item: dict[str, Column], rules: QualityRules, as_of: Column) -> Column:
-    """The gate's total from title, summary, source, tier, published and url columns."""
-    text = F.concat(item["title"], F.lit("\n"), item["summary"])
+    """The gate's total from title, summary, source, tier, published and url columns; ``text`` is title and summary, if at hand."""
+    text = item["text"] if "text" in item else F.concat(item["title"], F.lit("\n"), item["summary"])
     hit = lambda p, v: F.when(text.rlike(p), v).otherwise(0)
     substance = hit(rules.mechanism, 500) + hit(rules.result, 300) + hit(rules.number, 300)
     substance = F.least(F.lit(1000.0), F.when(F.length(item["summary"]) < 120, substance * 0.55).otherwise(substance * 1.0)).cast("long")
@@ -58,19 +58,21 @@ def with_vocabulary(topics: Column, words: Mapping[str, str]) -> Column:
 
 def matched(text: Column, tier: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """Interests of which any signal is in the text."""
-    return F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, signals)), lambda s: F.contains(text, s)), F.lit(name)) for name, signals in tier]))
+    return F.array_compact(F.array(*[F.when(any_in(text, signals), F.lit(name)) for name, signals in tier]))
 
 
-def relevance(text: Column, topics: Column, in_section: Column, deep: Column, starvation: Column, interests: Interests) -> Column:
-    """struct(total, bucket, strong, medium): matches, fit, depth, starvation bonus and low-interest penalty, and what matched."""
-    low = F.lower(text)
-    strong_ones, medium_ones = matched(low, interests.strong), matched(low, interests.medium)
+def relevance(strong_ones: Column, medium_ones: Column, is_low: Column, topics: Column, in_section: Column, deep: Column, starvation: Column) -> Column:
+    """struct(total, bucket): matches, fit, depth, starvation bonus and low-interest penalty. ``strong_ones`` and
+    ``medium_ones`` are the interests ``matched``; give them as columns, as each is read several times."""
     n_strong, n_medium = F.size(strong_ones), F.size(medium_ones)
     share = lambda n: F.least(F.lit(1000), 700 + 150 * (n - 1))
     strong = F.when(n_strong > 0, 45 * share(n_strong)).otherwise(0)
     medium = F.when((n_strong == 0) & (n_medium > 0), 20 * share(n_medium)).otherwise(0)
     fit = 15 * (F.when(in_section, 500).otherwise(0) + F.when(F.size(topics) > 0, 250 + 125 * F.least(F.lit(2), F.size(topics) - 1)).otherwise(0))
-    penalty = F.when(F.exists(F.array(*map(F.lit, interests.low)), lambda s: F.contains(low, s)), -25000).otherwise(0)
-    total = strong + medium + fit + F.when(deep, 10000).otherwise(0) + 1000 * starvation + penalty
+    total = strong + medium + fit + F.when(deep, 10000).otherwise(0) + 1000 * starvation + F.when(is_low, -25000).otherwise(0)
     bucket = F.when(n_strong > 0, "strong").when(n_medium > 0, "adjacent").otherwise("serendipity")
-    return F.struct(tenths(F.greatest(total, F.lit(0))).alias("total"), bucket.alias("bucket"), strong_ones.alias("strong"), medium_ones.alias("medium"))
+    return F.struct(tenths(F.greatest(total, F.lit(0))).alias("total"), bucket.alias("bucket"))
+
+
+def any_in(text: Column, signals: Sequence[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, signals)), lambda s: F.contains(text, s))

@@ -36,21 +36,21 @@ def entity_collapse(spark, d):
     return archive.collapse(x, "entity").withColumn("facts", F.array_join("facts", ","))
 
 
-@Q.query(f"""WITH {Q._SCORED}, old AS (SELECT id, 0.0::DOUBLE AS relevance, 'dismissed' AS status, published FROM scored WHERE id % 3 = 0), fresh AS (SELECT id, relevance, 'radar' AS status, published + 1 AS published FROM scored WHERE id % 2 = 0)
+@Q.query(f"""WITH {Q._SCORED}, old AS (SELECT id, 0.0::DOUBLE AS relevance, 'dismissed' AS status, published FROM scored WHERE tier <> 'primary'), fresh AS (SELECT id, relevance, 'radar' AS status, published + 1 AS published FROM scored WHERE tier <> 'community')
 SELECT coalesce(old.id, fresh.id) AS id, coalesce(fresh.relevance, old.relevance) AS relevance, coalesce(old.status, fresh.status) AS status, coalesce(old.published, fresh.published)::DATE AS published,
   CASE WHEN old.id IS NULL THEN 'inserted' WHEN fresh.id IS NULL THEN 'kept' ELSE 'refreshed' END AS change FROM old FULL JOIN fresh ON old.id = fresh.id""")
 def archive_upsert(spark, d):
-    x = Q.scored(spark, d)
-    old = x.where("id % 3 = 0").select("id", F.lit(0.0).alias("relevance"), F.lit("dismissed").alias("status"), "published")
-    new = x.where("id % 2 = 0").select("id", "relevance", F.lit("radar").alias("status"), F.date_add("published", 1).alias("published"))
+    x = Q.scored(spark, d, "relevance")
+    old = x.where("tier <> 'primary'").select("id", F.lit(0.0).alias("relevance"), F.lit("dismissed").alias("status"), "published")
+    new = x.where("tier <> 'community'").select("id", "relevance", F.lit("radar").alias("status"), F.date_add("published", 1).alias("published"))
     return archive.upsert_archive(old, new, ["relevance"])
 
 
-@Q.query(f"""WITH {Q._SCORED}, v AS (SELECT unnest([{", ".join(f"'{t}'" for t, _ in Q.TOPICS)}, 'none']) AS topic), t AS (SELECT unnest(topics) AS topic, published FROM scored WHERE published <= DATE '2024-01-28'),
+@Q.query(f"""WITH {Q._SCORED}, v AS (SELECT unnest([{", ".join(f"'{t}'" for t, _ in Q.TOPICS)}, 'none']) AS topic), t AS (SELECT unnest(topics) AS topic, published - 14 AS published FROM scored),
 l AS (SELECT topic, max(published) AS last FROM t GROUP BY topic) SELECT topic, last, CASE WHEN last IS NULL THEN 10.0 ELSE least(10.0, greatest(0.0, (DATE '{_DAY}' - last - 10) * 1.0)) END::DOUBLE AS bonus FROM v LEFT JOIN l USING (topic)""")
 def starved_topics(spark, d):
     vocab = spark.createDataFrame([(t,) for t, _ in Q.TOPICS] + [("none",)], "topic string")
-    x = Q.scored(spark, d).where("published <= date'2024-01-28'").select(F.explode("topics").alias("topic"), "published")
+    x = Q.scored(spark, d, "topics").select(F.explode("topics").alias("topic"), F.date_sub("published", 14).alias("published"))
     return archive.starved(x, vocab, F.lit(_DAY).cast("date"), rules.starvation)
 
 
@@ -88,18 +88,18 @@ def callbacks(spark, d):
 
 @Q.query(f"""WITH {Q._SCORED} SELECT published AS day, section, count(*) AS n, min(id) AS first_id FROM scored WHERE reason IS NULL GROUP BY ALL""")
 def day_groups(spark, d):
-    return Q.scored(spark, d).where("reason IS NULL").groupBy(F.col("published").alias("day"), "section").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return Q.passed(spark, d, "section").groupBy(F.col("published").alias("day"), "section").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 @Q.query(f"""WITH {Q._SCORED} SELECT unnest(topics) AS topic, id, title, url, array_to_string(list_concat([section], topics), ',') AS categories FROM scored WHERE reason IS NULL""")
 def topic_feeds(spark, d):
-    x = Q.scored(spark, d).where("reason IS NULL")
+    x = Q.passed(spark, d, "topics", "section")
     return x.select(F.explode("topics").alias("topic"), "id", "title", "url", F.array_join(F.concat(F.array("section"), "topics"), ",").alias("categories"))
 
 
 @Q.query(f"""WITH {Q._SCORED} SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN id % 4 = 0 THEN id % 16 END NULLS LAST, published, id) AS pos FROM scored WHERE reason IS NULL QUALIFY pos <= 10""")
 def reading_path(spark, d):
-    x = Q.scored(spark, d).where("reason IS NULL").withColumn("o", F.when(F.col("id") % 4 == 0, F.col("id") % 16))
+    x = Q.passed(spark, d, "section").withColumn("o", F.when(F.col("id") % 4 == 0, F.col("id") % 16))
     return windows.top(x, ["section"], [F.asc_nulls_last("o"), "published", "id"], 10).select("section", "id", F.col("rank").alias("pos"))
 
 

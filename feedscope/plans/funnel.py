@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedscope.functions.rules import starvation
-from feedscope.functions.score import Interests, QualityRules, quality_total, relevance, with_vocabulary
+from feedscope.functions.score import Interests, QualityRules, any_in, matched, quality_total, relevance, with_vocabulary
 from feedscope.functions.text import first_match, topic_labels
 from feedscope.operators.windows import quota_top
 
@@ -42,37 +42,76 @@ def reason_sentence(strong: Column, medium: Column, section: Column, topics: Col
     return F.substring(F.concat(why, filed), 1, most)
 
 
-def score_items(items: DataFrame, seen: DataFrame, profile: Profile, as_of: Column, extra_reject: Column | None = None, activity: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Items with topics, section, quality, relevance, bucket, why and reason (null for survivors).
+#: What ``score_items`` adds to an item, and what each of these is made from.
+OUTPUTS = {"topics": (), "section": (), "exclusion": (), "quality": (), "relevance": ("match",), "bucket": ("match",), "why": ("match",), "reason": ("exclusion", "topics", "quality"), "match": ("topics", "section")}
 
-    The first failing stage names the reason: duplicate, excluded, ``extra_reject``, no_topic, below_gate. The profile's
-    words on an item's topics are matched with its own text. ``activity`` (topic, last) gives the starvation bonus: that of
-    the most starved topic; without it there is none. ``scorer`` replaces the quality score: it takes the items that no
-    cheaper stage drops and gives (id, quality).
+
+def score_items(
+    items: DataFrame, seen: DataFrame, profile: Profile, as_of: Column, extra_reject: Column | None = None, activity: DataFrame | None = None,
+    scorer: Callable[[DataFrame], DataFrame] | None = None, told: DataFrame | None = None, wanted: Sequence[str] | None = None, survivors: bool = False,
+) -> DataFrame:
+    """Items with topics, section, exclusion, quality, relevance, bucket, why and reason (null for survivors), or those ``wanted``.
+
+    The first failing stage names the reason: duplicate, excluded, ``extra_reject``, no_topic, below_gate. A duplicate's url
+    was seen, or its id stands in ``told`` (its title tells an old story). The profile's words on an item's topics are
+    matched with its own text. ``activity`` (topic, last) gives the starvation bonus: that of the most starved topic;
+    without it there is none. ``scorer`` replaces the quality score: it takes the items that no cheaper stage drops and
+    gives (id, quality). With ``survivors`` only items that pass come out, and each stage works on those the stages before
+    it have left, the cheap ones first. The text is put together once and each feature made only if something asks for it.
     """
-    text = F.concat("title", F.lit("\n"), "summary")
-    marked = items.join(seen.select("url").distinct().withColumn("dup", F.lit(True)), "url", "left")
-    out = once(
-        marked, topics=topic_labels(text, profile.topics), section=F.coalesce(first_match(profile.sections, text), F.lit("research")), exclusion=first_match(profile.exclude, text),
-        deep=F.coalesce(text.rlike(profile.quality.mechanism), F.lit(False)), extra=extra_reject if extra_reject is not None else F.lit(None).cast("string"),
-    )
-    bonus = F.lit(0)
-    if activity is not None:  # a closed vocabulary: one row with a map of its topics
-        last = activity.agg(F.map_from_entries(F.collect_list(F.struct("topic", "last"))).alias("last"))
-        out = out.join(F.broadcast(last), F.lit(True))
-        each = F.transform("topics", lambda t: starvation(F.try_element_at("last", t), as_of))
-        bonus = F.coalesce(F.array_max(each), F.lit(0.0))
-    c = {k: F.col(k) for k in ("title", "summary", "source", "tier", "published", "url")}
-    enriched = text if profile.vocabulary is None else F.concat(text, F.lit(" "), with_vocabulary(F.col("topics"), profile.vocabulary))
-    r = relevance(enriched, F.col("topics"), F.col("section") == profile.section, F.col("deep"), bonus, profile.interests)
-    out = once(out, r=r, quality=quality_total(c, profile.quality, as_of))
-    early = F.coalesce(F.when(F.col("dup"), "duplicate"), F.when(F.col("exclusion").isNotNull(), "excluded"), F.col("extra"), F.when(F.size("topics") == 0, "no_topic"))
-    if scorer is not None:
-        given = scorer(out.where(early.isNull())).select("id", F.col("quality").alias("given"))
-        out = out.join(given, "id", "left").withColumn("quality", F.coalesce("given", F.lit(0.0))).drop("given")
-    why = reason_sentence(F.col("r.strong"), F.col("r.medium"), F.col("section"), F.col("topics"))
-    out = out.withColumn("relevance", F.col("r.total")).withColumn("bucket", F.col("r.bucket")).withColumn("why", why)
-    return out.withColumn("reason", F.coalesce(early, F.when(F.col("quality") < profile.quality.gate, "below_gate"))).drop("dup", "r", "extra", "deep", "last")
+    need = set(wanted or [k for k in OUTPUTS if k != "match"]) | ({"reason"} if survivors else set())
+    for _ in OUTPUTS:
+        need |= {x for k in need for x in OUTPUTS[k]}
+    txt, low = F.col("__txt"), F.col("__low")
+    out = once(items, __txt=F.concat("title", F.lit("\n"), "summary"))
+    early = F.lit(None).cast("string")
+    if "reason" in need:
+        out = out.join(seen.select("url").distinct().withColumn("__dup", F.lit(True)), "url", "left")
+        dup = F.col("__dup")
+        if told is not None:
+            out, dup = out.join(told.select("id").distinct().withColumn("__told", F.lit(True)), "id", "left"), F.coalesce("__dup", "__told")
+        out = out.where(dup.isNull()) if survivors else out
+        early = F.when(dup, "duplicate")
+    if "exclusion" in need:
+        out = once(out, exclusion=first_match(profile.exclude, txt))
+    if "reason" in need:
+        extra = extra_reject if extra_reject is not None else F.lit(None).cast("string")
+        early = F.coalesce(early, F.when(F.col("exclusion").isNotNull(), "excluded"), extra)
+        out = out.where(F.col("exclusion").isNull() & extra.isNull()) if survivors else out
+    if "topics" in need:
+        out = once(out, topics=topic_labels(txt, profile.topics))
+    if "reason" in need:
+        early = F.coalesce(early, F.when(F.size("topics") == 0, "no_topic"))
+        out = out.where(F.size("topics") > 0) if survivors else out
+    if "quality" in need:
+        if scorer is None:
+            c = {k: F.col(k) for k in ("title", "summary", "source", "tier", "published", "url")} | {"text": txt}
+            out = once(out, quality=quality_total(c, profile.quality, as_of))
+        else:
+            given = scorer(out.where(early.isNull()).drop("__txt")).select("id", F.coalesce("quality", F.lit(0.0)).alias("quality"))
+            out = out.join(given, "id", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+    below = F.when(F.col("quality") < profile.quality.gate, "below_gate")
+    if "reason" in need:
+        out = out.where(below.isNull()) if survivors else out
+    if "section" in need:
+        out = once(out, section=F.coalesce(first_match(profile.sections, txt), F.lit("research")))
+    if "match" in need:
+        bonus = F.lit(0)
+        if activity is not None:  # a closed vocabulary: one row with a map of its topics
+            last = activity.agg(F.map_from_entries(F.collect_list(F.struct("topic", "last"))).alias("__last"))
+            out = out.join(F.broadcast(last), F.lit(True))
+            bonus = F.coalesce(F.array_max(F.transform("topics", lambda t: starvation(F.try_element_at("__last", t), as_of))), F.lit(0.0))
+        enriched = txt if profile.vocabulary is None else F.concat(txt, F.lit(" "), with_vocabulary(F.col("topics"), profile.vocabulary))
+        likes = profile.interests
+        out = once(out, __low=F.lower(enriched))
+        out = once(out, __strong=matched(low, likes.strong), __medium=matched(low, likes.medium), __is_low=any_in(low, likes.low), __deep=F.coalesce(txt.rlike(profile.quality.mechanism), F.lit(False)))
+        r = relevance(F.col("__strong"), F.col("__medium"), F.col("__is_low"), F.col("topics"), F.col("section") == profile.section, F.col("__deep"), bonus)
+        out = once(out, __r=r)
+        why = reason_sentence(F.col("__strong"), F.col("__medium"), F.col("section"), F.col("topics"))
+        out = out.withColumn("relevance", F.col("__r.total")).withColumn("bucket", F.col("__r.bucket")).withColumn("why", why)
+    if "reason" in need:
+        out = out.withColumn("reason", F.coalesce(early, below))
+    return out.select(*items.columns, *[k for k in OUTPUTS if k in need and k != "match"])
 
 
 def rejections(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedscope.functions import text as T
 from feedscope.functions.score import Interests, QualityRules
-from feedscope.operators import aggs, grounding, joins, windows
+from feedscope.operators import aggs, grounding, joins, shared, windows
 from feedscope.plans import funnel
 from feedscope.sources import html
 from feedscope.streaming import jobs
@@ -55,8 +54,14 @@ def seen_urls(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).where("id % 11 = 10").select("url")
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.score_items(items(spark, d), seen_urls(spark, d), PROFILE, F.lit("2024-02-10").cast("date"))
+def scored(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """The items with the funnel's outputs, or those wanted."""
+    return funnel.score_items(items(spark, d), seen_urls(spark, d), PROFILE, F.lit("2024-02-10").cast("date"), wanted=wanted)
+
+
+def passed(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """The items that pass the funnel."""
+    return funnel.score_items(items(spark, d), seen_urls(spark, d), PROFILE, F.lit("2024-02-10").cast("date"), wanted=wanted, survivors=True)
 
 
 def _topics_sql(alias: str) -> str:
@@ -109,33 +114,33 @@ _ORD = "CASE lang " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(QUOT
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY relevance DESC, id) > {_QUOTA} AS out FROM scored WHERE reason IS NULL)
 SELECT id, lang, bucket, quality, relevance FROM r ORDER BY out, CASE WHEN out THEN 0 ELSE {_ORD} END, relevance DESC, id LIMIT 40""")
 def ranked_funnel(spark, d):
-    return funnel.ranked(scored(spark, d), "lang", QUOTAS, 40).select("id", "lang", "bucket", "quality", "relevance")
+    return funnel.ranked(passed(spark, d, "bucket", "quality", "relevance"), "lang", QUOTAS, 40).select("id", "lang", "bucket", "quality", "relevance")
 
 
 @query(f"WITH {_SCORED} SELECT CASE reason WHEN 'excluded' THEN 'exclusion' ELSE 'quality' END AS class, reason, count(*) AS n FROM scored WHERE reason IS NOT NULL GROUP BY ALL")
 def rejections_by_reason(spark, d):
-    return funnel.rejections(scored(spark, d))
+    return funnel.rejections(scored(spark, d, "reason"))
 
 
 @query(f"WITH {_SCORED} SELECT id, array_to_string(topics, ',') AS topics, section FROM scored")
 def topic_labels(spark, d):
-    return scored(spark, d).select("id", F.array_join("topics", ",").alias("topics"), "section")
+    return scored(spark, d, "topics", "section").select("id", F.array_join("topics", ",").alias("topics"), "section")
 
 
 @query(f"WITH {_SCORED} SELECT id, quality, relevance, bucket FROM scored")
 def item_scores(spark, d):
-    return scored(spark, d).select("id", "quality", "relevance", "bucket")
+    return scored(spark, d, "quality", "relevance", "bucket").select("id", "quality", "relevance", "bucket")
 
 
 @query(f"""WITH {_SCORED} SELECT count(*) AS n, count(*) FILTER (quality >= {GATE}) AS passed, min(quality) AS least, quantile_cont(quality, 0.25) AS p25, quantile_cont(quality, 0.5) AS median,
   quantile_cont(quality, 0.75) AS p75, quantile_cont(quality, 0.9) AS p90, max(quality) AS most FROM scored""")
 def gate_statistics(spark, d):
-    return aggs.gate_statistics(scored(spark, d), GATE)
+    return aggs.gate_statistics(scored(spark, d, "quality"), GATE)
 
 
 @query(f"WITH {_SCORED} SELECT bucket, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM scored WHERE reason IS NULL) AS share FROM scored WHERE reason IS NULL GROUP BY bucket")
 def discovery_mix(spark, d):
-    by = scored(spark, d).where("reason IS NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    by = passed(spark, d, "bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     return by.select("bucket", "n", (F.col("n") / F.sum("n").over(windows.Window.partitionBy())).alias("share"))
 
 
@@ -179,7 +184,7 @@ def bucket_quota_topk(spark, d):
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quality DESC, id) AS k FROM scored WHERE quality >= 55)
 SELECT id, source, quality FROM r WHERE k <= 3 ORDER BY quality DESC, id LIMIT 20""")
 def per_source_cap(spark, d):
-    return windows.capped_by(scored(spark, d), "source", 3, "quality", "id", 20, 55.0).select("id", "source", "quality")
+    return windows.capped_by(scored(spark, d, "quality"), "source", 3, "quality", "id", 20, 55.0).select("id", "source", "quality")
 
 
 def _names(spark, d):
@@ -336,14 +341,14 @@ def thread_positions(spark, d):
 
 @query(f"WITH {_SCORED}, t AS (SELECT id, unnest(topics) AS t FROM scored) SELECT x.t AS a, y.t AS b, count(*) AS n FROM t x JOIN t y ON x.id = y.id AND x.t < y.t GROUP BY ALL")
 def topic_cooccurrence(spark, d):
-    return aggs.cooccurrence(scored(spark, d))
+    return aggs.cooccurrence(scored(spark, d, "topics"))
 
 
 @query(f"""WITH {_SCORED}, v AS (SELECT unnest([{", ".join(f"'{t}'" for t, _ in TOPICS)}, 'none']) AS topic), t AS (SELECT id, published, unnest(topics) AS topic FROM scored)
 SELECT topic, count(id) AS n, arg_max(id, (published, id)) AS newest FROM v LEFT JOIN t USING (topic) GROUP BY topic""")
 def topic_counts(spark, d):
     vocab = spark.createDataFrame([(t,) for t, _ in TOPICS] + [("none",)], "topic string")
-    return aggs.topic_counts(scored(spark, d), vocab)
+    return aggs.topic_counts(scored(spark, d, "topics"), vocab)
 
 
 @query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0)")
@@ -410,7 +415,7 @@ def reading_minutes(spark, d):
 
 @query(f"WITH {_SCORED} SELECT id, floor((row_number() OVER (PARTITION BY source ORDER BY relevance DESC, id) - 1) / 20)::BIGINT AS batch, source FROM scored WHERE reason IS NULL QUALIFY batch < 2")
 def batch_assignment(spark, d):
-    x = windows.top(scored(spark, d).where("reason IS NULL"), ["source"], [F.desc("relevance"), "id"], 40)
+    x = windows.top(passed(spark, d, "relevance"), ["source"], [F.desc("relevance"), "id"], 40)
     return x.select("id", F.floor((F.col("rank") - 1) / 20).cast("long").alias("batch"), "source")
 
 
@@ -428,15 +433,12 @@ def feedback_enriched(spark, d):
 @query(f"""WITH {_SCORED}, t AS (SELECT id, section, published, unnest(topics) AS t FROM scored WHERE reason IS NULL), p AS (SELECT x.id, y.id AS other, y.published AS p2, min(CASE WHEN x.section <> y.section THEN 1 ELSE 2 END) AS priority FROM t x JOIN t y ON x.t = y.t AND x.id <> y.id GROUP BY ALL)
 SELECT id, other, priority, row_number() OVER (PARTITION BY id ORDER BY priority, p2 DESC, other) AS rank FROM p QUALIFY rank <= 3""")
 def related_items(spark, d):
-    return joins.related(scored(spark, d).where("reason IS NULL").select("id", F.col("section").alias("kind"), "topics", "published"))
+    # read from both sides of the join: the narrow rows are written once, the texts scored once
+    return joins.related(shared.written(passed(spark, d, "section", "topics").select("id", F.col("section").alias("kind"), "topics", "published")))
 
 
 def _stream_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

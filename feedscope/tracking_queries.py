@@ -148,7 +148,7 @@ SELECT section, id, CASE WHEN first IS NULL OR rank < first THEN CASE WHEN ok TH
 def budgeted_selection(spark, d):
     usage = spark.createDataFrame(list(_LIMITS), "section string, hard_cap int, per_run int, per_day int")
     good = Q._t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("good"))
-    ranked = Q.scored(spark, d).where("reason IS NULL").select("section", "id", F.col("relevance").alias("score")).join(good, "id", "left")
+    ranked = Q.passed(spark, d, "section", "relevance").select("section", "id", F.col("relevance").alias("score")).join(good, "id", "left")
     return windows.budgeted(ranked.select("section", "id", "score", F.coalesce("good", F.lit(False)).alias("ok")), usage, ["hard_cap", "per_run", "per_day"])
 
 
@@ -183,7 +183,7 @@ def reply_requests(spark, d):
 
 @Q.query(f"""WITH {Q._SCORED} SELECT l.id AS slug, coalesce(p.relevance, l.relevance) AS relevance, coalesce(p.section, l.section) AS section, coalesce(p.relevance, l.relevance) >= 30 AS hot FROM scored l LEFT JOIN (SELECT id, quality AS relevance, lang AS section FROM scored WHERE tier = 'primary') p USING (id)""")
 def post_facts(spark, d):
-    x = Q.scored(spark, d)
+    x = Q.scored(spark, d, "quality", "relevance", "section")
     posts = x.where("tier = 'primary'").select(F.col("id").alias("slug"), F.col("quality").alias("relevance"), F.col("lang").alias("section"))
     return archive.post_facts(x.select(F.col("id").alias("slug"), "relevance", "section"), posts, ["relevance", "section"], 30.0)
 
@@ -191,13 +191,13 @@ def post_facts(spark, d):
 @Q.query(f"""WITH {Q._SCORED}, s AS (SELECT id, bucket, relevance FROM scored WHERE reason IS NULL)
 SELECT * FROM (SELECT id, bucket, relevance, 'matched' AS part FROM s WHERE bucket <> 'serendipity' ORDER BY relevance DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT id, bucket, relevance, 'sampled' AS part FROM s WHERE bucket = 'serendipity' ORDER BY md5(id::VARCHAR || 'a'), id LIMIT 5)""")
 def matched_and_sampled(spark, d):
-    x = Q.scored(spark, d).where("reason IS NULL").select("id", "bucket", "relevance")
+    x = Q.passed(spark, d, "bucket", "relevance").select("id", "bucket", "relevance")
     return windows.matched_and_sampled(x, F.col("bucket") != "serendipity", "relevance", "id", 10, 5, "a")
 
 
 @Q.query(f"""WITH {Q._SCORED} SELECT s.id, s.relevance, l.quality AS external FROM scored s JOIN labels l ON l.doc_id = s.id WHERE s.reason IS NULL""")
 def score_join_back(spark, d):
-    sent = Q.scored(spark, d).where("reason IS NULL").select("id", "relevance")
+    sent = Q.passed(spark, d, "relevance").select("id", "relevance")
     return sent.join(Q._t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("external")), "id")
 
 
