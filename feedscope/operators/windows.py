@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from feedscope.operators.ranks import unique_slugs  # noqa: F401  (a cut like the others)
+
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -113,6 +115,13 @@ def positions(members: DataFrame) -> DataFrame:
     return members.select("thread", "id", F.row_number().over(w).cast("long").alias("index"), F.count(F.lit(1)).over(Window.partitionBy("thread")).alias("total"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
 
 
+def members(threads: DataFrame, posts: DataFrame) -> DataFrame:
+    """(thread, ord, id) of the posts in the threads' ordered lists; threads has thread, ids. Ids that are no post's are left
+    out; of an id that a list names twice the first place counts."""
+    each = threads.select("thread", F.posexplode("ids").alias("ord", "id"))
+    return each.join(posts.select("id").distinct(), "id", "left_semi").groupBy("thread", "id").agg(F.min("ord").alias("ord")).select("thread", "ord", "id")
+
+
 def listing(posts: DataFrame, sections: DataFrame, k: int) -> DataFrame:
     """The newest k published posts of each section, in the sections' order of depth, with their place: featured, next two, listed.
 
@@ -130,45 +139,6 @@ def queue_state(events: DataFrame, as_of: Column, days: int = 7, k: int = 3) ->
     return top(alive, ["channel"], [F.desc("score"), "key"], k).select("channel", "key", "score", "puts", "rank")
 
 
-def unique_slugs(df: DataFrame, base: str, order: str) -> DataFrame:
-    """The rows with a slug of their own: the base, or the first of base-2, base-3 ... that no earlier row has.
-
-    Names can only clash among bases that are equal without their numbers at the end, so those are worked in order, as a
-    stream: what is kept is the next free number of each base of such a group, not the names given.
-    """
-    schema = StructType([*df.schema.fields, StructField("slug", StringType())])
-    root, names = F.regexp_replace(F.col(base), "(-[0-9]+)+$", "").alias("__root"), df.columns
-    rows = df.select("*", root).repartition("__root").sortWithinPartitions("__root", order, base)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, after = None, {}  # base -> the number that follows those given from it; 2 where only the base itself is taken
-
-        def taken(name: str) -> bool:
-            head, _, number = name.rpartition("-")
-            return name in after or number.isdecimal() and str(int(number)) == number and 2 <= int(number) < after.get(head, 2)
-
-        for b in batches:
-            out = []
-            for r, name in zip(b.column("__root").to_pylist(), b.column(base).to_pylist(), strict=True):
-                if r != at:
-                    at, after = r, {}
-                if name is None:
-                    out.append(None)
-                    continue
-                slug = name
-                if taken(name):
-                    n = after.get(name, 2)
-                    while taken(f"{name}-{n}"):
-                        n += 1
-                    slug, after[name] = f"{name}-{n}", n + 1
-                else:
-                    after[name] = 2
-                out.append(slug)
-            yield pa.record_batch([*(b.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "slug"])
-
-    return rows.mapInArrow(named, schema)
-
-
 def budgeted(ranked: DataFrame, usage: DataFrame, limits: Sequence[str], attempts: int = 8) -> DataFrame:
     """(section, id, outcome, reason): a section's rows are tried by score until a limit refuses one or the attempts end.
 
