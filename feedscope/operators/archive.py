@@ -39,8 +39,16 @@ def starved_first(topics: DataFrame, as_of: Column, days: int) -> DataFrame:
     return late.withColumn("pos", F.row_number().over(Window.orderBy(F.asc_nulls_first("last"), "topic")).cast("long"))  # a closed vocabulary
 
 
-def build_registry(catalogue: DataFrame) -> DataFrame:
-    """Group catalogue rows (group, vendor, alias, released, open, seq) into registry entries."""
+def build_registry(catalogue: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
+    """Group catalogue rows (group, vendor, alias, released, open, seq) into registry entries.
+
+    With ``tracked`` (alias) only groups of which an alias is tracked are built, and ``aliases`` unites a group's names.
+    """
+    if tracked is not None:
+        wanted = catalogue.join(tracked.select("alias").distinct(), "alias", "left_semi").select("group").distinct()
+        catalogue = catalogue.join(wanted, "group", "left_semi")
+        names = catalogue.where(F.col("alias").isNotNull()).groupBy("group").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+        return build_registry(catalogue).join(names, "group", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     return catalogue.groupBy("group").agg(F.min_by("vendor", "seq").alias("vendor"), F.min("released").alias("released"), F.bool_or("open").alias("open"), F.count_distinct("alias").alias("n_aliases"))
 
 
@@ -55,18 +63,29 @@ def costs(calls: DataFrame, prices: DataFrame, default_in: int = 4000, default_o
     return known.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), (F.sum(each) / 1e6).alias("usd"), F.count_if(F.col("tokens_in").isNull()).alias("estimated"))
 
 
-def replay(log: DataFrame, cursor: DataFrame, reasons: Sequence[str], since: Column) -> DataFrame:
-    """(item, reason, at, state): the last logged row of each item that was dropped for one of the reasons since then.
+def replay(log: DataFrame, cursor: DataFrame, reasons: Sequence[str] = (), since: Column | None = None, channels: Sequence[str] = (), urls: Sequence[str] = ()) -> DataFrame:
+    """(item, reason, at, state): the last logged row of each item that was dropped for one of the reasons since then, in one
+    of the channels and for one of the urls, where these are given; a reason or a url must be.
 
-    state is in_cursor or absent; log has item, reason, at, seq, cursor item. Rows without an item come apart, as no_id.
+    state is in_cursor or absent; log has item, reason, at, seq (channel, url), cursor item. Rows without an item come
+    apart, as no_id.
     """
-    kept = log.where(F.col("reason").isin(*reasons) & (F.col("at") >= since))
+    if not (reasons or urls):
+        raise ValueError("name a reason or a url, so that the whole log isn't replayed by accident")
+    kept = log.where(F.col("at") >= since) if since is not None else log
+    for column, values in (("reason", reasons), ("channel", channels), ("url", urls)):
+        kept = kept.where(F.col(column).isin(*values)) if values else kept
     last = kept.where("item IS NOT NULL").groupBy("item").agg(F.max_by(F.struct("reason", "at"), F.struct("at", "seq")).alias("l")).select("item", "l.*")
     known = cursor.select("item", F.lit("in_cursor").alias("state")).distinct()
     found = last.join(known, "item", "left").withColumn("state", F.coalesce("state", F.lit("absent")))
     return found.unionByName(kept.where("item IS NULL").select("item", "reason", "at", F.lit("no_id").alias("state")))
 
 
+def offered_again(cursor: DataFrame, replayed: DataFrame) -> DataFrame:
+    """The cursor without the items that ``replay`` found in it, so that the next run meets them as new."""
+    return cursor.join(replayed.where("state = 'in_cursor'").select("item").distinct(), "item", "left_anti").select(*cursor.columns)
+
+
 def requests(replies: DataFrame, cached: DataFrame, placeholders: Sequence[str] = ("none", "-", "")) -> DataFrame:
     """(message, item, kind, instruction): a reply to a cached message asks for its item, any other one stands alone.
 

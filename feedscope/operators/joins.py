@@ -92,18 +92,28 @@ def coverage_decision(candidates: DataFrame, covered: DataFrame, material: list[
     return out.withColumn("decision", F.when(~recent, "publish").when(fresh > 0, "update").otherwise("drop")).drop("old", "covered_at")
 
 
-def related(posts: DataFrame, most: int = 3) -> DataFrame:
-    """Posts that share a topic: those of another kind first, then the same kind, then recency; ``most`` each.
+def related(posts: DataFrame, most: int = 3, threads: DataFrame | None = None) -> DataFrame:
+    """Posts of a post's threads, in the threads' order; then posts that share a topic: those of another kind first, then the
+    same kind, then recency; ``most`` each.
 
-    posts has id, kind, topics, published. Whoever is among a post's best is among the best of its topic and kind,
-    so posts meet only the newest ``most`` + 1 of each topic and kind, not all that share a topic.
+    posts has id, kind, topics, published, threads thread, ord, id (members that aren't posts don't count; threads come by
+    name). Whoever is among a post's best is among the best of its topic and kind, so posts meet only the newest
+    ``most`` + 1 of each topic and kind, not all that share a topic, and of a thread only the first ``most`` + 1.
     """
     one = posts.select("id", "kind", F.explode("topics").alias("t"))
     two = posts.select(F.col("id").alias("other"), F.col("kind").alias("k2"), F.col("published").alias("p2"), F.explode("topics").alias("t"))
     newest = F.row_number().over(Window.partitionBy("t", "k2").orderBy(F.desc("p2"), "other"))
     two = two.withColumn("k", newest).where(F.col("k") <= most + 1).drop("k")
     met = one.join(two, "t").where("id <> other").groupBy("id", "other", "p2").agg(F.min(F.when(F.col("kind") != F.col("k2"), 1).otherwise(2)).alias("priority"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("priority", F.desc("p2"), "other"))
+    if threads is not None:
+        member = threads.join(posts.select("id"), "id", "left_semi").groupBy("thread", "id").agg(F.min("ord").alias("ord"))
+        place = F.row_number().over(Window.partitionBy("thread").orderBy("ord", "id"))
+        first = member.withColumn("place", place).where(F.col("place") <= most + 1).select("thread", F.col("id").alias("other"), "place")
+        mates = member.select("thread", "id").join(first, "thread").where("id <> other").groupBy("id", "other").agg(F.min(F.struct("thread", "place")).alias("at"))
+        met = met.withColumn("at", F.lit(None).cast(mates.schema["at"].dataType)).unionByName(mates.withColumn("p2", F.lit(None).cast(posts.schema["published"].dataType)).withColumn("priority", F.lit(0)))
+        met = met.groupBy("id", "other").agg(F.max("p2").alias("p2"), F.min("priority").alias("priority"), F.min("at").alias("at"))
+    order = ["priority", *(["at"] if threads is not None else []), F.desc("p2"), "other"]
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(*order))
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "other", "priority", F.col("rank").cast("long").alias("rank"))
 
 
