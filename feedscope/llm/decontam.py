@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-1. Windows as long as an item are laid in the documents. A window that shares no shingle with an item has similarity 0
-   to it, so they are laid only where a document's shingle meets one of the benchmark, at the place where the item would
-   begin. That drops no pair that step 4 could accept.
+1. Windows as long as an item are laid in the documents that hold enough of the item's shingles (by weight, wherever they
+   stand; no window can hold more). A shared shingle says where the item would begin. A best window begins at one of
+   these places or between two neighbouring ones, since up to the next place it loses nothing by moving, so windows are laid
+   at them, and at all places between neighbours that one window can span. That drops no pair that step 4 could accept.
 2. Each window, and each item, gets a fingerprint of BLOCKS blocks of 16 bits: in each block, the weighted shingles
    vote for the bits (SimHash). The weights of a block are drawn anew and heavily skewed, so that the bits of a block
    change together: two texts at the threshold differ in many bits of a few blocks, not in a few bits of every block.
@@ -87,7 +88,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = benchmark.select("item_id", terms(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = items.select("item_id", F.size("ws").alias("n"), _shingles(F.col("ws")).alias("sh"), _weighted(F.col("ws")).alias("wsh"))
     items = materialise(items, "items")
-    seeds = items.select("n", F.posexplode("sh").alias("off", "shingle")).distinct()
+    weight = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    seeds = items.select("item_id", "n", weight(F.col("wsh")).alias("whole"), F.map_from_entries(F.transform("wsh", lambda x: F.struct(x["h"], x["w"]))).alias("w"), F.posexplode("sh").alias("off", "shingle"))
+    seeds = seeds.select("item_id", "n", "whole", "off", "shingle", F.try_element_at("w", F.col("shingle")).cast("long").alias("w"))
     counted = items.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.max((F.col("n") == k).cast("int")) for k in range(1, SHINGLE)]).first()
     small, short = counted[0] <= BROADCAST_ROWS, [k for k in range(1, SHINGLE) if counted[k]]
     hint = F.broadcast if small else lambda x: x
@@ -100,7 +103,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         slots = 1 << min(21, max(16, (counted[0] // 8).bit_length()))
         placed = may_hold(placed, seeds, "shingle", slots)
     met = placed.join(hint(seeds), "shingle")
-    starts = materialise(met.select("doc_id", F.greatest(F.col("pos") - F.col("off"), F.lit(0)).alias("start"), "n").distinct(), "starts")
+    by_shingle = met.groupBy("doc_id", "item_id", "n", "whole", "shingle").agg(F.first("w").alias("w"), F.collect_set(F.col("pos") - F.col("off")).alias("at"))
+    pairs = by_shingle.groupBy("doc_id", "item_id", "n", "whole").agg(F.sum("w").alias("shared"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    pairs = pairs.where(F.col("shared") >= similarity * F.col("whole") - 1e-9)
+    after = lambda i: F.get("at", i + 1)
+    filled = F.transform("at", lambda a, i: F.when((after(i) - a > 1) & (after(i) - a <= 2 * F.col("n")), F.sequence(a, after(i) - 1)).otherwise(F.array(a)))
+    starts = materialise(pairs.select("doc_id", "n", F.explode(F.flatten(filled)).alias("start")).select("doc_id", F.greatest("start", F.lit(0)).alias("start"), "n").distinct(), "starts")
 
     # texts of the few documents with a seed: a bounded bitmap first, so that the exact join shuffles few texts
     seeded = may_hold(texts, starts, "doc_id")
@@ -114,7 +122,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     contents = windows.groupBy("window", "n").agg(F.min("have").alias("have"))
     near = within_radius(fingerprints(contents, ["window", "n"], "have"), fingerprints(items, ["item_id", "n"], "wsh"), radius, small)
     pairs = near.join(contents, ["window", "n"]).join(hint(items.select("item_id", "wsh")), "item_id")
-    weight = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["w"])
     pairs = pairs.withColumn("similarity", weight(F.array_intersect("wsh", "have")) / weight(F.col("wsh")))
     pairs = pairs.where(F.col("similarity") >= similarity).select("window", "n", "item_id", "hamming", "similarity")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h"), "n")).alias("b")
