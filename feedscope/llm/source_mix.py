@@ -5,13 +5,13 @@ source's size. Within a source, expected copies are summed along the rows, one o
 emitted for every integer boundary crossed. Rows run by size, so that the words taken stay near the target. The
 offset is drawn from a source's name and a seed, so that reruns agree and other seeds draw other mixes.
 
-The running sum needs no task that holds a whole source: rows fall in strata (size class, then a bucket of a
-hash of doc_id), the strata of a source are a bounded table that is summed first, and ranks are taken inside
-a stratum only.
+Rows of a source run by size class, then by a hash of doc_id and text. The running sum needs no task that holds a whole source
+or a hot id: rows are dealt to tasks by ranges of that order, counted inside a task, and go on from the counts of the
+tasks before, so that the mix depends on the rows alone, not on how many there are.
 
 Defined cases: a null text counts 0 words; null sources form one source, the last; a source without words has
-target 0 and is not taken; repeated rows are rows of their own (ties by doc_id take any order, which changes
-no source's total); rows without a doc_id count and are taken like others; an empty or a very long text is one of
+target 0 and is not taken; repeated rows are rows of their own (equal rows take any order, which changes
+no total); targets are found in one task, from a row for each source, so sources may be many thousands, not billions; rows without a doc_id count and are taken like others; an empty or a very long text is one of
 its size; an empty table gives an empty result; columns other than doc_id, text and source are carried by ``mix``
 and never read, whatever their names.
 """
@@ -27,9 +27,6 @@ from feedscope.llm.common import WORD, free_name, keyed, materialise
 
 #: Sources by code point weigh so, repeating; the mix takes so much of all sizes; a source at most so often.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Buckets of a size class: a source's rows of one size are spread over so many windows, and over one more for each
-#: so many rows of the table, so that a window stays as large at any scale.
-BUCKETS, ROWS_A_BUCKET = 32, 10_000_000
 
 
 def source_key(source: Column) -> Column:
@@ -61,30 +58,24 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return found.select("skey", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * line).alias("target"))
 
 
-def allot(docs: DataFrame, buckets: int | None = None, seed: str = "", key: str | None = None, **weighing) -> DataFrame:
-    """One row for each row: doc_id, size, source_size, target and ``copies``; with ``key``, that column as ``row``.
-
-    Without ``buckets`` their number follows the table's rows, from BUCKETS on.
-    """
+def allot(docs: DataFrame, seed: str = "", key: str | None = None, **weighing) -> DataFrame:
+    """One row for each row: doc_id, size, source_size, target and ``copies``; with ``key``, that column as ``row``."""
     n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     carry = ["row"] if key else []
     named = [F.col(key).alias("row")] if key else []
-    sizes = materialise(docs.select(*named, "doc_id", source_key(F.col("source")).alias("skey"), n.alias("size")), "sizes")
-    buckets = buckets or BUCKETS + sizes.count() // ROWS_A_BUCKET
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = (
-        sizes.withColumn("e", F.length(F.bin("size")))
-        .withColumn("class", F.col("e") * 8 + F.expr("cast(shiftright(size * 8, e - 1) & 7 as int)"))
-        .withColumn("bucket", F.conv(F.substring(F.md5(doc), 1, 8), 16, 10).cast("long") % buckets)
-    )
-    stratum = ["skey", "class", "bucket"]
-    strata = rows.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("skey").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    strata = strata.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
-    goal = targets(sizes, **weighing)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy("size", "doc_id", *carry)))
+    mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+    sizes = docs.select(*named, "doc_id", source_key(F.col("source")).alias("skey"), n.alias("size"), F.conv(F.substring(mark, 1, 15), 16, 10).cast("long").alias("h"), F.monotonically_increasing_id().alias("tie"))
+    sizes = sizes.withColumn("e", F.length(F.bin("size"))).withColumn("class", F.col("e") * 8 + F.expr("cast(shiftright(size * 8, e - 1) & 7 as int)"))
+    order = ["class", "h", "size", "doc_id", *carry, "tie"]
+    # written with the number of the task that a row's range has come to, and read again from there
+    rows = materialise(sizes.repartitionByRange("skey", *order).withColumn("part", F.spark_partition_id()), "sizes")
+    counts = rows.groupBy("skey", "part").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
+    goal = targets(rows, **weighing)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("skey", "part").orderBy(*order)))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = ranked.join(strata.join(goal, "skey"), stratum)
+    out = ranked.join(before.join(goal, "skey"), ["skey", "part"])
     out = out.withColumn("x", expected).withColumn("at", F.col("before") + F.col("rank")).withColumn("u", fraction(F.concat("skey", F.lit(seed))))
     copies = F.floor(F.col("at") * F.col("x") + F.col("u")) - F.floor((F.col("at") - 1) * F.col("x") + F.col("u"))
     return out.select(*carry, "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
@@ -105,7 +96,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 ORACLE = r"""
-WITH s AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE concat('a', source) END AS skey,
+WITH s AS (SELECT doc_id, text, CASE WHEN source IS NULL THEN 'n' ELSE concat('a', source) END AS skey,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 b AS (SELECT skey, sum(size)::BIGINT AS source_size FROM s GROUP BY skey),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY skey) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM b),
@@ -115,8 +106,8 @@ v AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(cap) OVER
 line AS (SELECT arg_min(level, (ratio, skey)) AS line FROM v WHERE ratio > level),
 t AS (SELECT skey, source_size, CASE WHEN ratio <= level THEN cap ELSE weight * line END AS target FROM v, line),
 c AS (SELECT s.*, length(bin(size)) * 8 + (((size * 8) >> (length(bin(size)) - 1)) & 7) AS class,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (32 + (SELECT count(*) FROM documents) // 10000000) AS bucket FROM s),
-p AS (SELECT c.*, row_number() OVER (PARTITION BY skey ORDER BY class, bucket, size, doc_id) AS pos FROM c),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM s),
+p AS (SELECT c.*, row_number() OVER (PARTITION BY skey ORDER BY class, h, size, doc_id) AS pos FROM c),
 x AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS x,
     ('0x' || substr(md5(p.skey), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM p JOIN t USING (skey))
 SELECT doc_id, size, source_size, target, (size * (floor(pos * x + u) - floor((pos - 1) * x + u))::BIGINT)::BIGINT AS taken FROM x
