@@ -156,8 +156,9 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode every whole text and write shard files in ascending doc_id order below ``path``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    tie = F.monotonically_increasing_id().alias("tie")  # rows without an id, or with the same one, are split like others
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie)
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     shards = rows.mapInArrow(lambda it: _shards(it, tokenizer), "value binary").select(F.col("value").cast("string").alias("value"))
     with lean(docs.sparkSession):
         shards.write.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
