@@ -35,6 +35,8 @@ ALIASES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assi
 RELABEL, UNKNOWN, MERGE, INSERT = 4, 2, 1, 3
 #: Turns and bytes of text of a chunk, and of a batch that a worker gives out.
 CHUNK_TURNS, CHUNK_BYTES, BATCH = 4096, 4_000_000, 5000
+#: Letters of a text from which the ranges of turns are drawn.
+PREFIX = 64
 #: State 0 is before the first turn, then the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -216,7 +218,9 @@ def repair(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     ranges = ranges or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv_id", "turn", "role", "text", "tie"]
-    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # ranges are drawn from a text's first letters, not from whole texts; equal short texts are told apart by the tie
+    begin, short = F.substring(F.coalesce("text", F.lit("")), 1, PREFIX), F.length("text") <= PREFIX
+    dealt = rows.repartitionByRange(ranges, "conv_id", "turn", "role", F.col("text").isNotNull(), begin, F.when(short, F.col("tie")).otherwise(1 << 62)).sortWithinPartitions(*order)
     chunks = materialise(dealt.mapInArrow(_cut, "conv_id long, turn long, role string, text string, tie long, chunk long"), "turns")
     key, inner = ["conv_id", "chunk"], ["conv_id", "chunk", "turn", "role", "text", "tie"]
     maps = chunks.select("conv_id", "chunk", "turn", "role", "tie").repartition(*key).sortWithinPartitions("conv_id", "chunk", "turn", "role", "tie")
