@@ -1,8 +1,9 @@
 """License scans: fuzzy search for short notices.
 
 A notice found with at most k edits holds one of k + 1 pieces of it unchanged (pigeonhole), so an automaton
-over all pieces finds the seeds; around each seed, where the whole notice would lie, the regex library searches
-the notice with bounded errors, and what it finds gives edits and span. Every seed is looked at in a window of its
+over all pieces finds the seeds; around each seed lies a window where the whole notice would stand. Windows in which
+the notice's first letters already take more than k edits, counted bit by bit for many windows at once, drop out; in the
+others the regex library searches the notice with bounded errors, and what it finds gives edits and span. Every seed is looked at in a window of its
 own, so that a copy with more edits isn't passed over for a better one beside it.
 
 Beside the fuzzy notices, base phrases count where their words stand one after another.
@@ -84,6 +85,47 @@ def _patterns() -> list:
     return [regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={allowed(notice)}}}") for notice, _ in NOTICES]
 
 
+#: Windows whose edits are counted at a time.
+WINDOWS = 1 << 15
+
+
+@lru_cache(maxsize=None)
+def _letter_bits(i: int) -> np.ndarray:
+    """For each ASCII letter, the places among a notice's first 64 where it stands, as bits; none for other characters."""
+    out = np.zeros(129, np.uint64)
+    for k, c in enumerate(NOTICES[i][0][:64]):
+        out[ord(c)] |= np.uint64(1) << np.uint64(k)
+    return out
+
+
+def least_edits(i: int, codes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """How many edits turn the notice's first letters (64 at most) into some stretch of each window (start, stop) of the codes.
+
+    No more than the whole notice takes. The columns of the table of edits are kept as bits that tell by how much
+    neighbouring cells differ.
+    """
+    bits, m = _letter_bits(i), min(64, len(NOTICES[i][0]))
+    one, top = np.uint64(1), np.uint64(m - 1)
+    least = np.empty(len(windows), np.int64)
+    for at in range(0, len(windows), WINDOWS):
+        lo, hi = windows[at : at + WINDOWS].T
+        up, down = np.full(len(lo), ~np.uint64(0)), np.zeros(len(lo), np.uint64)
+        now = np.full(len(lo), m)
+        best = now.copy()
+        for t in range(int((hi - lo).max(initial=0))):
+            place = lo + t
+            eq = bits[np.minimum(codes[np.minimum(place, len(codes) - 1)], 128)]
+            across = eq | down
+            along = (((eq & up) + up) ^ up) | eq
+            more, less = down | ~(along | up), up & along
+            now += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+            best = np.where(place < hi, np.minimum(best, now), best)
+            more, less = more << one, less << one
+            up, down = less | ~(across | more), more & across
+        least[at : at + WINDOWS] = best
+    return least
+
+
 def fuzzy(bare: str) -> list[tuple[int, int, int, int]]:
     """(notice, edits, start, stop) of notices in a text of words with single blanks."""
     windows: dict[int, set[tuple[int, int]]] = {}
@@ -92,9 +134,11 @@ def fuzzy(bare: str) -> list[tuple[int, int, int, int]]:
             k = allowed(NOTICES[i][0])
             start = end + 1 - n - off
             windows.setdefault(i, set()).add((max(0, start - k), min(len(bare), start + len(NOTICES[i][0]) + k)))
-    found = []
+    found, codes = [], np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), np.uint32)
     for i, own in windows.items():
-        found += [(i, *m) for m in _apart(i, bare, own)]
+        own = np.array(sorted(own))
+        own = own[least_edits(i, codes, own) <= allowed(NOTICES[i][0])]
+        found += [(i, *m) for m in _apart(i, bare, set(map(tuple, own.tolist())))]
     return found
 
 
