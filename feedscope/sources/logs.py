@@ -67,17 +67,26 @@ def read_items_xml(spark: SparkSession, path: str, limit: int | None = 30, most:
     return rows.select("file", "id", "title", "url", F.substring("summary", 1, most).alias("summary") if most is not None else F.col("summary"), "published")
 
 
+#: Fixed value: the form of a paper's address, with its number and version.
+PAPER = "arxiv[.]org/abs/([0-9]{4}[.][0-9]{4,5})(?:v([0-9]+))?"
+
+
 def papers(items: DataFrame, revisions: tuple[str, ...] = ("replace", "replace-cross")) -> DataFrame:
     """(id, title, abstract, link, announce_type) of feed items (title, url, summary): first appearances only.
 
     The id is the archive's number in the link; the type stands in the text, else a version above one is a revision.
     """
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    said = F.lower(F.regexp_extract("summary", r"(?i)announce type:\s*([\w-]+)", 1))
-    version = F.regexp_extract("url", r"/abs/\d{4}\.\d{4,5}v(\d+)", 1).try_cast("int")
+    whole = F.coalesce("summary", F.lit(""))
+    low = F.lower(whole)
+    after = F.ltrim(F.regexp_replace(F.get(F.split(low, "announce type:"), F.lit(1)), r"\s", " "))
+    said = F.get(F.split(after, "[^a-z0-9_-]"), F.lit(0))
+    version = F.regexp_extract("url", PAPER, 2).try_cast("int")
     kind = F.coalesce(F.nullif(said, F.lit("")), F.when(version > 1, "replace"), F.lit("new"))
-    abstract = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?is)^.*?abstract:\s*", "")
-    x = items.select(F.regexp_extract("url", r"arxiv\.org/abs/(\d{4}\.\d{4,5})", 1).alias("id"), flat(F.col("title")).alias("title"), flat(abstract).alias("abstract"), F.col("url").alias("link"), kind.alias("announce_type"))
+    label = F.lit("abstract:")
+    at = F.position(label, low)
+    abstract = F.when(at > 0, F.substring(whole, at + F.length(label), F.length(whole))).otherwise(whole)
+    x = items.select(F.regexp_extract("url", PAPER, 1).alias("id"), flat(F.col("title")).alias("title"), flat(abstract).alias("abstract"), F.col("url").alias("link"), kind.alias("announce_type"))
     return x.where((F.col("id") != "") & ~F.col("announce_type").isin(*revisions))
 
 
