@@ -125,3 +125,50 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     topics = F.filter(F.transform(F.split(F.regexp_replace(field("topics"), r"[\[\]\"']", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
     out = rows.select(field("title").alias("title"), F.coalesce(field("kind"), F.lit("research")).alias("kind"), F.coalesce(field("format"), F.lit("news")).alias("format"), F.coalesce(topics, F.array().cast("array<string>")).alias("topics"), body.alias("body"))
     return out.where("title IS NOT NULL")
+
+
+def stem(name: Column | str = "_metadata.file_name") -> Column:
+    """A file's name up to its last dot."""
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def front_matter(text: Column) -> Column:
+    """The fields of a file's front matter as a map: flat ones by name, those of an object by "object.name".
+
+    An object is a name without a value and the indented lines under it; a later field replaces an earlier one of its
+    name. A text without front matter has no fields.
+    """
+    lines = F.split(F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1), "\n")
+    entry = "struct<k:string,v:string>"
+    start = F.struct(F.lit("").alias("object"), F.array().cast(f"array<{entry}>").alias("rows"))
+
+    def step(acc: Column, line: Column) -> Column:
+        key, value = F.trim(F.split_part(line, F.lit(":"), F.lit(1))), F.trim(F.when(F.contains(line, F.lit(":")), F.substring(line, F.position(F.lit(":"), line) + 1, F.length(line))).otherwise(""))
+        inner = F.startswith(line, F.lit("  ")) & (acc["object"] != "")
+        row = F.struct(F.when(inner, F.concat(acc["object"], F.lit("."), key)).otherwise(key).alias("k"), F.btrim(value, F.lit('"')).alias("v"))
+        named = F.when(inner, acc["object"]).when(value == "", key).otherwise(F.lit(""))
+        rows = F.when(inner | (value != ""), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"])
+        return F.struct(named.alias("object"), rows.alias("rows"))
+
+    rows = F.aggregate(lines, start, step)["rows"]
+    last = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda later: later["k"] == r["k"]))
+    return F.map_from_entries(last)
+
+
+def read_posts(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, title, pub_date, kind, format, topics, source_url, front, body) of Markdown files; those without a title are dropped."""
+    rows = spark.read.text(path, wholetext=True).select(stem().alias("slug"), "value").withColumn("front", front_matter(F.col("value")))
+    field = lambda k: F.nullif(F.try_element_at("front", F.lit(k)), F.lit(""))
+    listed = F.split(F.regexp_extract("value", r"(?m)^topics:\s*\[(.*?)\]\s*$", 1), ",")
+    topics = F.transform(F.filter(listed, lambda t: F.trim(t) != ""), lambda t: F.btrim(F.trim(t), F.lit('"')))
+    out = rows.select("slug", field("title").alias("title"), F.coalesce(field("pubDate"), F.lit("")).alias("pub_date"), F.coalesce(field("kind"), F.lit("research")).alias("kind"), F.coalesce(field("format"), F.lit("news")).alias("format"), topics.alias("topics"), F.coalesce(field("source.url"), F.lit("")).alias("source_url"), "front", F.regexp_replace("value", r"(?s)^---\n.*?\n---\n?", "").alias("body"))
+    return out.where("title IS NOT NULL")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(id, record, broken): one JSON record a file, as a variant, whatever its nesting; the file's stem is its id.
+
+    A file that doesn't parse has a null record and is ``broken``; who reads the collection filters or counts these.
+    """
+    rows = spark.read.text(path, wholetext=True).select(stem().alias("id"), F.try_parse_json("value").alias("record"))
+    return rows.withColumn("broken", F.col("record").isNull())

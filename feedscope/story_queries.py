@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedscope import queries as Q
 from feedscope.operators import archive, joins, mentions, readings, shared, titles, windows
 from feedscope.plans import constraints, funnel
-from feedscope.sources import monthly
+from feedscope.sources import logs, monthly
 from feedscope.streaming import jobs
 
 _NEAR = f"""k AS (SELECT id, published, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS t FROM items),
@@ -188,3 +188,14 @@ def late_window_counts(spark, d):
     s = Q._event_stream(spark, d).select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
     path = Q._stream_dir(spark)
     return jobs.counted_batches(s, f"{path}/counts", f"{path}/state")
+
+
+@Q.query("SELECT s_suppkey AS supplier, s_nationkey AS nation, s_acctbal AS balance FROM supplier WHERE s_acctbal >= 0")
+def landed_records(spark, d):
+    """A landed collection of JSON records with a nested object, one a file; what a negative balance has broken is skipped."""
+    path = f"{shared.folder(spark)}/records-{Q.uuid.uuid4().hex}"
+    json = F.to_json(F.struct("s_suppkey", F.struct("s_nationkey", "s_acctbal").alias("facts")))
+    whole = F.col("s_acctbal") >= 0
+    Q._t(spark, d, "supplier").select(F.when(whole, json).otherwise(F.substring(json, 1, 20))).write.option("maxRecordsPerFile", 1).text(path)
+    rows = logs.read_records(spark, path).where("NOT broken")
+    return rows.selectExpr("variant_get(record, '$.s_suppkey', 'long') AS supplier", "variant_get(record, '$.facts.s_nationkey', 'long') AS nation", "variant_get(record, '$.facts.s_acctbal', 'double') AS balance")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from feedscope import feed_queries, more_queries, queries as Q, tracking_queries  # noqa: F401
+from feedscope import feed_queries, more_queries, queries as Q, story_queries, tracking_queries  # noqa: F401
 from feedscope.functions import text as T
 from feedscope.operators import aggs, joins, windows
 from feedscope.sources import html

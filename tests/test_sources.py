@@ -111,3 +111,20 @@ def test_own_scorer(spark):
     early = {r.id for r in out if r.reason in ("duplicate", "excluded", "no_topic")}
     assert seen[0] == {r.id for r in out} - early
     assert all((r.reason is None) == (r.id % 2 == 0) for r in out if r.id not in early)
+
+
+def test_posts_with_nested_front_matter(spark, tmp_path):
+    (tmp_path / "a.v1.md").write_text('---\ntitle: "Hello: world"\npubDate: 2024-01-01\ntopics: [llms, "agents", ]\nsource:\n  name: "X"\n  url: https://x/1\nkind: release\nscout:\n  score: 7\ntitle: Again\n---\nBody\n---\nmore')
+    (tmp_path / "b.md").write_text("---\nkind: x\n---\nno title\n")
+    (tmp_path / "c.md").write_text("no front matter")
+    (r,) = logs.read_posts(spark, str(tmp_path)).collect()
+    assert (r.slug, r.title, r.pub_date, r.kind, r.format, r.topics, r.source_url, r.body) == ("a.v1", "Again", "2024-01-01", "release", "news", ["llms", "agents"], "https://x/1", "Body\n---\nmore")
+    assert r.front["scout.score"] == "7" and r.front["source.name"] == "X" and "source" not in r.front
+
+
+def test_records_as_variants(spark, tmp_path):
+    (tmp_path / "gpt-4.1.json").write_text('{"value": 3.5, "conditions": {"shots": 2, "tools": [true]}}')
+    (tmp_path / "bad.json").write_text('{"value": ')
+    (tmp_path / "list.json").write_text("[1, 2]")
+    rows = logs.read_records(spark, str(tmp_path)).selectExpr("id", "broken", "try_variant_get(record, '$.conditions.shots', 'int') AS shots", "try_variant_get(record, '$.value', 'double') AS value")
+    assert {tuple(r) for r in rows.collect()} == {("gpt-4.1", False, 2, 3.5), ("bad", True, None, None), ("list", False, None, None)}
