@@ -15,7 +15,7 @@ DERIVATIVE = "(?i)gguf|awq|gptq|int4|int8|fp8|bnb|4bit|8bit|mlx|onnx|openvino|-q
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(source, payload): one landed response a file; the file's name is the source."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("source"), F.col("value").alias("payload"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("source"), F.col("value").alias("payload"))
 
 
 def objects(payloads: DataFrame, limit: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def _when(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
-def endpoint_items(payloads: DataFrame, limit: int = 30) -> DataFrame:
+def endpoint_items(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     """(source, id, title, url, published, extra): id is id, _id or title; title falls back to it, url to the source's."""
     row = F.from_json("extra", "id string, _id string, title string, url string, publishedAt string, createdAt string")
     filled = lambda *names: F.coalesce(*[F.nullif(F.col(f"r.{n}"), F.lit("")) for n in names])
@@ -39,7 +39,7 @@ def endpoint_items(payloads: DataFrame, limit: int = 30) -> DataFrame:
     return x.select("source", "id", F.coalesce(filled("title"), "id").alias("title"), F.coalesce(filled("url"), "source").alias("url"), _when(filled("publishedAt", "createdAt")).alias("published"), "extra")
 
 
-def hub_items(payloads: DataFrame, base: str, prefix: str = "hub:", limit: int = 30, derivative: str = DERIVATIVE) -> DataFrame:
+def hub_items(payloads: DataFrame, base: str, prefix: str = "hub:", limit: int | None = None, derivative: str = DERIVATIVE) -> DataFrame:
     """(source, id, title, url, published, tags): a listing's repositories without derivative uploads."""
     row = F.from_json("extra", "modelId string, id string, createdAt string, tags array<string>")
     x = objects(payloads, limit).withColumn("r", row).withColumn("repo", F.coalesce(F.nullif("r.modelId", F.lit("")), "r.id"))

@@ -45,7 +45,7 @@ def write_archive(rows: DataFrame, path: str, at: str) -> None:
     rows.withColumn("month", F.date_format(at, "yyyy-MM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def read_items_xml(spark: SparkSession, path: str, limit: int | None = 30, most: int | None = 2000) -> DataFrame:
+def read_items_xml(spark: SparkSession, path: str, limit: int | None = None, most: int | None = None) -> DataFrame:
     """The items of RSS and entries of Atom files: (file, id, title, url, summary, published).
 
     id is the guid or id, else the link or title; published falls back to updated; the summary is cut at ``most``

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedscope import queries as Q
+from feedscope.functions import names
 from feedscope.operators import archive, joins, mentions, readings, shared, titles, windows
 from feedscope.plans import constraints, funnel
 from feedscope.sources import logs, monthly
@@ -199,3 +200,21 @@ def landed_records(spark, d):
     Q._t(spark, d, "supplier").select(F.when(whole, json).otherwise(F.substring(json, 1, 20))).write.option("maxRecordsPerFile", 1).text(path)
     rows = logs.read_records(spark, path).where("NOT broken")
     return rows.selectExpr("variant_get(record, '$.s_suppkey', 'long') AS supplier", "variant_get(record, '$.facts.s_nationkey', 'long') AS nation", "variant_get(record, '$.facts.s_acctbal', 'double') AS balance")
+
+
+@Q.query("""WITH n AS (SELECT c_custkey, n_name || [' (high)', '_xhigh', '-low', '', ' [max]', ' thinking', '_v2'][c_custkey % 7 + 1] AS name, c_custkey % 7 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey AS id, CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'xhigh' END AS effort, regexp_replace(CASE WHEN k IN (3, 6) THEN lower(name) ELSE regexp_replace(lower(name), '( \\(high\\)|_xhigh|-low| \\[max\\]| thinking)$', '') END, '[^a-z0-9]', '', 'g') AS bare FROM n""")
+def effort_names(spark, d):
+    """The effort that a name carries, and the name without it."""
+    ends = F.array(*map(F.lit, (" (high)", "_xhigh", "-low", "", " [max]", " thinking", "_v2")))
+    n = Q._t(spark, d, "customer").join(F.broadcast(Q._t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.concat("n_name", F.get(ends, (F.col("c_custkey") % 7).cast("int")))
+    return n.select(F.col("c_custkey").alias("id"), names.effort_of(name).alias("effort"), names.bare_name(name).alias("bare"))
+
+
+@Q.query(f"""WITH {Q._ITEMS} SELECT id, trim(title) AS title, CASE WHEN id % 7 > 0 AND id % 5 > 0 THEN source END AS bucket, CASE WHEN id % 7 > 0 THEN (id % 50) / 4.0 ELSE 0 END::DOUBLE AS score FROM items""")
+def message_ratings(spark, d):
+    """What a rated message's own text tells of its item."""
+    k = F.col("id")
+    tag = F.when(k % 7 > 0, F.concat(F.lit("\n["), F.when(k % 5 > 0, F.col("source")).otherwise(""), F.lit(" · score "), ((k % 50) / 4.0).cast("string"), F.lit("]"))).otherwise("\nno tag")
+    return Q.items(spark, d).select("id", names.message_facts(F.concat(F.coalesce("title", F.lit("")), tag)).alias("f")).select("id", "f.*")
