@@ -13,8 +13,8 @@ its framed copy, the reader a file and one unpacked record of it. A record that
 ``error`` and no digest.
 
 A record's id is its page's, with the payload's digest where a page_id has several payloads. Where rows have the same id and
-payload, each has the number of its input partition and its own number in there as well, so that no task needs to see
-all such rows: an input partition's rows stay together however Spark splits a skewed join, which it does by map task.
+payload, they are numbered within their input partition, on from the counts of the partitions before it, so that no task needs
+to see all such rows: they meet their numbers by page, payload and input partition.
 ``WARC-Refers-To`` names such an id.
 
 Defined cases: a null or empty payload is empty, a very long one is cut into segments; a null url is written as
@@ -32,10 +32,10 @@ from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedscope.llm.common import lean, scratch_path, slices
+from feedscope.llm.common import lean, materialise, scratch_path, slices
 
 #: Bytes of a chunk, of a segment's block and of a file.
 CHUNK, SEGMENT, FILE_BYTES = 4096, 16384, 16_000_000
@@ -58,25 +58,37 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*map(part, range(4)))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _from_files_only(pages: DataFrame) -> DataFrame:
+    """The pages, written first unless they are read straight from files: whoever scans files finds the same input partitions."""
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.sub(r"^[^A-Za-z]*", "", line).split(" ")[0] for line in plan.strip().split("\n")}
+    return pages if nodes <= {"Project", "Filter", "Relation"} else materialise(pages, "pages")
+
+
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, part, payload, payload_bytes, payload_digest, record_id, copies, refers_to and refers_id (null for responses)."""
+    """page_id, url, part, payload, payload_bytes, payload_digest, record_id, before, refers_to and refers_id (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", F.spark_partition_id().alias("part"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), sha1_base32(payload.cast("binary")).alias("payload_digest"))
     # a narrow row for each page_id and payload; what is decided comes back by both, so that no payload is a hot key
-    each = rows.groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("part").alias("part"))
+    parts = rows.groupBy("page_id", "payload_digest", "part").agg(F.first("payload_bytes").alias("n"), F.count(F.lit(1)).alias("copies"))
+    earlier = F.sum("copies").over(Window.partitionBy("page_id", "payload_digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("before", F.coalesce(earlier, F.lit(0)))  # a row for each input partition with such a page
+    each = parts.groupBy("page_id", "payload_digest").agg(F.first("n").alias("n"))
     several = each.groupBy("page_id").agg((F.count(F.lit(1)) > 1).alias("several"))
     same_id = F.col("e.page_id").eqNullSafe(F.col("s.page_id"))
     each = each.alias("e").join(several.alias("s"), same_id).select("e.*", "several")
     plain = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     record_id = F.when(F.col("several") | F.col("page_id").isNull(), F.concat_ws(":", plain, "payload_digest")).otherwise(plain)
-    each = each.select("page_id", "payload_digest", "n", "copies", "part", record_id.alias("record_id"))
-    one = F.when(F.col("copies") == 1, F.col("record_id")).otherwise(F.concat("record_id", F.lit(":row:"), "part", F.lit(".1")))
-    first = each.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", one.alias("record_id"))).alias("first"))
+    each = each.select("page_id", "payload_digest", "n", record_id.alias("record_id"))
+    first = each.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"))
     own = F.col("first").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("first.page_id")) | (F.col("n") < least_bytes)
     other = lambda c: F.when(~own, F.col(f"first.{c}"))
-    planned = each.join(first, "payload_digest", "left").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "record_id", "copies", other("page_id").alias("refers_to"), other("record_id").alias("refers_id"))
-    # merged at every size, so that payloads are shuffled once; a hot page may be split by map tasks
-    return rows.join(planned.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))).drop("p", "d")
+    planned = each.join(first, "payload_digest", "left").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "record_id", other("page_id").alias("refers_to"), other("record_id").alias("refers_id"))
+    placed = parts.select(F.col("page_id").alias("pp"), F.col("payload_digest").alias("dd"), F.col("part").alias("q"), "before")
+    planned = planned.join(placed, F.col("p").eqNullSafe(F.col("pp")) & (F.col("d") == F.col("dd"))).drop("pp", "dd")
+    # merged at every size, so that payloads are shuffled once; by input partition as well, which spreads a hot page
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")) & (F.col("part") == F.col("q"))
+    return rows.join(planned.hint("merge"), same).drop("p", "d", "q")
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -117,11 +129,11 @@ def _to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each file, from rows sorted by id, payload and input partition."""
     out, held, last, number = [], 0, None, 0
     for b in slices(batches, 256):
-        for rid, copies, part, url, payload, digest, refers in zip(*(b.column(c) for c in ("record_id", "copies", "part", "url", "payload", "payload_digest", "refers_id")), strict=True):
+        for rid, before, part, url, payload, digest, refers in zip(*(b.column(c) for c in ("record_id", "before", "part", "url", "payload", "payload_digest", "refers_id")), strict=True):
             rid, digest, part = rid.as_py(), digest.as_py(), part.as_py()
-            number = number + 1 if (rid, digest, part) == last else 1
+            number = number + 1 if (rid, digest, part) == last else before.as_py() + 1
             last = (rid, digest, part)
-            for r in records(rid if copies.as_py() == 1 else f"{rid}:row:{part}.{number}", url.as_py(), payload.as_py().encode(), digest, refers.as_py()):
+            for r in records(rid if number == 1 else f"{rid}:row:{number}", url.as_py(), payload.as_py().encode(), digest, refers.as_py()):
                 out.append(_member(r))
                 held += len(out[-1])
             if held >= FILE_BYTES:
@@ -133,7 +145,7 @@ def _to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write the pages as gzipped WARC files of a bounded number of bytes below ``path``."""
-    rows = plan_records(pages, least_bytes).sortWithinPartitions("record_id", "payload_digest", "part", "url")
+    rows = plan_records(_from_files_only(pages.select("page_id", "url", "html")), least_bytes).sortWithinPartitions("record_id", "payload_digest", "part", "url")
     files = rows.mapInArrow(_to_files, "value binary").select(F.col("value").cast("string").alias("value"))
     with lean(pages.sparkSession):
         files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
