@@ -56,7 +56,8 @@ def queue_expiry(stream: DataFrame, days: int = 7, late: str = "1 day") -> DataF
     """(key, queued_at, score, puts) of each queue entry when it has waited ``days``; key, at, score come in.
 
     A put of a waiting key refreshes its score and keeps its place; one after the expiry starts a new entry. State is a
-    row for each waiting key, dropped by the watermark's timer.
+    row for each waiting key, dropped by the watermark's timer. Times count in whole milliseconds, the nearest; puts of the
+    same one stay in their order.
     """
     ttl = days * 86_400_000
 
@@ -70,7 +71,7 @@ def queue_expiry(stream: DataFrame, days: int = 7, late: str = "1 day") -> DataF
             out.append(gone(entry))
             state.remove()
         else:
-            rows = pd.concat(batches).sort_values(["at", "score"], kind="stable")
+            rows = pd.concat(batches).sort_values(["exact", "score"], kind="stable")
             for at, score in zip(rows["at"].astype("datetime64[ns]").astype("int64") // 1_000_000, rows["score"], strict=True):
                 if entry is not None and at > entry[0] + ttl:
                     out.append(gone(entry))
@@ -81,12 +82,14 @@ def queue_expiry(stream: DataFrame, days: int = 7, late: str = "1 day") -> DataF
                 state.remove()
             else:
                 state.update(entry)
-                state.setTimeoutTimestamp(entry[0] + ttl)
+                state.setTimeoutTimestamp(entry[0] + ttl - 1)  # timers go off behind their time, entries at it
         if out:
             yield pd.DataFrame(out, columns=["key", "queued_at", "score", "puts"])
 
     shape = "key long, queued_at timestamp, score double, puts long"
-    return stream.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, shape, "queued long, score double, puts long", "append", GroupStateTimeout.EventTimeTimeout)
+    exact = F.unix_micros("at")
+    puts = stream.select("key", F.timestamp_micros(F.round(exact, -3)).alias("at"), exact.alias("exact"), "score")
+    return puts.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, shape, "queued long, score double, puts long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -209,6 +209,17 @@ def test_queue_expiry_in_batches(spark, tmp_path):
     assert results[0] == results[1] == sorted(want)
 
 
+def test_queue_expiry_to_the_millisecond(spark, tmp_path):
+    """Times are rounded, not cut, to milliseconds; an entry whose time ends at the watermark itself has waited long enough."""
+    at = datetime.datetime(2024, 1, 1, 12, 0, 0, 999_700)
+    second = datetime.datetime(2024, 1, 1, 12, 0, 1)
+    puts = [(at, 1, 1.0), (at + datetime.timedelta(microseconds=100), 1, 0.5), (second + datetime.timedelta(days=8), 2, 3.0)]
+    schema = "at timestamp, key long, score double"
+    spark.createDataFrame(puts, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert list(map(tuple, jobs.run_once(jobs.queue_expiry(s), "q", str(tmp_path / "c")).collect())) == [(1, second, 0.5, 2)]
+
+
 def test_claims_behind_two_thousand_characters(spark, tmp_path):
     from feedscope import tracking_queries
 
