@@ -4,7 +4,7 @@ Two titles are near if their tokens are (three shared and 0.40 of the smaller se
 the sequence ratio, twice the matched letters by both lengths, is 0.72 or more. Rows never meet rows: items and posts
 with the same token set are one class, those with the same title one class, and classes meet.
 
-Token classes meet on their rarest tokens. Letters have no such key, as two titles at the ratio may share no more than pairs of
+Token classes meet once, at the rarest token they share. Letters have no such key, as two titles at the ratio may share no more than pairs of
 letters, so the titles of a stretch of days are compared block by block inside tasks, where bounds leave few pairs:
 their lengths, then how many letters they have in common, then the length of their longest common subsequence,
 computed bit by bit for many pairs at once. Only what passes all three is compared exactly.
@@ -27,6 +27,8 @@ RATIO, DAYS = 0.72, 7
 #: Titles of a block, pairs whose subsequences are computed at a time, and the longest title for which they are.
 BLOCK, PAIRS, LONGEST = 1024, 1 << 16, 256
 STEP = 16
+#: Rows of a token and stretch that one task takes.
+BUSY = 8192
 
 
 def tokens_are_near(shared: Column, smaller: Column) -> Column:
@@ -164,29 +166,84 @@ def _letter_pairs(a: DataFrame, b: DataFrame, days: int, ratio: float) -> DataFr
     return met.where(~tokens_are_near(shared, F.least(F.size("ta"), F.size("tb")))).select("a", "b")
 
 
-def _token_pairs(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
-    """(a, b): classes of token sets that are near.
+def token_sets(*tables: DataFrame) -> DataFrame:
+    """(token_class, c, ids): each token set once, numbered, with the numbers of its tokens, the rarest first; tables have
+    token_class and tokens. Sets of one token are near to none and left out."""
+    every = tables[0].select("token_class", "tokens")
+    for t in tables[1:]:
+        every = every.union(t.select("token_class", "tokens"))
+    each = every.where("size(tokens) > 1").groupBy("token_class").agg(F.first("tokens").alias("tokens")).select("token_class", F.explode("tokens").alias("t"))
+    number = written(each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "t").select("t", F.monotonically_increasing_id().alias("k")))
+    sets = each.join(number, "t").groupBy("token_class").agg(F.sort_array(F.collect_list("k")).alias("ids"))
+    return written(sets.select("token_class", F.monotonically_increasing_id().alias("c"), "ids"))
 
-    Who shares ``need`` of a smaller set's n tokens shares one of its n - need + 1 rarest, so classes meet on those alone.
+
+def near_sets(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b, shared, smaller, xs, ys): rows of x and y of the same s whose token sets are near.
+
+    x has s, c, ids and what it brings along, xs; y has s, c, ids, ys. Tokens stand in one order in all sets, so a pair
+    meets once: at its first shared token, where enough tokens must follow in both sets. No pair is shuffled. Tokens of many
+    rows are dealt over several tasks.
     """
-    x = a.select("token_class", "tokens", _stretch(F.col("day"), days).alias("s")).distinct()
-    s = _stretch(F.col("day"), days)
-    y = b.select("token_class", "tokens", F.explode(F.array(s, s + 1)).alias("s")).distinct()
-    common = y.select("token_class", "tokens").distinct().select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-
-    def rare(df: DataFrame, n: str) -> DataFrame:
-        need = F.greatest(F.lit(2), F.ceil(F.size("tokens") * 0.4 - 1e-9))
-        each = df.select("token_class", "tokens").distinct().select("token_class", F.size("tokens").alias(n), need.alias("need"), F.explode("tokens").alias("t")).join(common, "t", "left")
-        place = F.row_number().over(Window.partitionBy("token_class").orderBy(F.coalesce("df", F.lit(0)), "t"))
-        each = each.withColumn("place", place).select("token_class", n, "t", (F.col("place") <= F.col(n) - F.col("need") + 1).alias(f"rare_{n}"))
-        return each.join(df.select("token_class", "s"), "token_class")
-
-    p, q = rare(x, "na").withColumnRenamed("token_class", "a"), rare(y, "nb").withColumnRenamed("token_class", "b")
-    small = ((F.col("na") <= F.col("nb")) & F.col("rare_na")) | ((F.col("nb") <= F.col("na")) & F.col("rare_nb"))
-    met = p.join(q, ["t", "s"]).where(small).select("a", "b").distinct()
-    sets = lambda df, k: df.select(F.col("token_class").alias(k), F.col("tokens").alias(f"t{k}")).distinct()
-    met = met.join(sets(x, "a"), "a").join(sets(y, "b"), "b")
-    return met.where(tokens_are_near(F.size(F.array_intersect("ta", "tb")), F.least(F.size("ta"), F.size("tb")))).select("a", "b")
+
+    def placed(df: DataFrame, c: str, n: str, ids: str, brings: str) -> DataFrame:
+        size = F.size("ids")
+        return df.select("s", F.col("c").alias(c), size.alias(n), F.col("ids").alias(ids), brings, F.posexplode(F.slice("ids", F.lit(1), size - 1)).alias(f"at_{n}", "t"))
+
+    p, q = placed(x, "a", "na", "ia", "xs"), placed(y, "b", "nb", "ib", "ys")
+    busy = p.groupBy("t", "s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUSY).select("t", "s", F.ceil(F.col("m") / BUSY).alias("parts"))
+    busy = F.broadcast(busy)  # one row for BUSY of p at most
+    parts = F.coalesce("parts", F.lit(1))
+    p = p.join(busy, ["t", "s"], "left").withColumn("part", F.pmod(F.xxhash64("a"), parts)).drop("parts")
+    q = q.join(busy, ["t", "s"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    smaller = F.least("na", "nb")
+    need = F.when(smaller <= 4, 2).otherwise(F.greatest(F.lit(3), F.ceil(smaller * 0.4 - 1e-9)))
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: few bytes stand for much work
+    p, q = (df.repartition(tasks, "t", "s", "part") for df in (p, q))
+    met = p.join(q, ["t", "s", "part"]).where(F.least(F.col("na") - F.col("at_na"), F.col("nb") - F.col("at_nb")) >= need).where(F.size(F.array_intersect("ia", "ib")) >= need)
+    shared = F.transform(F.array(F.array_intersect("ia", "ib")), lambda z: F.when(z[0] == F.col("t"), F.size(z)).otherwise(0))
+    return met.select("a", "b", F.explode(F.filter(shared, lambda k: tokens_are_near(k, smaller))).alias("shared"), smaller.alias("smaller"), "xs", "ys")
+
+
+def near_titles(items: DataFrame, posts: DataFrame, days: int = DAYS) -> DataFrame:
+    """(id, post_id, shared, containment): posts of the ``days`` before an item whose title shares enough tokens.
+
+    Three shared tokens and 0.40 of the smaller set, or two and 0.50. Token sets meet, with a stretch's rows in chunks, and
+    pairs of rows come out where their sets are near: what travels grows with the rows, not with the pairs.
+    """
+
+    def classed(df: DataFrame) -> DataFrame:
+        tokens = F.array_sort(title_tokens(F.col("title")))
+        return written(df.select("id", F.col("published").cast("date").alias("day"), tokens.alias("tokens")).withColumn("token_class", F.md5(F.array_join("tokens", " "))))
+
+    a = classed(items)
+    b = a if posts is items else classed(posts)
+    sets = token_sets(a, b)
+
+    def chunked(df: DataFrame, name: str) -> DataFrame:
+        rows = df.join(sets, "token_class").select("c", "ids", _stretch(F.col("day"), days).alias("s"), "id", "day")
+        large = rows.groupBy("c", "s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("c", "s", F.ceil(F.col("m") / BLOCK).alias("chunks"))
+        rows = rows.join(large, ["c", "s"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))))
+        return rows.groupBy("c", "s", "chunk").agg(F.first("ids").alias("ids"), F.collect_list(F.struct("id", "day")).alias(name))
+
+    y = chunked(b, "ys").withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))
+    met = near_sets(chunked(a, "xs"), y).select("shared", "smaller", F.explode("xs").alias("i"), "ys").select("shared", "smaller", "i", F.explode("ys").alias("j"))
+    met = met.where((F.col("i.id") != F.col("j.id")) & (F.datediff("i.day", "j.day").between(0, days)))
+    return met.select(F.col("i.id").alias("id"), F.col("j.id").alias("post_id"), F.col("shared").cast("long").alias("shared"), (F.col("shared") / F.col("smaller")).alias("containment"))
+
+
+def _told_by_tokens(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
+    """(id, n, nearest) of the items near a post by tokens."""
+    sets = token_sets(a, b)
+    rows = a.select("id", "day", "token_class").join(sets.select("token_class", "c"), "token_class").select("id", "day", "c")
+    s = _stretch(F.col("day"), days).alias("s")
+    x = a.select("token_class", "day").distinct().join(sets, "token_class").groupBy("c", s).agg(F.first("ids").alias("ids"), F.collect_list("day").alias("xs"))
+    y = b.groupBy("token_class", "day").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).join(sets, "token_class")
+    y = y.groupBy("c", s).agg(F.first("ids").alias("ids"), F.collect_list(F.struct(F.col("day").alias("posted"), "n", "first")).alias("ys"))
+    y = y.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))  # posts of the days before lie in an item's own stretch or the one before
+    met = near_sets(x, y).select("a", F.explode("xs").alias("day"), "ys").select("a", "day", F.inline("ys")).where(F.datediff("day", "posted").between(0, days))
+    told = met.groupBy(F.col("a").alias("c"), "day").agg(F.sum("n").alias("n"), F.min(F.struct((-F.unix_date("posted")).alias("age"), F.col("first").alias("id"))).alias("nearest"))
+    return rows.join(told, ["c", "day"]).select("id", "n", "nearest")
 
 
 def _told(a: DataFrame, b: DataFrame, pairs: DataFrame, key: str, days: int) -> DataFrame:
@@ -205,9 +262,9 @@ def told_before(items: DataFrame, posts: DataFrame, days: int = DAYS, ratio: flo
     post is near. All posts count, also one with the item's own id. Two empty titles are alike.
     """
     a, b = written(_classed(items, "published")), written(_classed(posts, "published"))  # read by every step
-    rows = a.select("id", "day", "title_class", "token_class")
-    found = [rows.join(_told(a, b, _token_pairs(a, b, days), "token_class", days), ["token_class", "day"]).select("id", "n", "nearest")]
+    found = [_told_by_tokens(a, b, days)]
     if ratio is not None:
+        rows = a.select("id", "day", "title_class")
         found.append(rows.join(_told(a, b, _letter_pairs(a, b, days, ratio), "title_class", days), ["title_class", "day"]).select("id", "n", "nearest"))
     both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return both.groupBy("id").agg(F.min("nearest")["id"].alias("nearest"), F.sum("n").alias("n"))

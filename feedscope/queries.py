@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedscope.functions import text as T
 from feedscope.functions.score import Interests, QualityRules
-from feedscope.operators import aggs, grounding, joins, shared, windows
+from feedscope.operators import aggs, grounding, joins, shared, titles, windows
 from feedscope.plans import funnel
 from feedscope.sources import html
 from feedscope.streaming import jobs
@@ -154,7 +154,7 @@ SELECT p.id, post_id, shared, shared::DOUBLE / least(x.n, y.n) AS containment FR
 WHERE shared >= 3 AND shared::DOUBLE / least(x.n, y.n) >= 0.4 OR shared::DOUBLE / least(x.n, y.n) >= 0.5""")
 def title_near_duplicates(spark, d):
     x = items(spark, d)
-    return joins.near_titles(x, x)
+    return titles.near_titles(x, x)
 
 
 @query(f"WITH {_ITEMS} SELECT id, source FROM items WHERE id % 2 = 1")

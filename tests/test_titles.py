@@ -105,3 +105,31 @@ def test_alike_misses_none(alphabet):
     b = [word() for _ in range(40)] + ["".join(c if rng.random() > 0.25 else rng.choice(alphabet) for c in t) for t in a]
     want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if SequenceMatcher(None, x, y).ratio() >= 0.72}
     assert set(titles.alike(a, b)) == want and len(want) > 30
+
+
+def shuffled(spark):
+    """Rows that have been shuffled so far."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_of_rows_are_not_shuffled(spark):
+    """A title many times: pairs of rows come out, all of them, and none travels."""
+    x = spark.range(400).selectExpr("id", "concat('Same old story, told again ', id % 2) AS title", "date_add(date'2024-03-01', int(id % 20)) AS published")
+    before, day = shuffled(spark), lambda k: k % 20
+    got = {(r.id, r.post_id) for r in titles.near_titles(x, x).collect()}
+    assert got == {(i, j) for i in range(400) for j in range(400) if i != j and 0 <= day(i) - day(j) <= 7}
+    assert len(got) > 50_000 and shuffled(spark) - before < 15_000
+
+
+def test_busy_tokens_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(titles, "BUSY", 8)
+    monkeypatch.setattr(titles, "BLOCK", 8)
+    items, posts = made(3, 200), [(1000 + i, t, d) for i, t, d in made(4, 200)]
+    a, b = spark.createDataFrame(items, SCHEMA), spark.createDataFrame(posts, SCHEMA)
+    assert {r.id: (r.nearest, r.n) for r in titles.told_before(a, b, ratio=None).collect()} == brute(items, posts, None)
+    want = {(i, p) for i, t, d in items for p, u, e in posts if d and e and 0 <= (d - e).days <= 7 and near(t, u, None)}
+    got = [(r.id, r.post_id) for r in titles.near_titles(a, b).collect()]
+    assert len(got) == len(want) and set(got) == want
