@@ -124,6 +124,15 @@ def test_pairs_of_rows_are_not_shuffled(spark):
     assert len(got) > 50_000 and shuffled(spark) - before < 15_000
 
 
+def test_near_classes_are_counted_where_they_meet(spark):
+    """Different titles that are all near: 90,000 pairs of token sets, of which none travels."""
+    items = spark.range(300).selectExpr("id", "concat('alpha beta w', id) AS title", "date'2024-03-08' AS published")
+    posts = spark.range(300).selectExpr("id + 1000 AS id", "concat('beta alpha v', id) AS title", "date_add(date'2024-03-01', int(id % 8)) AS published")
+    before = shuffled(spark)
+    got = titles.told_before(items, posts, ratio=None).collect()
+    assert len(got) == 300 and {(r.nearest, r.n) for r in got} == {(1007, 300)} and shuffled(spark) - before < 20_000
+
+
 def test_busy_tokens_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(titles, "BUSY", 8)
     monkeypatch.setattr(titles, "BLOCK", 8)
