@@ -165,10 +165,11 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return out.where("title IS NOT NULL")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(id, record, broken): one JSON record a file, as a variant, whatever its nesting; the file's stem is its id.
 
-    A file that doesn't parse has a null record and is ``broken``; who reads the collection filters or counts these.
+    What doesn't parse has a null record and is ``broken``; who reads the collection filters or counts these. With
+    ``lines`` each line is a record, so that large collections need few files; a file's records share its stem.
     """
-    rows = spark.read.text(path, wholetext=True).select(stem().alias("id"), F.try_parse_json("value").alias("record"))
+    rows = spark.read.text(path, wholetext=not lines).select(stem().alias("id"), F.try_parse_json("value").alias("record"))
     return rows.withColumn("broken", F.col("record").isNull())

@@ -128,3 +128,18 @@ def test_records_as_variants(spark, tmp_path):
     (tmp_path / "list.json").write_text("[1, 2]")
     rows = logs.read_records(spark, str(tmp_path)).selectExpr("id", "broken", "try_variant_get(record, '$.conditions.shots', 'int') AS shots", "try_variant_get(record, '$.value', 'double') AS value")
     assert {tuple(r) for r in rows.collect()} == {("gpt-4.1", False, 2, 3.5), ("bad", True, None, None), ("list", False, None, None)}
+
+
+def test_records_by_lines(spark, tmp_path):
+    (tmp_path / "all.json").write_text('{"value": 3.5, "note": "two\\nlines"}\n{"value": \n[1, 2]\n')
+    rows = logs.read_records(spark, str(tmp_path), lines=True).selectExpr("id", "broken", "try_variant_get(record, '$.value', 'double') AS value")
+    assert sorted(map(tuple, rows.collect()), key=repr) == [("all", False, 3.5), ("all", False, None), ("all", True, None)]
+
+
+def test_landed_records_need_few_files(spark, sf, tmp_path, monkeypatch):
+    from feedscope import story_queries
+
+    spark.range(500).selectExpr("id AS s_suppkey", "int(id % 25) AS s_nationkey", "double(id - 10) AS s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(story_queries.shared, "folder", lambda spark: str(tmp_path / "landed"))
+    assert story_queries.landed_records(spark, str(tmp_path)).count() == 490
+    assert len(list((tmp_path / "landed").rglob("part-*"))) <= 4
