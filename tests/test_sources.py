@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from feedscope.functions import rules
-from feedscope.sources import logs
+from feedscope.sources import html, logs
 
 
 def test_source_registry(spark, tmp_path):
@@ -143,3 +143,21 @@ def test_landed_records_need_few_files(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(story_queries.shared, "folder", lambda spark: str(tmp_path / "landed"))
     assert story_queries.landed_records(spark, str(tmp_path)).count() == 490
     assert len(list((tmp_path / "landed").rglob("part-*"))) <= 4
+
+
+def test_few_pages_are_objects_at_a_time(spark):
+    import pyarrow as pa
+
+    class Batches:
+        """Stands for a DataFrame whose rows come to a task in one batch."""
+
+        select = lambda self, *_: self
+
+        def mapInArrow(self, f, schema):
+            n = 1000
+            one = pa.record_batch([pa.array(range(n)), pa.array(["http://x/"] * n), pa.array(["<h1>A heading of a page</h1>"] * n)], names=["page_id", "url", "html"])
+            return [b.num_rows for b in f(iter([one]))]
+
+    for scan in (html.page_text, html.page_items):
+        rows = scan(Batches())
+        assert sum(rows) == 1000 and max(rows) <= 64
