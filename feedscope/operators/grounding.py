@@ -50,8 +50,9 @@ def reference_integrity(drafts: DataFrame, measurements: DataFrame) -> DataFrame
     known = refs.join(measurements.select(F.col("id").alias("ref"), "value", F.lit(True).alias("there")), "ref", "left")
     cited = known.groupBy("id").agg(F.count(F.lit(1)).alias("n_refs"), F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("ref")))).alias("dangling"), F.collect_set(F.round("value", 6)).alias("values"))
     near = lambda v: F.array(v, F.round(v / 100, 6), F.round(v * 100, 6))
-    traced = lambda x: F.exists(F.col("values"), lambda c: F.arrays_overlap(near(number_value(x)), near(c)))
-    out = drafts.join(cited, "id", "left")
+    explained = F.flatten(F.transform("values", near))  # made once a draft, not once for each figure
+    traced = lambda x: F.exists(F.array(number_value(x)), lambda v: F.arrays_overlap(near(v), F.col("values")))
+    out = drafts.join(cited, "id", "left").withColumn("values", explained)
     untraced = F.array_sort(F.filter(figures(F.col("body")), lambda x: ~F.coalesce(traced(x), F.lit(False))))
     return out.select("id", F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.coalesce("dangling", F.array().cast("array<string>")).alias("dangling"), untraced.alias("untraced"))
 

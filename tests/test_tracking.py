@@ -99,6 +99,13 @@ def test_reference_integrity(spark):
     assert got == {1: (1, [], []), 2: (2, [], ["3.5"]), 3: (2, ["zz"], ["7.1"]), 4: (0, [], ["9.9"]), 5: (1, [], []), 6: (0, [], ["2k"])}
 
 
+def test_a_figure_is_read_once(spark):
+    d = spark.createDataFrame([(1, "scores 91.2%", ["a"])], "id int, body string, refs array<string>")
+    m = spark.createDataFrame([("a", 91.2)], "id string, value double")
+    plan = grounding.reference_integrity(d, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map(") <= 1  # the units of a figure's value
+
+
 BENCH = (("alpha", "Alpha(?:\\s+Pro)?"), ("beta", "Beta"))
 
 
