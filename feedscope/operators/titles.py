@@ -7,7 +7,8 @@ with the same token set are one class, those with the same title one class, and
 Token classes meet once, at the rarest token they share. Letters have no such key, as two titles at the ratio may share no more than pairs of
 letters, so the titles of a stretch of days are compared block by block inside tasks, where bounds leave few pairs:
 their lengths, then how many letters they have in common, then the length of their longest common subsequence,
-computed bit by bit for many pairs at once. Only what passes all three is compared exactly.
+computed bit by bit for many pairs at once, or, if they are long, how many runs of letters they share. Only what passes
+these is compared exactly.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ from feedscope.functions.text import title_tokens
 from feedscope.operators.shared import written
 
 RATIO, DAYS = 0.72, 7
-#: Titles of a block, pairs whose subsequences are computed at a time, and the longest title for which they are.
-BLOCK, PAIRS, LONGEST = 1024, 1 << 16, 256
+#: Rows of a chunk, blocks of letters in chunks, pairs whose subsequences are computed at a time, and the longest title for which they are.
+BLOCK, SIDE, PAIRS, LONGEST = 1024, 4, 1 << 16, 384
 STEP = 16
+#: Posts and items whose letters are counted against each other at a time.
+POSTS, ITEMS = 64, 2048
+#: Letters of a run, and bins for the runs of a title.
+RUN, BINS = 4, 4096
 #: Rows of a token and stretch that one task takes.
 BUSY = 8192
 
@@ -35,22 +40,30 @@ def tokens_are_near(shared: Column, smaller: Column) -> Column:
     return ((shared >= 3) & (shared >= 0.4 * smaller)) | ((shared >= 2) & (shared >= 0.5 * smaller))
 
 
-def _lettered(titles: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the titles as rows of letter numbers, len(codes) where they have ended; lengths)."""
-    lengths = np.array([len(t) for t in titles])
-    out = np.full((len(titles), int(lengths.max(initial=0))), len(codes), np.int32)
+def _numbered(titles: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the titles' letters as numbers, one after the other; the title of each letter; the titles' lengths)."""
+    lengths = np.array([len(t) for t in titles], np.int64)
     flat = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(titles)), lengths)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.searchsorted(codes, flat)
-    return out, lengths
-
-
-def common_letters(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """How many letters each title of ``a`` has in common with each of ``b``, wherever they stand."""
-    total = np.zeros((len(a), len(b)), np.int32)
-    for k in range(n):
-        p, q = (a == k).sum(axis=1, dtype=np.int32), (b == k).sum(axis=1, dtype=np.int32)
-        total += np.minimum(p[:, None], q[None, :])
+    return np.searchsorted(codes, flat), np.repeat(np.arange(len(titles)), lengths), lengths
+
+
+def _lettered(flat: np.ndarray, row: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """The first titles, those of ``lengths``, as rows of letter numbers, n where they have ended."""
+    flat, row = flat[: lengths.sum()], row[: lengths.sum()]
+    out = np.full((len(lengths), int(lengths.max(initial=0))), n, np.int32)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def common_letters(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many letters each title of ``q`` has in common with each of ``p``, wherever they stand; rows are letters, columns
+    titles. Counts are held in as few bits as the titles of ``q`` need."""
+    most = int(q.sum(axis=0).max(initial=0))
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64
+    total, least = (np.zeros((q.shape[1], p.shape[1]), kind) for _ in range(2))
+    for k in np.flatnonzero(q.any(axis=1)):
+        np.minimum(q[k].astype(kind)[:, None], np.minimum(p[k], most).astype(kind)[None, :], out=least)
+        total += least
     return total
 
 
@@ -61,57 +74,102 @@ def subsequence_reaches(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarr
     what they need with the letters that are left drop out on the way.
     """
     words = max(1, -(-a.shape[1] // 64))
-    mask = np.zeros((len(a), n + 1, words), np.uint64)
+    mask = np.zeros((words, len(a) * (n + 1)), np.uint64)
     row, place = np.nonzero(a < n)
-    np.bitwise_or.at(mask, (row, a[row, place], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
-    lengths = (b < n).sum(axis=1)
-    alive = np.arange(len(i))
-    v = np.full((len(i), words), ~np.uint64(0))
+    np.bitwise_or.at(mask, (place // 64, row * (n + 1) + a[row, place]), np.uint64(1) << (place % 64).astype(np.uint64))
+    lengths = (b < n).sum(axis=1)[j]
+    alive, at_a, at_b, by_place = np.arange(len(i)), i * (n + 1), j, np.ascontiguousarray(b.T)
+    v = [np.full(len(i), ~np.uint64(0)) for _ in range(words)]
     found = np.zeros(len(i), bool)
-    for at in range(0, int(lengths[j].max(initial=0)), STEP):
-        for t in range(at, min(at + STEP, b.shape[1])):
-            m = mask[i[alive], b[j[alive], t]]
-            carry = np.zeros(len(alive), np.uint64)
+    for at in range(0, int(lengths.max(initial=0)), STEP):
+        for t in range(at, min(at + STEP, len(by_place))):
+            seen, carry = at_a + by_place[t].take(at_b), None
             for w in range(words):
-                before = v[:, w]
-                one = before + (before & m[:, w])
-                two = one + carry
-                carry = ((one < before) | (two < one)).astype(np.uint64)
-                v[:, w] = two | (before & ~m[:, w])
-        have = (64 - np.bitwise_count(v).astype(np.int64)).sum(axis=1)
-        left = np.maximum(lengths[j[alive]] - at - STEP, 0)
+                m, before = mask[w].take(seen), v[w]
+                one = before + (before & m)
+                two = one if carry is None else one + carry
+                if w + 1 < words:
+                    carry = ((one < before) | (two < one)).astype(np.uint64)
+                v[w] = two | (before & ~m)
+        have = sum(64 - np.bitwise_count(x).astype(np.int64) for x in v)
+        left = np.maximum(lengths[alive] - at - STEP, 0)
         found[alive[have >= need[alive]]] = True
-        on = (have < need[alive]) & (have + left >= need[alive])
-        alive, v = alive[on], v[on]
+        on = np.flatnonzero((have < need[alive]) & (have + left >= need[alive]))
+        alive, at_a, at_b, v = alive[on], at_a[on], at_b[on], [x[on] for x in v]
         if not len(alive):
             break
     return found
 
 
+def _runs(flat: np.ndarray, row: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of each chosen title, how many runs of RUN letters fall into each of BINS bins; ``row`` rises."""
+    out = np.zeros((len(chosen), BINS), np.int32)
+    for k, title in enumerate(chosen):
+        u = flat[np.searchsorted(row, title) : np.searchsorted(row, title, "right")].astype(np.uint64)
+        run = np.zeros(max(0, len(u) - RUN + 1), np.uint64)
+        for t in range(RUN):
+            run = run * np.uint64(0x9E3779B97F4A7C15) + u[t : t + len(run)] + np.uint64(1)
+        out[k] = np.bincount((run * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    return out
+
+
 def alike(a: list[str], b: list[str], ratio: float = RATIO) -> Iterator[tuple[int, int]]:
     """The pairs of places (in a, in b) of titles whose sequence ratio is ``ratio`` or more."""
     if not a or not b:
         return
+    a_at, b_at = (sorted(range(len(z)), key=lambda k, z=z: len(z[k])) for z in (a, b))
+    a, b = [a[k] for k in a_at], [b[k] for k in b_at]
     codes = np.unique(np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32))
-    (x, m), (y, n) = _lettered(a, codes), _lettered(b, codes)
-    both = m[:, None] + n[None, :]
-    need = np.ceil(ratio * both / 2 - 1e-9).astype(np.int32)
-    i, j = np.nonzero((np.minimum(m[:, None], n[None, :]) >= need) & (common_letters(x, y, len(codes)) >= need))
-    keep = np.ones(len(i), bool)
-    short = np.flatnonzero((m[i] <= LONGEST) & (m[i] > 0) & (n[j] > 0))
-    width = int(m[i[short]].max(initial=0))
-    for at in range(0, len(short), PAIRS):
-        k = short[at : at + PAIRS]
-        keep[k] = subsequence_reaches(x[:, :width], y, i[k], j[k], need[i[k], j[k]], len(codes))
-    i, j = i[keep], j[keep]
-    matcher, last = SequenceMatcher(), None
-    for k in np.lexsort((i, j)):  # what the matcher knows of a post's title serves all items
-        if j[k] != last:
-            last = j[k]
-            matcher.set_seq2(b[last])
-        matcher.set_seq1(a[i[k]])
-        if matcher.ratio() >= ratio:
-            yield int(i[k]), int(last)
+    size, (fa, ra, m), (fb, rb, n) = len(codes), _numbered(a, codes), _numbered(b, codes)
+    p, q = (np.bincount(f * len(z) + r, minlength=size * len(z)).reshape(size, len(z)) for f, r, z in ((fa, ra, a), (fb, rb, b)))
+    short, near_short = np.searchsorted(m, LONGEST, "right"), np.searchsorted(n, 2 * LONGEST, "right")
+    x, y = _lettered(fa, ra, m[:short], size), _lettered(fb, rb, n[:near_short], size)
+    far_a, far_b = _runs(fa, ra, np.arange(short, len(a))), None
+
+    def reached(i: np.ndarray, j: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Of pairs with letters enough, those that stay."""
+        words = np.where((i < short) & (j < near_short) & (m[i] > 0) & (n[j] > 0), -(-m[i] // 64), 0)
+        keep = words == 0
+        for w in np.unique(words[words > 0]):
+            k = np.flatnonzero(words == w)
+            lo, hi, top = i[k].min(), i[k].max() + 1, j[k].max() + 1
+            keep[k] = subsequence_reaches(x[lo:hi, : m[hi - 1]], y[:top, : n[top - 1]], i[k] - lo, j[k], need[k], size)
+        matcher = SequenceMatcher()
+        i, j, need = i[keep], j[keep], need[keep]
+        for post in np.unique(j):  # what the matcher knows of a post's title serves all items
+            matcher.set_seq2(b[post])
+            k = np.flatnonzero(j == post)
+            # all matched stretches but the one at both beginnings hold a letter that the matcher looks up, so they are few in
+            # long titles, where it looks up rare letters only; what they hold they share in runs
+            k = k[np.argsort(i[k])]
+            far = i[k] >= short
+            least = need[k] - (RUN - 1) * (1 + sum(map(len, matcher.b2j.values())))
+            test = np.flatnonzero(far & (least > 0))
+            if len(test):
+                mine = _runs(fb, rb, np.array([post]))
+                shared = np.concatenate([np.minimum(far_a[i[k[test[c : c + 64]]] - short], mine).sum(axis=1) for c in range(0, len(test), 64)])
+                k = np.delete(k, test[shared < least[test]])
+            for item in i[k]:
+                matcher.set_seq1(a[item])
+                if matcher.ratio() >= ratio:
+                    yield a_at[item], b_at[post]
+
+    held, count = [], 0
+    for at in range(0, len(b), POSTS):
+        to = min(at + POSTS, len(b))
+        lo = np.searchsorted(m, ratio * n[at] / (2 - ratio) - 1)
+        hi = np.searchsorted(m, n[to - 1] * (2 - ratio) / ratio + 1, "right") if ratio > 0 else len(a)
+        for low in range(lo, hi, ITEMS):
+            high = min(low + ITEMS, hi)
+            need = np.ceil(ratio * (n[at:to, None] + m[None, low:high]) / 2 - 1e-9).astype(np.int64)
+            j, i = np.nonzero((np.minimum(n[at:to, None], m[None, low:high]) >= need) & (common_letters(p[:, low:high], q[:, at:to]) >= need))
+            held.append((i + low, j + at, need[j, i]))
+            count += len(i)
+            if count >= PAIRS:
+                yield from reached(*map(np.concatenate, zip(*held, strict=True)))
+                held, count = [], 0
+    if count:
+        yield from reached(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def _met(batches: Iterator[pa.RecordBatch], ratio: float) -> Iterator[pa.RecordBatch]:
@@ -152,7 +210,7 @@ def _letter_pairs(a: DataFrame, b: DataFrame, days: int, ratio: float) -> DataFr
     x = a.select("title_class", "low", _stretch(F.col("day"), days).alias("s")).distinct()
     s = _stretch(F.col("day"), days)  # posts of the days before an item lie in its own stretch or the one before
     y = b.select("title_class", "low", F.explode(F.array(s, s + 1)).alias("s")).distinct()
-    blocks = lambda df, n: df.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    blocks = lambda df, n: df.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / (SIDE * BLOCK)).cast("int").alias(n))
     both = blocks(x, "na").join(blocks(y, "nb"), "s")
     mine = lambda n: F.pmod(F.xxhash64("title_class"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

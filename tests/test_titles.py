@@ -142,3 +142,24 @@ def test_busy_tokens_are_dealt_out(spark, monkeypatch):
     want = {(i, p) for i, t, d in items for p, u, e in posts if d and e and 0 <= (d - e).days <= 7 and near(t, u, None)}
     got = [(r.id, r.post_id) for r in titles.near_titles(a, b).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_long_titles_are_told_apart_before_they_are_compared(monkeypatch):
+    """Titles of hundreds of letters in the same words: only those that may be alike are compared exactly, and none is lost."""
+    compared = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    told = lambda n: " ".join(rng.choice(words) if rng.random() < 0.9 else rng.choice("bcdfgk0123456789") for _ in range(n))
+    a = [told(rng.randint(60, 500)) for _ in range(40)] + ["x, " * 300, "same beginning " * 40 + told(60), ""]
+    changed = lambda t, share: "".join(rng.choice("aeinorstq z") if rng.random() < share else c for c in t)
+    b = [changed(t, share) for t in a[:15] for share in (0, 0.003, 0.01, 0.03, 0.1)] + [told(rng.randint(60, 500)) for _ in range(40)] + ["y, " * 300, "x, " * 290, "same beginning " * 40 + told(70), ""]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if SequenceMatcher(None, x, y).ratio() >= 0.72}
+    monkeypatch.setattr(titles, "SequenceMatcher", Counted)
+    assert set(titles.alike(a, b)) == want and len(want) > 20
+    assert len(compared) < 5 * len(want)  # of over 1,000 with letters enough
