@@ -296,11 +296,15 @@ def _told_by_tokens(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
     rows = a.select("id", "day", "token_class").join(sets.select("token_class", "c"), "token_class").select("id", "day", "c")
     s = _stretch(F.col("day"), days).alias("s")
     x = a.select("token_class", "day").distinct().join(sets, "token_class").groupBy("c", s).agg(F.first("ids").alias("ids"), F.collect_list("day").alias("xs"))
-    y = b.groupBy("token_class", "day").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).join(sets, "token_class")
-    y = y.groupBy("c", s).agg(F.first("ids").alias("ids"), F.collect_list(F.struct(F.col("day").alias("posted"), "n", "first")).alias("ys"))
+    # posts numbered from the latest on, of a day from the smallest id on: near pairs are counted by numbers alone, which Spark
+    # does in a hash map, while a least struct would have all of them sorted and spilled first
+    by = b.groupBy("token_class", F.col("day").alias("posted")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    by = written(by.orderBy(F.desc("posted"), "first").select("token_class", "posted", "n", "first", F.monotonically_increasing_id().alias("place")))
+    y = by.join(sets, "token_class").groupBy("c", _stretch(F.col("posted"), days).alias("s")).agg(F.first("ids").alias("ids"), F.collect_list(F.struct("posted", "n", "place")).alias("ys"))
     y = y.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))  # posts of the days before lie in an item's own stretch or the one before
     met = near_sets(x, y).select("a", F.explode("xs").alias("day"), "ys").select("a", "day", F.inline("ys")).where(F.datediff("day", "posted").between(0, days))
-    told = met.groupBy(F.col("a").alias("c"), "day").agg(F.sum("n").alias("n"), F.min(F.struct((-F.unix_date("posted")).alias("age"), F.col("first").alias("id"))).alias("nearest"))
+    told = met.groupBy(F.col("a").alias("c"), "day").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    told = told.join(by.select("place", F.struct((-F.unix_date("posted")).alias("age"), F.col("first").alias("id")).alias("nearest")), "place")
     return rows.join(told, ["c", "day"]).select("id", "n", "nearest")
 
 

@@ -163,3 +163,12 @@ def test_long_titles_are_told_apart_before_they_are_compared(monkeypatch):
     monkeypatch.setattr(titles, "SequenceMatcher", Counted)
     assert set(titles.alike(a, b)) == want and len(want) > 20
     assert len(compared) < 5 * len(want)  # of over 1,000 with letters enough
+
+
+def test_near_pairs_are_not_sorted(spark):
+    """Pairs of token sets are counted in a hash map: a sort of them would spill with their square."""
+    x = spark.range(20).selectExpr("id", "concat('alpha beta w', id) AS title", "date'2024-03-08' AS published")
+    out = titles.told_before(x, x.selectExpr("id + 1000 AS id", "title", "published"), ratio=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[a#" in plan and "SortAggregate(key=[a#" not in plan
+    assert {(r.nearest, r.n) for r in out.collect()} == {(1000, 20)}
