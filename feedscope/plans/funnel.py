@@ -58,40 +58,29 @@ def score_items(
     without it there is none. ``scorer`` replaces the quality score: it takes the items that no cheaper stage drops and
     gives (id, quality). With ``survivors`` only items that pass come out, and each stage works on those the stages before
     it have left, the cheap ones first. The text is put together once and each feature made only if something asks for it.
+    What is made from the text is made before items meet urls and ids, so that texts travel only if they are wanted or for
+    a ``scorer``.
     """
     need = set(wanted or [k for k in OUTPUTS if k != "match"]) | ({"reason"} if survivors else set())
     for _ in OUTPUTS:
         need |= {x for k in need for x in OUTPUTS[k]}
     txt, low = F.col("__txt"), F.col("__low")
     out = once(items, __txt=F.concat("title", F.lit("\n"), "summary"))
-    early = F.lit(None).cast("string")
-    if "reason" in need:
-        out = out.join(seen.select("url").distinct().withColumn("__dup", F.lit(True)), "url", "left")
-        dup = F.col("__dup")
-        if told is not None:
-            out, dup = out.join(told.select("id").distinct().withColumn("__told", F.lit(True)), "id", "left"), F.coalesce("__dup", "__told")
-        out = out.where(dup.isNull()) if survivors else out
-        early = F.when(dup, "duplicate")
     if "exclusion" in need:
         out = once(out, exclusion=first_match(profile.exclude, txt))
     if "reason" in need:
         extra = extra_reject if extra_reject is not None else F.lit(None).cast("string")
-        early = F.coalesce(early, F.when(F.col("exclusion").isNotNull(), "excluded"), extra)
-        out = out.where(F.col("exclusion").isNull() & extra.isNull()) if survivors else out
+        out = once(out, __early=F.coalesce(F.when(F.col("exclusion").isNotNull(), "excluded"), extra))
+        out = out.where(F.col("__early").isNull()) if survivors else out
     if "topics" in need:
         out = once(out, topics=topic_labels(txt, profile.topics))
     if "reason" in need:
-        early = F.coalesce(early, F.when(F.size("topics") == 0, "no_topic"))
-        out = out.where(F.size("topics") > 0) if survivors else out
-    if "quality" in need:
-        if scorer is None:
-            c = {k: F.col(k) for k in ("title", "summary", "source", "tier", "published", "url")} | {"text": txt}
-            out = once(out, quality=quality_total(c, profile.quality, as_of))
-        else:
-            given = scorer(out.where(early.isNull()).drop("__txt")).select("id", F.coalesce("quality", F.lit(0.0)).alias("quality"))
-            out = out.join(given, "id", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+        out = out.withColumn("__early", F.coalesce("__early", F.when(F.size("topics") == 0, "no_topic")))
+        out = out.where(F.col("__early").isNull()) if survivors else out
     below = F.when(F.col("quality") < profile.quality.gate, "below_gate")
-    if "reason" in need:
+    if "quality" in need and scorer is None:
+        c = {k: F.col(k) for k in ("title", "summary", "source", "tier", "published", "url")} | {"text": txt}
+        out = once(out, quality=quality_total(c, profile.quality, as_of))
         out = out.where(below.isNull()) if survivors else out
     if "section" in need:
         out = once(out, section=F.coalesce(first_match(profile.sections, txt), F.lit("research")))
@@ -109,6 +98,18 @@ def score_items(
         out = once(out, __r=r)
         why = reason_sentence(F.col("__strong"), F.col("__medium"), F.col("section"), F.col("topics"))
         out = out.withColumn("relevance", F.col("__r.total")).withColumn("bucket", F.col("__r.bucket")).withColumn("why", why)
+    out, early = out.drop("__txt", "__low"), F.lit(None).cast("string")
+    if "reason" in need:  # no anti join for survivors: Spark would move it below what is made from the text
+        out = out.join(seen.select("url").distinct().withColumn("__dup", F.lit(True)), "url", "left")
+        dup = F.col("__dup")
+        if told is not None:
+            out, dup = out.join(told.select("id").distinct().withColumn("__told", F.lit(True)), "id", "left"), F.coalesce("__dup", "__told")
+        out = out.where(dup.isNull()) if survivors else out
+        early = F.coalesce(F.when(dup, "duplicate"), "__early")
+    if "quality" in need and scorer is not None:
+        given = scorer(out.where(early.isNull())).select("id", F.coalesce("quality", F.lit(0.0)).alias("quality"))
+        out = out.join(given, "id", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+        out = out.where(below.isNull()) if survivors else out
     if "reason" in need:
         out = out.withColumn("reason", F.coalesce(early, below))
     return out.select(*items.columns, *[k for k in OUTPUTS if k in need and k != "match"])

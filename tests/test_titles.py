@@ -5,11 +5,13 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedscope import queries as Q
 from feedscope import story_queries  # noqa: F401  (registers its queries)
 from feedscope.functions.text import STOPWORDS
 from feedscope.operators import titles
+from feedscope.plans import funnel
 
 DAY = datetime.date(2024, 3, 1)
 SCHEMA = "id long, title string, published date"
@@ -172,3 +174,32 @@ def test_near_pairs_are_not_sorted(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[a#" in plan and "SortAggregate(key=[a#" not in plan
     assert {(r.nearest, r.n) for r in out.collect()} == {(1000, 20)}
+
+
+def shuffled_bytes(spark):
+    """Bytes that have been shuffled so far."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("survivors", [False, True])
+def test_the_funnel_shuffles_no_texts(spark, survivors):
+    """Texts of 8 MB meet seen urls and told ids: what is made from them travels, the texts don't."""
+    body = "concat_ws('', transform(sequence(1, 300), k -> sha2(concat(id, ' ', k), 256)))"
+    kinds = "CASE id % 4 WHEN 0 THEN '%%%' WHEN 1 THEN 'ation ing ment 7 ble' WHEN 2 THEN 'tion' ELSE '' END"
+    x = spark.range(400).selectExpr("id", f"concat('w', id, ' story ', {kinds}) AS title", f"{body} AS summary", "concat('https://x/', id) AS url", "'src' AS source", "'primary' AS tier", "date'2024-02-09' AS published")
+    seen, told = x.where("id % 10 = 0").select("url"), x.where("id % 10 = 1").select("id")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        out = funnel.score_items(x, seen, Q.PROFILE, F.lit("2024-02-10").cast("date"), told=told, wanted=("reason",), survivors=survivors)
+        got = {r.id: r.reason for r in out.select("id", "reason").collect()}
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {i: "duplicate" if i % 10 < 2 else ("excluded", None, "below_gate", "no_topic")[i % 4] for i in range(400)}
+    assert got == ({i: r for i, r in want.items() if r is None} if survivors else want)
+    assert moved < 200_000
