@@ -4,7 +4,8 @@ Two titles are near if their tokens are (three shared and 0.40 of the smaller se
 the sequence ratio, twice the matched letters by both lengths, is 0.72 or more. Rows never meet rows: items and posts
 with the same token set are one class, those with the same title one class, and classes meet.
 
-Token classes meet once, at the rarest token they share. Letters have no such key, as two titles at the ratio may share no more than pairs of
+Token classes of a stretch of days meet block by block inside tasks, where those of the posts are counted at each token of an
+item's, and only near ones come out. Letters have no such key, as two titles at the ratio may share no more than pairs of
 letters, so the titles of a stretch of days are compared block by block inside tasks, where bounds leave few pairs:
 their lengths, then how many letters they have in common, then the length of their longest common subsequence,
 computed bit by bit for many pairs at once, or, if they are long, how many runs of letters they share. Only what passes
@@ -13,13 +14,15 @@ these is compared exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from feedscope.functions.text import title_tokens
 from feedscope.operators.shared import written
@@ -32,8 +35,10 @@ STEP = 16
 POSTS, ITEMS = 64, 2048
 #: Letters of a run, and bins for the runs of a title.
 RUN, BINS = 4, 4096
-#: Rows of a token and stretch that one task takes.
+#: Token sets of a stretch meet in blocks of twice as many of items and eight times as many of posts.
 BUSY = 8192
+#: Rows of a block of items, and rows of posts that come out at a time.
+ROWS = 1 << 18
 
 
 def tokens_are_near(shared: Column, smaller: Column) -> Column:
@@ -236,31 +241,175 @@ def token_sets(*tables: DataFrame) -> DataFrame:
     return written(sets.select("token_class", F.monotonically_increasing_id().alias("c"), "ids"))
 
 
-def near_sets(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(a, b, shared, smaller, xs, ys): rows of x and y of the same s whose token sets are near.
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """Rows sorted by cell and kind: of each cell those of kind 0 and those of kind 1."""
+    at, held = None, []
 
-    x has s, c, ids and what it brings along, xs; y has s, c, ids, ys. Tokens stand in one order in all sets, so a pair
-    meets once: at its first shared token, where enough tokens must follow in both sets. No pair is shuffled. Tokens of many
-    rows are dealt over several tasks.
-    """
+    def both() -> tuple[pa.Table, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        n = int(np.count_nonzero(rows["kind"].to_numpy() == 0))
+        return rows.slice(0, n), rows.slice(n)
 
-    def placed(df: DataFrame, c: str, n: str, ids: str, brings: str) -> DataFrame:
-        size = F.size("ids")
-        return df.select("s", F.col("c").alias(c), size.alias(n), F.col("ids").alias(ids), brings, F.posexplode(F.slice("ids", F.lit(1), size - 1)).alias(f"at_{n}", "t"))
-
-    p, q = placed(x, "a", "na", "ia", "xs"), placed(y, "b", "nb", "ib", "ys")
-    busy = p.groupBy("t", "s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUSY).select("t", "s", F.ceil(F.col("m") / BUSY).alias("parts"))
-    busy = F.broadcast(busy)  # one row for BUSY of p at most
-    parts = F.coalesce("parts", F.lit(1))
-    p = p.join(busy, ["t", "s"], "left").withColumn("part", F.pmod(F.xxhash64("a"), parts)).drop("parts")
-    q = q.join(busy, ["t", "s"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    smaller = F.least("na", "nb")
-    need = F.when(smaller <= 4, 2).otherwise(F.greatest(F.lit(3), F.ceil(smaller * 0.4 - 1e-9)))
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]):
+            if lo < hi:
+                if at is not None and cell[lo] != at:
+                    yield both()
+                    held = []
+                at = cell[lo]
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield both()
+
+
+def _in_cells(x: DataFrame, y: DataFrame, key: Sequence[str], most_x: Column, most_y: Column) -> DataFrame:
+    """The rows of x and y with cell and kind, 0 and 1, sorted by both: each row of x is in one cell with each row of y of its s.
+
+    ``most_x`` and ``most_y`` are the numbers of blocks that the rows of an s make; ``key`` says which block a row is in.
+    Cells are numbered through, so that all tasks get equally many.
+    """
+    both = x.groupBy("s").agg(most_x.cast("long").alias("na")).join(y.groupBy("s").agg(most_y.cast("long").alias("nb")), "s")
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each s
+    both = F.broadcast(written(both.withColumn("first", F.coalesce(F.sum(F.col("na") * F.col("nb")).over(before), F.lit(0)))))
+    mine = lambda n: F.pmod(F.xxhash64(*key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = (F.col("first") + F.col("i") * F.col("nb") + F.col("j")).alias("cell")
+    p = x.join(both, "s").withColumn("i", mine("na")).withColumn("j", every("nb")).select(cell, F.lit(0).alias("kind"), *(c for c in x.columns if c != "s"))
+    q = y.join(both, "s").withColumn("j", mine("nb")).withColumn("i", every("na")).select(cell, F.lit(1).alias("kind"), *(c for c in y.columns if c != "s"))
     tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: few bytes stand for much work
-    p, q = (df.repartition(tasks, "t", "s", "part") for df in (p, q))
-    met = p.join(q, ["t", "s", "part"]).where(F.least(F.col("na") - F.col("at_na"), F.col("nb") - F.col("at_nb")) >= need).where(F.size(F.array_intersect("ia", "ib")) >= need)
-    shared = F.transform(F.array(F.array_intersect("ia", "ib")), lambda z: F.when(z[0] == F.col("t"), F.size(z)).otherwise(0))
-    return met.select("a", "b", F.explode(F.filter(shared, lambda k: tokens_are_near(k, smaller))).alias("shared"), smaller.alias("smaller"), "xs", "ys")
+    rows = p.unionByName(q, allowMissingColumns=True)
+    return rows.repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell", "kind")
+
+
+def sets_met(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, shared): pairs of sets that are near, in pieces; a and b are the sets' numbers, one set after the other, na and nb
+    their sizes. Each set of a has the counters of all sets of b go up where they hold one of its numbers."""
+    if not len(a) or not len(b):
+        return
+    by_size = np.argsort(nb, kind="stable")
+    place = np.empty_like(by_size)
+    place[by_size] = np.arange(len(nb))
+    known, local = np.unique(b, return_inverse=True)
+    holders = np.repeat(place, nb)[np.argsort(local, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(local))).tolist()
+    at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+    found = known[at] == a
+    ends = np.append(0, np.cumsum(found))[np.append(0, np.cumsum(na))].tolist()
+    at = at[found].tolist()
+    most = int(nb.max())
+    kind = np.dtype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+    count, need, one, sizes, last = np.zeros(len(nb), kind), np.zeros(len(nb), kind), kind.type(1), nb[by_size], None
+    flags = np.zeros(-(-len(nb) // 8) * 8, np.bool_)
+    hit, groups, words = flags[: len(nb)], flags.reshape(-1, 8), flags.view(np.uint64)
+    held, n = [], 0
+
+    def pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i = np.repeat([k for k, _, _ in held], [len(z) for _, z, _ in held])
+        return i, by_size[np.concatenate([z for _, z, _ in held])], np.concatenate([z for _, _, z in held]).astype(np.int64)
+
+    for k in np.argsort(na, kind="stable").tolist():
+        lo, hi = ends[k], ends[k + 1]
+        if hi - lo < 2:
+            continue
+        if min(int(na[k]), most) != last:  # what must be shared depends on the smaller set
+            last = min(int(na[k]), most)
+            smaller = np.minimum(sizes, last)
+            need[:] = np.where(smaller <= 4, 2, np.maximum(3, (2 * smaller + 4) // 5))
+        np.add.at(count, np.concatenate([holders[first[t] : first[t + 1]] for t in at[lo:hi]]), one)
+        np.greater_equal(count, need, out=hit)
+        row = np.flatnonzero(words != 0)
+        if len(row):
+            r, lane = np.nonzero(groups[row])
+            j = row[r] * 8 + lane
+            held.append((k, j, count[j]))
+            n += len(j)
+        count.fill(0)
+        if n >= PAIRS:
+            yield pairs()
+            held, n = [], 0
+    if held:
+        yield pairs()
+
+
+def _pieces(n: np.ndarray) -> Iterator[slice]:
+    """Stretches of n, each with a sum of about ROWS at most."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // ROWS)) + 1
+    for lo, hi in pairwise([0, *cuts.tolist(), len(n)]):
+        if lo < hi:
+            yield slice(lo, hi)
+
+
+def _places(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n places from each start on."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + n, n)
+
+
+def _near_days(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[tuple]:
+    """(x, y, place, by_day, upto, i, j, lo, hi, shared, smaller) in pieces: rows i that sets of kind 0 bring meet a set j of kind 1 that is
+    near, of whose rows, by day, those from lo up to hi are of the days before."""
+    for x, y in _by_cell(batches):
+        ia, ib, xs, ys = (t[k].combine_chunks() for t, k in ((x, "ids"), (y, "ids"), (x, "xs"), (y, "ys")))
+        na, nb, mine, each = (z.value_lengths().to_numpy().astype(np.int64) for z in (ia, ib, xs, ys))
+        xs, ys = xs.flatten(), ys.flatten()
+        at, posted = (z.field("day").cast(pa.int32()).to_numpy().astype(np.int64) for z in (xs, ys))
+        first = posted.min(initial=1 << 40)
+        width = int(posted.max(initial=first) - first) + 1
+        slot = np.repeat(np.arange(len(nb)), each) * width + posted - first
+        ys = ys.take(pa.array(np.argsort(slot, kind="stable")))
+        upto = np.append(0, np.cumsum(np.bincount(slot, minlength=len(nb) * width)))  # rows before a set's day
+        since, until = np.clip(at - days - first, 0, width), np.clip(at + 1 - first, 0, width)
+        starts = np.cumsum(mine) - mine
+        for i, j, shared in sets_met(ia.flatten().to_numpy(), na, ib.flatten().to_numpy(), nb):
+            smaller = np.minimum(na[i], nb[j])
+            for piece in _pieces(mine[i]):
+                n = mine[i[piece]]
+                row, of = _places(starts[i[piece]], n), np.repeat(j[piece], n)
+                lo, hi = upto[of * width + since[row]], upto[of * width + until[row]]
+                some = np.flatnonzero(hi > lo)
+                yield x, xs, ys, row[some], lo[some], hi[some], np.repeat(shared[piece], n)[some], np.repeat(smaller[piece], n)[some]
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.RecordBatch]:
+    """(id, post_id, shared, containment) of rows whose sets are near."""
+    for _, xs, ys, row, lo, hi, shared, smaller in _near_days(batches, days):
+        ids, posts = xs.field("id"), ys.field("id")
+        for piece in _pieces(hi - lo):
+            n = (hi - lo)[piece]
+            out = [ids.take(pa.array(np.repeat(row[piece], n))), posts.take(pa.array(_places(lo[piece], n)))]
+            out += [pa.array(np.repeat(z[piece], n)) for z in (shared, shared / smaller)]
+            yield pa.record_batch(out, names=["id", "post_id", "shared", "containment"])
+
+
+def _near_counts(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.RecordBatch]:
+    """(a, day, n, place): of each set and day of kind 0, how many posts of sets that are near it meets, and the least place."""
+    for x, xs, ys, row, lo, hi, _, _ in _near_days(batches, days):
+        sums = np.append(0, np.cumsum(ys.field("n").to_numpy()))
+        places = ys.field("place").to_numpy()
+        order = np.argsort(row, kind="stable")
+        row, lo, hi = row[order], lo[order], hi[order]
+        if len(row):
+            new = np.flatnonzero(np.append(True, np.diff(row) > 0))
+            n = np.add.reduceat(sums[hi] - sums[lo], new)
+            place = np.minimum.reduceat(places[hi - 1], new)  # posts are numbered from the latest on
+            a = np.repeat(x["c"].to_numpy(), x["xs"].combine_chunks().value_lengths().to_numpy())[row[new]]
+            yield pa.record_batch([pa.array(a), xs.field("day").take(pa.array(row[new])), pa.array(n), pa.array(place)], names=["a", "day", "n", "place"])
+
+
+def near_sets(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Rows of x and y in cells, in which sets of the same s meet.
+
+    x has s, c, chunk, ids and what a set brings along, xs; y has s, c, chunk, ids, ys; xs and ys are structs with a day. Sets of a stretch meet block
+    by block inside tasks, where they are counted at the tokens they share. No pair is shuffled.
+    """
+    x, y = written(x.select("s", "c", "chunk", "ids", "xs")), written(y.select("s", "c", "chunk", "ids", "ys"))
+    y = y.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))  # posts of the days before lie in an item's own stretch or the one before
+    # empty lists, as Spark goes through a batch again for each null one
+    x, y = x.withColumn("ys", F.array().cast(y.schema["ys"].dataType)), y.withColumn("xs", F.array().cast(x.schema["xs"].dataType))
+    n, many = F.count(F.lit(1)), lambda c: F.sum(F.size(c)) / ROWS
+    blocks = F.greatest(F.ceil(F.greatest(n / (2 * BUSY), many("xs"))), F.least(F.lit(8), F.ceil(n / BLOCK)))
+    return _in_cells(x, y, ("c", "chunk"), blocks, F.ceil(F.greatest(n / (8 * BUSY), many("ys") / 4)))
 
 
 def near_titles(items: DataFrame, posts: DataFrame, days: int = DAYS) -> DataFrame:
@@ -284,10 +433,8 @@ def near_titles(items: DataFrame, posts: DataFrame, days: int = DAYS) -> DataFra
         rows = rows.join(large, ["c", "s"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))))
         return rows.groupBy("c", "s", "chunk").agg(F.first("ids").alias("ids"), F.collect_list(F.struct("id", "day")).alias(name))
 
-    y = chunked(b, "ys").withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))
-    met = near_sets(chunked(a, "xs"), y).select("shared", "smaller", F.explode("xs").alias("i"), "ys").select("shared", "smaller", "i", F.explode("ys").alias("j"))
-    met = met.where((F.col("i.id") != F.col("j.id")) & (F.datediff("i.day", "j.day").between(0, days)))
-    return met.select(F.col("i.id").alias("id"), F.col("j.id").alias("post_id"), F.col("shared").cast("long").alias("shared"), (F.col("shared") / F.col("smaller")).alias("containment"))
+    kept = StructType([a.schema["id"], StructField("post_id", b.schema["id"].dataType), StructField("shared", LongType()), StructField("containment", DoubleType())])
+    return near_sets(chunked(a, "xs"), chunked(b, "ys")).mapInArrow(lambda it: _near_rows(it, days), kept).where("id <> post_id")
 
 
 def _told_by_tokens(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
@@ -295,14 +442,13 @@ def _told_by_tokens(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
     sets = token_sets(a, b)
     rows = a.select("id", "day", "token_class").join(sets.select("token_class", "c"), "token_class").select("id", "day", "c")
     s = _stretch(F.col("day"), days).alias("s")
-    x = a.select("token_class", "day").distinct().join(sets, "token_class").groupBy("c", s).agg(F.first("ids").alias("ids"), F.collect_list("day").alias("xs"))
+    x = a.select("token_class", "day").distinct().join(sets, "token_class").groupBy("c", s).agg(F.first("ids").alias("ids"), F.collect_list(F.struct("day")).alias("xs")).withColumn("chunk", F.lit(0))
     # posts numbered from the latest on, of a day from the smallest id on: near pairs are counted by numbers alone, which Spark
     # does in a hash map, while a least struct would have all of them sorted and spilled first
     by = b.groupBy("token_class", F.col("day").alias("posted")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     by = written(by.orderBy(F.desc("posted"), "first").select("token_class", "posted", "n", "first", F.monotonically_increasing_id().alias("place")))
-    y = by.join(sets, "token_class").groupBy("c", _stretch(F.col("posted"), days).alias("s")).agg(F.first("ids").alias("ids"), F.collect_list(F.struct("posted", "n", "place")).alias("ys"))
-    y = y.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))  # posts of the days before lie in an item's own stretch or the one before
-    met = near_sets(x, y).select("a", F.explode("xs").alias("day"), "ys").select("a", "day", F.inline("ys")).where(F.datediff("day", "posted").between(0, days))
+    y = by.join(sets, "token_class").groupBy("c", _stretch(F.col("posted"), days).alias("s")).agg(F.first("ids").alias("ids"), F.collect_list(F.struct(F.col("posted").alias("day"), "n", "place")).alias("ys")).withColumn("chunk", F.lit(0))
+    met = near_sets(x, y).mapInArrow(lambda it: _near_counts(it, days), "a long, day date, n long, place long")
     told = met.groupBy(F.col("a").alias("c"), "day").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
     told = told.join(by.select("place", F.struct((-F.unix_date("posted")).alias("age"), F.col("first").alias("id")).alias("nearest")), "place")
     return rows.join(told, ["c", "day"]).select("id", "n", "nearest")

@@ -4,6 +4,7 @@ import datetime
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,27 @@ def test_the_funnel_shuffles_no_texts(spark, survivors):
     want = {i: "duplicate" if i % 10 < 2 else ("excluded", None, "below_gate", "no_topic")[i % 4] for i in range(400)}
     assert got == ({i: r for i, r in want.items() if r is None} if survivors else want)
     assert moved < 200_000
+
+
+@pytest.mark.parametrize("words", [40, 600])
+def test_sets_met_misses_none(words):
+    rng = random.Random(words)
+    made = lambda: sorted(rng.sample(range(words), rng.choice([1, 2, 3, 4, 5, 6, 9, 15, 40, words // 2 + 1])))
+    a, b = [made() for _ in range(90)], [made() for _ in range(130)]
+    a[0], b[0] = list(range(words)), list(range(words))  # over 255 in common
+    flat = lambda sets: (np.array([k for z in sets for k in z]) * 7, np.array([len(z) for z in sets]))
+    want = set()
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            shared, least = len({*x} & {*y}), min(len(x), len(y))
+            if shared >= 3 and shared / least >= 0.4 or shared >= 2 and shared / least >= 0.5:
+                want.add((i, j, shared))
+    got = [p for piece in titles.sets_met(*flat(a), *flat(b)) for p in zip(*(z.tolist() for z in piece), strict=True)]
+    assert len(got) == len(want) > 100 and set(got) == want
+
+
+def test_sets_that_share_a_token_are_no_rows(spark):
+    """2,000 titles share two of many tokens and are near to none: their pairs are counted inside tasks and become no rows of a join."""
+    x = spark.range(2000).selectExpr("id", "concat_ws(' ', 'alpha beta', transform(sequence(1, 6), k -> concat('w', id, 'x', k))) AS title", "date'2024-03-08' AS published")
+    out = titles.near_titles(x, x)
+    assert "array_intersect" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 0
