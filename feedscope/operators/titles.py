@@ -7,8 +7,9 @@ with the same token set are one class, those with the same title one class, and
 Token classes of a stretch of days meet block by block inside tasks, where those of the posts are counted at each token of an
 item's, and only near ones come out. Letters have no such key, as two titles at the ratio may share no more than pairs of
 letters, so the titles of a stretch of days are compared block by block inside tasks, where bounds leave few pairs:
-their lengths, then how many letters they have in common, then the length of their longest common subsequence,
-computed bit by bit for many pairs at once, or, if they are long, how many runs of letters they share. Only what passes
+their lengths, then how many letters they have in common, then the lengths of the longest common subsequences of their letters
+of each part of the alphabet, then of all letters, computed bit by bit for many pairs at once, or, if they are long, how many
+runs of letters they share. Only what passes
 these is compared exactly.
 """
 
@@ -28,11 +29,14 @@ from feedscope.functions.text import title_tokens
 from feedscope.operators.shared import written
 
 RATIO, DAYS = 0.72, 7
-#: Rows of a chunk, blocks of letters in chunks, pairs whose subsequences are computed at a time, and the longest title for which they are.
-BLOCK, SIDE, PAIRS, LONGEST = 1024, 4, 1 << 16, 384
-STEP = 16
-#: Posts and items whose letters are counted against each other at a time.
-POSTS, ITEMS = 64, 2048
+#: Rows of a chunk; titles meet in blocks of 32 times as many of items and up to four times as many of posts.
+BLOCK = 1024
+#: Pairs that are worked on at a time, and the longest title whose common subsequences are computed, in words of so many letters.
+PAIRS, LONGEST, WORD = 1 << 14, 378, 63
+#: Letters with a bit mask of their own, a quarter of the classes in which letters are counted, and from which count on a letter counts as often as in the other title.
+LETTERS, COARSE, MOST = 64, 8, 32
+#: Parts of the alphabet, whose subsequences together bound those of all letters, and the words that hold a title's letters of one part: how many letters, how many words.
+PARTS, LANES = 4, ((np.uint16, 16, 1), (np.uint32, 32, 1), (np.uint64, 64, 1), (np.uint64, 126, 2), (np.uint64, 378, 6))
 #: Letters of a run, and bins for the runs of a title.
 RUN, BINS = 4, 4096
 #: Token sets of a stretch meet in blocks of twice as many of items and eight times as many of posts.
@@ -45,72 +49,91 @@ def tokens_are_near(shared: Column, smaller: Column) -> Column:
     return ((shared >= 3) & (shared >= 0.4 * smaller)) | ((shared >= 2) & (shared >= 0.5 * smaller))
 
 
-def _numbered(titles: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the titles' letters as numbers, one after the other; the title of each letter; the titles' lengths)."""
-    lengths = np.array([len(t) for t in titles], np.int64)
+def _numbered(titles: list[str], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the titles' letters as numbers, one after the other; where each title begins, and the end)."""
     flat = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.searchsorted(codes, flat), np.repeat(np.arange(len(titles)), lengths), lengths
+    return number.take(flat), np.append(0, np.cumsum([len(t) for t in titles], dtype=np.int64))
 
 
-def _lettered(flat: np.ndarray, row: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """The first titles, those of ``lengths``, as rows of letter numbers, n where they have ended."""
-    flat, row = flat[: lengths.sum()], row[: lengths.sum()]
-    out = np.full((len(lengths), int(lengths.max(initial=0))), n, np.int32)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+def _folded(often: np.ndarray, own: int, others: int) -> np.ndarray:
+    """A class for each letter: the most frequent ones have their own, all others share some. Titles have no less in common so."""
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    return np.where(rank < own, rank, own + rank % others).astype(np.uint8)
+
+
+def _dealt(often: np.ndarray, parts: int) -> np.ndarray:
+    """A part of the alphabet for each letter, all parts about as frequent."""
+    out, load = np.zeros(len(often), np.uint8), [0] * parts
+    for letter in np.argsort(-often, kind="stable").tolist():
+        out[letter] = load.index(min(load))
+        load[out[letter]] += int(often[letter])
     return out
 
 
-def common_letters(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """How many letters each title of ``q`` has in common with each of ``p``, wherever they stand; rows are letters, columns
-    titles. Counts are held in as few bits as the titles of ``q`` need."""
-    most = int(q.sum(axis=0).max(initial=0))
-    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64
-    total, least = (np.zeros((q.shape[1], p.shape[1]), kind) for _ in range(2))
-    for k in np.flatnonzero(q.any(axis=1)):
-        np.minimum(q[k].astype(kind)[:, None], np.minimum(p[k], most).astype(kind)[None, :], out=least)
-        total += least
-    return total
+def _counted(letters: np.ndarray, at: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each letter stands in each title; rows are letters, columns titles."""
+    n = len(at) - 1
+    return np.bincount(letters.astype(np.int64) * n + np.repeat(np.arange(n), np.diff(at)), minlength=kinds * n).reshape(kinds, n)
+
 
+def _masks(letters: np.ndarray, whose: np.ndarray, n: int, kinds: int, words: int, kind: type = np.uint64) -> np.ndarray:
+    """By letter, word and title: the places of the letter in the title, a bit each. ``whose`` rises: the title of each letter."""
+    lengths = np.bincount(whose, minlength=n)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    bits = WORD if words > 1 else np.iinfo(kind).bits
+    out = np.zeros(kinds * words * n, kind)
+    np.add.at(out, (letters.astype(np.int64) * words + place // bits) * n + whose, kind(1) << (place % bits).astype(kind))
+    return out.reshape(kinds, words, n)
 
-def subsequence_reaches(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray, n: int) -> np.ndarray:
-    """For each pair (a[i], b[j]), whether their longest common subsequence may be ``need`` letters or more.
 
-    Each bit of a word stands for a letter of a; the bits that have become 0 count the subsequence. Pairs that can't reach
-    what they need with the letters that are left drop out on the way.
+def subsequences(masks: np.ndarray, groups: list[tuple[list[int], np.ndarray]]) -> list[np.ndarray]:
+    """For groups of (letters of a title, chosen titles of ``masks``), the longest title first, the lengths of their longest common
+    subsequences.
+
+    Each bit of a word stands for a letter of a title; the bits that have become 0 count the subsequence. The highest bit of
+    a word takes what is carried to the next. All groups take a letter at a time together.
     """
-    words = max(1, -(-a.shape[1] // 64))
-    mask = np.zeros((words, len(a) * (n + 1)), np.uint64)
-    row, place = np.nonzero(a < n)
-    np.bitwise_or.at(mask, (place // 64, row * (n + 1) + a[row, place]), np.uint64(1) << (place % 64).astype(np.uint64))
-    lengths = (b < n).sum(axis=1)[j]
-    alive, at_a, at_b, by_place = np.arange(len(i)), i * (n + 1), j, np.ascontiguousarray(b.T)
-    v = [np.full(len(i), ~np.uint64(0)) for _ in range(words)]
-    found = np.zeros(len(i), bool)
-    for at in range(0, int(lengths.max(initial=0)), STEP):
-        for t in range(at, min(at + STEP, len(by_place))):
-            seen, carry = at_a + by_place[t].take(at_b), None
-            for w in range(words):
-                m, before = mask[w].take(seen), v[w]
-                one = before + (before & m)
-                two = one if carry is None else one + carry
-                if w + 1 < words:
-                    carry = ((one < before) | (two < one)).astype(np.uint64)
-                v[w] = two | (before & ~m)
-        have = sum(64 - np.bitwise_count(x).astype(np.int64) for x in v)
-        left = np.maximum(lengths[alive] - at - STEP, 0)
-        found[alive[have >= need[alive]]] = True
-        on = np.flatnonzero((have < need[alive]) & (have + left >= need[alive]))
-        alive, at_a, at_b, v = alive[on], at_a[on], at_b[on], [x[on] for x in v]
-        if not len(alive):
-            break
-    return found
-
-
-def _runs(flat: np.ndarray, row: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Of each chosen title, how many runs of RUN letters fall into each of BINS bins; ``row`` rises."""
+    words, kind = masks.shape[1], masks.dtype.type
+    bits = WORD if words > 1 else np.iinfo(kind).bits
+    low, top = ~kind(0) >> kind(np.iinfo(kind).bits - bits), kind(WORD if words > 1 else 0)
+    rows, steps = [], []
+    for letters, chosen in groups:
+        seen: dict[int, int] = {}
+        steps.append([seen.setdefault(letter, len(seen)) for letter in letters])
+        own = np.empty((len(seen), words, len(chosen)), kind)
+        for letter, k in seen.items():
+            masks[letter].take(chosen, axis=1, out=own[k], mode="clip")
+        rows.append(list(own))
+    ends = np.cumsum([len(chosen) for _, chosen in groups]).tolist()
+    every = [np.empty((words, ends[-1]), kind) for _ in range(3)]
+    every[0].fill(low)
+    on, known = len(steps), None
+    for t in range(len(steps[0])):
+        while len(steps[on - 1]) <= t:
+            on -= 1
+        if on != known:
+            known = on
+            v, met, total = (z[:, : ends[on - 1]] for z in every)
+        np.concatenate([rows[g][steps[g][t]] for g in range(on)], axis=1, out=met)
+        np.bitwise_and(v, met, out=met)
+        np.add(v, met, out=total)
+        np.bitwise_xor(v, met, out=met)
+        for w in range(words - 1):
+            np.right_shift(total[w], top, out=v[w])
+            np.add(total[w + 1], v[w], out=total[w + 1])
+        if words > 1:
+            np.bitwise_and(total, low, out=total)
+        np.bitwise_or(total, met, out=v)
+    found = words * bits - np.bitwise_count(every[0] & low).astype(np.int64).sum(axis=0)
+    return np.split(found, ends[:-1])
+
+
+def _runs(flat: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of each chosen title, how many runs of RUN letters fall into each of BINS bins."""
     out = np.zeros((len(chosen), BINS), np.int32)
     for k, title in enumerate(chosen):
-        u = flat[np.searchsorted(row, title) : np.searchsorted(row, title, "right")].astype(np.uint64)
+        u = flat[at[title] : at[title + 1]].astype(np.uint64)
         run = np.zeros(max(0, len(u) - RUN + 1), np.uint64)
         for t in range(RUN):
             run = run * np.uint64(0x9E3779B97F4A7C15) + u[t : t + len(run)] + np.uint64(1)
@@ -124,121 +147,148 @@ def alike(a: list[str], b: list[str], ratio: float = RATIO) -> Iterator[tuple[in
         return
     a_at, b_at = (sorted(range(len(z)), key=lambda k, z=z: len(z[k])) for z in (a, b))
     a, b = [a[k] for k in a_at], [b[k] for k in b_at]
-    codes = np.unique(np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32))
-    size, (fa, ra, m), (fb, rb, n) = len(codes), _numbered(a, codes), _numbered(b, codes)
-    p, q = (np.bincount(f * len(z) + r, minlength=size * len(z)).reshape(size, len(z)) for f, r, z in ((fa, ra, a), (fb, rb, b)))
-    short, near_short = np.searchsorted(m, LONGEST, "right"), np.searchsorted(n, 2 * LONGEST, "right")
-    x, y = _lettered(fa, ra, m[:short], size), _lettered(fb, rb, n[:near_short], size)
-    far_a, far_b = _runs(fa, ra, np.arange(short, len(a))), None
-
-    def reached(i: np.ndarray, j: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Of pairs with letters enough, those that stay."""
-        words = np.where((i < short) & (j < near_short) & (m[i] > 0) & (n[j] > 0), -(-m[i] // 64), 0)
-        keep = words == 0
-        for w in np.unique(words[words > 0]):
-            k = np.flatnonzero(words == w)
-            lo, hi, top = i[k].min(), i[k].max() + 1, j[k].max() + 1
-            keep[k] = subsequence_reaches(x[lo:hi, : m[hi - 1]], y[:top, : n[top - 1]], i[k] - lo, j[k], need[k], size)
-        matcher = SequenceMatcher()
-        i, j, need = i[keep], j[keep], need[keep]
-        for post in np.unique(j):  # what the matcher knows of a post's title serves all items
-            matcher.set_seq2(b[post])
-            k = np.flatnonzero(j == post)
-            # all matched stretches but the one at both beginnings hold a letter that the matcher looks up, so they are few in
-            # long titles, where it looks up rare letters only; what they hold they share in runs
-            k = k[np.argsort(i[k])]
-            far = i[k] >= short
-            least = need[k] - (RUN - 1) * (1 + sum(map(len, matcher.b2j.values())))
-            test = np.flatnonzero(far & (least > 0))
-            if len(test):
-                mine = _runs(fb, rb, np.array([post]))
-                shared = np.concatenate([np.minimum(far_a[i[k[test[c : c + 64]]] - short], mine).sum(axis=1) for c in range(0, len(test), 64)])
-                k = np.delete(k, test[shared < least[test]])
-            for item in i[k]:
-                matcher.set_seq1(a[item])
-                if matcher.ratio() >= ratio:
-                    yield a_at[item], b_at[post]
-
-    held, count = [], 0
-    for at in range(0, len(b), POSTS):
-        to = min(at + POSTS, len(b))
-        lo = np.searchsorted(m, ratio * n[at] / (2 - ratio) - 1)
-        hi = np.searchsorted(m, n[to - 1] * (2 - ratio) / ratio + 1, "right") if ratio > 0 else len(a)
-        for low in range(lo, hi, ITEMS):
-            high = min(low + ITEMS, hi)
-            need = np.ceil(ratio * (n[at:to, None] + m[None, low:high]) / 2 - 1e-9).astype(np.int64)
-            j, i = np.nonzero((np.minimum(n[at:to, None], m[None, low:high]) >= need) & (common_letters(p[:, low:high], q[:, at:to]) >= need))
-            held.append((i + low, j + at, need[j, i]))
-            count += len(i)
-            if count >= PAIRS:
-                yield from reached(*map(np.concatenate, zip(*held, strict=True)))
-                held, count = [], 0
-    if count:
-        yield from reached(*map(np.concatenate, zip(*held, strict=True)))
-
-
-def _met(batches: Iterator[pa.RecordBatch], ratio: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by s, i, j and kind: the items' titles of a pair of blocks, then the posts'."""
-    at, held = None, ([], [], [], [])
-
-    def pairs() -> pa.RecordBatch:
-        a, x, b, y = held
-        found = list(alike(x, y, ratio))
-        return pa.record_batch([pa.array([a[i] for i, _ in found], pa.string()), pa.array([b[j] for _, j in found], pa.string())], names=["a", "b"])
-
-    for batch in batches:
-        for *key, kind, title, low in zip(*(batch.column(c).to_pylist() for c in ("s", "i", "j", "kind", "title_class", "low")), strict=True):
-            if key != at:
-                if at is not None:
-                    yield pairs()
-                at, held = key, ([], [], [], [])
-            held[2 * kind].append(title)
-            held[2 * kind + 1].append(low)
-    if at is not None:
-        yield pairs()
-
-
-def _classed(df: DataFrame, day: str) -> DataFrame:
-    """The rows with title_class and token_class, the lower-case title and its tokens; null titles are empty."""
-    low = F.lower(F.coalesce("title", F.lit("")))
-    tokens = F.array_sort(title_tokens(F.col("title")))
-    out = df.where(F.col(day).isNotNull()).select("id", F.col(day).cast("date").alias("day"), low.alias("low"), tokens.alias("tokens"))
-    return out.withColumn("title_class", F.md5("low")).withColumn("token_class", F.md5(F.array_join("tokens", " ")))
-
-
-def _stretch(day: Column, days: int) -> Column:
-    return F.floor(F.unix_date(day) / (days + 1))
-
-
-def _letter_pairs(a: DataFrame, b: DataFrame, days: int, ratio: float) -> DataFrame:
-    """(a, b): classes of titles that are near by letters and not by tokens."""
-    x = a.select("title_class", "low", _stretch(F.col("day"), days).alias("s")).distinct()
-    s = _stretch(F.col("day"), days)  # posts of the days before an item lie in its own stretch or the one before
-    y = b.select("title_class", "low", F.explode(F.array(s, s + 1)).alias("s")).distinct()
-    blocks = lambda df, n: df.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / (SIDE * BLOCK)).cast("int").alias(n))
-    both = blocks(x, "na").join(blocks(y, "nb"), "s")
-    mine = lambda n: F.pmod(F.xxhash64("title_class"), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = x.join(both, "s").select("s", mine("na").alias("i"), every("nb").alias("j"), F.lit(0).alias("kind"), "title_class", "low")
-    rows = rows.union(y.join(both, "s").select("s", every("na").alias("i"), mine("nb").alias("j"), F.lit(1).alias("kind"), "title_class", "low"))
-    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: few letters stand for much work
-    met = rows.repartition(tasks, "s", "i", "j").sortWithinPartitions("s", "i", "j", "kind").mapInArrow(lambda it: _met(it, ratio), "a string, b string").distinct()
-    sets = lambda df, k: df.groupBy(F.col("title_class").alias(k)).agg(F.first("tokens").alias(f"t{k}"))
-    met = met.join(sets(a, "a"), "a").join(sets(b, "b"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return met.where(~tokens_are_near(shared, F.least(F.size("ta"), F.size("tb")))).select("a", "b")
-
-
-def token_sets(*tables: DataFrame) -> DataFrame:
-    """(token_class, c, ids): each token set once, numbered, with the numbers of its tokens, the rarest first; tables have
-    token_class and tokens. Sets of one token are near to none and left out."""
-    every = tables[0].select("token_class", "tokens")
-    for t in tables[1:]:
-        every = every.union(t.select("token_class", "tokens"))
-    each = every.where("size(tokens) > 1").groupBy("token_class").agg(F.first("tokens").alias("tokens")).select("token_class", F.explode("tokens").alias("t"))
-    number = written(each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "t").select("t", F.monotonically_increasing_id().alias("k")))
-    sets = each.join(number, "t").groupBy("token_class").agg(F.sort_array(F.collect_list("k")).alias("ids"))
-    return written(sets.select("token_class", F.monotonically_increasing_id().alias("c"), "ids"))
+    often = np.bincount(np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32), minlength=1)
+    codes = np.flatnonzero(often)
+    number, often = np.zeros(len(often), np.int32), often[codes]
+    number[codes] = np.arange(len(codes))
+    (fa, ta), (fb, tb) = _numbered(a, number), _numbered(b, number)
+    m, n = np.diff(ta), np.diff(tb)
+    kinds, fold, coarse = min(len(codes), LETTERS) + LETTERS, _folded(often, LETTERS, LETTERS), _folded(often, 3 * COARSE, COARSE)
+    p, q = (_counted(coarse.take(f), t, 4 * COARSE) for f, t in ((fa, ta), (fb, tb)))
+    fa_fold, fb_fold = fold.take(fa), fold.take(fb)
+    little, short = np.searchsorted(m, 1 << 8), int(np.searchsorted(m, LONGEST, "right"))
+    few, many = p[:, :little].astype(np.uint8), p[:, little:].astype(np.int32)
+    least: dict[tuple[int, int], np.ndarray] = {}
+    ends = [0, *(int(np.searchsorted(m, WORD * w, "right")) for w in range(1, -(-LONGEST // WORD))), short]
+    masks: dict[int, np.ndarray] = {}
+    far = None
+    # titles by the word that holds their letters of each part of the alphabet; those that have too many come last
+    part = _dealt(p.sum(axis=1) + q.sum(axis=1), PARTS)
+    of_a, of_b = part[coarse.take(fa[: ta[short]])], part[coarse.take(fb)]
+    whose = np.repeat(np.arange(short), m[:short])
+    where = [np.flatnonzero(of_a == g) for g in range(PARTS)]
+    sizes = np.max([np.bincount(whose[z], minlength=short) for z in where], axis=0)
+    lane, at, lanes = np.searchsorted([most for _, most, _ in LANES], sizes), np.zeros(short, np.int64), []
+    for c, (kind, _, words) in enumerate(LANES):
+        mine = np.flatnonzero(lane == c)
+        at[mine] = np.arange(len(mine))
+        for z in where:
+            z = z[lane[whose[z]] == c]
+            lanes.append(_masks(fa_fold[z], at[whose[z]], len(mine), kinds, words, kind))
+    needed = np.ceil(ratio * np.arange(int(m[-1] + n[-1]) + 1) / 2 - 1e-9).astype(np.int64)
+    matcher = SequenceMatcher()
+
+    def common(post: int, lo: int, hi: int) -> list[np.ndarray]:
+        """How many letters of each part a post's title has in common with each of those from lo to hi, wherever they stand."""
+        held, to, out = q[:, post], min(hi, little), []
+        for g in range(PARTS):
+            k = np.flatnonzero((held > 0) & (part == g))
+            total = np.zeros(max(0, to - lo), np.uint8)
+            for key in zip(k.tolist(), np.minimum(held[k], MOST).tolist(), strict=True):
+                if key not in least:  # beyond MOST, all letters of the other title count
+                    least[key] = np.minimum(few[key[0]], np.uint8(key[1])) if key[1] < MOST else few[key[0]]
+                if len(total):
+                    np.add(total, least[key][lo:to], out=total)
+            if hi > little:
+                since = max(lo, little)
+                rest = np.zeros(hi - since, np.int32)
+                for one in k.tolist():
+                    rest += np.minimum(many[one, since - little : hi - little], held[one])
+                total = np.concatenate([total, rest])
+            out.append(total)
+        return out
+
+    def compared(post: int, k: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Of a post's titles that may be alike, those that are."""
+        nonlocal far
+        matcher.set_seq2(b[post])  # what the matcher knows of a post's title serves all items
+        # all matched stretches but the one at both beginnings hold a letter that the matcher looks up, so they are few in
+        # long titles, where it looks up rare letters only; what they hold they share in runs
+        runs = need - (RUN - 1) * (1 + sum(map(len, matcher.b2j.values())))
+        test = np.flatnonzero((k >= short) & (runs > 0))
+        if len(test):
+            if far is None:
+                far = _runs(fa, ta, np.arange(short, len(a)))
+            mine = _runs(fb, tb, np.array([post]))
+            shared = np.concatenate([np.minimum(far[k[test[c : c + 64]] - short], mine).sum(axis=1) for c in range(0, len(test), 64)])
+            k = np.delete(k, test[shared < runs[test]])
+        for item in k.tolist():
+            matcher.set_seq1(a[item])
+            if matcher.ratio() >= ratio:
+                yield a_at[item], b_at[post]
+
+    whole = len(lanes)  # queues of titles that wait: by words and part of the alphabet, then by words for all letters
+    waiting: list[list] = [[] for _ in range(whole + len(ends) - 1)]
+    held = [0] * len(waiting)
+
+    letters: dict[int, list[list[int]]] = {}
+
+    def told(post: int, g: int) -> list[int]:
+        """A post's letters of a part of the alphabet; beyond the parts, all."""
+        if post not in letters:
+            every, of = (z[tb[post] : tb[post + 1]] for z in (fb_fold, of_b))
+            letters[post] = [*(every[of == z].tolist() for z in range(PARTS)), every.tolist()]
+        return letters[post][g]
+
+    def wait(w: int, post: int, k: np.ndarray, need: np.ndarray, spare: np.ndarray, shared: np.ndarray) -> Iterator[tuple[int, int]]:
+        words = LANES[w // PARTS][2] if w < whole else w - whole + 1
+        for c in range(0, len(k), PAIRS):
+            waiting[w].append((post, *(z[..., c : c + PAIRS] for z in (k, need, spare, shared))))
+            held[w] += len(k[c : c + PAIRS]) * words
+            if held[w] >= PAIRS:
+                yield from reached(w)
+
+    def reached(w: int) -> Iterator[tuple[int, int]]:
+        """Titles that wait go on if letters enough are left: ``spare`` are those in common beyond what is needed, and what the subsequences of a
+        part are shorter than the letters that it has in common is taken off."""
+        longest = [(told(some[0], w % PARTS if w < whole else PARTS), *some) for some in waiting[w]]
+        longest.sort(key=lambda z: -len(z[0]))
+        waiting[w], held[w] = [], 0
+        if w < whole:
+            lengths = subsequences(lanes[w], [(z, at[k]) for z, _, k, *_ in longest])
+        else:
+            start, end = ends[w - whole], ends[w - whole + 1]
+            if w not in masks:
+                masks[w] = _masks(fa_fold[ta[start] : ta[end]], whose[ta[start] : ta[end]] - start, end - start, kinds, w - whole + 1)
+            lengths = subsequences(masks[w], [(z, k - start) for z, _, k, *_ in longest])
+        for (_, post, k, need, spare, shared), length in zip(longest, lengths, strict=True):
+            if w >= whole:
+                some = np.flatnonzero(length >= need)
+                if len(some):
+                    yield from compared(post, k[some], need[some])
+                continue
+            spare = spare - shared[w % PARTS] + length
+            some = np.flatnonzero(spare >= 0)
+            if not len(some):
+                continue
+            k, need, spare, shared = k[some], need[some], spare[some], shared[:, some]
+            if (w + 1) % PARTS:
+                yield from wait(w + 1, post, k, need, spare, shared)
+                continue
+            for c, (since, until) in enumerate(pairwise(np.searchsorted(k, ends).tolist())):
+                if since < until:
+                    yield from wait(whole + c, post, *(z[..., since:until] for z in (k, need, spare, shared)))
+
+    for post in range(len(b)):
+        lo = int(np.searchsorted(m, ratio * n[post] / (2 - ratio) - 1))
+        hi = int(np.searchsorted(m, n[post] * (2 - ratio) / ratio + 1, "right")) if ratio > 0 else len(a)
+        need, shared = needed[n[post] + m[lo:hi]], common(post, lo, hi)
+        most = shared[0] + shared[1]  # of 8 bits while all letters of a title are
+        for z in shared[2:]:
+            most += z
+        k = np.flatnonzero(most >= need)
+        need, spare, shared, k = need[k], most[k] - need[k], np.stack([z[k] for z in shared]).astype(np.int64), k + lo
+        cut = int(np.searchsorted(k, short))
+        if cut < len(k):
+            yield from compared(post, k[cut:], need[cut:])
+        kind = lane[k[:cut]]
+        for w in range(len(LANES)):
+            some = np.flatnonzero(kind == w)
+            if len(some):
+                yield from wait(w * PARTS, post, k[some], need[some], spare[some], shared[:, some])
+    for w in range(len(waiting)):  # what goes on waits further down
+        if waiting[w]:
+            yield from reached(w)
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
@@ -282,6 +332,54 @@ def _in_cells(x: DataFrame, y: DataFrame, key: Sequence[str], most_x: Column, mo
     return rows.repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell", "kind")
 
 
+def _met(batches: Iterator[pa.RecordBatch], ratio: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): classes of the titles of a cell that are alike."""
+    for x, y in _by_cell(batches):
+        found = list(alike(x["low"].to_pylist(), y["low"].to_pylist(), ratio))
+        i, j = (pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1))
+        for at in range(0, len(found), ROWS):
+            yield pa.record_batch([t["title_class"].combine_chunks().take(k[at : at + ROWS]) for t, k in ((x, i), (y, j))], names=["a", "b"])
+
+
+def _classed(df: DataFrame, day: str) -> DataFrame:
+    """The rows with title_class and token_class, the lower-case title and its tokens; null titles are empty."""
+    low = F.lower(F.coalesce("title", F.lit("")))
+    tokens = F.array_sort(title_tokens(F.col("title")))
+    out = df.where(F.col(day).isNotNull()).select("id", F.col(day).cast("date").alias("day"), low.alias("low"), tokens.alias("tokens"))
+    return out.withColumn("title_class", F.md5("low")).withColumn("token_class", F.md5(F.array_join("tokens", " ")))
+
+
+def _stretch(day: Column, days: int) -> Column:
+    return F.floor(F.unix_date(day) / (days + 1))
+
+
+def _letter_pairs(a: DataFrame, b: DataFrame, days: int, ratio: float) -> DataFrame:
+    """(a, b): classes of titles that are near by letters and not by tokens."""
+    titles = lambda df: written(df.select("title_class", "low", _stretch(F.col("day"), days).alias("s")).distinct())
+    x, y = titles(a), titles(b)
+    y = y.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1))).distinct()  # posts of the days before lie in an item's own stretch or the one before
+    n, letters = F.count(F.lit(1)), F.sum(F.length("low"))
+    blocks = F.greatest(F.ceil(n / (4 * BLOCK)), F.least(F.lit(4), F.ceil(n / BLOCK)))
+    rows = _in_cells(x, y, ("title_class",), F.ceil(F.greatest(n / (32 * BLOCK), letters / (32 * ROWS))), F.greatest(blocks, F.ceil(letters / (32 * ROWS))))
+    met = rows.mapInArrow(lambda it: _met(it, ratio), "a string, b string").distinct()
+    sets = lambda df, k: df.groupBy(F.col("title_class").alias(k)).agg(F.first("tokens").alias(f"t{k}"))
+    met = met.join(sets(a, "a"), "a").join(sets(b, "b"), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return met.where(~tokens_are_near(shared, F.least(F.size("ta"), F.size("tb")))).select("a", "b")
+
+
+def token_sets(*tables: DataFrame) -> DataFrame:
+    """(token_class, c, ids): each token set once, numbered, with the numbers of its tokens, the rarest first; tables have
+    token_class and tokens. Sets of one token are near to none and left out."""
+    every = tables[0].select("token_class", "tokens")
+    for t in tables[1:]:
+        every = every.union(t.select("token_class", "tokens"))
+    each = every.where("size(tokens) > 1").groupBy("token_class").agg(F.first("tokens").alias("tokens")).select("token_class", F.explode("tokens").alias("t"))
+    number = written(each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "t").select("t", F.monotonically_increasing_id().alias("k")))
+    sets = each.join(number, "t").groupBy("token_class").agg(F.sort_array(F.collect_list("k")).alias("ids"))
+    return written(sets.select("token_class", F.monotonically_increasing_id().alias("c"), "ids"))
+
+
 def sets_met(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, shared): pairs of sets that are near, in pieces; a and b are the sets' numbers, one set after the other, na and nb
     their sizes. Each set of a has the counters of all sets of b go up where they hold one of its numbers."""

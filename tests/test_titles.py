@@ -228,3 +228,37 @@ def test_sets_that_share_a_token_are_no_rows(spark):
     x = spark.range(2000).selectExpr("id", "concat_ws(' ', 'alpha beta', transform(sequence(1, 6), k -> concat('w', id, 'x', k))) AS title", "date'2024-03-08' AS published")
     out = titles.near_titles(x, x)
     assert "array_intersect" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 0
+
+
+@pytest.mark.parametrize(("kind", "most", "words"), titles.LANES)
+def test_subsequences_of_many_titles(kind, most, words):
+    """Titles of several lengths take a letter at a time together, and each gets the length that a table gives."""
+    rng = random.Random(most)
+    made = lambda n: [rng.randrange(5) for _ in range(n)]
+    a = [made(rng.randint(0, most)) for _ in range(20)] + [made(most), [0] * most]
+    whose = np.repeat(np.arange(len(a)), [len(z) for z in a])
+    masks = titles._masks(np.array([k for z in a for k in z]), whose, len(a), 5, words, kind)
+    groups = [(made(n), np.array(sorted(rng.sample(range(len(a)), 9)))) for n in (most + 30, most, most, 7, 0)]
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = row
+            row = [0]
+            for k, d in enumerate(y):
+                row.append(last[k] + 1 if c == d else max(row[k], last[k + 1]))
+        return row[-1]
+
+    got = titles.subsequences(masks, groups)
+    assert [z.tolist() for z in got] == [[table(letters, a[k]) for k in chosen] for letters, chosen in groups]
+
+
+def test_alike_in_many_letters():
+    """More letters than have a mask of their own, titles of one to several words, and a bound by parts that lets few through."""
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + k) for k in range(500)] + list("abcdefgh ")
+    made = lambda: "".join(rng.choice(letters if rng.random() < 0.7 else "abc ") for _ in range(rng.choice([0, 3, 20, 70, 140, 260, 377, 378, 379, 600])))
+    a = [made() for _ in range(60)]
+    b = ["".join(c if rng.random() > share else rng.choice(letters) for c in t) for t in a for share in (0.1, 0.27)]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if SequenceMatcher(None, x, y).ratio() >= 0.72}
+    assert set(titles.alike(a, b)) == want and len(want) > 60
